@@ -110,20 +110,24 @@ def in_filter(bits_array: Column, key: Column, bits: int = FILTER_BITS) -> Colum
     return F.getbit(bits_array[F.shiftright(slot, 6).cast("int")], F.pmod(slot, F.lit(64)).cast("int")) == 1
 
 
-def prefix_sums(values: Column, doublings: int = 24) -> Column:
-    """Running totals of an int array in n log n steps, for up to 2 ** doublings elements."""
-
-    def step(array: Column, k: int) -> Column:
-        if k == doublings:
-            return array
-        width = 1 << k
-        moved = F.when(
-            F.size(array) > width,
-            F.zip_with(F.concat(F.array_repeat(F.lit(0), width), F.slice(array, 1, F.greatest(F.size(array) - width, F.lit(0)))), array, lambda a, b: a + b),
-        ).otherwise(array)
-        return let(moved, lambda a: step(a, k + 1))
-
-    return let(values, lambda a: step(a, 0))
+def prefix_sums(values: Column) -> Column:
+    """Running totals of an int array: by chunks of about the root of its size, as appending copies the array."""
+
+    def running(array: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(array, zero, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["sums"], s["sum"] + x).alias("sums")), lambda s: s["sums"])
+
+    def chunked(array: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(array))).cast("int"), F.lit(1))
+        parts = F.transform(upto(F.ceil(F.size(array) / width).cast("int")), lambda c: running(F.slice(array, c * width + 1, width)))
+
+        def joined(sums: Column) -> Column:
+            ends = running(F.transform(sums, lambda x: F.element_at(x, -1)))
+            return F.flatten(F.zip_with(sums, ends, lambda x, end: F.transform(x, lambda v: v + end - F.element_at(x, -1))))
+
+        return let(parts, joined)
+
+    return let(values, chunked)
 
 
 def small_enough(df: DataFrame, limit: int) -> DataFrame:

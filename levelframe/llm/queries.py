@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from levelframe.llm import decontaminate, quality_rules
+from levelframe.llm import decontaminate, pii, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op6_pii": pii.op6_pii,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
