@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from levelframe.llm import decontaminate, pii, quality_rules
+from levelframe.llm import decontaminate, mixing, pii, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": url_filter.op2_url_filter,
         "op6_pii": pii.op6_pii,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.OP2_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
     }
