@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -135,20 +136,18 @@ def small_enough(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Column, per_bucket: int, name: str = "position", total: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Column, name: str = "position") -> DataFrame:
     """Adds a gapless number from 0 within keys, without gathering a key's rows in one task.
 
-    order: a 64-bit hash by which a key's rows are dealt to buckets of about per_bucket rows; the numbering goes
-    bucket by bucket, and by the hash inside a bucket. total: name of a column for the key's number of rows.
+    order: a 64-bit hash by which the rows are dealt to about sqrt(rows) buckets; the numbering goes bucket by
+    bucket, and by the hash inside a bucket. df is computed twice: it should be a saved table or little more.
     """
     rows = df.select(F.count(F.lit(1))).first()[0]
-    buckets = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("__order", order).withColumn("__bucket", F.pmod("__order", F.lit(buckets)))
+    buckets = max(1, math.isqrt(rows))
+    dealt = df.withColumn("__order", order).withColumn("__bucket", F.pmod(F.xxhash64("__order"), F.lit(buckets)))
     counts = dealt.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     by = W.partitionBy(*keys)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(by.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    if total:
-        counts = counts.withColumn(total, F.sum("__n").over(by))
     counts = counts.drop("__n")
     inside = dealt.withColumn("__row", F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy("__order")) - 1)
     same = [inside[k].eqNullSafe(counts[k]) for k in (*keys, "__bucket")]
@@ -156,7 +155,3 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Column, per_bucket: int,
     for k in (*keys, "__bucket"):
         out = out.drop(counts[k])
     return out.withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__order", "__bucket", "__before", "__row")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

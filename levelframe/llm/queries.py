@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from levelframe.llm import decontaminate, mixing, pii, quality_rules, url_filter
+from levelframe.llm import decontaminate, mixing, pii, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op2_url_filter": url_filter.op2_url_filter,
         "op6_pii": pii.op6_pii,
         "op8_decontaminate": decontaminate.op8_decontaminate,
