@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from levelframe.llm import decontaminate, mixing, pii, quality_rules, sharding, url_filter
+from levelframe.llm import decontaminate, mixing, near_dedup, pii, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -19,5 +20,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.OP2_SQL,
+        "op5_near_dedup": near_dedup.OP5_SQL,
         "op8_decontaminate": decontaminate.OP8_SQL,
     }
