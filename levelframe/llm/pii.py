@@ -6,8 +6,8 @@ with the term in which it stands within CONTEXT words of the entity, and its dis
 P(entity). Terms seen with an entity in MIN_TEXTS texts or more, with enough bits, are generalised from
 P(entity | term) = GENERALISE on and removed from REMOVE on, wherever they occur.
 
-Only texts with an entity take part in the pairs, and only terms that survive the support test are looked for in the
-corpus: a fixed-size bit filter picks them inside the row, an exact join confirms them. Everything is counted by
+Only texts with an entity take part in the pairs, and only terms that survive the support test and stand mostly
+beside their entity, as far as texts with entities tell, are looked for in the corpus: a fixed-size bit filter picks them inside the row, an exact join confirms them. Everything is counted by
 distinct text, so that copies neither add evidence nor gather anywhere.
 
 Nulls and edge cases: a null or empty text has no spans; repeated rows each get their row; equal texts get equal
@@ -115,7 +115,12 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, Dat
     """
     pairs = spans.filter(F.size("spans") > 0).select(*KEY, F.explode("spans").alias("s")).select(*KEY, F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.explode("s.terms").alias("term"))
     entities = spans.filter(F.size("spans") > 0).select(*KEY, F.explode(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    support = saved(pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= MIN_TEXTS).join(entities, "entity").withColumn("hash", F.xxhash64("term")))
+    pairs = saved(pairs.distinct())
+    # texts with the term beside any entity: P(entity | term) is at most n_te over that, so that frequent words drop out
+    beside = pairs.select(*KEY, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    support = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= MIN_TEXTS)
+    support = support.join(beside, "term").filter(F.col("n_te") >= GENERALISE * F.col("n_beside")).drop("n_beside")
+    support = saved(support.join(entities, "entity").withColumn("hash", F.xxhash64("term")))
     if support.isEmpty():
         return None
     bits = bit_filter(support, "hash")
