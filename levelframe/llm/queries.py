@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from levelframe.llm import decontaminate, mixing, near_dedup, pii, quality_rules, sharding, url_filter
+import corpus_pipeline
+from levelframe.llm import decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
@@ -11,9 +12,11 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
+        "op7_language_id": language_id.op7_language_id,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
