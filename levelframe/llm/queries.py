@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from levelframe.llm import decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, url_filter
+from levelframe.llm import decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
         "op7_language_id": language_id.op7_language_id,
