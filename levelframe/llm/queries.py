@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from levelframe.llm import decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, suffix_dedup, url_filter
+from levelframe.llm import decontaminate, language_id, lm_scoring, mixing, near_dedup, pii, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
         "op7_language_id": language_id.op7_language_id,
