@@ -11,7 +11,8 @@ of other components. So a bucket of thousands of near copies costs thousands of
 link between components is left out. Comparisons are made on the full sets, whose texts are read again: only those of
 classes that have a partner. Components come from rounds of least labels with pointer jumping.
 
-At similarity 0.75 a pair shares none of the BANDS bands with probability (1 - 0.75 ** ROWS) ** BANDS, 3e-7.
+At similarity 0.75 a pair shares no band with probability (1 - 0.75 ** ROWS) ** BANDS, 6e-9, and just one with 1.3e-7;
+its sketches agree on fewer than ALIKE of SKETCHED coordinates with about 6e-8.
 
 Nulls and edge cases: without words a set is empty and linked with nothing; fewer words than a shingle make one
 shingle; repeated rows are equal sets; a null doc_id is a document and last in order; an empty table gives an empty
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelframe.llm.arena import ascii_lowered, chunks, mix, word_hashes
@@ -33,7 +34,10 @@ from levelframe.llm.common import bit_filter, in_filter, saved
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 50, 4
+#: Coordinates of the sketch, 16 to a long, and how many must agree in four bits.
+SKETCHED, ALIKE = 192, 116
+HOT = 2000
 CIRCLE = 1 << 20
 SEED = 7
 #: Rounds of labels at most; each at least halves the length of a chain of links.
@@ -71,30 +75,36 @@ def signature(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
     return least
 
 
-SKETCH = "__rid long, doc_id long, __x long, __c long, n long, k1 long, k2 long, bands array<long>"
+SKETCH = "__rid long, doc_id long, __x long, __c long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranks = _ranks()
-    salt = mix(np.arange(1, ROWS + 2, dtype=np.uint64))
+    salt, empty = mix(np.arange(1, ROWS + 2, dtype=np.uint64)), np.zeros(0, np.int64)
     for batch in batches:
-        n, k1, k2, bands = [], [], [], []
+        n, k1, k2, bands, sketches = [], [], [], [], []
         for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             k1.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
             k2.append(int(mix(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64).astype(np.int64)))
             if len(s):
-                sig = signature(ranks, (s >> np.uint64(44)).astype(np.int64)).reshape(BANDS, ROWS).astype(np.uint64)
+                sig = signature(ranks, (s >> np.uint64(44)).astype(np.int64)).astype(np.uint64)
+                nibbles = (mix(sig[:SKETCHED]) >> np.uint64(60)).reshape(-1, 16)
+                sketches.append((nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).astype(np.int64))
+                sig = sig.reshape(BANDS, ROWS)
                 keys = (sig * salt[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * salt[ROWS]
                 bands.append(mix(keys).astype(np.int64))
             else:
-                bands.append(None)
-        lengths = np.array([0 if b is None else len(b) for b in bands])
-        flat = np.concatenate([b for b in bands if b is not None]) if lengths.any() else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat, pa.int64()))
+                bands.append(empty)
+                sketches.append(empty)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("__rid", "doc_id", "__x", "__c")), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists],
-            ["__rid", "doc_id", "__x", "__c", "n", "k1", "k2", "bands"],
+            [*(batch.column(c) for c in ("__rid", "doc_id", "__x", "__c")), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(bands), _lists(sketches)],
+            ["__rid", "doc_id", "__x", "__c", "n", "k1", "k2", "bands", "sketch"],
         )
 
 
@@ -132,6 +142,17 @@ def labelled(edges: DataFrame) -> DataFrame:
     return state
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Whether two sketches agree on ALIKE coordinates: the four-bit groups without a bit in which they differ."""
+    agree = F.lit(0)
+    for k in range(SKETCHED // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        agree = agree + (16 - F.bit_count(y))
+    return agree >= ALIKE
+
+
 class NearDuplicates:
     """The steps over one table; every table that is used twice is saved."""
 
@@ -139,9 +160,9 @@ class NearDuplicates:
         key = [F.xxhash64("text").alias("__x"), F.crc32("text").alias("__c")]
         self.docs = docs.select("doc_id", "text", *key)
         self.rows = saved(self.docs.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", "__x", "__c").mapInArrow(_sketch, SKETCH))
-        first = F.min(F.struct(F.col("__rid"), "__x", "__c", "bands"))
+        first = F.min(F.struct(F.col("__rid"), "__x", "__c", "bands", "sketch"))
         classes = self.rows.filter("n > 0").groupBy("k1", "k2", "n").agg(first.alias("f"))
-        self.classes = saved(classes.select("k1", "k2", "n", F.col("f.__rid").alias("cid"), "f.__x", "f.__c", "f.bands"))
+        self.classes = saved(classes.select("k1", "k2", "n", F.col("f.__rid").alias("cid"), "f.__x", "f.__c", "f.bands", "f.sketch"))
         self.slots = self.classes.select("cid", "n", F.explode("bands").alias("key"))
 
     def partners(self) -> DataFrame:
@@ -155,43 +176,55 @@ class NearDuplicates:
         texts = self.docs.filter(in_filter(bit_filter(wanted, "__x"), F.col("__x"))).join(wanted, ["__x", "__c"])
         return saved(texts.groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(_sets, "cid long, set binary"))
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The saved pairs (a, b) that are links on their full sets."""
+        sets = self.sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
         a = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
         b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
         return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long"))
 
     @staticmethod
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of (a, na, b, nb) whose sizes allow a link."""
-        fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-        return pairs.filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def sized(a: Column, b: Column) -> Column:
+        """Whether two sizes allow a link."""
+        return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+    def star(self, slots: DataFrame) -> DataFrame:
+        """Pairs a < b of each class with the first of its buckets, those that pass the sizes and sketches."""
+        pairs = slots.filter("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+        of = lambda c: self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(self.sized(F.col("na"), F.col("nb")) & alike(F.col("sa"), F.col("sb")))
+        return saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def mixed(self, slots: DataFrame, edges: DataFrame) -> DataFrame:
+        """(key, cid, n, sketch, label) of the buckets with classes of several components, large ones dealt on."""
+        labels = labelled(edges).select(F.col("v").alias("cid"), "label")
+        named = slots.join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+        several = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "m")
+        named = named.join(several, "key").join(self.classes.select("cid", "n", "sketch", "bands"), "cid")
+        key = F.when(F.col("m") <= HOT, F.array("key")).otherwise(F.transform(F.filter("bands", lambda b: b != F.col("key")), lambda b: F.xxhash64("key", b)))
+        return saved(named.select(F.explode(key).alias("key"), "cid", "n", "sketch", "label"))
 
     def links(self) -> DataFrame | None:
         """(cid, label) of the classes that are linked with another."""
         slots = self.partners()
         if slots.isEmpty():
             return None
-        sets = self.sets_of(slots.select("cid").distinct())
-        size = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-        star = slots.filter("cid <> hub").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b")).distinct().join(size, "b")
-        done = saved(self.fitting(star))
-        edges = self.verified(done, sets)
+        done = self.star(slots)
+        edges = self.verified(done)
         for last in (False, True):
-            labels = labelled(edges).select(F.col("v").alias("cid"), "label")
-            named = slots.join(labels, "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
-            mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            named = saved(named.join(mixed, "key"))
+            named = self.mixed(slots, edges)
             if named.isEmpty():
                 break
-            other = named if last else named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("cid"), "cid", "n")).alias("c")).select("key", "label", "c.cid", "c.n")
+            other = named if last else named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("cid"), "cid", "n", "sketch")).alias("c")).select("key", "label", "c.cid", "c.n", "c.sketch")
             x, y = named.alias("x"), other.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label") if last else F.col("x.label") != F.col("y.label")))
-            pairs = self.fitting(pairs.select(F.col("x.cid").alias("a"), F.col("x.n").alias("na"), F.col("y.cid").alias("b"), F.col("y.n").alias("nb")))
+            apart = F.col("x.label") < F.col("y.label") if last else F.col("x.label") != F.col("y.label")
+            near = (F.col("x.key") == F.col("y.key")) & apart & self.sized(F.col("x.n"), F.col("y.n")) & alike(F.col("x.sketch"), F.col("y.sketch"))
+            pairs = x.join(y, near).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
             new = saved(pairs.join(done, ["a", "b"], "left_anti"))
             if new.isEmpty():
                 continue
             done = saved(done.union(new))
-            edges = saved(edges.union(self.verified(new, sets)))
+            edges = saved(edges.union(self.verified(new)))
         return labelled(edges).select(F.col("v").alias("cid"), "label")
 
     def components(self) -> DataFrame:
@@ -199,7 +232,7 @@ class NearDuplicates:
         labels = self.links()
         named = self.classes.select("k1", "k2", "n", "cid")
         named = named.withColumn("label", F.col("cid")) if labels is None else named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        rows = self.rows.drop("bands").join(named.select("k1", "k2", "n", "label"), ["k1", "k2", "n"], "left")
+        rows = self.rows.drop("bands", "sketch").join(named.select("k1", "k2", "n", "label"), ["k1", "k2", "n"], "left")
         # a row without words is a component of its own
         rows = saved(rows.withColumn("label", F.coalesce("label", -1 - F.col("__rid"))))
         head = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")).alias("h"))
