@@ -1,13 +1,12 @@
-"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
+"""The registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelframe.session import table
-
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -24,13 +23,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for part in ("evaluation_queries", "raster_queries", "fit_queries", "detector_queries"):
+        import_module(f"levelframe.plans.{part}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id")
+    return queries()["detect_a7"](spark, sf_dir)
