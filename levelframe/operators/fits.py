@@ -96,7 +96,7 @@ def hypotheses(frames: DataFrame, keys: list[str], points: str = "points", limit
     p, q = F.col(points)[F.col("i")], F.col(points)[F.col("j")]
     size = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
     lined = pairs.withColumn("line", F.when(size > 1e-6, line((q["x"] - p["x"]) / size, (q["y"] - p["y"]) / size, p["x"], p["y"]))).filter("line IS NOT NULL")
-    near = F.filter(F.transform(F.col(points), lambda r, k: F.when(F.round(distance(r, F.col("line")), 9) < limit, k)), lambda k: k.isNotNull())
+    near = let(F.col("line"), lambda ln: F.filter(F.transform(F.col(points), lambda r, k: F.when(F.round(distance(r, ln), 9) < limit, k)), lambda k: k.isNotNull()))
     return lined.withColumn("inliers", near).withColumn("n", F.size("inliers")).filter(F.col("n") >= least)
 
 

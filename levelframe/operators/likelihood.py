@@ -22,10 +22,10 @@ PATH_MARGIN = 0.18
 def location_scale(values: Column) -> Column:
     """struct(mu, scale): the median and the scaled median of distances from it, at least LEAST_SCALE."""
 
-    def of(mu: Column) -> Column:
-        return F.struct(mu.alias("mu"), F.greatest(MAD * median(F.transform(values, lambda v: F.abs(v - mu))), F.lit(LEAST_SCALE)).alias("scale"))
+    def of(a: Column, mu: Column) -> Column:
+        return F.struct(mu.alias("mu"), F.greatest(MAD * median(F.transform(a, lambda v: F.abs(v - mu))), F.lit(LEAST_SCALE)).alias("scale"))
 
-    return let(median(values), of)
+    return let(values, lambda a: let(median(a), lambda mu: of(a, mu)))
 
 
 def band_rows(height: int) -> tuple[int, int]:
@@ -61,12 +61,15 @@ def log_likelihood(value: Column, side: Column) -> Column:
 def ratio(planes: Column, model: Column) -> Column:
     """Log-likelihood of sky over ground at each place, clipped."""
 
-    def at(i: Column) -> Column:
-        parts = F.zip_with(planes, model, lambda p, m: log_likelihood(p[i].cast("double"), m["sky"]) - log_likelihood(p[i].cast("double"), m["ground"]))
-        s = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
-        return F.greatest(F.least(s, F.lit(CLIP)), F.lit(-CLIP))
+    def of(p: Column, m: Column) -> Column:
+        def at(i: Column) -> Column:
+            parts = F.zip_with(p, m, lambda q, k: log_likelihood(q[i].cast("double"), k["sky"]) - log_likelihood(q[i].cast("double"), k["ground"]))
+            s = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+            return F.greatest(F.least(s, F.lit(CLIP)), F.lit(-CLIP))
 
-    return F.transform(indices(F.size(planes[0])), at)
+        return F.transform(indices(F.size(p[0])), at)
+
+    return let(planes, lambda p: let(model, lambda m: of(p, m)))
 
 
 def split_scores(llr: Column, height: int, width: int, edge_cost: float = 2.0, edge: int = 3) -> Column:

@@ -179,6 +179,16 @@ def column_scan(mask: Column, height: int, width: int) -> Column:
     return let(mask, of)
 
 
+def first_ground(mask: Column, height: int, width: int) -> Column:
+    """The first ground row of each column, height where there is none."""
+    return let(mask, lambda m: F.transform(indices(width), lambda x: F.coalesce(F.array_min(F.transform(indices(height), lambda y: F.when(m[y * width + x] == 0, y))), F.lit(height))))
+
+
+def path_mask(path: Column, height: int, width: int) -> Column:
+    """Sky above a boundary row for each column."""
+    return let(path, lambda p: F.transform(indices(height * width), lambda i: F.when((i / width).cast("int") < p[i % width], 255).otherwise(0)))
+
+
 def lower_envelope(mask: Column, height: int, width: int) -> Column:
     """The last sky row of each column with sky, as array of struct(x, y)."""
 

@@ -41,8 +41,8 @@ def coherence(planes: Column, ln: Column, width: int, least: int = LEAST_SIDE) -
 
         return F.when((up < least) | (down < least), F.lit(-1.0)).otherwise(let(F.transform(planes, part), score))
 
-    lit = lambda i: ((i % width).cast("double") - ln["x0"]) * ln["vy"] - ((i / width).cast("int").cast("double") - ln["y0"]) * ln["vx"]
-    return let(F.transform(planes[0], lambda v, i: F.round(lit(i), 9) < 0), of)
+    lit = lambda i, q: ((i % width).cast("double") - q["x0"]) * q["vy"] - ((i / width).cast("int").cast("double") - q["y0"]) * q["vx"]
+    return let(let(ln, lambda q: F.transform(planes[0], lambda v, i: F.round(lit(i, q), 9) < 0)), of)
 
 
 def admitted(pool: DataFrame) -> DataFrame:

@@ -1 +1,42 @@
-"""Queries."""
+"""The ten detection pipelines over frames with a known horizon, and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from levelframe.functions import lines
+from levelframe.operators import evaluation
+from levelframe.plans.detectors import REGISTRY, Shape
+from levelframe.plans.registry import query
+from levelframe.session import table
+from levelframe.sources.tables import with_horizon
+
+#: Frames of eight rows: a small morphology window; clips of 50 frames.
+SMALL = Shape(8, 8, window=3, near=0.75, clip=("clip",))
+
+
+def frames(spark, sf_dir):
+    return with_horizon(table(spark, sf_dir, "embeddings")).withColumn("clip", F.floor(F.col("frame_id") / 50))
+
+
+def _register(name: str):
+    @query(f"detect_{name}")
+    def run(spark, sf_dir):
+        found = REGISTRY[name][0](frames(spark, sf_dir), SMALL)
+        return found.select("frame_id", "status", F.round(lines.folded_angle(F.col("line")), 3).alias("deg"), F.round(lines.y_at(F.col("line"), F.lit(3.5)), 3).alias("y_mid"), F.round("confidence", 4).alias("confidence"), "inliers")
+
+    return run
+
+
+for _name in REGISTRY:
+    _register(_name)
+
+
+@query("evaluate_a5")
+def evaluate_a5(spark, sf_dir):
+    """One run of a pipeline, scored against the known lines and summarised."""
+    df = frames(spark, sf_dir)
+    found = REGISTRY["a5"][0](df, SMALL).join(df.select("frame_id", "slope", "offset"), "frame_id")
+    rows = found.select("frame_id", (F.col("status") == "failed").alias("failed"), F.lit(True).alias("gt_horizon"), (F.col("status") != "no_horizon").alias("pred_horizon"), F.lit(float(SMALL.height)).alias("height"), F.lit(1.0).alias("latency_ms"), lines.label_line(F.col("slope"), F.col("offset"), F.lit(float(SMALL.height))).alias("gt"), F.col("line").alias("pred"))
+    out = evaluation.summary(evaluation.scored(rows))
+    return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 3).alias("angle_mean"), "accuracy_verdict", "speed_verdict")
