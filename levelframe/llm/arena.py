@@ -11,7 +11,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelframe.llm.arena import Prefix, chunks, mix
-from levelframe.llm.common import bit_filter, in_filter, saved
+from levelframe.llm.common import bit_filter, in_filter, saved, written
 
 LENGTH = 200
 ANCHOR = 40
@@ -253,17 +253,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, RUN)
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
     shape = F.col("pos").bitwiseAND(0xFFFF).cast("int")
-    rows = saved(found.join(often, "h").groupBy("h", "g", "x", "c", "pos").agg(F.count(F.lit(1)).alias("m")))
+    rows = written(found.join(often, "h").groupBy("h", "g", "x", "c", "pos").agg(F.count(F.lit(1)).alias("m")))
     rows = rows.withColumn("shape", shape)
     first = F.min(F.struct("x", "c", F.shiftright("pos", 16).alias("first")))
-    segments = saved(rows.groupBy("h", "g", "shape").agg(F.sum("m").alias("m"), first.alias("rep")))
+    segments = written(rows.groupBy("h", "g", "shape").agg(F.sum("m").alias("m"), first.alias("rep")))
     whole = segments.filter("m > 1").select("h", "g", "shape", F.shiftright("shape", 8).alias("low"), (F.shiftright("shape", 8) + F.col("shape").bitwiseAND(255) - 1).alias("high"))
     several = segments.groupBy("h").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1")
     asked = segments.join(several, "h").select("h", "g", "shape", "segments", "rep.*")
     wanted = saved(asked.groupBy("x", "c").agg(F.collect_list(F.struct("h", "g", "shape", F.col("first").cast("int").alias("first"))).alias("asked")))
     # one copy of each text that is needed; a fixed-size bit filter drops most others before the shuffle
     near = texts.filter(in_filter(bit_filter(wanted, "x"), F.col("x"))).join(wanted.select("x", "c"), ["x", "c"], "left_semi").groupBy("x", "c").agg(F.first("text").alias("text"))
-    bytes_of = saved(near.join(wanted, ["x", "c"]).select("text", "asked").mapInArrow(_segments, SEGMENT))
+    bytes_of = written(near.join(wanted, ["x", "c"]).select("text", "asked").mapInArrow(_segments, SEGMENT))
     bytes_of = bytes_of.join(several, "h")
     size = bytes_of.filter(F.col("segments") <= HOT).agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-size // SORTED_BYTES))
@@ -279,6 +279,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy("x", "c").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with their spans; a fixed-size bit filter keeps most texts without any out of the shuffle."""
+    spans = written(spans)
+    may = in_filter(bit_filter(spans, "x"), F.col("x"))
+    none = rows.filter(~may).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return rows.filter(may).join(spans, ["x", "c"], "left").select(*none.columns).unionByName(none)
+
+
 def union_of(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in spans or ():
@@ -307,7 +315,7 @@ def _report(batches):
 
 def report(docs: DataFrame) -> DataFrame:
     """What each document loses and a digest of what it keeps."""
-    rows = _keyed(docs, [F.col("doc_id").cast("long").alias("doc_id")]).join(repeated_spans(docs), ["x", "c"], "left")
+    rows = with_spans(_keyed(docs, [F.col("doc_id").cast("long").alias("doc_id")]), repeated_spans(docs))
     return rows.select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -319,7 +327,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pa.array([None if t is None else kept_bytes(t.encode(), union_of(s)).decode("utf-8", "ignore") if s else t for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
     names = docs.columns
-    rows = _keyed(docs, [F.struct(*names).alias("__row")]).join(repeated_spans(docs), ["x", "c"], "left")
+    rows = with_spans(_keyed(docs, [F.struct(*names).alias("__row")]), repeated_spans(docs))
     return rows.withColumn("__new", cut(F.col("__row.text"), F.col("spans"))).select(*(F.col("__new").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names))
 
 
