@@ -131,7 +131,7 @@ def path_candidate(planes: Column, height: int, width: int) -> Column:
 
 
 def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> Column:
-    """struct(line, count, contrast): the line under the top-connected sky, behind its gates.
+    """struct(line, count, contrast): the line under the top-connected sky, behind its gates; texture: a column.
 
     The gates: seeds apart, sky share 0.08 to 0.72, columns with sky 0.58 or more, median boundary 0.10 to 0.86 of the
     height, 16 places or more below, texture contrast 0.035 or more, 8 boundary places or as many as half the columns.
@@ -147,7 +147,7 @@ def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> C
                 share = F.size(F.filter(s, lambda v: v > 0)) / (height * width)
                 coverage = F.size(e) / width
                 middle = median(F.transform(e, lambda p: p["y"])) / max(height - 1, 1)
-                side = lambda lit: mean(F.filter(F.zip_with(texture, s, lambda t, v: F.when((v > 0) == lit, t)), lambda t: t.isNotNull()))
+                side = lambda lit: mean(F.filter(F.zip_with(texture, s, lambda u, v: F.when((v > 0) == lit, u)), lambda u: u.isNotNull()))
                 below = height * width - F.size(F.filter(s, lambda v: v > 0))
                 contrast = F.coalesce(side(False) - side(True), F.lit(0.0))
                 least = min(8, max(2, width // 2))
@@ -164,7 +164,7 @@ def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> C
 
 def texture_map(gray: Column, height: int, width: int) -> Column:
     """Local means of gradient size, over its 95th percentile and clipped to 1."""
-    size = F.zip_with(raster.sobel_x(gray, height, width), raster.sobel_y(gray, height, width), lambda p, q: F.hypot(p, q))
+    size = let(gray, lambda a: F.zip_with(raster.sobel_x(a, height, width), raster.sobel_y(a, height, width), lambda p, q: F.hypot(p, q)))
 
     def of(g: Column) -> Column:
         def scaled(s: Column) -> Column:

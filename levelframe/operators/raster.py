@@ -7,6 +7,8 @@ outside, weighted windows mirror it without repeating the edge.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -268,14 +270,15 @@ def row_energy_peak(img: Column, height: int, width: int, taps: int = 15) -> Col
 
 def oriented(boundary: Column, soft_mask: Column, height: int, width: int, max_roll: float = 75.0, least: int = 8) -> Column:
     """The boundary places whose gradient is steep enough for a horizon; all of them if fewer than least remain."""
-    import math
-
     limit = math.sin(math.radians(90 - max_roll)) ** 2
-    gx, gy = sobel_x(soft_mask, height, width), sobel_y(soft_mask, height, width)
-    keep = F.zip_with(gx, gy, lambda p, q: q * q > limit * (p * p + q * q + 1e-6))
-    filtered = F.zip_with(boundary, keep, lambda v, k: F.when(k, v).otherwise(F.lit(0)))
     count = lambda m: F.size(F.filter(m, lambda v: v != 0))
-    return let(filtered, lambda f: F.when((count(boundary) > least) & (count(f) >= least), f).otherwise(boundary))
+
+    def of(b: Column, m: Column) -> Column:
+        keep = F.zip_with(sobel_x(m, height, width), sobel_y(m, height, width), lambda p, q: q * q > limit * (p * p + q * q + 1e-6))
+        filtered = F.zip_with(b, keep, lambda v, k: F.when(k, v).otherwise(F.lit(0)))
+        return let(filtered, lambda f: F.when((count(b) > least) & (count(f) >= least), f).otherwise(b))
+
+    return let(boundary, lambda b: let(soft_mask, lambda m: of(b, m)))
 
 
 def bgr_gray(b: Column, g: Column, r: Column) -> Column:

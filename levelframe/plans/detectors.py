@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelframe.functions import lines
+from levelframe.functions.arrays import let
 from levelframe.operators import fits, likelihood, raster, scoring, temporal
 
 LINE = "struct<vx:double,vy:double,x0:double,y0:double>"
@@ -37,9 +38,12 @@ def mask_of(img: Column, s: Shape, opened: bool = True) -> Column:
     return raster.open_(mask, s.height, s.width, s.window) if opened else mask
 
 
-def _bind(img: Column) -> Column:
-    from levelframe.functions.arrays import let
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters and projections read instead of computing it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
 
+def _bind(img: Column) -> Column:
     return let(img, lambda a: raster.above(a, raster.otsu_threshold(a)))
 
 
@@ -74,7 +78,7 @@ def a1(frames: DataFrame, s: Shape) -> DataFrame:
 def with_points(frames: DataFrame, s: Shape, plane: str = "img", oriented: bool = False) -> DataFrame:
     """frames with the plane's mask and boundary points."""
     df = with_mask(frames, s, plane)
-    return df.withColumn("points", raster.points(boundary_of(F.col("mask"), s, oriented), s.width))
+    return df.withColumn("points", let(F.col("mask"), lambda m: raster.points(boundary_of(m, s, oriented), s.width)))
 
 
 def a2(frames: DataFrame, s: Shape) -> DataFrame:
@@ -104,7 +108,7 @@ def a4(frames: DataFrame, s: Shape) -> DataFrame:
 def best_of(frames: DataFrame, s: Shape, plane: str = "img") -> DataFrame:
     df = with_points(frames, s, plane).select("frame_id", "points").withColumn("points", fits.subsample(F.col("points"), F.col("frame_id"), s.max_points))
     best = fits.early_stop(fits.hypotheses(df, ["frame_id"], limit=s.near), ["frame_id"])
-    return best.withColumn("fit", fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))).withColumn("confidence", F.col("n") / F.size("points"))
+    return once(best, "fit", fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))).withColumn("confidence", F.col("n") / F.size("points"))
 
 
 def a5(frames: DataFrame, s: Shape) -> DataFrame:
@@ -128,24 +132,28 @@ def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
     of the likeliest boundary path and that under the top-connected sky. The score is region coherence."""
     both = frames.withColumn("mask_l", mask_of(F.col("img"), s)).withColumn("mask_b", mask_of(F.col("raw"), s))
     both = both.withColumn("degenerate", (raster.balance(F.col("mask_l")) >= scoring.DEGENERATE) & (raster.balance(F.col("mask_b")) >= scoring.DEGENERATE)).withColumn("planes", F.array("img", "raw"))
+    for mask in ("mask_l", "mask_b"):
+        pts = let(F.col(mask), lambda m: raster.points(boundary_of(m, s, oriented=True), s.width))
+        both = both.withColumn(f"points_{mask}", fits.subsample(pts, F.col("frame_id"), s.max_points))
+    # every source of candidates reads the masks and points: they are kept, and lost parts are made again
+    both = both.persist()
     live = both.filter("NOT degenerate")
     parts = []
     for name, mask in (("L", "mask_l"), ("b", "mask_b")):
-        pts = fits.subsample(raster.points(boundary_of(F.col(mask), s, oriented=True), s.width), F.col("frame_id"), s.max_points)
-        top = fits.top_k(fits.hypotheses(live.select("frame_id", pts.alias("points")), ["frame_id"], limit=s.near), ["frame_id"])
+        top = fits.top_k(fits.hypotheses(live.select("frame_id", F.col(f"points_{mask}").alias("points")), ["frame_id"], limit=s.near), ["frame_id"])
         refit = fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))
         parts.append(top.select("frame_id", F.lit(name).alias("source"), "rank", "line", refit.alias("refit"), F.col("n").alias("count")))
     if path:
-        one = live.withColumn("c", likelihood.path_candidate(F.col("planes"), s.height, s.width)).filter("c IS NOT NULL")
+        one = once(live, "c", likelihood.path_candidate(F.col("planes"), s.height, s.width)).filter("c IS NOT NULL")
         parts.append(one.select("frame_id", F.lit("path").alias("source"), F.lit(1).alias("rank"), "c.line", F.col("c.line").alias("refit"), "c.count"))
     if sky:
         texture = likelihood.texture_map(F.col("img"), s.height, s.width)
-        one = live.withColumn("c", likelihood.sky_candidate(F.col("planes"), texture, s.height, s.width)).filter("c IS NOT NULL")
+        one = once(once(live, "texture", texture), "c", likelihood.sky_candidate(F.col("planes"), F.col("texture"), s.height, s.width)).filter("c IS NOT NULL")
         parts.append(one.select("frame_id", F.lit("sky").alias("source"), F.lit(1).alias("rank"), "c.line", F.col("c.line").alias("refit"), "c.count"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.join(live.select("frame_id", "planes"), "frame_id").withColumn("raw", scoring.coherence(F.col("planes"), F.col("line"), s.width, min(scoring.LEAST_SIDE, s.height * s.width // 4)))
+    out = once(out.join(live.select("frame_id", "planes"), "frame_id"), "raw", scoring.coherence(F.col("planes"), F.col("line"), s.width, min(scoring.LEAST_SIDE, s.height * s.width // 4)))
     out = scoring.with_place(scoring.admitted(out)).withColumn("place", F.col("place").cast("int"))
     # candidates carry the refit line, which is what a later frame compares with
     per = out.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("place", "source", "raw", F.col("refit").alias("line"), "count"))).alias("c"))
