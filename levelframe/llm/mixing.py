@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from levelframe.llm.common import saved
+from levelframe.llm.common import saved, small_enough
 
 #: Weights of the sources in the order of their names, over and over.
 WEIGHTS = (5, 2, 1)
@@ -31,6 +31,8 @@ BUDGET = 1.5
 MAX_REPEATS = 2
 SHARDS = 64
 SEED = 11
+#: The plan, a row a source, is broadcast up to so many.
+BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -82,13 +84,13 @@ def plan(measures: DataFrame) -> DataFrame:
         .withColumn("buckets", F.ceil(F.sqrt("n")))
     )
     same = measures["__source"].eqNullSafe(per["__source"])
-    dealt = measures.join(F.broadcast(per.select("__source", "buckets")), same).select(measures["__source"], "__size", "__hash", _bucket(F.col("buckets")).alias("block"))
+    dealt = measures.join(small_enough(per.select("__source", "buckets"), BROADCAST_ROWS), same).select(measures["__source"], "__size", "__hash", _bucket(F.col("buckets")).alias("block"))
     blocks = dealt.groupBy("__source", "block").agg(F.sum("__size").alias("words"))
     # the block in which the rest ends
     ends = F.sum("words").over(W.partitionBy("__source").orderBy("block"))
     edge = blocks.withColumn("before", ends - F.col("words")).alias("b").join(per.alias("p"), F.col("b.__source").eqNullSafe(F.col("p.__source")))
     edge = edge.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("p.__source", "block", (F.col("rest") - F.col("before")).alias("left"))
-    inside = dealt.alias("d").join(F.broadcast(edge).alias("e"), F.col("d.__source").eqNullSafe(F.col("e.__source")) & (F.col("d.block") == F.col("e.block"))).select("e.__source", "e.block", "left", "__size", "__hash")
+    inside = dealt.alias("d").join(small_enough(edge, BROADCAST_ROWS).alias("e"), F.col("d.__source").eqNullSafe(F.col("e.__source")) & (F.col("d.block") == F.col("e.block"))).select("e.__source", "e.block", "left", "__size", "__hash")
     upto = F.sum("__size").over(W.partitionBy("__source").orderBy("__hash"))
     last = inside.withColumn("upto", upto).filter(F.col("upto") - F.col("__size") / 2 <= F.col("left")).groupBy("__source").agg(F.max("__hash").alias("edge_hash"))
     edge = edge.alias("e").join(last.alias("l"), F.col("e.__source").eqNullSafe(F.col("l.__source")), "left").select("e.__source", F.col("block").alias("edge_block"), "edge_hash")
@@ -98,9 +100,9 @@ def plan(measures: DataFrame) -> DataFrame:
 def with_copies(rows: DataFrame, per: DataFrame) -> DataFrame:
     """rows (with __source, __hash) and the columns of the plan, the row's block and how often it is taken.
 
-    The plan has a row a source and goes to all tasks; a source that takes no block more has passes alone.
+    A source that takes no block more has passes alone.
     """
-    p = F.broadcast(per.withColumnRenamed("__source", "__of"))
+    p = small_enough(per.withColumnRenamed("__source", "__of"), BROADCAST_ROWS)
     out = rows.join(p, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("block", _bucket(F.col("buckets")))
     more = (F.col("block") < F.col("edge_block")) | ((F.col("block") == F.col("edge_block")) & (F.col("__hash") <= F.col("edge_hash")))
     return out.withColumn("copies", (F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")).cast("long"))
