@@ -312,7 +312,7 @@ def scene_segments(spark, sf_dir):
 @query("temporal_fold", """WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT user_id, event_id, k, value AS estimate, true AS reset FROM o WHERE k = 1
 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN abs(o.value - f.estimate) > 100 THEN o.value ELSE f.estimate + 0.3::DOUBLE * (o.value - f.estimate) END, abs(o.value - f.estimate) > 100 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
-SELECT user_id, event_id, round(estimate, 6) AS estimate, reset FROM f""")
+SELECT user_id, event_id, round(estimate + 1e-9::DOUBLE, 6) AS estimate, reset FROM f""")
 def temporal_fold(spark, sf_dir):
     out = temporal.smoothed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 100.0, 0.3)
-    return out.select("user_id", "event_id", r("estimate").alias("estimate"), "reset")
+    return out.select("user_id", "event_id", r(F.col("estimate") + 1e-9).alias("estimate"), "reset")

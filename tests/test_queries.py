@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from levelframe.plans import registry
@@ -22,7 +23,7 @@ def con():
 
 def plain(df):
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if hasattr(v, "item"):
             return one(v.item())
