@@ -39,6 +39,8 @@ BANDS, ROWS = 50, 4
 #: differ in 96, give or take 14.
 SKETCHED, APART = 192, 172
 HOT = 2000
+#: Bits of the filter of wanted texts; a constant of the plan, made for each set of pairs.
+TEXT_BITS = 1 << 17
 CIRCLE = 1 << 20
 SEED = 7
 #: Rounds of labels at most; each at least halves the length of a chain of links.
@@ -171,7 +173,7 @@ class NearDuplicates:
     def sets_of(self, cids: DataFrame) -> DataFrame:
         """(cid, set) from the texts: a fixed-size bit filter drops most other texts before the shuffle."""
         wanted = saved(self.classes.join(cids, "cid").select("cid", "__x", "__c"))
-        texts = self.docs.filter(in_filter(bit_filter(wanted, "__x"), F.col("__x"))).join(wanted, ["__x", "__c"])
+        texts = self.docs.filter(in_filter(bit_filter(wanted, "__x", TEXT_BITS), F.col("__x"), TEXT_BITS)).join(wanted, ["__x", "__c"])
         return saved(texts.groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(_sets, "cid long, set binary"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
