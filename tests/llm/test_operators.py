@@ -145,6 +145,23 @@ def test_near_duplicates_of_a_chain(spark):
     assert {r.component_id for r in near_dedup.components(df).collect()} == {0}
 
 
+def test_labels_settle_on_shuffled_chains(spark):
+    rng = np.random.default_rng(9)
+    paths = [[0, *range(49, 0, -1)], [int(x) for x in 1000 + rng.permutation(600)]]
+    edges = [(a, b) for p in paths for a, b in zip(p, p[1:])]
+    got = {r.v: r.label for r in near_dedup.labelled(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: min(p) for p in paths for v in p}
+
+
+def test_near_duplicates_of_a_long_shuffled_chain(spark):
+    # rolling revisions in random order: each text is linked with its next ones only
+    w = [f"v{k}" for k in range(4 * 500 + 60)]
+    order = [int(k) for k in np.random.default_rng(10).permutation(500)]
+    df = spark.createDataFrame([(k, " ".join(w[4 * at : 4 * at + 50]), "en", "s", 1) for k, at in enumerate(order)], SCHEMA)
+    got = near_dedup.components(df).collect()
+    assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
 def luhn(d):
     return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
