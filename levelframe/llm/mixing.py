@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from levelframe.llm.common import saved, small_enough
+from levelframe.llm.common import numbered, saved, small_enough
 
 #: Weights of the sources in the order of their names, over and over.
 WEIGHTS = (5, 2, 1)
@@ -114,15 +114,17 @@ def shard_quotas(draws: DataFrame, shards: int = SHARDS) -> DataFrame:
     nodes = draws.select("__source", "block", "pass", F.lit(0).alias("node"))
     width = 1 << depth
     for level in range(depth):
-        node = W.partitionBy("node")
-        rank = F.row_number().over(node.orderBy(_hash(F.lit(level), "__source", "block", "pass")))
+        # ranks without gathering a node's draws in one task: near the root a node has those of all sources
+        nodes = saved(nodes)
+        totals = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
+        ranked = numbered(nodes, ["node"], _hash(F.lit(level), "__source", "block", "pass"), "rank").join(F.broadcast(totals), "node")
         # leaves beyond the shards get nothing: split by the number of real shards on either side
         half = width >> (level + 1)
         first = F.col("node") * (2 * half)
         left = F.least(F.lit(shards), first + half) - first
         right = F.greatest(F.lit(0), F.least(F.lit(shards), first + 2 * half) - first - half)
-        goes_left = rank <= F.round(F.count(F.lit(1)).over(node) * left / (left + right))
-        nodes = nodes.withColumn("node", F.col("node") * 2 + F.when(goes_left, 0).otherwise(1))
+        goes_left = F.col("rank") < F.round(F.col("total") * left / (left + right))
+        nodes = ranked.select("__source", "block", "pass", (F.col("node") * 2 + F.when(goes_left, 0).otherwise(1)).alias("node"))
     return nodes.groupBy("__source", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -137,43 +139,52 @@ def dealt_draws(measures: DataFrame, per: DataFrame, shards: int = SHARDS) -> Da
     return ranked.join(quotas, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))).select("__source", "block", "pass", "shard")
 
 
+def _dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """(__row, mix_pass, mix_shard, mix_key): each document as often as its block's draws take it."""
+    slim = saved(measured(docs, []))
+    per = plan(slim)
+    deals = saved(dealt_draws(slim, per, shards)).withColumnRenamed("block", "__block").withColumnRenamed("__source", "__of")
+    rows = with_copies(measured(docs, [F.struct(*docs.columns).alias("__row")]), per).filter("copies > 0")
+    rows = rows.select("__row", "__source", "__hash", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_pass"))
+    same = F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")) & (F.col("mix_pass") == F.col("pass"))
+    rows = rows.join(small_enough(deals, BROADCAST_ROWS), same)
+    return rows.select("__row", "mix_pass", F.col("shard").alias("mix_shard"), _hash(F.lit("order"), "__hash", "mix_pass").alias("mix_key"))
+
+
 def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix: each document as often as it is taken, with its output shard and a key to order the shard by.
 
     Columns: those of docs, then mix_pass, mix_shard, mix_key.
     """
-    names = docs.columns
-    slim = saved(measured(docs, []))
-    per = plan(slim)
-    deals = saved(dealt_draws(slim, per, shards)).withColumnRenamed("block", "__block").withColumnRenamed("__source", "__of")
-    rows = with_copies(measured(docs, [F.struct(*names).alias("__row")]), per).filter("copies > 0")
-    rows = rows.select("__row", "__source", "__hash", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_pass"))
-    rows = rows.join(deals, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")) & (F.col("mix_pass") == F.col("pass")))
-    return rows.select("__row.*", "mix_pass", F.col("shard").alias("mix_shard"), _hash(F.lit("order"), "__hash", "mix_pass").alias("mix_key"))
+    return _dealt(docs, shards).select("__row.*", "mix_pass", "mix_shard", "mix_key")
 
 
-def mix_of(docs: DataFrame) -> DataFrame:
-    """The rows of the mix with the columns of docs alone: documents that are taken twice come twice."""
-    names = docs.columns
-    per = plan(saved(measured(docs, [])))
-    rows = with_copies(measured(docs, [F.struct(*names).alias("__row")]), per).filter("copies > 0")
-    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_pass")).select("__row.*")
+def mix_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of the mix with the columns of docs alone, shard by shard in the order of their keys: documents that
+    are taken twice come twice."""
+    return _dealt(docs, shards).orderBy("mix_shard", "mix_key").select("__row.*")
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """How many words of each document the mix takes, with its source's size and target."""
+def reported(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """How many words of each document the dealt draws take, with its source's size and target, and the shard of each
+    pass."""
     measures = saved(measured(docs, ["doc_id"]))
-    rows = with_copies(measures, plan(measures))
-    return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
+    per = plan(measures)
+    deals = dealt_draws(measures, per, shards).groupBy("__source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    deals = saved(deals).withColumnRenamed("block", "__block").withColumnRenamed("__source", "__of")
+    rows = with_copies(measures, per)
+    rows = rows.join(small_enough(deals, BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")), "left")
+    own = F.transform(F.filter("draws", lambda d: d["pass"] <= F.col("copies")), lambda d: d["shard"])
+    rows = rows.withColumn("shards", F.coalesce(own, F.array().cast("array<int>")))
+    return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.size("shards") * F.col("__size")).alias("taken"), "shards")
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """reported() without the shards."""
+    return reported(docs).drop("shards")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     from levelframe.session import table
 
-    docs = table(spark, sf_dir, "documents")
-    measures = saved(measured(docs, ["doc_id"]))
-    per = plan(measures)
-    deals = saved(dealt_draws(measures, per)).groupBy("__source", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards")).withColumnRenamed("block", "__block").withColumnRenamed("__source", "__of")
-    rows = with_copies(measures, per)
-    rows = rows.join(deals, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")), "left")
-    return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"), F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, F.col("copies").cast("int")).alias("shards"))
+    return reported(table(spark, sf_dir, "documents"))

@@ -290,6 +290,20 @@ def test_mixing_targets_and_limits(spark):
     assert {r.doc_id: r["count"] * sizes[r.doc_id] for r in out if sizes[r.doc_id]} == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_mixing_takes_its_rows_from_the_dealt_draws(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    data = [(k, " ".join(words(rng, int(rng.integers(1, 30)))), "en", [None, "a", "b", "c"][min(3, k % 7)], 1) for k in range(700)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(mixing.mixed(df).collect(), key=lambda r: (r.mix_shard, r.mix_key))
+    assert [r.doc_id for r in mixing.mix_of(df).collect()] == [r.doc_id for r in rows]
+    shards = {d[0]: [] for d in data}
+    for r in sorted(rows, key=lambda r: r.mix_pass):
+        shards[r.doc_id].append(r.mix_shard)
+    got = {r.doc_id: r for r in mixing.op10_mixing(spark, str(tmp_path)).collect()}
+    assert {k: got[k].shards for k in got} == shards and all(r.taken == len(r.shards) * r["size"] for r in got.values())
+
+
 def test_scores_against_brute_force(docs, rows):
     token = {i: [*BLANK.findall((t or "").lower()), "\0"] for i, t, *_ in rows}
     c = Counter(w for i, ws in token.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
