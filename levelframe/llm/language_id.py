@@ -4,12 +4,11 @@ Letters are lower-cased, everything else becomes a blank; the n-grams of one to
 FEATURES places. A text's value at a place is its share of the text's n-grams times the place's inverse document
 frequency, which is counted over all training documents. The weights are trained with follow-the-regularised-leader
 and an elastic-net penalty on at most SAMPLE labelled documents (at most SAMPLE_PER_LANG of a language, the first by
-hash): that sample is the only bound, and its features come to the driver as sparse counts. A temperature is fitted
+hash; LEAST_PER_LANG of each where that makes more): that sample is the only bound. Every language is learned, and its features come to the driver as sparse counts. A temperature is fitted
 on the part of the sample that was kept out of training. Predictions run over whole texts inside tasks.
 
 Nulls and edge cases: a null text, or one without a letter, is und with score 0; without training rows every text is;
-rows without doc_id are never training rows; beyond MAX_LANGS the rarer languages are not learned; repeated rows each
-get their row; other columns are kept by accepted() and ignored by predicted().
+rows without doc_id are never training rows; repeated rows each get their row; other columns are kept by accepted() and ignored by predicted().
 """
 
 from __future__ import annotations
@@ -21,10 +20,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelframe.llm.arena import chunks
+from levelframe.llm.common import small_enough
 
 FEATURES = 1 << 15
 ORDERS = 3
-SAMPLE, SAMPLE_PER_LANG, MAX_LANGS = 2000, 400, 64
+SAMPLE, SAMPLE_PER_LANG, LEAST_PER_LANG = 2000, 400, 20
+#: Languages whose weights are gathered at once.
+LANGS_AT_ONCE = 64
+#: The sample's keys are broadcast up to so many.
+BROADCAST_ROWS = 100_000
 #: Follow the regularised leader: step, its start, the penalties, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.05, 6
 #: Shares are small numbers: they are multiplied by this.
@@ -94,8 +98,11 @@ def _counts(batches):
 
 def train(rows: list, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights by place and language with a last row for the bias, temperature) from (lang, h, at, n) rows."""
-    z = np.zeros((FEATURES + 1, len(langs)))
+    # rows for the places that the sample has; all other weights stay zero
+    used = np.unique(np.concatenate([np.asarray(r["at"], np.int64) for r in rows] + [np.array([FEATURES])]))
+    z = np.zeros((len(used), len(langs)))
     n = np.zeros_like(z)
+    number = {lang: j for j, lang in enumerate(langs)}
 
     def weights(at):
         za, na = z[at], n[at]
@@ -103,13 +110,13 @@ def train(rows: list, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, fl
 
     def values(r):
         at, c = np.asarray(r["at"], np.int64), np.asarray(r["n"], float)
-        return np.append(at, FEATURES), np.append(SCALE * c / max(c.sum(), 1.0) * idf[at], 1.0)
+        return np.searchsorted(used, np.append(at, FEATURES)), np.append(SCALE * c / max(c.sum(), 1.0) * idf[at], 1.0)
 
     def shares(logits):
         e = np.exp(logits - logits.max())
         return e / e.sum()
 
-    rows = [(values(r), langs.index(r["lang"]), r["h"] % 5 == 0) for r in sorted(rows, key=lambda r: r["h"])]
+    rows = [(values(r), number[r["lang"]], r["h"] % 5 == 0) for r in sorted(rows, key=lambda r: r["h"])]
     for _ in range(PASSES):
         for (at, x), y, kept_out in rows:
             if kept_out:
@@ -121,17 +128,20 @@ def train(rows: list, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, fl
             s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - s * w
             n[at] += g * g
-    w = weights(np.arange(FEATURES + 1))
+    w = weights(np.arange(len(used)))
     tests = [(x @ w[at], y) for (at, x), y, kept_out in rows if kept_out]
     loss = lambda t: -sum(np.log(max(shares(u / t)[y], 1e-12)) for u, y in tests)
-    return w, min(np.geomspace(0.1, 10, 61), key=lambda t: (loss(t), t)) if tests else 1.0
+    whole = np.zeros((FEATURES + 1, len(langs)), np.float32 if len(langs) > LANGS_AT_ONCE else np.float64)
+    whole[used] = w
+    return whole, min(np.geomspace(0.1, 10, 61), key=lambda t: (loss(t), t)) if tests else 1.0
 
 
 class Model:
     """What a task needs to predict: weights times inverse document frequencies, bias, temperature, names."""
 
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float):
-        self.langs, self.table, self.bias, self.temperature = langs, table, bias, temperature
+        self.langs, self.bias, self.temperature = langs, bias, temperature
+        self.tables = [np.ascontiguousarray(table[:, j : j + LANGS_AT_ONCE]) for j in range(0, len(langs), LANGS_AT_ONCE)]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -142,7 +152,9 @@ class Model:
             sums, total = np.zeros((len(own) - 1, len(self.langs))), np.zeros(len(own) - 1)
             for f in found:
                 if len(full):
-                    sums[full] += np.add.reduceat(self.table[f], own[:-1][full], axis=0, dtype=np.float64)
+                    for k, table in enumerate(self.tables):
+                        at = k * LANGS_AT_ONCE
+                        sums[full, at : at + table.shape[1]] += np.add.reduceat(table[f], own[:-1][full], axis=0, dtype=np.float64)
                     total[full] += np.add.reduceat(f < FEATURES, own[:-1][full], dtype=np.int64)
             logits = (SCALE * sums / np.maximum(total, 1)[:, None] + self.bias) / self.temperature
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -160,16 +172,16 @@ class Model:
 def fitted(docs: DataFrame) -> Model | None:
     """Train on the documents with text and lang that are not held out; None without any."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not counts:
         return None
     langs, rows = sorted(r["lang"] for r in counts), sum(r["n"] for r in counts)
-    per_lang = max(20, min(SAMPLE_PER_LANG, SAMPLE // len(langs)))
+    per_lang = max(LEAST_PER_LANG, min(SAMPLE_PER_LANG, SAMPLE // len(langs)))
     h = F.xxhash64(F.lit("language sample"), "doc_id", F.crc32("text"))
-    keyed = own.filter(F.col("lang").isin(langs)).select("lang", "doc_id", h.alias("h"))
+    keyed = own.select("lang", "doc_id", h.alias("h"))
     chosen = keyed.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= per_lang).select("lang", "doc_id", "h").distinct()
-    # at most SAMPLE small rows: broadcast, so that only their texts move
-    texts = own.select("lang", "doc_id", "text", h.alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"]).select("lang", "h", "text")
+    # few small rows: broadcast, so that only their texts move
+    texts = own.select("lang", "doc_id", "text", h.alias("h")).join(small_enough(chosen, BROADCAST_ROWS), ["lang", "doc_id", "h"]).select("lang", "h", "text")
     sample = texts.mapInArrow(_counts, "lang string, h long, at array<int>, n array<int>").collect()
     frequencies = own.select("text").mapInArrow(_document_frequencies, "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()  # FEATURES rows
     df = np.zeros(FEATURES)

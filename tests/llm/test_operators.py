@@ -214,6 +214,16 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and {got[k].lang_pred for k in (900, 901, 902)} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    # more languages than weights that are gathered at once, each with letters of its own
+    rng = np.random.default_rng(11)
+    parts = {f"l{k:02}": [chr(0x4E00 + 8 * k + j) for j in range(8)] for k in range(70)}
+    data = [(k, " ".join("".join(rng.choice(p, 3)) for _ in range(20)), lang, "s", 1) for k, (lang, p) in enumerate(list(parts.items()) * 12)]
+    got = {r.doc_id: r for r in language_id.predicted(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert {r.lang_pred for r in got.values()} == set(parts)
+    assert np.mean([got[k].lang_pred == lang for k, _, lang, *_ in data]) > 0.95
+
+
 def test_decontamination_against_brute_force(spark, docs, rows):
     alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     items = [(1, " ".join(rows[3][1].split()[2:20]) if len(rows[3][1].split()) > 20 else rows[3][1]), (22, "one TWO!"), (3, rows[61][1]), (4, None), (5, "..."), (6, rows[87][1][:300])]
