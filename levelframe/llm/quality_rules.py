@@ -1,8 +1,8 @@
 """Quality rules whose limits come from the corpus, by language and source.
 
 Each document gets counts (words, symbols, repeated lines, repeated word triples). For every language and source a
-mergeable quantile sketch is built of each ratio; the fences of a ratio follow from its median and upper quartile in
-that group, and a join brings them back to the documents. A sketch has a fixed size and merges on the map side, so
+mergeable quantile sketch is built of each ratio; the fences of a ratio follow from its median and lower quartile in
+that group, which junk does not raise while it is less than half of the group, and a join brings them back to the documents. A sketch has a fixed size and merges on the map side, so
 that a source with a third of all rows costs its tasks no more than any other.
 
 Nulls and edge cases: a null text has no words and fails the base rules; an empty text likewise; a null language or
@@ -19,9 +19,11 @@ from levelframe.llm.common import let, saved, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A ratio is too high above median + SPREAD * (upper quartile - median) + MARGIN of its group.
+#: A ratio is too high above median + SPREAD * (median - lower quartile) + MARGIN of its group, at most above CEILING.
 SPREAD = 8.0
 MARGINS = {"symbol_ratio": 0.20, "dup_line_ratio": 0.25, "repeat_ratio": 0.25, "long_word": 4.0}
+#: No fence of a ratio that cannot exceed 1 lies above.
+CEILING = {"symbol_ratio": 0.9, "dup_line_ratio": 0.9, "repeat_ratio": 0.9}
 #: Smaller groups are judged by the whole corpus.
 MIN_GROUP = 100
 #: Size parameter of the sketches: rank errors below one percent.
@@ -96,8 +98,9 @@ def fences(measures: DataFrame) -> DataFrame:
         # one row of fixed size comes to the driver: the merged sketches
         whole = F.lit(bytes(merged[r])) if merged[r] is not None else F.col(r)
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(r)).otherwise(whole)
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.5), F.lit(0.75)))
-        out[f"max_{r}"] = q[0] + SPREAD * (q[1] - q[0]) + margin
+        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5)))
+        fence = q[1] + SPREAD * (q[1] - q[0]) + margin
+        out[f"max_{r}"] = F.least(fence, F.lit(CEILING[r])) if r in CEILING else fence
     return sketches.select("__lang", "__source", *(c.alias(k) for k, c in out.items()))
 
 

@@ -273,6 +273,14 @@ def test_quality_keeps_plain_and_drops_odd_documents(spark):
     assert all(got[k] for k in range(150)) and not got[500]
 
 
+def test_quality_drops_junk_that_is_a_third_of_its_group(spark):
+    rng = np.random.default_rng(12)
+    lines = lambda n: "\n".join(" ".join(words(rng, 8, 5000)) for _ in range(n))
+    rows = [(k, lines(10) + ("\nmore" * 12 if k % 10 < 3 else "\nend"), "en", "s", 1) for k in range(300)]
+    got = quality_rules.judged(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == {k for k in range(300) if k % 10 >= 3}
+
+
 def test_mixing_targets_and_limits(spark):
     rng = np.random.default_rng(6)
     data = [(k, " ".join(words(rng, int(rng.integers(1, 30)))), "en", [None, "a", "b", "c"][min(3, k % 7)], 1) for k in range(700)] + [(800, None, "en", "a", None)]
