@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: space and the controls from tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]"
+#: What may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -105,29 +107,41 @@ def window_hashes(words: Column, sizes: Sequence[int], body: Callable[[dict[int,
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: doubled({1: h}, powers[1:]))
 
 
-#: Bits of a prefilter: a fixed size, so that it can be a constant of the plan. When the listed keys are so many
-#: that the bits fill up, the prefilter passes more and the exact join behind it does the work.
-FILTER_BITS = 1 << 19
+#: Bits of a prefilter for each listed key, and its least and largest size. Beyond the largest the prefilter passes
+#: more, and the exact join behind it does the work.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 12, 1 << 22
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Column:
-    """A constant array of longs with one bit set for each 64-bit key: at most bits/64 rows reach the driver."""
-    slot = F.pmod(F.col(column), F.lit(bits))
-    rows = (
-        keys.select(F.shiftright(slot, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-        .groupBy("at")
-        .agg(F.bit_or("bit").alias("word"))
-        .collect()
-    )
-    found = {r["at"]: r["word"] for r in rows}
-    low = -(1 << 63)
-    return F.expr("array(" + ",".join("(-9223372036854775807L - 1L)" if (w := found.get(k, 0)) == low else f"{w}L" for k in range(bits // 64)) + ")")
+class BitFilter:
+    """Two bits for each listed 64-bit key, as one array of longs.
 
+    It is a scalar subquery, so that no plan holds its words; constant: at most MOST_BITS / 64 words come to the driver
+    and are a constant of the plan, as lambdas allow no subqueries. keys should be a saved table: it is read twice.
+    """
 
-def in_filter(bits_array: Column, key: Column, bits: int = FILTER_BITS) -> Column:
-    """False: the 64-bit key is not listed. True: it may be."""
-    slot = F.pmod(key, F.lit(bits))
-    return F.getbit(bits_array[F.shiftright(slot, 6).cast("int")], F.pmod(slot, F.lit(64)).cast("int")) == 1
+    def __init__(self, keys: DataFrame, column: str, constant: bool = False):
+        listed = max(1, keys.select(F.approx_count_distinct(column)).first()[0])
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (listed * BITS_A_KEY - 1).bit_length()))
+        slots = keys.select(F.explode(F.array(*self._slots(F.col(column)))).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+        words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("word"))
+        if constant:
+            found = {r["at"]: r["word"] for r in words.collect()}
+            low = -(1 << 63)
+            self.words = F.expr("array(" + ",".join("(-9223372036854775807L - 1L)" if (w := found.get(k, 0)) == low else f"{w}L" for k in range(self.bits // 64)) + ")")
+            return
+        every = keys.sparkSession.range(self.bits // 64).select(F.col("id").cast("int").alias("at")).join(words, "at", "left")
+        ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0)).alias("word"))))
+        # a row for each of the words, at most MOST_BITS / 64, meets in one task
+        self.words = saved(every.agg(F.transform(ordered, lambda x: x["word"]).alias("words"))).scalar()
+
+    def _slots(self, key: Column) -> tuple[Column, Column]:
+        return F.pmod(key, F.lit(self.bits)), F.pmod(F.shiftrightunsigned(key, 32), F.lit(self.bits))
+
+    def may_hold(self, key: Column) -> Column:
+        """False: the key is not listed. True: it may be."""
+        one, two = (F.getbit(self.words[F.shiftright(slot, 6).cast("int")], F.pmod(slot, F.lit(64)).cast("int")) == 1 for slot in self._slots(key))
+        return one & two
 
 
 def prefix_sums(values: Column) -> Column:
@@ -150,9 +164,20 @@ def prefix_sums(values: Column) -> Column:
     return let(values, chunked)
 
 
-def small_enough(df: DataFrame, limit: int) -> DataFrame:
-    """df, to be broadcast if it has at most limit rows; else the join is left to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes the rows of df take: strings and arrays as they are, anything else as one word."""
+    total = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        total = total + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 24 if kind == "array" else F.lit(8), F.lit(0))
+    return df.select(F.sum(total)).first()[0] or 0
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows take at most limit bytes; else the join is left to Spark. df is computed twice:
+    it should be a saved table or little more."""
+    return F.broadcast(df) if bytes_of(df) <= limit else df
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Column, name: str = "position") -> DataFrame:

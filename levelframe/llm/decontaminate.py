@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelframe.llm.common import ascii_lower, bit_filter, in_filter, let, saved, small_enough, upto, window_hashes, words_of
+from levelframe.llm.common import BitFilter, ascii_lower, let, saved, small_enough, upto, window_hashes, words_of
 
 NGRAM = 10
 #: Words are what lies between these: ASCII characters that are neither letters nor digits.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The set of windows is broadcast up to this many rows (about 100 bytes each).
-BROADCAST_ROWS = 400_000
 WINDOW = "struct<pos:int,len:int,gram:string>"
 
 
@@ -65,13 +63,13 @@ def hit_rows(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFram
     rows = docs.select(F.monotonically_increasing_id().alias("__rid"), *keep, normalised(F.col("text")).alias("__words"))
     if sizes:
         grams = saved(with_hash(grams, sizes).select("item_id", "len", "gram", "hash"))
-        bits = bit_filter(grams, "hash")
+        listed_hashes = BitFilter(grams, "hash", constant=True)
 
         def found(words: Column) -> Column:
-            return window_hashes(words, sizes, lambda hashes: windows(words, hashes, lambda h: in_filter(bits, h)))
+            return window_hashes(words, sizes, lambda hashes: windows(words, hashes, listed_hashes.may_hold))
 
         candidates = let(F.col("__words"), found)
-        listed = small_enough(grams.select("item_id", F.col("len").alias("__len"), F.col("gram").alias("__gram")), BROADCAST_ROWS)
+        listed = small_enough(grams.select("item_id", F.col("len").alias("__len"), F.col("gram").alias("__gram")))
     else:
         candidates = F.array().cast(f"array<{WINDOW}>")
         listed = None

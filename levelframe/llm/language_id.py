@@ -27,8 +27,6 @@ ORDERS = 3
 SAMPLE, SAMPLE_PER_LANG, LEAST_PER_LANG = 2000, 400, 20
 #: Languages whose weights are gathered at once.
 LANGS_AT_ONCE = 64
-#: The sample's keys are broadcast up to so many.
-BROADCAST_ROWS = 100_000
 #: Follow the regularised leader: step, its start, the penalties, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.05, 6
 #: Shares are small numbers: they are multiplied by this.
@@ -181,7 +179,7 @@ def fitted(docs: DataFrame) -> Model | None:
     keyed = own.select("lang", "doc_id", h.alias("h"))
     chosen = keyed.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= per_lang).select("lang", "doc_id", "h").distinct()
     # few small rows: broadcast, so that only their texts move
-    texts = own.select("lang", "doc_id", "text", h.alias("h")).join(small_enough(chosen, BROADCAST_ROWS), ["lang", "doc_id", "h"]).select("lang", "h", "text")
+    texts = own.select("lang", "doc_id", "text", h.alias("h")).join(small_enough(chosen), ["lang", "doc_id", "h"]).select("lang", "h", "text")
     sample = texts.mapInArrow(_counts, "lang string, h long, at array<int>, n array<int>").collect()
     frequencies = own.select("text").mapInArrow(_document_frequencies, "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()  # FEATURES rows
     df = np.zeros(FEATURES)

@@ -31,8 +31,6 @@ BUDGET = 1.5
 MAX_REPEATS = 2
 SHARDS = 64
 SEED = 11
-#: The plan, a row a source, is broadcast up to so many.
-BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -84,13 +82,13 @@ def plan(measures: DataFrame) -> DataFrame:
         .withColumn("buckets", F.ceil(F.sqrt("n")))
     )
     same = measures["__source"].eqNullSafe(per["__source"])
-    dealt = measures.join(small_enough(per.select("__source", "buckets"), BROADCAST_ROWS), same).select(measures["__source"], "__size", "__hash", _bucket(F.col("buckets")).alias("block"))
+    dealt = measures.join(small_enough(per.select("__source", "buckets")), same).select(measures["__source"], "__size", "__hash", _bucket(F.col("buckets")).alias("block"))
     blocks = dealt.groupBy("__source", "block").agg(F.sum("__size").alias("words"))
     # the block in which the rest ends
     ends = F.sum("words").over(W.partitionBy("__source").orderBy("block"))
     edge = blocks.withColumn("before", ends - F.col("words")).alias("b").join(per.alias("p"), F.col("b.__source").eqNullSafe(F.col("p.__source")))
     edge = edge.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("p.__source", "block", (F.col("rest") - F.col("before")).alias("left"))
-    inside = dealt.alias("d").join(small_enough(edge, BROADCAST_ROWS).alias("e"), F.col("d.__source").eqNullSafe(F.col("e.__source")) & (F.col("d.block") == F.col("e.block"))).select("e.__source", "e.block", "left", "__size", "__hash")
+    inside = dealt.alias("d").join(small_enough(edge).alias("e"), F.col("d.__source").eqNullSafe(F.col("e.__source")) & (F.col("d.block") == F.col("e.block"))).select("e.__source", "e.block", "left", "__size", "__hash")
     upto = F.sum("__size").over(W.partitionBy("__source").orderBy("__hash"))
     last = inside.withColumn("upto", upto).filter(F.col("upto") - F.col("__size") / 2 <= F.col("left")).groupBy("__source").agg(F.max("__hash").alias("edge_hash"))
     edge = edge.alias("e").join(last.alias("l"), F.col("e.__source").eqNullSafe(F.col("l.__source")), "left").select("e.__source", F.col("block").alias("edge_block"), "edge_hash")
@@ -102,7 +100,7 @@ def with_copies(rows: DataFrame, per: DataFrame) -> DataFrame:
 
     A source that takes no block more has passes alone.
     """
-    p = small_enough(per.withColumnRenamed("__source", "__of"), BROADCAST_ROWS)
+    p = small_enough(per.withColumnRenamed("__source", "__of"))
     out = rows.join(p, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("block", _bucket(F.col("buckets")))
     more = (F.col("block") < F.col("edge_block")) | ((F.col("block") == F.col("edge_block")) & (F.col("__hash") <= F.col("edge_hash")))
     return out.withColumn("copies", (F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")).cast("long"))
@@ -147,7 +145,7 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
     rows = with_copies(measured(docs, [F.struct(*docs.columns).alias("__row")]), per).filter("copies > 0")
     rows = rows.select("__row", "__source", "__hash", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_pass"))
     same = F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")) & (F.col("mix_pass") == F.col("pass"))
-    rows = rows.join(small_enough(deals, BROADCAST_ROWS), same)
+    rows = rows.join(small_enough(deals), same)
     return rows.select("__row", "mix_pass", F.col("shard").alias("mix_shard"), _hash(F.lit("order"), "__hash", "mix_pass").alias("mix_key"))
 
 
@@ -173,7 +171,7 @@ def reported(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     deals = dealt_draws(measures, per, shards).groupBy("__source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     deals = saved(deals).withColumnRenamed("block", "__block").withColumnRenamed("__source", "__of")
     rows = with_copies(measures, per)
-    rows = rows.join(small_enough(deals, BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")), "left")
+    rows = rows.join(small_enough(deals), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("block") == F.col("__block")), "left")
     own = F.transform(F.filter("draws", lambda d: d["pass"] <= F.col("copies")), lambda d: d["shard"])
     rows = rows.withColumn("shards", F.coalesce(own, F.array().cast("array<int>")))
     return rows.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.size("shards") * F.col("__size")).alias("taken"), "shards")

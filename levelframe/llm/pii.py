@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelframe.llm.common import ascii_lower, bit_filter, in_filter, let, prefix_sums, saved, small_enough, upto, words_of
+from levelframe.llm.common import BitFilter, ascii_lower, let, prefix_sums, saved, small_enough, upto, words_of
 
 #: Fixed patterns. The look-behinds and possessive repeats leave the matches as they are and keep long texts linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,7 +34,6 @@ GENERALISE, REMOVE = 0.5, 0.8
 #: Letters in a term.
 MIN_TERM = 4
 NOT_LETTER = r"[^\p{L}]"
-BROADCAST_ROWS = 200_000
 SPAN = "struct<start:int,kind:int,end:int,value:string,terms:array<string>>"
 
 
@@ -123,7 +122,7 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, Dat
     support = saved(support.join(entities, "entity").withColumn("hash", F.xxhash64("term")))
     if support.isEmpty():
         return None
-    bits = bit_filter(support, "hash")
+    listed = BitFilter(support, "hash", constant=True)
     candidates = support.select(F.col("term").alias("__term")).distinct()
 
     def located(tokens: Column) -> Column:
@@ -133,10 +132,10 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, Dat
                 let(prefix_sums(lengths), lambda ends: F.transform(at, lambda i: F.struct(tokens[i].alias("term"), (ends[i] - 1 - F.length(tokens[i])).alias("start"))))
             )
 
-        return let(F.filter(upto(F.size(tokens)), lambda i: (F.length(tokens[i]) >= MIN_TERM) & in_filter(bits, F.xxhash64(tokens[i]))), placed)
+        return let(F.filter(upto(F.size(tokens)), lambda i: (F.length(tokens[i]) >= MIN_TERM) & listed.may_hold(F.xxhash64(tokens[i]))), placed)
 
     seen = texts.select(*KEY, F.explode(let(F.split(ascii_lower(F.col("__t")), NOT_LETTER, -1), located)).alias("o")).select(*KEY, "o.term", "o.start")
-    seen = seen.join(small_enough(candidates, BROADCAST_ROWS), F.col("term") == F.col("__term"), "left_semi")
+    seen = seen.join(small_enough(candidates), F.col("term") == F.col("__term"), "left_semi")
     occurrences = saved(seen.groupBy(*KEY, "term").agg(F.collect_set("start").alias("starts")))
     total = spans.select(F.approx_count_distinct("__x").alias("n")).first()["n"]
     per_term = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelframe.llm.arena import Prefix, chunks, mix
-from levelframe.llm.common import bit_filter, in_filter, saved, written
+from levelframe.llm.common import BitFilter, saved, written
 
 LENGTH = 200
 ANCHOR = 40
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = segments.join(several, "h").select("h", "g", "shape", "segments", "rep.*")
     wanted = saved(asked.groupBy("x", "c").agg(F.collect_list(F.struct("h", "g", "shape", F.col("first").cast("int").alias("first"))).alias("asked")))
     # one copy of each text that is needed; a fixed-size bit filter drops most others before the shuffle
-    near = texts.filter(in_filter(bit_filter(wanted, "x"), F.col("x"))).join(wanted.select("x", "c"), ["x", "c"], "left_semi").groupBy("x", "c").agg(F.first("text").alias("text"))
+    near = texts.filter(BitFilter(wanted, "x").may_hold(F.col("x"))).join(wanted.select("x", "c"), ["x", "c"], "left_semi").groupBy("x", "c").agg(F.first("text").alias("text"))
     bytes_of = written(near.join(wanted, ["x", "c"]).select("text", "asked").mapInArrow(_segments, SEGMENT))
     bytes_of = bytes_of.join(several, "h")
     size = bytes_of.filter(F.col("segments") <= HOT).agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0)).alias("n")).first()["n"]
@@ -282,7 +282,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with their spans; a fixed-size bit filter keeps most texts without any out of the shuffle."""
     spans = written(spans)
-    may = in_filter(bit_filter(spans, "x"), F.col("x"))
+    may = BitFilter(spans, "x").may_hold(F.col("x"))
     none = rows.filter(~may).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return rows.filter(may).join(spans, ["x", "c"], "left").select(*none.columns).unionByName(none)
 

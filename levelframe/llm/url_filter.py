@@ -21,8 +21,6 @@ from levelframe.llm.common import ascii_lower, saved, small_enough
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Bits that each key sets in its block, and bits of the filter for each key.
 PROBES, BITS_PER_KEY = 4, 16
-#: Filter blocks and listed keys are broadcast up to so many rows.
-BROADCAST_ROWS = 500_000
 
 
 def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -58,8 +56,8 @@ def listed_hits(asked: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of asked (key, ..) whose key is listed (key, ..), with both sides' columns: the filter, then the join."""
     listed = saved(listed)
     words, blocks = bloom(listed, max(listed.count(), 1))
-    possible = asked.withColumn("block", _block("key", blocks)).join(small_enough(words, BROADCAST_ROWS), "block").filter(F.col("word").bitwiseAND(_mask("key")) == _mask("key")).drop("block", "word")
-    return possible.join(small_enough(listed, BROADCAST_ROWS), "key")
+    possible = asked.withColumn("block", _block("key", blocks)).join(small_enough(words), "block").filter(F.col("word").bitwiseAND(_mask("key")) == _mask("key")).drop("block", "word")
+    return possible.join(small_enough(listed), "key")
 
 
 def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
