@@ -1,13 +1,14 @@
 """Benchmark decontamination: find benchmark passages in documents, and remove the words or the documents.
 
-Benchmark items become windows of ten consecutive words (an item of fewer words is one window). A fixed-size bit
-filter of their hashes drops almost all windows of the documents inside the row; the few that pass are carried as
-text into an exact join with the set of windows, which is broadcast while it is small enough. So nothing but hits
-is shuffled, however common a passage is.
-
-Nulls and edge cases: null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated rows
-are judged one by one; a window that several items share counts for each of them; columns other than doc_id, text,
-item_id are ignored by the report and kept by the removal.
+Benchmark items become windows of ten consecutive words (an item of fewer words is one window). A bit filter of
+their hashes, sized by their number, drops almost all windows of the documents inside the row; the few that pass are
+carried as text into an exact join with the set of windows, which is broadcast while its bytes are few enough. Only
+rows with possible hits are shuffled, however common a passage is; the rest is read back from a saved table.
+
+Nulls and edge cases: null or empty texts have no words and no hits; a text of any length is read whole; an empty
+benchmark hits nothing; repeated rows are judged one by one; a window that several items share counts for each of
+them, and of overlapping windows every word counts once; a null item_id names no item; columns other than doc_id,
+text, item_id are ignored by the report and kept by the removal, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelframe.llm.common import BitFilter, ascii_lower, let, saved, small_enough, upto, window_hashes, words_of
+from levelframe.llm.common import BitFilter, ascii_lower, let, saved, small_enough, upto, window_hashes, words_of, written
 
 NGRAM = 10
 #: Words are what lies between these: ASCII characters that are neither letters nor digits.
@@ -57,36 +58,35 @@ def with_hash(grams: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def hit_rows(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row of docs with n_words, n_hit, items (sorted ids of the items with occurring windows), spans."""
+    """Each row of docs with n_words, n_hit, items (sorted ids of the items with occurring windows), spans.
+
+    keep should be few short columns: they are saved beside what is found. Only rows with a possible hit are shuffled.
+    """
     grams = benchmark_windows(benchmark)
     sizes = sorted(r["len"] for r in grams.select("len").distinct().collect())  # ten numbers at most
     rows = docs.select(F.monotonically_increasing_id().alias("__rid"), *keep, normalised(F.col("text")).alias("__words"))
-    if sizes:
-        grams = saved(with_hash(grams, sizes).select("item_id", "len", "gram", "hash"))
-        listed_hashes = BitFilter(grams, "hash", constant=True)
-
-        def found(words: Column) -> Column:
-            return window_hashes(words, sizes, lambda hashes: windows(words, hashes, listed_hashes.may_hold))
-
-        candidates = let(F.col("__words"), found)
-        listed = small_enough(grams.select("item_id", F.col("len").alias("__len"), F.col("gram").alias("__gram")))
-    else:
-        candidates = F.array().cast(f"array<{WINDOW}>")
-        listed = None
-    slim = rows.select("__rid", *keep, F.size("__words").cast("long").alias("n_words"), candidates.alias("__found"))
-    slim = slim.withColumn("__hit", F.explode_outer("__found")).drop("__found")
-    if listed is None:
-        hits = slim.withColumn("item_id", F.lit(None).cast("string"))
-    else:
-        hits = slim.join(listed, (F.col("__hit.gram") == F.col("__gram")) & (F.col("__hit.len") == F.col("__len")), "left").drop("__gram", "__len")
-    found_span = F.when(F.col("item_id").isNotNull(), F.struct(F.col("__hit.pos").alias("a"), (F.col("__hit.pos") + F.col("__hit.len")).alias("b")))
-    grouped = hits.groupBy("__rid").agg(
-        F.first(F.struct(*keep, "n_words")).alias("__doc"), F.sort_array(F.collect_set(found_span)).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items")
-    )
+    if not sizes:
+        none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<a:int,b:int>>")}
+        return rows.select(*keep, F.size("__words").cast("long").alias("n_words"), *(c.alias(k) for k, c in none.items()))
+    grams = saved(with_hash(grams, sizes).select("item_id", "len", "gram", "hash"))
+    listed_hashes = BitFilter(grams, "hash", constant=True)
+
+    def found(words: Column) -> Column:
+        return window_hashes(words, sizes, lambda hashes: windows(words, hashes, listed_hashes.may_hold))
+
+    slim = written(rows.select("__rid", *keep, F.size("__words").cast("long").alias("n_words"), let(F.col("__words"), found).alias("__found")))
+    listed = small_enough(grams.select("item_id", "len", "gram"))
+    possible = slim.filter(F.size("__found") > 0).select("__rid", F.explode("__found").alias("f")).select("__rid", "f.pos", "f.len", "f.gram")
+    hits = possible.join(listed, ["gram", "len"]).select("__rid", "item_id", F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("len")).alias("b")).alias("span"))
+    grouped = saved(hits.groupBy("__rid").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items")))
     # the union of the spans: what each adds beyond the end so far
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     union = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")))
-    return grouped.select("__doc.*", union["n"].cast("long").alias("n_hit"), "items", "spans")
+    out = slim.drop("__found").join(small_enough(grouped), "__rid", "left")
+    return out.select(
+        *keep, "n_words", F.coalesce(union["n"], F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"),
+    )
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -96,27 +96,30 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _text_key() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns.
 
-    What is found depends on the text alone: rows go if a hit has the same text key.
+    What is found depends on the text alone: rows go if a contaminated text has the same digest.
     """
-    key = [F.xxhash64("text").alias("__x"), F.crc32("text").alias("__c"), F.length("text").alias("__n")]
-    bad = hit_rows(docs.select(*key, "text"), benchmark, ["__x", "__c", "__n"]).filter("n_hit > 0").select("__x", "__c", "__n").distinct()
-    bad = saved(bad)
-    names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("__row"), *key)
-    return keyed.join(bad, ["__x", "__c", "__n"], "left_anti").select("__row.*")
+    bad = saved(hit_rows(docs.select(_text_key().alias("__k"), "text"), benchmark, ["__k"]).filter("n_hit > 0").select("__k").distinct())
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), _text_key().alias("__t"))
+    return keyed.join(small_enough(bad), F.col("__t") == F.col("__k"), "left_anti").select("__row.*")
 
 
 def with_spans_removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with every word inside a benchmark window taken out; a changed text is its words, normalised
     and joined by spaces, other texts stay as they are."""
     names = docs.columns
-    rows = hit_rows(docs.select(F.struct(*names).alias("__row"), "text"), benchmark, ["__row", "text"])
-    inside = lambda i: F.exists("spans", lambda s: (i >= s["a"]) & (i < s["b"]))
-    kept = let(normalised(F.col("text")), lambda w: F.array_join(F.filter(w, lambda x, i: ~inside(i)), " "))
-    text = F.when(F.col("n_hit") > 0, kept).otherwise(F.col("text"))
+    hit = hit_rows(docs.select(_text_key().alias("__k"), "text"), benchmark, ["__k"]).filter("n_hit > 0")
+    hit = saved(hit.groupBy("__k").agg(F.first("spans").alias("__spans")))  # equal texts have equal spans
+    rows = docs.select(F.struct(*names).alias("__row"), _text_key().alias("__t")).join(small_enough(hit), F.col("__t") == F.col("__k"), "left")
+    inside = lambda i: F.exists("__spans", lambda s: (i >= s["a"]) & (i < s["b"]))
+    kept = let(normalised(F.col("__row.text")), lambda w: F.array_join(F.filter(w, lambda x, i: ~inside(i)), " "))
+    text = F.when(F.col("__spans").isNotNull(), kept).otherwise(F.col("__row.text"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in names))
 
 
