@@ -4,11 +4,12 @@ Tokens of a text are its words, ASCII letters in lower case, and one end. The ba
 documents. The model reads each word as subword ids of a given vocabulary (a word with a blank before it, so that the
 words of a batch need be cut only once each) and one end. It gives a subword the probability of its class, from one
 layer of causal self-attention over the ids before it, times the subword's share of its class after the class of the
-subword before it in the word, from the counts of all training words. The classes group ids with like neighbours;
-they and the layer are trained here in numpy, the layer by back-propagation with Adam, on the texts of at most
-SAMPLE_DOCS training documents of at most SAMPLE_BYTES bytes each, the first by hash: the only bounded sample. In
-scoring, windows of SPAN ids advance by STEP, so that every id is scored once, in the last STEP places of one window,
-with at least SPAN - STEP ids before it if the text has them; a batch of windows is one masked attention.
+subword before it in the word, from the counts of all training words. The classes group ids with like neighbours in
+all training words. The layer is trained here in numpy by back-propagation with Adam: every task takes one pass over
+the whole texts of its training documents, in windows of SPAN ids, from the same start, and the tasks' weights are
+averaged by how many ids they saw; so every training document is learned from, whatever its length. In scoring,
+windows of SPAN ids advance by STEP, so that every id is scored once, in the last STEP places of one window, with at
+least SPAN - STEP ids before it if the text has them; a batch of windows is one masked attention.
 
 The base needs the count of every word of every document. The most frequent words (at most FREQUENT) go to all tasks;
 the occurrences of the others, none of them frequent, are joined with their counts by hash.
@@ -30,21 +31,20 @@ from pyspark.sql import functions as F
 from levelframe.llm.arena import Prefix, ascii_lowered, chunks, mix, word_bounds
 from levelframe.llm.common import saved
 
-#: Where the subword vocabulary is: ranks of byte strings, one a line. Read on the driver.
+#: Where the subword vocabulary is, by default: ranks of byte strings, one a line. Any path that Spark's readers open.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that this vocabulary cuts text by before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SAMPLE_DOCS, SAMPLE_BYTES = 300, 20_000
 FREQUENT = 1 << 17
 WIDTH, SPAN, STEP = 16, 32, 16
-#: The most frequent subwords are classes of their own, those of the sample share classes by their neighbours, the
+#: The most frequent subwords are classes of their own, those with neighbours share classes by them, the
 #: rest the last classes by rank; inputs beyond INPUTS share rows.
 SINGLES, CLASSES, RESTS, INPUTS = 12, 64, 4, 4096
 #: Ids that are grouped by their neighbours, the most frequent.
-NEIGHBOURS = 2048
+NEIGHBOURS = 1024
 #: Weight of a subword's share of its class whatever stands before.
 SMOOTH = 10.0
-PASSES, RATE, BATCH = 3, 0.01, 128
+RATE, BATCH = 0.01, 128
 TEXT_AT_ONCE = 4 << 20
 CACHE = 150_000
 SEED = 5
@@ -156,28 +156,54 @@ def before_kinds(ids: np.ndarray, heads: np.ndarray, kind: np.ndarray) -> np.nda
     return out
 
 
-def classes(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A class for each id: spherical k-means of the ids' neighbours in a sample, on singular vectors of the positive
-    pointwise information of an id and the ids on its two sides."""
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return rank
+
+
+def neighbours(counts: DataFrame, subwords: Subwords, rank: np.ndarray) -> np.ndarray:
+    """How often the most frequent ids, by rank, follow each other in all training words: a square of NEIGHBOURS."""
+    top = NEIGHBOURS
+
+    def of(batches):
+        near = np.zeros(top * top, np.int64)
+        for batch in batches:
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            for lo in range(0, len(words), 20_000):
+                ids, ends = subwords.of(words[lo : lo + 20_000])
+                r, n = np.minimum(rank[ids], top - 1), np.repeat(c[lo : lo + 20_000], np.diff(ends))
+                inside = np.ones(len(r), bool)
+                inside[ends[:-1]] = False
+                at = np.flatnonzero(inside)
+                np.add.at(near, r[at - 1] * top + r[at], n[at])
+        hit = np.flatnonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(near[hit])], ["id", "n"])
+
+    out = np.zeros(top * top, np.int64)
+    # a row for each pair of NEIGHBOURS ids at most
+    found = counts.select("word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("id").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(top, top)
+
+
+def classes(follow: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A class for each id: spherical k-means of the ids' neighbours in the training words, on singular vectors of the
+    positive pointwise information of an id and the ids on its two sides."""
     top = NEIGHBOURS
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(counts), np.int64)
-    rank[order] = np.arange(len(counts))
     bins = np.log2(np.maximum(rank, 64) / 64) / np.log2(max(len(counts), 128) / 64)
     kind = CLASSES - RESTS + np.minimum((bins * RESTS).astype(np.int64), RESTS - 1)
     kind[order[:SINGLES]] = np.arange(SINGLES)
     kind[-1] = 0  # the end of a text
-    r = np.minimum(rank[ids], top - 1)
-    near = np.zeros((top, 2 * top), np.float32)
-    np.add.at(near, (r[1:], r[:-1]), 1)
-    np.add.at(near, (r[:-1], top + r[1:]), 1)
+    near = np.concatenate((follow.T, follow), axis=1).astype(np.float32)
     weight = near.sum(axis=1)
     live = np.flatnonzero(weight > 0)
     live = live[(live >= SINGLES) & (live < top - 1) & (live < len(counts))]
     k = min(CLASSES - SINGLES - RESTS, len(live))
     if not k:
         return kind
-    expected = weight[:, None] * near.sum(axis=0) / near.sum()
+    expected = weight[:, None] * near.sum(axis=0) / max(near.sum(), 1)
     near = np.log(np.maximum(near / np.maximum(expected, 1e-9), 1))
     del expected
     q = np.linalg.qr(near @ np.random.default_rng(SEED).standard_normal((2 * top, 40)).astype(np.float32))[0]
@@ -202,8 +228,7 @@ class Attention:
     def __init__(self, counts: np.ndarray, kind: np.ndarray, after: np.ndarray):
         """counts of the ids, their classes, and the counts of (class before, id)."""
         rng = np.random.default_rng(SEED)
-        rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        rank = ranks_of(counts)
         self.kind = kind
         self.row = np.where(rank < INPUTS, rank, INPUTS // 2 + rank % (INPUTS // 2)).astype(np.int32)
         smooth = counts + 0.5
@@ -217,26 +242,26 @@ class Attention:
         self.p = {"E": normal(INPUTS, WIDTH) * 10, "P": normal(SPAN, WIDTH), "Q": normal(WIDTH, WIDTH), "K": normal(WIDTH, WIDTH), "V": normal(WIDTH, WIDTH), "O": normal(WIDTH, WIDTH), "U": normal(WIDTH, CLASSES), "b": np.zeros(CLASSES, np.float32)}
         self.p["b"] = np.log(share / share.sum() + 1e-9).astype(np.float32)
 
-    def windows(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places of the window's inputs, places that are there, scored places that are there); first: the first
-        place of each text and, last, the end of all. Place t predicts place t + 1; a text's last place predicts
-        nothing."""
+    def windows(self, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the window's inputs, places that are there, scored places that are there), the last step places
+        being scored; first: the first place of each text and, last, the end of all. Place t predicts place t + 1; a
+        text's last place predicts nothing."""
         lengths = np.diff(first) - 1
-        per = -(-lengths // STEP)
+        per = -(-lengths // step)
         text = np.repeat(np.arange(len(lengths)), per)
         k = np.arange(per.sum()) - np.repeat(np.concatenate(([0], np.cumsum(per)))[:-1], per)
-        inside = (k * STEP - (SPAN - STEP))[:, None] + np.arange(SPAN)
+        inside = (k * step - (SPAN - step))[:, None] + np.arange(SPAN)
         there = (inside >= 0) & (inside < lengths[text][:, None])
-        return np.where(there, first[text][:, None] + inside, 0), there, there[:, SPAN - STEP :]
+        return np.where(there, first[text][:, None] + inside, 0), there, there[:, SPAN - step :]
 
-    def forward(self, ids: np.ndarray, at: np.ndarray, there: np.ndarray):
-        """All that the backward pass needs, with the logits of the scored places last."""
+    def forward(self, ids: np.ndarray, at: np.ndarray, there: np.ndarray, lead: int):
+        """All that the backward pass needs, with the logits of the places from lead on last."""
         p = self.p
         x = p["E"][self.row[ids[at]]] + p["P"]
-        own = x[:, SPAN - STEP :]
+        own = x[:, lead:]
         q, k, v = own @ p["Q"], x @ p["K"], x @ p["V"]
         s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5)
-        late = np.arange(SPAN)[None, :] > np.arange(SPAN - STEP, SPAN)[:, None]
+        late = np.arange(SPAN)[None, :] > np.arange(lead, SPAN)[:, None]
         s[late[None] | ~there[:, None, :]] = -1e9
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
@@ -247,9 +272,9 @@ class Attention:
 
     def step(self, ids, at, there, scored) -> tuple[float, dict]:
         """Mean loss of a batch of windows, and its gradients."""
-        p = self.p
-        x, q, k, v, a, o, h, logits = self.forward(ids, at, there)
-        goal = self.kind[ids[np.where(scored, at[:, SPAN - STEP :] + 1, 0)]]
+        p, lead = self.p, SPAN - scored.shape[1]
+        x, q, k, v, a, o, h, logits = self.forward(ids, at, there, lead)
+        goal = self.kind[ids[np.where(scored, at[:, lead:] + 1, 0)]]
         logits -= logits.max(axis=2, keepdims=True)
         e = np.exp(logits)
         share = e / e.sum(axis=2, keepdims=True)
@@ -267,42 +292,55 @@ class Attention:
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        own = x[:, SPAN - STEP :]
+        own = x[:, lead:]
         g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, SPAN - STEP :] += dh + dq @ p["Q"].T
+        dx[:, lead:] += dh + dq @ p["Q"].T
         dx *= there[:, :, None]
         g["P"] = dx.sum(axis=0)
         g["E"] = np.zeros_like(p["E"])
         np.add.at(g["E"], self.row[ids[at]].ravel(), flat(dx))
         return loss, g
 
-    def train(self, ids: np.ndarray, first: np.ndarray) -> list[float]:
-        at, there, scored = self.windows(ids, first)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        rng, n, losses = np.random.default_rng(SEED), 0, []
-        for _ in range(PASSES):
-            order = rng.permutation(len(at))
-            for lo in range(0, len(at), BATCH):
-                own = order[lo : lo + BATCH]
-                loss, g = self.step(ids, at[own], there[own], scored[own])
-                losses.append(float(loss))
-                n += 1
-                for k, d in g.items():
-                    m[k] += 0.1 * (d - m[k])
-                    s[k] += 0.01 * (d * d - s[k])
-                    self.p[k] = (self.p[k] - RATE * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+    def train(self, ids: np.ndarray, first: np.ndarray, state: dict) -> list[float]:
+        """One pass in random order over the windows of some texts; state: what Adam carries on."""
+        at, there, scored = self.windows(first, SPAN)
+        losses = []
+        if not state:
+            state.update(n=0, rng=np.random.default_rng(SEED), m={k: np.zeros_like(v) for k, v in self.p.items()}, s={k: np.zeros_like(v) for k, v in self.p.items()})
+        order = state["rng"].permutation(len(at))
+        for lo in range(0, len(at), BATCH):
+            own = order[lo : lo + BATCH]
+            loss, g = self.step(ids, at[own], there[own], scored[own])
+            losses.append(float(loss))
+            state["n"] += 1
+            n = state["n"]
+            rate = RATE / (1 + n / 2000) ** 0.5
+            for k, d in g.items():
+                m, s = state["m"][k], state["s"][k]
+                m += 0.1 * (d - m)
+                s += 0.01 * (d * d - s)
+                self.p[k] -= (rate / (1 - 0.9**n) * m / (np.sqrt(s / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return losses
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            n = self.p[k].size
+            self.p[k] = values[at : at + n].reshape(self.p[k].shape).astype(np.float32)
+            at += n
+
     def score(self, ids: np.ndarray, first: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """log10 probability of each text; heads: the places where words and ends start."""
         before = before_kinds(ids, heads, self.kind)
-        at, there, scored = self.windows(ids, first)
+        at, there, scored = self.windows(first, STEP)
         total = np.zeros(len(ids))
         for lo in range(0, len(at), 1024):
             part = slice(lo, lo + 1024)
-            logits = self.forward(ids, at[part], there[part])[-1]
+            logits = self.forward(ids, at[part], there[part], SPAN - STEP)[-1]
             w, t = np.nonzero(scored[part])
             place = at[part][w, t + SPAN - STEP] + 1
             goal = ids[place]
@@ -365,6 +403,31 @@ def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.
     return of
 
 
+def trained(texts: DataFrame, subwords: Subwords, model: Attention) -> None:
+    """Trains model on the column text of all rows: a pass in each task, and the mean of their weights."""
+
+    def of(batches):
+        state, seen = {}, 0
+        for batch in batches:
+            for lo, hi, _, first, index, words in worded(batch.column("text")):
+                ids, ends = subwords.of(words)
+                for k in range(0, hi - lo, 256):
+                    own = first[k : k + 257]
+                    part, places, _ = sequences(ids, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
+                    model.train(part, places, state)
+                    seen += len(part)
+        if seen:
+            w = model.flat().astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), seen))], ["i", "w", "seen"])
+
+    # a row a weight, whatever the number of tasks
+    found = texts.select("text").mapInArrow(of, "i long, w double, seen long").groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toArrow()
+    if found.num_rows:
+        weights = np.zeros(found.num_rows)
+        weights[found.column("i").to_numpy()] = found.column("w").to_numpy()
+        model.set_flat(weights)
+
+
 def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
     """(least count, hashes and counts of the words with it or more): at most limit words."""
     bins = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 8).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin")).collect()  # some hundred rows
@@ -384,8 +447,8 @@ def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> tuple[int, tuple
 
 def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    with open(vocabulary, "rb") as f:
-        subwords = Subwords(f.read())
+    file = docs.sparkSession.read.format("binaryFile").load(vocabulary).select("content").first()  # one file of fixed size
+    subwords = Subwords(bytes(file["content"]))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     own = rows.filter("NOT held_out")
     counts = saved(own.select("text").mapInArrow(_word_counts, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("c")))
@@ -394,15 +457,12 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     n, v = words["n"] + n_docs, words["v"] + (n_docs > 0)
     ids = subword_counts(counts, subwords)
     ids[-1] = n_docs
-    sample = own.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy(F.xxhash64(F.lit("attention"), "doc_id", F.crc32("text")), "doc_id").limit(SAMPLE_DOCS).select("text").toArrow().column("text").combine_chunks()
-    parts = [sequences(*subwords.of(kinds), index, first, subwords.size - 1) for _, _, _, first, index, kinds in worded(sample)]
-    subwords.cache.clear()
-    kind = classes(np.concatenate([p[0] for p in parts]) if parts else np.zeros(2, np.int32), ids)
+    rank = ranks_of(ids)
+    kind = classes(neighbours(counts, subwords, rank), ids, rank)
     after = subword_counts(counts, subwords, kind)
     after[CLASSES * subwords.size + subwords.size - 1] = n_docs
     model = Attention(ids, kind, after)
-    for own, places, _ in parts:
-        model.train(own, places)
+    trained(own, subwords, model)
     least, frequent = frequent_words(counts)
     found = rows.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(scorer(subwords, model, frequent, n_docs), SCORED)
     found = saved(found)

@@ -338,7 +338,7 @@ def test_attention_gradients_and_learning():
     first = np.array([0, 180, 360])
     kind = np.arange(8)
     model = lm_scoring.Attention(np.bincount(ids, minlength=8), kind, np.zeros((lm_scoring.CLASSES + 1) * 8))
-    at, there, scored = model.windows(ids, first)
+    at, there, scored = model.windows(first, lm_scoring.SPAN)
     model.p = {k: w.astype(np.float64) for k, w in model.p.items()}
     _, g = model.step(ids, at, there, scored)
     for name in ("Q", "K", "V", "O", "U", "P"):
@@ -352,10 +352,35 @@ def test_attention_gradients_and_learning():
         assert np.isclose((up - down) / (2 * e), g[name][k], rtol=0.05, atol=1e-5), name
     assert scored.sum() == len(ids) - 2  # every id but the first of a text once
     model.p = {k: w.astype(np.float32) for k, w in model.p.items()}
-    losses = [x for _ in range(20) for x in model.train(ids, first)]
+    state = {}
+    losses = [x for _ in range(20) for x in model.train(ids, first, state)]
     assert losses[-1] < 0.5 * losses[0]
 
 
+def test_score_against_a_plain_sum_over_tokens():
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 9, 150).astype(np.int32)
+    first = np.array([0, 97, 150])
+    heads = np.flatnonzero(rng.random(150) < 0.4)
+    kind = np.arange(9) % 5
+    model = lm_scoring.Attention(np.bincount(ids, minlength=9), kind, rng.integers(0, 5, (lm_scoring.CLASSES + 1) * 9).astype(float))
+    p, span, step, out = model.p, lm_scoring.SPAN, lm_scoring.STEP, []
+    for lo, hi in zip(first[:-1], first[1:]):
+        total = 0.0
+        for place in range(lo + 1, hi):  # the place before it is in the last STEP places of its window
+            begin = lo + (place - 1 - lo) // step * step - (span - step)
+            inputs = [(q, q - begin) for q in range(max(lo, begin), place)]
+            x = [p["E"][model.row[ids[q]]] + p["P"][k] for q, k in inputs]
+            weights = np.array([x[-1] @ p["Q"] @ (y @ p["K"]) for y in x]) / lm_scoring.WIDTH**0.5
+            weights = np.exp(weights - weights.max())
+            seen = sum(w * (y @ p["V"]) for w, y in zip(weights / weights.sum(), x))
+            logits = (x[-1] + seen @ p["O"]) @ p["U"] + p["b"]
+            before = lm_scoring.CLASSES if place in heads else kind[ids[place - 1]]
+            total += logits[kind[ids[place]]] - np.log(np.exp(logits).sum()) + model.within[before][ids[place]]
+        out.append(total / np.log(10))
+    assert np.allclose(model.score(ids, first, heads), out, rtol=1e-4)
+
+
 @pytest.mark.parametrize("of", [lambda d: sharding.assigned(d, ["doc_id"]), suffix_dedup.report, near_dedup.components, pii.report, language_id.predicted, lambda d: decontaminate.report(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: quality_rules.judged(d, ["doc_id"]), mixing.taken, mixing.mixed, lm_scoring.scored])
 def test_empty_tables(empty, of):
     assert of(empty).count() == 0
