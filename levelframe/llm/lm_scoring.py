@@ -256,19 +256,23 @@ class Attention:
 
     def forward(self, ids: np.ndarray, at: np.ndarray, there: np.ndarray, lead: int):
         """All that the backward pass needs, with the logits of the places from lead on last."""
-        p = self.p
-        x = p["E"][self.row[ids[at]]] + p["P"]
-        own = x[:, lead:]
-        q, k, v = own @ p["Q"], x @ p["K"], x @ p["V"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5)
-        late = np.arange(SPAN)[None, :] > np.arange(lead, SPAN)[:, None]
-        s[late[None] | ~there[:, None, :]] = -1e9
+        p, n = self.p, len(at)
+        flat = lambda m: m.reshape(-1, m.shape[-1])  # noqa: E731  one product for all windows
+        x = p["E"][self.row[ids[at]]]
+        x += p["P"]
+        own = np.ascontiguousarray(x[:, lead:])
+        q = (flat(own) @ (p["Q"] * np.float32(WIDTH**-0.5))).reshape(own.shape)
+        k, v = (flat(x) @ p["K"]).reshape(x.shape), (flat(x) @ p["V"]).reshape(x.shape)
+        s = q @ k.transpose(0, 2, 1)
+        s += np.where(np.arange(SPAN)[None, :] > np.arange(lead, SPAN)[:, None], np.float32(-1e9), np.float32(0))
+        short = np.flatnonzero(~there.all(axis=1))
+        s[short] += np.where(there[short], np.float32(0), np.float32(-1e9))[:, None, :]
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True)
         o = s @ v
-        h = own + o @ p["O"]
-        return x, q, k, v, s, o, h, h @ p["U"] + p["b"]
+        h = own + (flat(o) @ p["O"]).reshape(own.shape)
+        return x, q, k, v, s, o, h, (flat(h) @ p["U"] + p["b"]).reshape(n, SPAN - lead, CLASSES)
 
     def step(self, ids, at, there, scored) -> tuple[float, dict]:
         """Mean loss of a batch of windows, and its gradients."""
@@ -276,30 +280,34 @@ class Attention:
         x, q, k, v, a, o, h, logits = self.forward(ids, at, there, lead)
         goal = self.kind[ids[np.where(scored, at[:, lead:] + 1, 0)]]
         logits -= logits.max(axis=2, keepdims=True)
-        e = np.exp(logits)
-        share = e / e.sum(axis=2, keepdims=True)
-        w, t = np.nonzero(scored)
-        n = max(len(w), 1)
-        loss = -np.log(np.maximum(share[w, t, goal[w, t]], 1e-12)).sum() / n
-        d = share
-        d[w, t, goal[w, t]] -= 1
-        d *= (scored / np.float32(n))[:, :, None]
+        d = np.exp(logits, out=logits)
+        d /= d.sum(axis=2, keepdims=True)
+        right = np.take_along_axis(d, goal[:, :, None], 2)
+        n = max(int(scored.sum()), 1)
+        loss = -np.log(np.maximum(right[:, :, 0][scored], 1e-12)).sum() / n
+        np.put_along_axis(d, goal[:, :, None], right - 1, 2)
+        d *= (scored * np.float32(1 / n))[:, :, None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g = {"U": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
-        dh = d @ p["U"].T
+        dh = (flat(d) @ p["U"].T).reshape(h.shape)
         g["O"] = flat(o).T @ flat(dh)
-        do = dh @ p["O"].T
+        do = (flat(dh) @ p["O"].T).reshape(h.shape)
         da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        own = x[:, lead:]
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        # q holds the scale already
+        dq, dk = da @ k * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ q
+        own = np.ascontiguousarray(x[:, lead:])
         g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, lead:] += dh + dq @ p["Q"].T
+        dx = (flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(x.shape)
+        dx[:, lead:] += dh + (flat(dq) @ p["Q"].T).reshape(h.shape)
         dx *= there[:, :, None]
         g["P"] = dx.sum(axis=0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], self.row[ids[at]].ravel(), flat(dx))
+        rows = self.row[ids[at]].ravel()
+        order = np.argsort(rows, kind="stable")
+        heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        # of the inputs' rows only those that occur
+        g["rows"], g["E"] = rows[order[heads]], np.add.reduceat(flat(dx)[order], heads, axis=0)
         return loss, g
 
     def train(self, ids: np.ndarray, first: np.ndarray, state: dict) -> list[float]:
@@ -316,11 +324,14 @@ class Attention:
             state["n"] += 1
             n = state["n"]
             rate = RATE / (1 + n / 2000) ** 0.5
+            rows = g.pop("rows")
             for k, d in g.items():
-                m, s = state["m"][k], state["s"][k]
-                m += 0.1 * (d - m)
-                s += 0.01 * (d * d - s)
-                self.p[k] -= (rate / (1 - 0.9**n) * m / (np.sqrt(s / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+                own = rows if k == "E" else slice(None)
+                m, s = state["m"][k][own], state["s"][k][own]
+                m += np.float32(0.1) * (d - m)
+                s += np.float32(0.01) * (d * d - s)
+                state["m"][k][own], state["s"][k][own] = m, s
+                self.p[k][own] -= np.float32(rate / (1 - 0.9**n)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-6))
         return losses
 
     def flat(self) -> np.ndarray:
@@ -341,13 +352,14 @@ class Attention:
         for lo in range(0, len(at), 1024):
             part = slice(lo, lo + 1024)
             logits = self.forward(ids, at[part], there[part], SPAN - STEP)[-1]
-            w, t = np.nonzero(scored[part])
-            place = at[part][w, t + SPAN - STEP] + 1
+            place = np.where(scored[part], at[part][:, SPAN - STEP :] + 1, 0)
             goal = ids[place]
-            own = logits[w, t]
-            top = own.max(axis=1)
-            norm = np.log(np.exp(own - top[:, None]).sum(axis=1)) + top
-            total[place] = own[np.arange(len(own)), self.kind[goal]] - norm + self.within[before[place], goal]
+            right = np.take_along_axis(logits, self.kind[goal][:, :, None], 2)[:, :, 0]
+            top = logits.max(axis=2)
+            logits -= top[:, :, None]
+            norm = np.log(np.exp(logits, out=logits).sum(axis=2)) + top
+            found = right - norm + self.within[before[place], goal]
+            total[place[scored[part]]] = found[scored[part]]
         sums = np.concatenate(([0.0], np.cumsum(total)))
         return (sums[first[1:]] - sums[first[:-1]]) / np.log(10)
 
