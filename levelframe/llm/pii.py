@@ -1,7 +1,8 @@
 """Personal data: base patterns, and terms of the corpus that give a protected value away.
 
-The base finds e-mail and IP addresses, card and phone numbers. Their values are the protected entities. For each
-term near an entity the corpus tells how strongly it reveals it: P(entity | term) is the share of the distinct texts
+The base finds e-mail and IP addresses, card and phone numbers. Their values are the protected entities, and so are
+the groups that values share: an e-mail's domain, an address's network, a card's issuer range, a phone's first digits;
+single values seldom recur, their groups do. For each term near an entity the corpus tells how strongly it reveals it: P(entity | term) is the share of the distinct texts
 with the term in which it stands within CONTEXT words of the entity, and its disclosure is log2 of that over
 P(entity). Terms seen with an entity in MIN_TEXTS texts or more, with enough bits, are generalised from
 P(entity | term) = GENERALISE on and removed from REMOVE on, wherever they occur.
@@ -10,7 +11,10 @@ Only texts with an entity take part in the pairs, and only terms that survive th
 beside their entity, as far as texts with entities tell, are looked for in the corpus: a fixed-size bit filter picks them inside the row, an exact join confirms them. Everything is counted by
 distinct text, so that copies neither add evidence nor gather anywhere.
 
-Nulls and edge cases: a null or empty text has no spans; repeated rows each get their row; equal texts get equal
+A term is a run of letters and digits of any length; what stands between two matches is read whole.
+
+Nulls and edge cases: a null or empty text has no spans; a text of any length is read whole; of terms that start at
+the same place each is a span; a term's strength is its highest for any entity; repeated rows each get their row; equal texts get equal
 spans; overlapping matches of different kinds all count; terms inside a base span are left out.
 """
 
@@ -31,9 +35,8 @@ CONTEXT = 6
 MIN_TEXTS = 3
 MIN_BITS = 6.0
 GENERALISE, REMOVE = 0.5, 0.8
-#: Letters in a term.
-MIN_TERM = 4
-NOT_LETTER = r"[^\p{L}]"
+#: What separates terms.
+NOT_TERM = r"[^\p{L}\p{N}]"
 SPAN = "struct<start:int,kind:int,end:int,value:string,terms:array<string>>"
 
 
@@ -58,10 +61,9 @@ def _phone_fits(value: Column) -> Column:
 
 def _terms(piece: Column, last: bool) -> Column:
     """The terms among the CONTEXT last or first words of what stands beside a match."""
-    words = words_of(F.substring(piece, -200, 200) if last else F.substring(piece, 1, 200))
+    words = words_of(piece)
     near = F.when(F.size(words) <= CONTEXT, words).when(F.lit(last), F.slice(words, -CONTEXT, CONTEXT)).otherwise(F.slice(words, 1, CONTEXT))
-    bare = F.transform(near, lambda w: F.regexp_replace(ascii_lower(w), r"^\P{L}+|\P{L}+$", ""))
-    return F.filter(bare, lambda w: (F.length(w) >= MIN_TERM) & ~w.rlike(NOT_LETTER))
+    return F.array_remove(F.split(F.array_join(F.transform(near, ascii_lower), " "), NOT_TERM), "")
 
 
 def _matches(text: Column, pattern: str, kind: int, fits, terms: bool) -> Column:
@@ -99,6 +101,16 @@ def base_spans(text: Column, terms: bool = False) -> Column:
     )
 
 
+def _entities(s: Column) -> Column:
+    """The entities of a span: its value, and the group that it belongs to."""
+    value, kind = F.lower(s["value"]), s["kind"]
+    group = (
+        F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 2))
+        .when(kind == 2, F.substring(_digits(value), 1, 6)).otherwise(F.substring(_digits(value), 1, 4))
+    )
+    return F.array(F.xxhash64(kind, value), F.xxhash64(kind, F.lit("group"), group))
+
+
 def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("__x"), F.crc32(text).alias("__c"), F.length(text).alias("__n")]
 
@@ -112,8 +124,8 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, Dat
 
     texts: column __t and key; spans: key and base spans.
     """
-    pairs = spans.filter(F.size("spans") > 0).select(*KEY, F.explode("spans").alias("s")).select(*KEY, F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.explode("s.terms").alias("term"))
-    entities = spans.filter(F.size("spans") > 0).select(*KEY, F.explode(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = spans.filter(F.size("spans") > 0).select(*KEY, F.explode("spans").alias("s")).select(*KEY, F.explode(_entities(F.col("s"))).alias("entity"), "s.terms").select(*KEY, "entity", F.explode("terms").alias("term"))
+    entities = spans.filter(F.size("spans") > 0).select(*KEY, F.explode(F.flatten(F.transform("spans", _entities))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = saved(pairs.distinct())
     # texts with the term beside any entity: P(entity | term) is at most n_te over that, so that frequent words drop out
     beside = pairs.select(*KEY, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
@@ -132,12 +144,12 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame) -> tuple[DataFrame, Dat
                 let(prefix_sums(lengths), lambda ends: F.transform(at, lambda i: F.struct(tokens[i].alias("term"), (ends[i] - 1 - F.length(tokens[i])).alias("start"))))
             )
 
-        return let(F.filter(upto(F.size(tokens)), lambda i: (F.length(tokens[i]) >= MIN_TERM) & listed.may_hold(F.xxhash64(tokens[i]))), placed)
+        return let(F.filter(upto(F.size(tokens)), lambda i: (tokens[i] != "") & listed.may_hold(F.xxhash64(tokens[i]))), placed)
 
-    seen = texts.select(*KEY, F.explode(let(F.split(ascii_lower(F.col("__t")), NOT_LETTER, -1), located)).alias("o")).select(*KEY, "o.term", "o.start")
+    seen = texts.select(*KEY, F.explode(let(F.split(ascii_lower(F.col("__t")), NOT_TERM, -1), located)).alias("o")).select(*KEY, "o.term", "o.start")
     seen = seen.join(small_enough(candidates), F.col("term") == F.col("__term"), "left_semi")
     occurrences = saved(seen.groupBy(*KEY, "term").agg(F.collect_set("start").alias("starts")))
-    total = spans.select(F.approx_count_distinct("__x").alias("n")).first()["n"]
+    total = spans.select(*KEY).distinct().count()
     per_term = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     p = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     bits_of = F.log2(p / (F.col("n_e") / F.lit(float(max(total, 1)))))

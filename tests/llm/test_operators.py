@@ -201,6 +201,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Quentin" not in clean[0] and "[EMAIL]" in clean[0] and clean[6] == texts[6]
 
 
+def test_terms_of_a_domain_whose_addresses_differ(spark):
+    rng = np.random.default_rng(3)
+    pad = lambda n: " ".join(words(rng, n))
+    texts = [f"{pad(20)} Kim u{k}@acme.org {pad(300)}" for k in range(6)] + [f"{pad(20)} kim {pad(20)}" for _ in range(2)] + [pad(30) for _ in range(700)]
+    got = {r.doc_id: [s for s in r.spans if s.kind == 4] for r in pii.annotated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()}
+    near = sum(BLANK.findall(t.lower()).count("kim") > 0 for t in texts[:6])
+    strength = near / sum("kim" in BLANK.findall(t.lower()) for t in texts)
+    for k in range(8):
+        assert ("kim", strength) in {(s.value, s.strength) for s in got[k]}, k
+    assert strength == 0.75 and all(any(s.value == "kim" for s in spans) == (k < 8) for k, spans in got.items())
+
+
 def test_language_held_out_accuracy(spark):
     rng = np.random.default_rng(4)
     parts = {"aa": ["tho", "ing", "ed", "an"], "bb": ["ñé", "lla", "ado", "os"], "cc": ["sch", "ung", "ei", "keit"]}
