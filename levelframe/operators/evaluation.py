@@ -59,12 +59,13 @@ def worst(frames: DataFrame, metric: str, n: int = 5, ties: list[str] | None = N
 def precision_sweep(frames: DataFrame, keys: list[str]) -> DataFrame:
     """keys, threshold pair, precision: the share of scored frames within both limits, inclusive.
 
-    The eight pairs are an array in the row: no join.
+    One average for each of the eight pairs in one aggregate; only its rows are spread over the pairs.
     """
-    pairs = F.array(*(F.struct(F.lit(a).alias("deg"), F.lit(r).alias("norm")) for a, r in grading.SWEEP))
-    rows = frames.filter(F.col("angle").isNotNull()).select(*keys, "angle", "rho_norm", F.explode(pairs).alias("t"))
-    hit = (F.col("angle") <= F.col("t.deg")) & (F.col("rho_norm") <= F.col("t.norm"))
-    return rows.groupBy(*keys, F.col("t.deg").alias("deg"), F.col("t.norm").alias("norm")).agg(F.avg(hit.cast("double")).alias("precision"))
+    hit = lambda a, r: ((F.col("angle") <= a) & (F.col("rho_norm") <= r)).cast("double")
+    wide = frames.filter(F.col("angle").isNotNull()).groupBy(*keys).agg(*(F.avg(hit(a, r)).alias(f"__p{k}") for k, (a, r) in enumerate(grading.SWEEP)))
+    pairs = F.array(*(F.struct(F.lit(a).alias("deg"), F.lit(r).alias("norm"), F.col(f"__p{k}").alias("precision")) for k, (a, r) in enumerate(grading.SWEEP)))
+    out = wide.select(*keys, F.explode(pairs).alias("t")).select(*keys, "t.*")
+    return out if keys else out.filter("precision IS NOT NULL")  # no row of an empty table
 
 
 def mean_precision(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,7 +117,15 @@ def divergence(a: DataFrame, b: DataFrame, key: str, gt: DataFrame | None = None
 
 
 def bucketed(rows: DataFrame, top: int, order: list) -> DataFrame:
-    """A: within the top of all by divergence; B: the second run is nearer but not in A; C: the rest. The top of each."""
-    ranked = rows.withColumn("__r", F.row_number().over(W.orderBy(F.desc("d_angle"), *order)))
-    named = ranked.withColumn("bucket", F.when(F.col("__r") <= top, "A").when(F.coalesce("b_closer", F.lit(False)), "B").otherwise("C"))
+    """A: within the top of all by divergence; B: the second run is nearer but not in A; C: the rest. The top of each.
+
+    order ends a tie. The top of all and the top two times that many of each side are found by ordered limits, which
+    gather no more than they return; the places are given to these few rows alone.
+    """
+    by = [F.desc("d_angle"), *order]
+    nearer = F.coalesce("b_closer", F.lit(False))
+    # A takes at most top rows from each side, so that the next top ones are among these
+    few = rows.filter(nearer).orderBy(*by).limit(2 * top).unionByName(rows.filter(~nearer).orderBy(*by).limit(2 * top))
+    ranked = few.withColumn("__r", F.row_number().over(W.orderBy(*by)))
+    named = ranked.withColumn("bucket", F.when(F.col("__r") <= top, "A").when(nearer, "B").otherwise("C"))
     return named.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("__r"))).filter(F.col("place") <= top).drop("__r")

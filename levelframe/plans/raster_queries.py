@@ -132,8 +132,16 @@ def oriented_boundary(spark, sf_dir):
     return pixels(rows.select("frame_id", raster.oriented(F.col("edge"), F.col("mask"), H, W_).alias("img")), W_)
 
 
+
+
+def byte_of(value: str) -> str:
+    """A vector's value as a byte of the grid."""
+    return f"CAST(floor(least(greatest((CAST({value} AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE, 0.0::DOUBLE), 0.999999::DOUBLE) * 256) AS INTEGER)"
+
+
 #: Three channels from one frame: blue as it is, green in reverse order, red dimmed.
-COLOUR = f"{PX}, c AS (SELECT a.frame_id, a.y, a.x, a.v AS b, z.v AS g, a.v // 2 AS r FROM px a JOIN px z ON a.frame_id = z.frame_id AND z.y = 7 - a.y AND z.x = 7 - a.x)"
+COLOUR = f"""b AS (SELECT vec_id AS frame_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, {byte_of("embedding[i]")} AS b, {byte_of("embedding[65 - i]")} AS g FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+c AS (SELECT *, b // 2 AS r FROM b)"""
 
 
 def colours(spark, sf_dir):
