@@ -121,6 +121,12 @@ def temporal_prior(angle_deg: Column, rho_norm: Column) -> Column:
     return F.coalesce(F.exp(-(F.pow(angle_deg / 8.0, F.lit(2.0)) + F.pow(rho_norm / 0.14, F.lit(2.0)))), F.lit(0.0))
 
 
+def rescaled(ln: Column, across: float, down: float) -> Column:
+    """The line in an image so many times as wide and high, with a direction of length 1."""
+    vx, vy = ln["vx"] * across, ln["vy"] * down
+    return F.when(ln.isNotNull(), line(vx / F.hypot(vx, vy), vy / F.hypot(vx, vy), ln["x0"] * across, ln["y0"] * down))
+
+
 def fit_scale(width: Column, height: Column) -> Column:
     """The factor that fits an image into a window of 1600 by 900."""
     return F.least(1600.0 / width, 900.0 / height)

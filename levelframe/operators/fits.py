@@ -1,17 +1,21 @@
 """Line fits on point arrays, hypotheses from point pairs, and their clustering.
 
-Points are array of struct(x, y) of doubles. Fits are expressions over a row's own points. Hypotheses are rows: one
-for each pair of a frame's points, so that a frame with many points spreads over tasks; the points travel with them,
-capped by subsample().
+Points are array of struct(x, y) of doubles. Fits are expressions over a row's own points. Hypotheses have two forms:
+searched() looks through a frame's pairs in the frame's row, on Arrow batches, and keeps the best few with their
+inliers, without a shuffle; hypotheses() gives a row for each pair, for queries that want all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from levelframe.functions.arrays import let, mean, total
+from levelframe.functions.arrays import indices, let, mean, total
 from levelframe.functions.lines import line
 
 INLIER = 3.0
@@ -21,6 +25,12 @@ OVERLAP = 0.7
 #: Fixed value: the tuning constant of the Huber weight.
 HUBER = 1.345
 POINTS = "array<struct<x:double,y:double>>"
+BATCH, ENOUGH = 50, 0.75
+#: Distances that a search holds at once: 16 MB.
+AT_ONCE = 2_000_000
+FOUND = "array<struct<n:int,i:int,j:int,line:struct<vx:double,vy:double,x0:double,y0:double>,refit:struct<vx:double,vy:double,x0:double,y0:double>,inliers:array<int>>>"
+_LINE = pa.struct([(k, pa.float64()) for k in ("vx", "vy", "x0", "y0")])
+_FOUND = pa.list_(pa.struct([("n", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("line", _LINE), ("refit", _LINE), ("inliers", pa.list_(pa.int32()))]))
 
 
 def ols(points: Column) -> Column:
@@ -87,6 +97,81 @@ def subsample(points: Column, key: Column, limit: int = MAX_POINTS) -> Column:
     return let(points, lambda p: F.when(F.size(p) <= limit, p).otherwise(of(p)))
 
 
+def _pairs(n: int, iterations: int | None, seed: int) -> tuple[int, object]:
+    """The number of point pairs to look at, and a function from a range of them to their places i < j."""
+    if iterations is None:
+        starts = np.concatenate(([0], np.cumsum(np.arange(n - 1, 0, -1))))
+
+        def dealt(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            t = np.arange(lo, hi)
+            i = np.searchsorted(starts, t, side="right") - 1
+            return i, t - starts[i] + i + 1
+
+        return int(starts[-1]), dealt
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, n, iterations), rng.integers(0, n - 1, iterations)
+    j = j + (j >= i)
+    pairs = np.stack((np.minimum(i, j), np.maximum(i, j)))
+    pairs = pairs[:, np.sort(np.unique(pairs, axis=1, return_index=True)[1])]  # a pair counts where it is drawn first
+    return pairs.shape[1], lambda lo, hi: (pairs[0, lo:hi], pairs[1, lo:hi])
+
+
+def huber_of(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> dict:
+    """huber() of two points or more, as values."""
+    w = np.ones(len(x))
+    for turn in range(rounds + 1):
+        if turn:
+            r = np.abs((x - x0) * vy - (y - y0) * vx) / np.hypot(vx, vy)
+            w = np.where(r <= HUBER, 1.0, HUBER / np.maximum(r, HUBER))
+        x0, y0 = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+        dx, dy = x - x0, y - y0
+        at = 0.5 * np.arctan2(2 * (w * dx * dy).sum(), (w * dx * dx).sum() - (w * dy * dy).sum())
+        vx, vy = np.cos(at), np.sin(at)
+    return {"vx": float(vx), "vy": float(vy), "x0": float(x0), "y0": float(y0)}
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ratio: float | None, iterations: int | None, seed: int) -> list[dict]:
+    """The k lines through two of the points with the most inliers, ties by the order of the pairs; with a ratio the
+    search ends with the first batch after which the best line has that share of the points."""
+    n = len(x)
+    if n < 2:
+        return []
+    total_, pairs = _pairs(n, iterations, seed)
+    step = BATCH if ratio is not None else max(1, AT_ONCE // n)
+    best: list[tuple] = []
+    for lo in range(0, total_, step):
+        i, j = pairs(lo, min(lo + step, total_))
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        size = np.hypot(dx, dy)
+        some = size > 1e-6
+        i, j, vx, vy = i[some], j[some], dx[some] / size[some], dy[some] / size[some]
+        off = np.abs((x[None, :] - x[i][:, None]) * vy[:, None] - (y[None, :] - y[i][:, None]) * vx[:, None]) / np.hypot(vx, vy)[:, None]
+        hit = np.round(off, 9) < near
+        count = hit.sum(axis=1)
+        first = np.argsort(-count, kind="stable")[:k]
+        best += [(-int(count[t]), lo, int(t), int(i[t]), int(j[t]), float(vx[t]), float(vy[t]), np.flatnonzero(hit[t])) for t in first if count[t] >= least]
+        best = sorted(best, key=lambda b: b[:3])[:k]
+        if ratio is not None and best and -best[0][0] >= int(ratio * n):
+            break
+    return [{"n": -b[0], "i": b[3], "j": b[4], "line": {"vx": b[5], "vy": b[6], "x0": float(x[b[3]]), "y0": float(y[b[3]])}, "refit": huber_of(x[b[7]], y[b[7]]), "inliers": b[7]} for b in best]
+
+
+def searched(points: Column, near: float = INLIER, k: int = TOP_K, least: int = 2, ratio: float | None = None, iterations: int | None = None, seed: int = 0) -> Column:
+    """FOUND: the k best lines through two of a frame's points, the most inliers first, each with its inliers and their
+    Huber fit; none for null or one point.
+
+    iterations: so many pairs drawn with the seed instead of all. ratio: stop early, batch by batch.
+    """
+
+    @F.arrow_udf(FOUND)
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            rows = ((np.empty(0), np.empty(0)) if a is None or not a.is_valid else (a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)) for a, b in zip(xs, ys, strict=True))
+            yield pa.array([best_pairs(x, y, near, k, least, ratio, iterations, seed) for x, y in rows], _FOUND)
+
+    return of(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
 def hypotheses(frames: DataFrame, keys: list[str], points: str = "points", limit: float = INLIER, least: int = 2) -> DataFrame:
     """keys, points, i, j, line, inliers, n: a line through each pair of different points of a frame, the places of the
     points nearer than limit, and their number, where that is least or more."""
@@ -106,39 +191,49 @@ def top_k(hyps: DataFrame, keys: list[str], k: int = TOP_K) -> DataFrame:
     return hyps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def early_stop(hyps: DataFrame, keys: list[str], points: str = "points", batch: int = 50, ratio: float = 0.75) -> DataFrame:
-    """The best hypothesis of the batches, in pair order, up to the first whose best reaches the ratio of all points."""
+def early_stop(hyps: DataFrame, keys: list[str], points: str = "points", batch: int = BATCH, ratio: float = ENOUGH) -> DataFrame:
+    """The best hypothesis of the batches, in pair order, up to the first whose best reaches the ratio of all points.
+
+    All hypotheses are there already: searched() with a ratio is the form that saves the work after the stop.
+    """
     by = W.partitionBy(*keys)
     seq = hyps.withColumn("batch", F.floor((F.row_number().over(by.orderBy("i", "j")) - 1) / batch))
     so_far = F.max("n").over(by.orderBy("batch").rangeBetween(W.unboundedPreceding, W.currentRow))
     enough = F.floor(ratio * F.size(points)).cast("int")
-    seq = seq.withColumn("stop", F.min(F.when(F.col("best") >= enough, F.col("batch"))).over(by)) if "best" in seq.columns else seq.withColumn("best", so_far).withColumn("stop", F.min(F.when(F.col("best") >= enough, F.col("batch"))).over(by))
+    seq = seq.withColumn("best", so_far).withColumn("stop", F.min(F.when(F.col("best") >= enough, F.col("batch"))).over(by))
     kept = seq.filter(F.col("stop").isNull() | (F.col("batch") <= F.col("stop")))
     return kept.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "i", "j"))).filter("rank = 1").drop("best", "stop", "rank")
 
 
-def clusters(hyps: DataFrame, keys: list[str], points: str = "points", overlap: float = OVERLAP) -> DataFrame:
-    """keys, cluster, line, confidence: hypotheses merged greedily, the largest first, each taking those not yet taken
-    whose inliers it shares by more than overlap of the larger of the two; refitted on the union of their inliers.
+def merged(found: Column, points: Column, overlap: float = OVERLAP) -> Column:
+    """array of struct(cluster, line, confidence, n): hypotheses merged greedily, the largest first, each taking those
+    not yet taken whose inliers it shares by more than overlap of the larger of the two; refitted on the union of their
+    inliers; the largest union first, the earlier seed of equals.
 
-    hyps: few a frame, as from top_k().
+    found: few a frame, the most inliers first, as from searched(). Empty for none.
     """
+
+    def of(h: Column) -> Column:
+        zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<array<int>>").alias("unions"))
+
+        def step(s: Column, k: Column) -> Column:
+            seed = h[k]["inliers"]
+            joins = lambda m: (m > k) & ~F.array_contains(s["used"], m) & (F.size(F.array_intersect(seed, h[m]["inliers"])) / F.greatest(F.size(seed), F.size(h[m]["inliers"])) > overlap)
+            members = F.filter(indices(F.size(h)), joins)
+            union = F.array_sort(F.array_distinct(F.flatten(F.concat(F.array(seed), F.transform(members, lambda m: h[m]["inliers"])))))
+            return F.when(F.array_contains(s["used"], k), s).otherwise(F.struct(F.concat(s["used"], F.array(k), members).alias("used"), F.concat(s["unions"], F.array(union)).alias("unions")))
+
+        return F.aggregate(indices(F.size(h)), zero, step, lambda s: s["unions"])
+
+    ordered = F.array_sort(F.transform(let(found, of), lambda u, k: F.struct((-F.size(u)).alias("neg"), k.alias("seed"), u.alias("inliers"))))
+    return F.transform(ordered, lambda c, k: F.struct((k + 1).alias("cluster"), huber(inlier_points(points, c["inliers"])).alias("line"), (F.size(c["inliers"]) / F.size(points)).alias("confidence"), F.size(c["inliers"]).alias("n")))
+
+
+def clusters(hyps: DataFrame, keys: list[str], points: str = "points", overlap: float = OVERLAP) -> DataFrame:
+    """keys, cluster, line, confidence, n: merged() of hypotheses that are rows, few a frame, as from top_k()."""
     entry = F.struct((-F.col("n")).alias("neg"), F.col("i"), F.col("j"), F.col("inliers"))
     per = hyps.groupBy(*keys).agg(F.first(points).alias(points), F.array_sort(F.collect_list(entry)).alias("h"))
-    zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<array<int>>").alias("unions"))
-
-    def step(s: Column, k: Column) -> Column:
-        seed = F.col("h")[k]["inliers"]
-        joins = lambda m: (m > k) & ~F.array_contains(s["used"], m) & (F.size(F.array_intersect(seed, F.col("h")[m]["inliers"])) / F.greatest(F.size(seed), F.size(F.col("h")[m]["inliers"])) > overlap)
-        members = F.filter(F.sequence(F.lit(0), F.size("h") - 1), joins)
-        union = F.array_sort(F.array_distinct(F.flatten(F.concat(F.array(seed), F.transform(members, lambda m: F.col("h")[m]["inliers"])))))
-        return F.when(F.array_contains(s["used"], k), s).otherwise(F.struct(F.concat(s["used"], F.array(k), members).alias("used"), F.concat(s["unions"], F.array(union)).alias("unions")))
-
-    unions = F.aggregate(F.sequence(F.lit(0), F.size("h") - 1), zero, step, lambda s: s["unions"])
-    rows = per.withColumn("unions", unions).select(*keys, points, F.posexplode("unions").alias("seed", "inliers"))
-    rows = rows.withColumn("line", huber(F.transform("inliers", lambda k: F.col(points)[k]))).withColumn("confidence", F.size("inliers") / F.size(points))
-    order = W.partitionBy(*keys).orderBy(F.desc("confidence"), "seed")
-    return rows.withColumn("cluster", F.row_number().over(order)).select(*keys, "cluster", "line", "confidence", F.size("inliers").alias("n"))
+    return per.select(*keys, F.explode(merged(F.col("h"), F.col(points), overlap)).alias("c")).select(*keys, "c.*")
 
 
 def ranked_results(found: DataFrame, keys: list[str], n: int) -> DataFrame:

@@ -17,6 +17,8 @@ CLIP = 8.0
 MAX_STEP, STEP_COST = 3, 0.35
 SEPARATION_PATH, SEPARATION_SKY = 0.38, 0.24
 PATH_MARGIN = 0.18
+#: Fixed value: the weight of texture beside planes of bytes.
+TEXTURE = 96.0
 
 
 def location_scale(values: Column) -> Column:
@@ -131,14 +133,15 @@ def path_candidate(planes: Column, height: int, width: int) -> Column:
 
 
 def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> Column:
-    """struct(line, count, contrast): the line under the top-connected sky, behind its gates; texture: a column.
+    """struct(line, count, contrast): the line under the top-connected sky, behind its gates; texture: a column, which
+    joins the planes as one more feature.
 
     The gates: seeds apart, sky share 0.08 to 0.72, columns with sky 0.58 or more, median boundary 0.10 to 0.86 of the
     height, 16 places or more below, texture contrast 0.035 or more, 8 boundary places or as many as half the columns.
     """
 
     def of(m: Column) -> Column:
-        mask = F.transform(ratio(planes, m), lambda v: F.when(v > 0, 255).otherwise(0))
+        mask = raster.smoothed_by_ellipse(F.transform(ratio(stack, m), lambda v: F.when(v > 0, 255).otherwise(0)), height, width)
 
         def sky(s: Column) -> Column:
             edge = raster.lower_envelope(s, height, width)
@@ -159,12 +162,13 @@ def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> C
 
         return let(raster.top_connected(mask, height, width), sky)
 
-    return let(models(planes, height, width), of)
+    stack = F.concat(F.transform(planes, lambda p: p.cast("array<double>")), F.array(F.transform(texture, lambda v: TEXTURE * v)))
+    return let(models(stack, height, width), of)
 
 
 def texture_map(gray: Column, height: int, width: int) -> Column:
-    """Local means of gradient size, over its 95th percentile and clipped to 1."""
-    size = let(gray, lambda a: F.zip_with(raster.sobel_x(a, height, width), raster.sobel_y(a, height, width), lambda p, q: F.hypot(p, q)))
+    """Local means of gradient size (across and down added), over its 95th percentile and clipped to 1."""
+    size = let(gray, lambda a: F.zip_with(raster.sobel_x(a, height, width), raster.sobel_y(a, height, width), lambda p, q: F.abs(p) + F.abs(q)))
 
     def of(g: Column) -> Column:
         def scaled(s: Column) -> Column:

@@ -62,6 +62,25 @@ def open_(img: Column, height: int, width: int, size: int = 9) -> Column:
     return dilate(erode(img, height, width, size), height, width, size)
 
 
+def _ellipse(img: Column, height: int, width: int, pick) -> Column:
+    """An extreme of the ellipse 5 wide and 3 high: the row's five places and those above and below."""
+
+    def at(a: Column, y: Column, x: Column) -> Column:
+        lo = F.greatest(x - 2, F.lit(0))
+        row = F.slice(a, y * width + lo + 1, F.least(x + 2, F.lit(width - 1)) - lo + 1)
+        return pick(F.concat(row, F.array(a[F.greatest(y - 1, F.lit(0)) * width + x], a[F.least(y + 1, F.lit(height - 1)) * width + x])))
+
+    return _rows(img, height, width, at)
+
+
+def smoothed_by_ellipse(img: Column, height: int, width: int) -> Column:
+    """Close, then open with the 5 x 3 ellipse."""
+    out = img
+    for pick in (F.array_max, F.array_min, F.array_min, F.array_max):
+        out = _ellipse(out, height, width, pick)
+    return out
+
+
 def gradient(img: Column, height: int, width: int) -> Column:
     """Dilation less erosion, 3 x 3."""
     return let(img, lambda a: F.zip_with(dilate(a, height, width, 3), erode(a, height, width, 3), lambda p, q: p - q))
@@ -147,6 +166,22 @@ def area_resize(img: Column, height: int, width: int, by: int) -> Column:
     return let(img, lambda a: F.transform(indices(h * w), lambda i: block(a, i)))
 
 
+def area_resized(img: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """Means of what each new place covers, for any ratio; shares of cut cells are whole numbers until the end."""
+
+    def along(a: Column, rows: int, n: int, m: int) -> Column:
+        def at(i: Column) -> Column:
+            row, k = (i / m).cast("int"), i % m
+            cells = F.sequence(F.floor(k * n / m).cast("int"), F.ceil((k + 1) * n / m).cast("int") - 1)
+            share = lambda j: F.least((k + 1) * n, (j + 1) * m) - F.greatest(k * n, j * m)
+            return F.aggregate(cells, F.lit(0.0), lambda t, j: t + a[row * n + j] * share(j)) / n
+
+        return F.transform(indices(rows * m), at)
+
+    across = let(img, lambda a: along(a, height, width, to_width))
+    return transposed(let(transposed(across, height, to_width), lambda a: along(a, to_width, height, to_height)), to_width, to_height)
+
+
 def nearest_resize(img: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
     at = lambda i: F.floor((i / to_width).cast("int") * height / to_height).cast("int") * width + F.floor((i % to_width) * width / to_width).cast("int")
     return let(img, lambda a: F.transform(indices(to_height * to_width), lambda i: a[at(i)]))

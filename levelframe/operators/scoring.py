@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from levelframe.functions.arrays import let, total
 from levelframe.functions.lines import angle_prior, roll, y_at
+from levelframe.operators.raster import balance
 
 LEAST_SIDE = 16
 FLOORS = {7: 0.15, 8: 0.22, 9: 0.22, 10: 0.22}
@@ -45,16 +46,29 @@ def coherence(planes: Column, ln: Column, width: int, least: int = LEAST_SIDE) -
     return let(let(ln, lambda q: F.transform(planes[0], lambda v, i: F.round(lit(i, q), 9) < 0)), of)
 
 
+def gate(source: Column, raw: Column, ln: Column) -> Column:
+    """Whether a candidate may enter the pool: path and sky candidates have gates on score and roll."""
+    r = roll(ln)
+    return F.when(source == "path", (raw >= PATH_GATE) & (r <= PATH_ROLL)).when(source == "sky", (raw >= SKY_GATE) & (r <= SKY_ROLL)).otherwise(F.lit(True))
+
+
 def admitted(pool: DataFrame) -> DataFrame:
     """The pool without path and sky candidates that miss their gates; needs source, raw, line."""
-    r = roll(F.col("line"))
-    ok = F.when(F.col("source") == "path", (F.col("raw") >= PATH_GATE) & (r <= PATH_ROLL)).when(F.col("source") == "sky", (F.col("raw") >= SKY_GATE) & (r <= SKY_ROLL)).otherwise(F.lit(True))
-    return pool.filter(ok)
+    return pool.filter(gate(F.col("source"), F.col("raw"), F.col("line")))
+
+
+def degenerate(mask_a: Column, mask_b: Column) -> Column:
+    """Both masks have nearly all places in one class: the frame has no horizon."""
+    return (balance(mask_a) >= DEGENERATE) & (balance(mask_b) >= DEGENERATE)
+
+
+def place_of(source: Column, rank: Column) -> Column:
+    """The order in which equal scores win."""
+    return (F.array_position(F.array(*(F.lit(s) for s in SOURCES)), source) * 1000 + rank).cast("int")
 
 
 def with_place(pool: DataFrame) -> DataFrame:
-    """place: the order in which equal scores win."""
-    return pool.withColumn("place", F.array_position(F.array(*(F.lit(s) for s in SOURCES)), F.col("source")) * 1000 + F.col("rank"))
+    return pool.withColumn("place", place_of(F.col("source"), F.col("rank")))
 
 
 def winners(pool: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,11 @@ SMALL = Shape(8, 8, window=3, near=0.75, clip=("clip",))
 
 
 def frames(spark, sf_dir):
-    return with_horizon(table(spark, sf_dir, "embeddings")).withColumn("clip", F.floor(F.col("frame_id") / 50))
+    """Frames cost far more than their bytes: a table of fewer files than there are cores is dealt to all of them."""
+    vectors, cores = table(spark, sf_dir, "embeddings"), spark.sparkContext.defaultParallelism
+    if len(vectors.inputFiles()) < cores:
+        vectors = vectors.repartition(cores)
+    return with_horizon(vectors).withColumn("clip", F.floor(F.col("frame_id") / 50))
 
 
 def _register(name: str):

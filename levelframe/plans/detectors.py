@@ -1,8 +1,11 @@
 """Ten detection pipelines, composed from the operators.
 
 Frames are rows of frame_id, img (the light plane) and raw (a second plane), arrays of height x width. Each pipeline
-returns one row a frame: frame_id, status (failed, no_horizon, line), line, confidence, inliers. The random pairs of
-point-pair search are replaced by all pairs of at most MAX_POINTS points, so that results do not depend on seeds.
+returns one row a frame: frame_id, status (failed, no_horizon, line), line, confidence, inliers. All work is inside the
+frame's row: no pipeline shuffles but a8 to a10, which order the frames of a clip. Point-pair search looks at all pairs
+of at most max_points points, or at so many drawn with a seed as Shape.iterations says.
+
+Frames may bring the planes of a likelihood stack (STACK); without them img and raw are the stack.
 """
 
 from __future__ import annotations
@@ -14,15 +17,21 @@ from pyspark.sql import functions as F
 
 from levelframe.functions import lines
 from levelframe.functions.arrays import let
-from levelframe.operators import fits, likelihood, raster, scoring, temporal
+from levelframe.operators import batches, fits, likelihood, raster, scoring, temporal
 
 LINE = "struct<vx:double,vy:double,x0:double,y0:double>"
 FALLBACK = 0.30
+SCENE_THUMB = (16, 16)
+STACK = ("light", "a", "b", "saturation", "blue_excess")
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Size of the frames, of the morphology window, and the distance of an inlier."""
+    """Size of the frames, of the morphology window, the distance of an inlier, and the parameters of the search.
+
+    iterations: pairs drawn with the seed; None looks at all. enough: the share of points that ends an early-stop search.
+    thumb: (height, width) to which likelihood candidates and scenes reduce their planes; None works on whole frames.
+    """
 
     height: int
     width: int
@@ -30,12 +39,14 @@ class Shape:
     near: float = fits.INLIER
     max_points: int = fits.MAX_POINTS
     clip: tuple[str, ...] = ()
+    iterations: int | None = None
+    seed: int = 0
+    top: int = fits.TOP_K
+    enough: float = fits.ENOUGH
+    thumb: tuple[int, int] | None = None
 
-
-def mask_of(img: Column, s: Shape, opened: bool = True) -> Column:
-    smooth = raster.gaussian(img, s.height, s.width)
-    mask = raster.close(_bind(smooth), s.height, s.width, s.window)
-    return raster.open_(mask, s.height, s.width, s.window) if opened else mask
+    def search(self, points: Column, k: int, ratio: float | None = None) -> Column:
+        return fits.searched(points, self.near, k, ratio=ratio, iterations=self.iterations, seed=self.seed)
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -43,17 +54,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def _bind(img: Column) -> Column:
-    return let(img, lambda a: raster.above(a, raster.otsu_threshold(a)))
-
-
-def boundary_of(mask: Column, s: Shape, oriented: bool = False) -> Column:
-    edge = raster.without_border(raster.gradient(mask, s.height, s.width), s.height, s.width)
-    return raster.oriented(edge, mask, s.height, s.width) if oriented else edge
-
-
 def with_mask(frames: DataFrame, s: Shape, plane: str = "img", mask: str = "mask", opened: bool = True) -> DataFrame:
-    return frames.withColumn(mask, mask_of(F.col(plane), s, opened))
+    return once(frames, mask, batches.masks(F.col(plane), s.height, s.width, s.window, opened))
 
 
 def result(df: DataFrame, line: Column, confidence: Column, inliers: Column, abstain: Column | None = None) -> DataFrame:
@@ -63,11 +65,6 @@ def result(df: DataFrame, line: Column, confidence: Column, inliers: Column, abs
     return out.select("frame_id", "status", F.when(ok, F.col("__l")).alias("line"), F.when(ok, confidence.cast("double")).alias("confidence"), F.when(ok, inliers.cast("int")).alias("inliers"))
 
 
-def every_frame(frames: DataFrame, found: DataFrame, missing: str = "failed") -> DataFrame:
-    """found, and a row for each frame without one."""
-    return frames.select("frame_id").join(found, "frame_id", "left").withColumn("status", F.coalesce("status", F.lit(missing)))
-
-
 def a1(frames: DataFrame, s: Shape) -> DataFrame:
     """Columns' first ground row, least squares."""
     df = with_mask(frames, s, opened=False).withColumn("points", raster.column_scan(F.col("mask"), s.height, s.width)).withColumn("f", fits.ols(F.col("points")))
@@ -75,10 +72,9 @@ def a1(frames: DataFrame, s: Shape) -> DataFrame:
     return result(df, line, F.lit(1.0), F.size("points"))
 
 
-def with_points(frames: DataFrame, s: Shape, plane: str = "img", oriented: bool = False) -> DataFrame:
+def with_points(frames: DataFrame, s: Shape, plane: str = "img", mask: str = "mask", points: str = "points", oriented: bool = False) -> DataFrame:
     """frames with the plane's mask and boundary points."""
-    df = with_mask(frames, s, plane)
-    return df.withColumn("points", let(F.col("mask"), lambda m: raster.points(boundary_of(m, s, oriented), s.width)))
+    return once(with_mask(frames, s, plane, mask), points, batches.boundaries(F.col(mask), s.height, s.width, oriented))
 
 
 def a2(frames: DataFrame, s: Shape) -> DataFrame:
@@ -87,17 +83,26 @@ def a2(frames: DataFrame, s: Shape) -> DataFrame:
     return result(df, fits.huber(F.col("points")), F.lit(1.0), F.size("points"))
 
 
+def sampled(df: DataFrame, points: str, s: Shape) -> DataFrame:
+    return once(df, points, fits.subsample(F.col(points), F.col("frame_id"), s.max_points))
+
+
 def clustered(frames: DataFrame, s: Shape, cap: bool) -> DataFrame:
+    """frame_id, clusters: array of struct(cluster, line, confidence, n), the surest first."""
     df = with_points(frames, s).select("frame_id", "points")
-    if cap:
-        df = df.withColumn("points", fits.subsample(F.col("points"), F.col("frame_id"), s.max_points))
-    return fits.clusters(fits.top_k(fits.hypotheses(df, ["frame_id"], limit=s.near), ["frame_id"]), ["frame_id"])
+    df = sampled(df, "points", s) if cap else df
+    return df.withColumn("found", s.search(F.col("points"), s.top)).select("frame_id", fits.merged(F.col("found"), F.col("points")).alias("clusters"))
+
+
+def top_n(frames: DataFrame, s: Shape, n: int, cap: bool = True) -> DataFrame:
+    """frame_id, results: the n surest clusters of each frame; empty where none is."""
+    return clustered(frames, s, cap).select("frame_id", F.slice("clusters", 1, n).alias("results"))
 
 
 def a3(frames: DataFrame, s: Shape, cap: bool = False) -> DataFrame:
     """Point pairs, clustered by shared inliers, the largest cluster."""
-    best = clustered(frames, s, cap).filter("cluster = 1")
-    return every_frame(frames, result(best, F.col("line"), F.col("confidence"), F.col("n")))
+    best = once(clustered(frames, s, cap), "c", F.get("clusters", F.lit(0)))
+    return result(best, F.col("c.line"), F.col("c.confidence"), F.col("c.n"))
 
 
 def a4(frames: DataFrame, s: Shape) -> DataFrame:
@@ -105,61 +110,82 @@ def a4(frames: DataFrame, s: Shape) -> DataFrame:
     return a3(frames, s, cap=True)
 
 
-def best_of(frames: DataFrame, s: Shape, plane: str = "img") -> DataFrame:
-    df = with_points(frames, s, plane).select("frame_id", "points").withColumn("points", fits.subsample(F.col("points"), F.col("frame_id"), s.max_points))
-    best = fits.early_stop(fits.hypotheses(df, ["frame_id"], limit=s.near), ["frame_id"])
-    return once(best, "fit", fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))).withColumn("confidence", F.col("n") / F.size("points"))
+def with_best(frames: DataFrame, s: Shape, plane: str, name: str) -> DataFrame:
+    """frames with struct(line, confidence, n) of the plane's early-stop search, null where no pair fits."""
+    points = f"__points_{name}"
+    df = sampled(with_points(frames, s, plane, "__mask", points).drop("__mask"), points, s)
+    df = df.withColumn("__found", s.search(F.col(points), 1, s.enough))
+    best, p = F.get("__found", F.lit(0)), F.col(points)
+    found = F.struct(best["refit"].alias("line"), (best["n"] / F.size(p)).alias("confidence"), best["n"].alias("n"))
+    return once(df, name, F.when(F.size("__found") > 0, found)).drop(points, "__found")
 
 
 def a5(frames: DataFrame, s: Shape) -> DataFrame:
     """The best point pair of the batches up to the first that is good enough."""
-    return every_frame(frames, result(best_of(frames, s), F.col("fit"), F.col("confidence"), F.col("n")))
+    df = with_best(frames, s, "img", "best")
+    return result(df, F.col("best.line"), F.col("best.confidence"), F.col("best.n"))
+
+
+def surer(first: Column, second: Column) -> Column:
+    """Of two structs with a confidence the greater, the first of equals; null where neither is or the confidence is
+    below FALLBACK."""
+    won = F.when(F.coalesce(second["confidence"] > first["confidence"], first.isNull()), second).otherwise(first)
+    return F.when(won["confidence"] >= FALLBACK, won)
 
 
 def a6(frames: DataFrame, s: Shape) -> DataFrame:
     """As a5 on both planes, the surer one; below FALLBACK the row with the most vertical change."""
-    part = lambda plane, place: best_of(frames, s, plane).select("frame_id", F.lit(place).alias("place"), "fit", "confidence", "n")
-    both = part("img", 0).unionByName(part("raw", -1))
-    best = both.groupBy("frame_id").agg(F.max_by(F.struct("fit", "confidence", "n"), F.struct("confidence", "place")).alias("b"))
-    df = frames.select("frame_id", "img").join(best, "frame_id", "left")
-    low = F.coalesce(F.col("b.confidence") < FALLBACK, F.lit(True))
+    df = with_best(with_best(frames, s, "img", "best_l"), s, "raw", "best_b")
+    df = once(df, "best", surer(F.col("best_l"), F.col("best_b")))
     flat = lines.line(1.0, 0.0, 0.0, raster.row_energy_peak(F.col("img"), s.height, s.width))
-    return result(df, F.when(low, flat).otherwise(F.col("b.fit")), F.when(low, 0.0).otherwise(F.col("b.confidence")), F.when(low, 0).otherwise(F.col("b.n")))
+    return result(df, F.coalesce(F.col("best.line"), flat), F.coalesce("best.confidence", F.lit(0.0)), F.coalesce("best.n", F.lit(0)))
+
+
+def reduced(plane: Column, s: Shape, to: tuple[int, int] | None) -> Column:
+    return plane if to is None else raster.area_resized(plane, s.height, s.width, *to)
 
 
 def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
-    """frame_id, degenerate and candidates of each frame: the best point pairs of both planes, and by choice the line
-    of the likeliest boundary path and that under the top-connected sky. The score is region coherence."""
-    both = frames.withColumn("mask_l", mask_of(F.col("img"), s)).withColumn("mask_b", mask_of(F.col("raw"), s))
-    both = both.withColumn("degenerate", (raster.balance(F.col("mask_l")) >= scoring.DEGENERATE) & (raster.balance(F.col("mask_b")) >= scoring.DEGENERATE)).withColumn("planes", F.array("img", "raw"))
-    for mask in ("mask_l", "mask_b"):
-        pts = let(F.col(mask), lambda m: raster.points(boundary_of(m, s, oriented=True), s.width))
-        both = both.withColumn(f"points_{mask}", fits.subsample(pts, F.col("frame_id"), s.max_points))
-    # every source of candidates reads the masks and points: they are kept, and lost parts are made again
-    both = both.persist()
-    live = both.filter("NOT degenerate")
+    """frame_id, degenerate, thumb and candidates of each frame: the best point pairs of both planes, and by choice the
+    line of the likeliest boundary path and that under the top-connected sky. The score is region coherence.
+
+    Candidates carry the refit line, which is what a later frame compares with. A degenerate frame has none.
+    """
+    stack = F.array(*STACK) if set(STACK) <= set(frames.columns) else F.array("img", "raw")
+    both = frames.withColumn("planes", F.array("img", "raw"))
+    for name, plane in (("L", "img"), ("b", "raw")):
+        both = with_mask(both, s, plane, f"mask_{name}")
+    both = both.withColumn("degenerate", scoring.degenerate(F.col("mask_L"), F.col("mask_b")))
     parts = []
-    for name, mask in (("L", "mask_l"), ("b", "mask_b")):
-        top = fits.top_k(fits.hypotheses(live.select("frame_id", F.col(f"points_{mask}").alias("points")), ["frame_id"], limit=s.near), ["frame_id"])
-        refit = fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))
-        parts.append(top.select("frame_id", F.lit(name).alias("source"), "rank", "line", refit.alias("refit"), F.col("n").alias("count")))
-    if path:
-        one = once(live, "c", likelihood.path_candidate(F.col("planes"), s.height, s.width)).filter("c IS NOT NULL")
-        parts.append(one.select("frame_id", F.lit("path").alias("source"), F.lit(1).alias("rank"), "c.line", F.col("c.line").alias("refit"), "c.count"))
-    if sky:
-        texture = likelihood.texture_map(F.col("img"), s.height, s.width)
-        one = once(once(live, "texture", texture), "c", likelihood.sky_candidate(F.col("planes"), F.col("texture"), s.height, s.width)).filter("c IS NOT NULL")
-        parts.append(one.select("frame_id", F.lit("sky").alias("source"), F.lit(1).alias("rank"), "c.line", F.col("c.line").alias("refit"), "c.count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = once(out.join(live.select("frame_id", "planes"), "frame_id"), "raw", scoring.coherence(F.col("planes"), F.col("line"), s.width, min(scoring.LEAST_SIDE, s.height * s.width // 4)))
-    out = scoring.with_place(scoring.admitted(out)).withColumn("place", F.col("place").cast("int"))
-    # candidates carry the refit line, which is what a later frame compares with
-    per = out.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("place", "source", "raw", F.col("refit").alias("line"), "count"))).alias("c"))
-    cast = F.transform("c", lambda c: F.struct(c["source"].alias("source"), c["place"].alias("place"), c["raw"].alias("raw"), c["line"].cast(LINE).alias("line"), c["count"].cast("int").alias("count")))
-    empty = F.array().cast(f"array<{temporal.CANDIDATE}>")
-    return both.select("frame_id", "degenerate", "img", *s.clip).join(per.select("frame_id", cast.alias("candidates")), "frame_id", "left").withColumn("candidates", F.coalesce("candidates", empty))
+    of_source = lambda name: lambda c, k: one(name, k + 1, c["line"], c["refit"], c["n"])
+    one = lambda source, rank, ln, refit, n: F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), ln.cast(LINE).alias("line"), refit.cast(LINE).alias("refit"), n.cast("int").alias("count"))
+    for name in ("L", "b"):
+        live_mask = F.when(~F.col("degenerate"), F.col(f"mask_{name}"))
+        both = sampled(once(both, f"points_{name}", batches.boundaries(live_mask, s.height, s.width, oriented=True)), f"points_{name}", s)
+        both = once(both, f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
+        parts.append(F.transform(f"found_{name}", of_source(name)))
+
+    h, w = s.thumb or (s.height, s.width)
+    if path or sky:
+        both = once(both, "stack", F.when(~F.col("degenerate"), F.transform(stack, lambda p: reduced(p, s, s.thumb))))
+    for wanted, name in ((path, "path"), (sky, "sky")):
+        if not wanted:
+            continue
+        if name == "path":
+            found = likelihood.path_candidate(F.col("stack"), h, w)
+        else:
+            both = once(both, "texture", F.when(~F.col("degenerate"), likelihood.texture_map(F.get("stack", F.lit(0)), h, w)))
+            found = likelihood.sky_candidate(F.col("stack"), F.col("texture"), h, w)
+        both = once(both, name, F.when(~F.col("degenerate"), found))
+        ln = lines.rescaled(F.col(f"{name}.line"), s.width / w, s.height / h)
+        parts.append(F.when(F.col(name).isNotNull(), F.array(one(name, F.lit(1), ln, ln, F.col(f"{name}.count")))).otherwise(F.array()))
+    least = min(scoring.LEAST_SIDE, s.height * s.width // 4)
+    both = once(both, "all", F.coalesce(F.concat(*parts), F.array()))
+    both = both.withColumn("raws", batches.coherences(F.col("planes"), F.transform("all", lambda c: c["line"]), s.width, least))
+    both = once(both, "scored", F.zip_with("raws", "all", lambda raw, c: F.struct(raw.alias("raw"), c.alias("c"))))
+    live = F.filter("scored", lambda q: scoring.gate(q["c"]["source"], q["raw"], q["c"]["line"]))
+    as_candidate = F.transform(live, lambda q: F.struct(q["c"]["source"].alias("source"), scoring.place_of(q["c"]["source"], q["c"]["rank"]).alias("place"), q["raw"].alias("raw"), q["c"]["refit"].alias("line"), q["c"]["count"].alias("count")))
+    return both.select("frame_id", "degenerate", reduced(F.col("img"), s, s.thumb and SCENE_THUMB).alias("thumb"), *s.clip, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
 
 
 def _chosen(df: DataFrame) -> DataFrame:
@@ -175,7 +201,7 @@ def a7(frames: DataFrame, s: Shape) -> DataFrame:
 
 def smoothed(frames: DataFrame, s: Shape, path: bool, sky: bool, floor: float) -> DataFrame:
     """The pool's winners with the line before as a prior, scene by scene, frames in the order of frame_id."""
-    df = temporal.scenes(pool(frames, s, path, sky), ["frame_id"], "img", list(s.clip))
+    df = temporal.scenes(pool(frames, s, path, sky), ["frame_id"], "thumb", list(s.clip))
     return _chosen(temporal.fold(df, [*s.clip, "scene"], "frame_id", s.height, s.width, floor))
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from levelframe.functions import lines
 from levelframe.operators import fits, likelihood, raster, scoring
+from levelframe.plans import detectors
 from levelframe.plans.raster_queries import H, MASK, OTSU, PX, SYNTH, W_, masked
 from levelframe.plans.registry import query
 from levelframe.session import table
-from levelframe.sources.tables import pixels, with_horizon
+from levelframe.sources.tables import grids, pixels, with_horizon
 
 #: Inlier distance on frames of eight rows.
 NEAR = 0.75
@@ -115,14 +116,10 @@ def subsampled_points(spark, sf_dir):
 SELECT frame_id, CASE WHEN greatest(a, b) < 0.3::DOUBLE THEN 'rows' WHEN a >= b THEN 'gray' ELSE 'blue' END AS channel, round(CASE WHEN greatest(a, b) < 0.3::DOUBLE THEN 0 ELSE greatest(a, b) END, 6) AS confidence FROM c""")
 def channel_pick(spark, sf_dir):
     """The channel with the greater confidence, the first of equals; below 0.3 the row scan with none."""
-    from levelframe.sources.tables import grids
-
     rows = grids(table(spark, sf_dir, "embeddings"))
-    share = lambda f: F.size(F.filter("img", f)) / 64.0
-    both = F.array(F.struct(share(lambda v: v > 140).alias("c"), F.lit(0).alias("k"), F.lit("gray").alias("channel")), F.struct(share(lambda v: v < 90).alias("c"), F.lit(-1).alias("k"), F.lit("blue").alias("channel")))
-    best = rows.select("frame_id", F.array_max(both).alias("b"))
-    low = F.col("b.c") < 0.3
-    return best.select("frame_id", F.when(low, "rows").otherwise(F.col("b.channel")).alias("channel"), r(F.when(low, 0.0).otherwise(F.col("b.c"))).alias("confidence"))
+    share = lambda f, channel: F.struct((F.size(F.filter("img", f)) / 64.0).alias("confidence"), F.lit(channel).alias("channel"))
+    best = rows.select("frame_id", detectors.surer(share(lambda v: v > 140, "gray"), share(lambda v: v < 90, "blue")).alias("b"))
+    return best.select("frame_id", F.coalesce("b.channel", F.lit("rows")).alias("channel"), r(F.coalesce("b.confidence", F.lit(0.0))).alias("confidence"))
 
 
 BANDS = f"""{SYNTH}, raw AS (SELECT vec_id AS frame_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(floor(least(greatest((CAST(embedding[i] AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE, 0.0::DOUBLE), 0.999999::DOUBLE) * 256) AS INTEGER) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
