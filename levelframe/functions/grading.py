@@ -17,6 +17,11 @@ def passes(gt_horizon: Column, pred_horizon: Column, failed: Column, angle: Colu
     return ~failed & (gt_horizon == pred_horizon) & (~gt_horizon | near)
 
 
+def angle_verdict(angle: Column) -> Column:
+    """PASS or FAIL by the angle alone, NONE without a line or a label."""
+    return F.when(angle.isNull(), "NONE").when(angle < MAX_ANGLE, "PASS").otherwise("FAIL")
+
+
 def angle_bin(slope: Column) -> Column:
     d = F.abs(F.degrees(F.atan(slope)))
     return F.when(d < 15, "flat").when(d < 45, "moderate").otherwise("steep")

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for part in ("evaluation_queries", "raster_queries", "fit_queries", "detector_queries"):
+    for part in ("evaluation_queries", "raster_queries", "fit_queries", "feature_queries", "detector_queries"):
         import_module(f"levelframe.plans.{part}")
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from levelframe.operators.scoring import SKY_BOOST, SKY_GATE
 from levelframe.operators.temporal import SCENE_DIFFERENCE, WEIGHT
 
 RESULT = "clip string, seq long, continuous boolean, scene int, vx double, vy double, x0 double, y0 double, score double"
@@ -35,27 +37,39 @@ def prior(line, before, height: float) -> float:
     return math.exp(-((min(d, 180 - d) / 8.0) ** 2 + (abs(p - q) / height / 0.14) ** 2))
 
 
-def carried(frames: DataFrame, height: float, floor: float) -> DataFrame:
-    """frames (clip, seq, thumb array<double>, candidates array<struct<raw, vx, vy, x0, y0>>) as a stream of results:
-    the winner of each frame, null where it abstains, and the scene it is in."""
+def _y_at(c, x: float) -> float:
+    return c["y0"] + c["vy"] / c["vx"] * (x - c["x0"]) if abs(c["vx"]) > 1e-6 else c["y0"]
+
+
+def chosen(candidates, before, height: float, width: float, floor: float):
+    """The winner of a frame's candidates as temporal.chosen has it: boosts, the sky override, and the floors."""
+    if not candidates:
+        return None
+    boost = lambda c: SKY_BOOST if c["source"] == "sky" else 1.0
+    scored = [(round(c["raw"] * boost(c) * (1 + WEIGHT * prior((c["vx"], c["vy"], c["x0"], c["y0"]), before, height)), 9), -k, c) for k, c in enumerate(candidates)]
+    best = max(scored, key=lambda t: t[:2])[2]
+    sky = next((c for c in candidates if c["source"] == "sky"), None)
+    if sky is not None and best["source"] != "sky" and sky["raw"] >= SKY_GATE and sky["raw"] >= 0.72 * best["raw"] and _y_at(best, width / 2) - _y_at(sky, width / 2) >= 0.08 * height:
+        best = sky
+    return best if best["raw"] >= floor and best["count"] >= 2 else None
+
+
+def carried(frames: DataFrame, height: float, width: float, floor: float) -> DataFrame:
+    """frames (clip, seq, thumb array<double>, candidates array<struct<source, raw, vx, vy, x0, y0, count>> in the
+    order in which equals win) as a stream of results: the winner of each frame, null where it abstains, and its scene."""
 
     def step(key, batches, state: GroupState):
         thumb, scene, before = state.get if state.exists else (None, -1, None)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, new, candidates in zip(rows["seq"], rows["thumb"], rows["candidates"], strict=True):
-            near = thumb is not None and sum(abs(a - b) for a, b in zip(thumb, new, strict=True)) / len(new) <= SCENE_DIFFERENCE
+            near = thumb is not None and float(np.abs(np.asarray(thumb) - np.asarray(new)).mean()) <= SCENE_DIFFERENCE
             if not near:
                 scene, before = scene + 1, None
             thumb = [float(v) for v in new]
-            scored = [(round(c["raw"] * (1 + WEIGHT * prior((c["vx"], c["vy"], c["x0"], c["y0"]), before, height)), 9), -k, c) for k, c in enumerate(candidates)]
-            best = max(scored, key=lambda t: t[:2])[2] if scored else None
-            if best is None or best["raw"] < floor:
-                before = None
-                out.append((key[0], seq, near, scene, None, None, None, None, None))
-            else:
-                before = [best["vx"], best["vy"], best["x0"], best["y0"]]
-                out.append((key[0], seq, near, scene, *before, float(best["raw"])))
+            best = chosen(list(candidates), before, height, width, floor)
+            before = None if best is None else [best["vx"], best["vy"], best["x0"], best["y0"]]
+            out.append((key[0], seq, near, scene, *(before or [None] * 4), None if best is None else float(best["raw"])))
         state.update((thumb, scene, before))
         yield pd.DataFrame(out, columns=["clip", "seq", "continuous", "scene", "vx", "vy", "x0", "y0", "score"])
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from levelframe.functions import lines
-from levelframe.operators import evaluation, fits, raster, temporal
+from levelframe.operators import batches, evaluation, fits, raster, scoring, temporal
 from levelframe.plans import detectors
 from levelframe.sources import tables
 
@@ -23,7 +23,7 @@ def frames(spark, *planes):
 
 def test_pipelines_find_a_known_line(spark):
     df = frames(spark, half_plane(0.3, 0.4), half_plane(-0.2, 0.6))
-    for name in ("a1", "a2", "a5"):
+    for name in detectors.REGISTRY:
         got = {r.frame_id: r for r in detectors.REGISTRY[name][0](df, SHAPE).select("frame_id", "status", lines.folded_angle(F.col("line")).alias("deg"), lines.y_at(F.col("line"), F.lit(N / 2)).alias("y")).collect()}
         for k, (slope, offset) in enumerate(((0.3, 0.4), (-0.2, 0.6))):
             assert got[k].status == "line"
@@ -36,6 +36,20 @@ def test_flat_frame_fails(spark):
     assert detectors.a1(df, SHAPE).first().status == "failed"
     assert detectors.a5(df, SHAPE).first().status == "failed"
     assert detectors.a6(df, SHAPE).first().status == "line"
+    assert detectors.a3(df, SHAPE).first().status == "failed"
+    assert {name: detectors.REGISTRY[name][0](df, SHAPE).first().status for name in ("a7", "a10")} == {"a7": "no_horizon", "a10": "no_horizon"}
+    assert detectors.top_n(df, SHAPE, 3).first().results == []
+
+
+def test_seeded_search_thumbnails_and_five_planes(spark):
+    df = frames(spark, half_plane(0.3, 0.4)).withColumns({k: F.col("img") for k in detectors.STACK})
+    s = detectors.Shape(N, N, window=5, near=1.0, max_points=40, iterations=60, seed=3, thumb=(9, 12))
+    for f in (detectors.a5, detectors.a10):
+        r = f(df, s).select("status", lines.folded_angle(F.col("line")).alias("deg")).first()
+        assert r.status == "line" and abs(r.deg - np.degrees(np.arctan(0.3))) < 3
+    sky = detectors.pool(df, s, True, True).select(F.filter("candidates", lambda c: c["source"].isin("path", "sky")).alias("c")).first().c
+    assert sky and all(abs(np.degrees(np.arctan2(c.line.vy, c.line.vx)) - 16.7) < 6 for c in sky)
+    assert len(detectors.top_n(df, s, 2).first().results) in (1, 2)
 
 
 def test_otsu_and_components(spark):
@@ -76,18 +90,58 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     from levelframe.streaming.temporal import carried
 
     rng = np.random.default_rng(3)
-    rows = [(f"c{k % 2}", k, [float(rng.integers(0, 40))], [(float(rng.random()), 1.0, float(rng.normal()), 0.0, float(rng.integers(0, 24))) for _ in range(3)]) for k in range(40)]
-    schema = "clip string, seq long, thumb array<double>, candidates array<struct<raw:double,vx:double,vy:double,x0:double,y0:double>>"
+    rows = [(f"c{k % 2}", k, [float(rng.integers(0, 40))], [(source, float(3 * rng.random()), 1.0, float(rng.normal() / 4), 0.0, float(rng.integers(0, 24)), int(rng.integers(1, 9))) for source in ("L", "b", "sky")[: rng.integers(0, 4)]]) for k in range(80)]
+    schema = "clip string, seq long, thumb array<double>, candidates array<struct<source:string,raw:double,vx:double,vy:double,x0:double,y0:double,count:int>>"
     df = spark.createDataFrame(rows, schema)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = carried(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 24.0, 0.3).writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = carried(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 24.0, 24.0, 0.3).writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     stream = {r.seq: r.score for r in spark.table("carried").collect()}
-    pool = F.transform("candidates", lambda c, k: F.struct(F.lit("L").alias("source"), (k + 1).cast("int").alias("place"), c["raw"].alias("raw"), F.struct(c["vx"].alias("vx"), c["vy"].alias("vy"), c["x0"].alias("x0"), c["y0"].alias("y0")).alias("line"), F.lit(5).alias("count")))
+    pool = F.transform("candidates", lambda c, k: F.struct(c["source"].alias("source"), (k + 1).cast("int").alias("place"), c["raw"].alias("raw"), F.struct(c["vx"].alias("vx"), c["vy"].alias("vy"), c["x0"].alias("x0"), c["y0"].alias("y0")).alias("line"), c["count"].alias("count")))
     scened = temporal.scenes(df.withColumn("candidates", pool), ["seq"], clip=["clip"])
     batch = {r.seq: r.result and r.result.raw for r in temporal.fold(scened, ["clip", "scene"], "seq", 24, 24, 0.3).collect()}
-    assert batch == stream
+    assert batch == stream and None in batch.values()
+
+
+def test_batch_kernels_give_the_values_of_the_expressions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [int(v) for v in np.clip(np.array(half_plane(0.1 * k - 0.3, 0.5)) + rng.normal(0, 40, N * N), 0, 255)] if k else None) for k in range(6)]
+    df = spark.createDataFrame(rows, "frame_id long, img array<int>")
+    got = df.withColumn("m", batches.masks(F.col("img"), N, N, 5)).withColumn("p", batches.boundaries(F.col("m"), N, N, True)).collect()
+    smooth = raster.gaussian(F.col("img"), N, N)
+    want = detectors.once(df, "s", smooth).withColumn("m", raster.open_(raster.close(raster.above(F.col("s"), raster.otsu_threshold(F.col("s"))), N, N, 5), N, N, 5))
+    want = detectors.once(want, "m", F.col("m")).withColumn("e", raster.without_border(raster.gradient(F.col("m"), N, N), N, N))
+    want = detectors.once(want, "e", F.col("e")).withColumn("p", raster.points(raster.oriented(F.col("e"), F.col("m"), N, N), N)).filter("frame_id > 0").collect()
+    by = {r.frame_id: r for r in got}
+    assert by[0].m is None and by[0].p is None
+    assert all(by[r.frame_id].m == r.m and by[r.frame_id].p == r.p for r in want) and len(want) == 5
+    ln = "struct<vx:double,vy:double,x0:double,y0:double>"
+    both = spark.createDataFrame([(1, [rows[1][1], rows[2][1]], [(1.0, 0.2, 0.0, 8.0), (0.2, 1.0, 9.0, 3.0), (1.0, 0.0, 0.0, -5.0)]), (2, None, None)], f"k int, planes array<array<int>>, ls array<{ln}>")
+    plain = both.filter("k = 1").select(F.transform("ls", lambda q: scoring.coherence(F.col("planes"), q, N)).alias("c")).first().c
+    ours = {r.k: r.c for r in both.select("k", batches.coherences(F.col("planes"), F.col("ls"), N).alias("c")).collect()}
+    assert np.allclose(plain, ours[1]) and ours[1][2] == -1.0 and ours[2] == []
+
+
+def test_search_in_the_row(spark):
+    rng = np.random.default_rng(9)
+    cases = [[(float(x), float(y)) for x, y in rng.integers(0, 12, (n, 2))] for n in (0, 1, 2, 9, 30)] + [[(2.0, 2.0)] * 4, None]
+    df = spark.createDataFrame(list(enumerate(cases)), f"frame_id int, points {fits.POINTS}")
+    found = {r.frame_id: r for r in df.select("frame_id", fits.searched(F.col("points"), 1.0, 5).alias("h"), fits.searched(F.col("points"), 1.0, 5, iterations=20, seed=7).alias("s"), fits.searched(F.col("points"), 1.0, 5, iterations=20, seed=7).alias("again")).collect()}
+    want = {}
+    for r in fits.top_k(fits.hypotheses(df, ["frame_id"], limit=1.0), ["frame_id"], 5).withColumn("refit", fits.huber(fits.inlier_points(F.col("points"), F.col("inliers")))).orderBy("frame_id", "rank").collect():
+        want.setdefault(r.frame_id, []).append(r)
+    for k, r in found.items():
+        assert [(h.n, h.i, h.j, h.inliers) for h in r.h] == [(h.n, h.i, h.j, h.inliers) for h in want.get(k, [])]
+        assert all(np.allclose(h.refit, w.refit, atol=1e-6) for h, w in zip(r.h, want.get(k, []), strict=True))
+        assert r.s == r.again and len({(h.i, h.j) for h in r.s}) == len(r.s) and all(h.i < h.j for h in r.s)
+    assert len(found[2].s) == 1 and found[5].h == []
+
+
+def test_early_stop_saves_the_later_batches():
+    x, y = np.r_[np.arange(30.0), 5.0, 6.0], np.r_[np.zeros(30), 9.0, 3.0]
+    assert fits.best_pairs(x, y, 0.5, 1, 2, 0.75, None, 0)[0]["n"] == 30
+    assert fits.best_pairs(x[::-1], y[::-1], 0.5, 1, 2, 0.01, None, 0)[0]["n"] < 30
 
 
 def test_early_stop_and_clusters(spark):
