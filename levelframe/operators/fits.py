@@ -156,6 +156,12 @@ def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ra
     return [{"n": -b[0], "i": b[3], "j": b[4], "line": {"vx": b[5], "vy": b[6], "x0": float(x[b[3]]), "y0": float(y[b[3]])}, "refit": huber_of(x[b[7]], y[b[7]]), "inliers": b[7]} for b in best]
 
 
+def _rows(xs: pa.Array, ys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The coordinates of each row; none for null."""
+    for a, b in zip(xs, ys, strict=True):
+        yield (a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)) if a.is_valid else (np.empty(0), np.empty(0))
+
+
 def searched(points: Column, near: float = INLIER, k: int = TOP_K, least: int = 2, ratio: float | None = None, iterations: int | None = None, seed: int = 0) -> Column:
     """FOUND: the k best lines through two of a frame's points, the most inliers first, each with its inliers and their
     Huber fit; none for null or one point.
@@ -166,8 +172,18 @@ def searched(points: Column, near: float = INLIER, k: int = TOP_K, least: int =
     @F.arrow_udf(FOUND)
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
-            rows = ((np.empty(0), np.empty(0)) if a is None or not a.is_valid else (a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)) for a, b in zip(xs, ys, strict=True))
-            yield pa.array([best_pairs(x, y, near, k, least, ratio, iterations, seed) for x, y in rows], _FOUND)
+            yield pa.array([best_pairs(x, y, near, k, least, ratio, iterations, seed) for x, y in _rows(xs, ys)], _FOUND)
+
+    return of(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
+def huber_batched(points: Column) -> Column:
+    """huber() on Arrow batches, for many points; it can't stand inside lambdas."""
+
+    @F.arrow_udf("struct<vx:double,vy:double,x0:double,y0:double>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            yield pa.array([huber_of(x, y) if len(x) >= 2 else None for x, y in _rows(xs, ys)], _LINE)
 
     return of(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 

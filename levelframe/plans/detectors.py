@@ -80,7 +80,7 @@ def with_points(frames: DataFrame, s: Shape, plane: str = "img", mask: str = "ma
 def a2(frames: DataFrame, s: Shape) -> DataFrame:
     """Robust orthogonal fit of all boundary points."""
     df = with_points(frames, s)
-    return result(df, fits.huber(F.col("points")), F.lit(1.0), F.size("points"))
+    return result(once(df, "fit", fits.huber_batched(F.col("points"))), F.col("fit"), F.lit(1.0), F.size("points"))
 
 
 def sampled(df: DataFrame, points: str, s: Shape) -> DataFrame:

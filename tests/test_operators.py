@@ -138,6 +138,14 @@ def test_search_in_the_row(spark):
     assert len(found[2].s) == 1 and found[5].h == []
 
 
+def test_batched_huber_fit(spark):
+    rng = np.random.default_rng(2)
+    cases = [[(float(x), float(y)) for x, y in rng.normal(0, 9, (n, 2))] for n in (0, 1, 2, 40)] + [None]
+    df = spark.createDataFrame(list(enumerate(cases)), f"k int, p {fits.POINTS}")
+    got = {r.k: (r.a, r.b) for r in df.select("k", fits.huber(F.col("p")).alias("a"), fits.huber_batched(F.col("p")).alias("b")).collect()}
+    assert all(got[k] == (None, None) for k in (0, 1, 4)) and all(np.allclose(*got[k], atol=1e-9) for k in (2, 3))
+
+
 def test_early_stop_saves_the_later_batches():
     x, y = np.r_[np.arange(30.0), 5.0, 6.0], np.r_[np.zeros(30), 9.0, 3.0]
     assert fits.best_pairs(x, y, 0.5, 1, 2, 0.75, None, 0)[0]["n"] == 30
