@@ -1,12 +1,14 @@
 """The raster, fit and scoring kernels of the detection pipelines on Arrow batches, for frames of any size.
 
 Each is a column expression like those of raster, fits and scoring and gives the same values; the work is numpy on one
-frame at a time, so that memory is bounded by a frame. A null frame gives null. They can't stand inside lambdas.
+frame at a time, and Spark bounds a batch by its bytes. A null frame gives null. They can't stand inside lambdas.
+clocked() forms give struct(value, ms) with the milliseconds that the frame took in the kernel.
 """
 
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +16,45 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from levelframe.operators import fits, scoring
+from levelframe.functions.lines import VERTICAL
+from levelframe.operators import fits, regions, scoring
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_LINE = pa.struct([(k, pa.float64()) for k in ("vx", "vy", "x0", "y0")])
+_CANDIDATE = pa.struct([("line", _LINE), ("count", pa.int32()), ("score", pa.float64())])
+LINE = "struct<vx:double,vy:double,x0:double,y0:double>"
+CANDIDATE = f"struct<line:{LINE},count:int,score:double>"
+
+
+def _plain(v: pa.Scalar):
+    """A list as an array, a list of lists as a list of arrays, anything else as a Python value."""
+    if not v.is_valid:
+        return None
+    if not pa.types.is_list(v.type):
+        return v.as_py()
+    inner = v.values
+    return [_plain(x) for x in inner] if pa.types.is_list(inner.type) else inner.to_pylist() if pa.types.is_struct(inner.type) else inner.to_numpy(zero_copy_only=False)
+
+
+def _listed(values: list, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, kind)
+
+
+def clocked(kind: str, arrow: pa.DataType, of_row: Callable, *inputs: Column, build: Callable = _listed) -> Column:
+    """struct(value, ms) of of_row(inputs of a row): null where it gives None; build makes an array of the values."""
+
+    @F.arrow_udf(f"struct<value:{kind},ms:double>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            values, took = [], []
+            for row in zip(*rows.flatten(), strict=True):
+                given = [_plain(v) for v in row]
+                began = time.perf_counter()
+                values.append(of_row(*given))
+                took.append((time.perf_counter() - began) * 1000)
+            yield pa.StructArray.from_arrays([build(values, arrow), pa.array(took, pa.float64())], ["value", "ms"])
+
+    return of(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(inputs))))
 
 
 def _reflected(a: np.ndarray, taps: tuple, axis: int) -> np.ndarray:
@@ -24,38 +62,33 @@ def _reflected(a: np.ndarray, taps: tuple, axis: int) -> np.ndarray:
     r = len(taps) // 2
     padded = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="reflect")
     n = a.shape[axis]
-    return sum(t * padded.take(range(k, k + n), axis) for k, t in enumerate(taps) if t)
-
-
-def _extreme(a: np.ndarray, size: int, best: Callable, outside: int) -> np.ndarray:
-    """A minimum or maximum window without what lies outside."""
-    r = size // 2
-    for axis in (0, 1):
-        padded = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], constant_values=outside)
-        a = best(np.lib.stride_tricks.sliding_window_view(padded, 2 * r + 1, axis), axis=-1)
-    return a
+    part = lambda k: padded[k : k + n] if axis == 0 else padded[:, k : k + n]
+    return sum(t * part(k) for k, t in enumerate(taps) if t)
 
 
 def _dilated(a: np.ndarray, size: int) -> np.ndarray:
-    return _extreme(a, size, np.max, 0)
+    return regions.extreme(a, size, np.maximum, 0)
 
 
 def _eroded(a: np.ndarray, size: int) -> np.ndarray:
-    return _extreme(a, size, np.min, 255)
+    return regions.extreme(a, size, np.minimum, 255)
 
 
 def _otsu(a: np.ndarray) -> int:
-    values, counts = np.unique(a, return_counts=True)
+    counts = np.bincount(a.ravel(), minlength=256)
+    values = np.flatnonzero(counts)
     if len(values) < 2:
         return 0
-    m, t, n, whole = np.cumsum(counts)[:-1], np.cumsum(values.astype(np.int64) * counts)[:-1], a.size, int(a.sum(dtype=np.int64))
+    counts = counts[values]
+    m, t, n, whole = np.cumsum(counts)[:-1], np.cumsum(values * counts)[:-1], a.size, int(a.sum(dtype=np.int64))
     spread = (whole * m - n * t).astype(np.float64)
     return int(values[np.argmax(spread * spread / (m * (n - m)))])
 
 
 def mask_of(img: np.ndarray, window: int, opened: bool) -> np.ndarray:
-    smooth = np.floor(_reflected(_reflected(img.astype(np.int64), (1, 4, 6, 4, 1), 1), (1, 4, 6, 4, 1), 0) / 256 + 0.5).astype(np.int32)
-    mask = np.where(smooth > _otsu(smooth), 255, 0)
+    taps = (1, 4, 6, 4, 1)
+    smooth = (_reflected(_reflected(img.astype(np.int32), taps, 1), taps, 0) + 128) >> 8
+    mask = np.where(smooth > _otsu(smooth), 255, 0).astype(np.uint8)
     mask = _eroded(_dilated(mask, window), window)
     return _dilated(_eroded(mask, window), window) if opened else mask
 
@@ -74,62 +107,152 @@ def boundary_of(mask: np.ndarray, oriented: bool, max_roll: float = 75.0, least:
     return edge
 
 
-def _frames(arrays: pa.Array) -> Iterator[np.ndarray | None]:
-    for a in arrays:
-        yield a.values.to_numpy(zero_copy_only=False) if a.is_valid else None
+def scan_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ground row of each column that has both classes: columns, rows."""
+    ground = mask <= 0
+    x = np.flatnonzero(ground.any(axis=0) & ~ground.all(axis=0))
+    return x, ground[:, x].argmax(axis=0)
 
 
-def masks(img: Column, height: int, width: int, window: int, opened: bool = True) -> Column:
-    """Blur, Otsu's threshold, close and, by choice, open: 255 for the bright class."""
+def _points(found: list, kind: pa.DataType | None = None) -> pa.Array:
+    """A list of points for each (x, y) or None."""
+    ends = np.cumsum([0, *(0 if p is None else len(p[0]) for p in found)])
+    both = [np.concatenate([np.empty(0), *(p[k] for p in found if p is not None)]) for k in (0, 1)]
+    flat = pa.StructArray.from_arrays([pa.array(v, pa.float64(), from_pandas=False) for v in both], fields=list(_POINT))
+    starts = [None if k < len(found) and found[k] is None else int(e) for k, e in enumerate(ends)]
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat)
 
-    @F.arrow_udf("array<int>")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for images in batches:
-            yield pa.array([None if a is None else mask_of(a.reshape(height, width), window, opened).ravel() for a in _frames(images)], pa.list_(pa.int32()))
 
-    return of(img)
+def masks(img: Column, height: int, width: int, window: int, opened: bool = True) -> Column:
+    """Blur, Otsu's threshold, close and, by choice, open: 255 for the bright class."""
+    of = lambda a: None if a is None else mask_of(a.reshape(height, width), window, opened).ravel()
+    return clocked("array<int>", pa.list_(pa.int32()), of, img)["value"]
 
 
 def boundaries(mask: Column, height: int, width: int, oriented: bool = False) -> Column:
     """The places of a mask's edge inside the frame, row by row, as array of struct(x, y)."""
+    of = lambda a: None if a is None else np.nonzero(boundary_of(a.reshape(height, width), oriented))[::-1]
+    return clocked(fits.POINTS, pa.list_(_POINT), of, mask, build=_points)["value"]
 
-    @F.arrow_udf(fits.POINTS)
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for given in batches:
-            out = []
-            for a in _frames(given):
-                y, x = ((), ()) if a is None else np.nonzero(boundary_of(a.reshape(height, width), oriented))
-                out.append(None if a is None else pa.StructArray.from_arrays([pa.array(x, pa.float64(), from_pandas=False), pa.array(y, pa.float64(), from_pandas=False)], fields=list(_POINT)))
-            flat = pa.concat_arrays([p for p in out if p is not None] or [pa.array([], _POINT)])
-            ends = np.cumsum([0, *(0 if p is None else len(p) for p in out)])
-            starts = pa.array([None if k < len(out) and out[k] is None else int(e) for k, e in enumerate(ends)], pa.int32())
-            yield pa.ListArray.from_arrays(starts, flat)
-
-    return of(mask)
-
-
-def coherences(planes: Column, found: Column, width: int, least: int = scoring.LEAST_SIDE) -> Column:
-    """scoring.coherence of each line of an array; empty for none."""
-
-    def score(stack: np.ndarray, ln: dict) -> float:
-        i = np.arange(stack.shape[1])
-        up = np.round((i % width - ln["x0"]) * ln["vy"] - (i // width - ln["y0"]) * ln["vx"], 9) < 0
-        if up.sum() < least or (~up).sum() < least:
-            return -1.0
-        a, b = stack[:, up], stack[:, ~up]
-        parted = ((a.mean(axis=1) - b.mean(axis=1)) ** 2).sum() / (a.var(axis=1).sum() + b.var(axis=1).sum() + 1.0)
-        turn = abs(math.degrees(math.atan2(ln["vy"], ln["vx"])))
-        turn = 180 - turn if turn > 90 else turn
-        return float(parted * (1.0 if turn <= 60 else 0.05 if turn >= 85 else 1.0 - (turn - 60.0) / 25.0 * 0.95))
-
-    @F.arrow_udf("array<double>")
-    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for stacks, lines in batches:
-            out = []
-            for s, ls in zip(stacks, lines, strict=True):
-                some = s.is_valid and ls.is_valid
-                stack = np.stack([p.values.to_numpy(zero_copy_only=False).astype(np.float64) for p in s]) if some else None
-                out.append([score(stack, ln) for ln in ls.as_py()] if some else [])
-            yield pa.array(out, pa.list_(pa.float64()))
-
-    return of(planes, found)
+
+def _edges(found: list, kind: pa.DataType) -> pa.Array:
+    points = _points([None if f is None else f[:2] for f in found])
+    return pa.StructArray.from_arrays([points, pa.array([None if f is None else f[2] for f in found], pa.float64())], ["points", "balance"])
+
+
+def edges(img: Column, height: int, width: int, window: int, how: str) -> Column:
+    """struct(value: struct(points, balance), ms): the points of a frame's mask, which stays in the task, and the larger
+    class's share. how: scan (first ground rows of the closed mask), all, or oriented (boundary places)."""
+
+    def of(a: np.ndarray | None) -> tuple | None:
+        if a is None:
+            return None
+        mask = mask_of(a.reshape(height, width), window, how != "scan")
+        share = np.count_nonzero(mask) / mask.size
+        x, y = scan_of(mask) if how == "scan" else np.nonzero(boundary_of(mask, how == "oriented"))[::-1]
+        return x, y, max(share, 1 - share)
+
+    return clocked(f"struct<points:{fits.POINTS},balance:double>", pa.null(), of, img, build=_edges)
+
+
+def row_energy_peak(img: Column, height: int, width: int, taps: int = 15) -> Column:
+    """struct(value, ms) of raster.row_energy_peak."""
+
+    def of(a: np.ndarray | None) -> int | None:
+        if a is None:
+            return None
+        m = a.reshape(height, width).astype(np.float64)
+        energy = np.abs(_reflected(_reflected(m, (1, 2, 1), 1), (-1, 0, 1), 0)).sum(axis=1) / width
+        sums = np.concatenate(([0], np.cumsum(energy)))
+        at, r = np.arange(height), taps // 2
+        return int(np.round(sums[np.minimum(at + r + 1, height)] - sums[np.maximum(at - r, 0)], 6).argmax())
+
+    return clocked("int", pa.int32(), of, img)
+
+
+def search(points: Column, near: float, k: int, least: int = 2, ratio: float | None = None, iterations: int | None = None, seed: int = 0) -> Column:
+    """struct(value, ms) of fits.searched."""
+    of = lambda x, y: [] if x is None else fits.best_pairs(x, y, near, k, least, ratio, iterations, seed)
+    return clocked(fits.FOUND, fits.FOUND_ARROW, of, F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
+def huber(points: Column) -> Column:
+    """struct(value, ms) of fits.huber."""
+    of = lambda x, y: fits.huber_of(x, y) if x is not None and len(x) >= 2 else None
+    return clocked(LINE, _LINE, of, F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
+REGIONS = f"struct<path:{CANDIDATE},sky:{CANDIDATE},planes:array<array<double>>,thumb:array<double>>"
+
+
+def regions_of(stack: Column, height: int, width: int, sizes: dict[str, tuple[int, int]] | None, path: bool, sky: bool, compared: int, live: Column) -> Column:
+    """struct(value, ms): the line of the likeliest boundary path and that under the top-connected sky, in the frame's
+    own places, each struct(line, count, score) or null; the first so many planes for coherence, the first plane for
+    scenes. One crossing of the stack gives all that a later step needs of it.
+
+    stack: array of planes; sizes: to what candidates, planes and thumb are reduced by area, with whole values as an
+    image library keeps bytes; None keeps the frame's size. live: false for frames without candidates.
+    """
+
+    def small(planes: list[np.ndarray], what: str) -> np.ndarray:
+        return np.stack(planes if sizes is None else [np.rint(reduced_by_area(p, *sizes[what])) for p in planes])
+
+    def of(planes: list | None, some: bool | None) -> dict | None:
+        if planes is None:
+            return None
+        planes = [p.reshape(height, width).astype(np.float64) for p in planes]
+        seen = small(planes, "candidates") if some and (path or sky) else None
+        return {
+            "path": regions.path_candidate(seen, (height, width)) if path and some else None, "sky": regions.sky_candidate(seen, (height, width)) if sky and some else None,
+            "planes": list(small(planes[:compared], "planes").reshape(compared, -1)), "thumb": small(planes[:1], "thumb").ravel(),
+        }
+
+    kind = pa.struct([("path", _CANDIDATE), ("sky", _CANDIDATE), ("planes", pa.list_(pa.list_(pa.float64()))), ("thumb", pa.list_(pa.float64()))])
+    return clocked(REGIONS, kind, of, stack, live)
+
+
+def line_iou(line: Column, mask: Column, height: int, width: int) -> Column:
+    """Intersection over union of what lies above a line and a mask, 1 for two empty ones; null where either is."""
+    x, y = np.arange(width), np.arange(height)[:, None]
+
+    def of(ln: dict | None, given: np.ndarray | None) -> float | None:
+        if ln is None or given is None:
+            return None
+        at = ln["y0"] + ln["vy"] / ln["vx"] * (x - ln["x0"]) if abs(ln["vx"]) > VERTICAL else np.full(width, ln["y0"])
+        above, lit = y < at, given.reshape(height, width) > 0
+        union = np.count_nonzero(above | lit)
+        return np.count_nonzero(above & lit) / union if union else 1.0
+
+    return clocked("double", pa.float64(), of, line, mask)["value"]
+
+
+def _shares(n: int, m: int) -> np.ndarray:
+    """m x n: which share of each of n cells lies in each of m equal parts."""
+    edge = np.arange(m + 1) * (n / m)
+    lo, hi = np.maximum(edge[:-1, None], np.arange(n)), np.minimum(edge[1:, None], np.arange(1, n + 1))
+    return np.maximum(hi - lo, 0) * (m / n)
+
+
+_kept_shares: dict[tuple[int, int], np.ndarray] = {}
+
+
+def reduced_by_area(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The mean of what each new place covers, for any ratio."""
+    for key in ((plane.shape[0], height), (plane.shape[1], width)):
+        if key not in _kept_shares:
+            _kept_shares[key] = _shares(*key)
+    return _kept_shares[plane.shape[0], height] @ plane @ _kept_shares[plane.shape[1], width].T
+
+
+def coherences(planes: Column, found: Column, width: int, least: int = scoring.LEAST_SIDE, full: tuple[int, int] | None = None, clock: bool = False) -> Column:
+    """scoring.coherence of each line of an array; empty for none. full: (height, width) of the frame that the lines lie
+    in, where the planes are reduced ones."""
+
+    def of(stack: list | None, lines: list | None) -> list:
+        if stack is None or lines is None:
+            return []
+        a = np.stack([p.reshape(-1, width) for p in stack])
+        return regions.coherences(a, lines, full or a.shape[1:], least)
+
+    out = clocked("array<double>", pa.list_(pa.float64()), of, planes, found)
+    return out if clock else out["value"]

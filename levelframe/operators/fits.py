@@ -30,7 +30,7 @@ BATCH, ENOUGH = 50, 0.75
 AT_ONCE = 2_000_000
 FOUND = "array<struct<n:int,i:int,j:int,line:struct<vx:double,vy:double,x0:double,y0:double>,refit:struct<vx:double,vy:double,x0:double,y0:double>,inliers:array<int>>>"
 _LINE = pa.struct([(k, pa.float64()) for k in ("vx", "vy", "x0", "y0")])
-_FOUND = pa.list_(pa.struct([("n", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("line", _LINE), ("refit", _LINE), ("inliers", pa.list_(pa.int32()))]))
+FOUND_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("line", _LINE), ("refit", _LINE), ("inliers", pa.list_(pa.int32()))]))
 
 
 def ols(points: Column) -> Column:
@@ -99,7 +99,7 @@ def subsample(points: Column, key: Column, limit: int = MAX_POINTS) -> Column:
 
 def _pairs(n: int, iterations: int | None, seed: int) -> tuple[int, object]:
     """The number of point pairs to look at, and a function from a range of them to their places i < j."""
-    if iterations is None:
+    if iterations is None or n * (n - 1) // 2 <= iterations:
         starts = np.concatenate(([0], np.cumsum(np.arange(n - 1, 0, -1))))
 
         def dealt(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +166,13 @@ def searched(points: Column, near: float = INLIER, k: int = TOP_K, least: int =
     """FOUND: the k best lines through two of a frame's points, the most inliers first, each with its inliers and their
     Huber fit; none for null or one point.
 
-    iterations: so many pairs drawn with the seed instead of all. ratio: stop early, batch by batch.
+    iterations: so many pairs drawn with the seed instead of all, where there are more. ratio: stop early, batch by batch.
     """
 
     @F.arrow_udf(FOUND)
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
-            yield pa.array([best_pairs(x, y, near, k, least, ratio, iterations, seed) for x, y in _rows(xs, ys)], _FOUND)
+            yield pa.array([best_pairs(x, y, near, k, least, ratio, iterations, seed) for x, y in _rows(xs, ys)], FOUND_ARROW)
 
     return of(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 

@@ -1,6 +1,7 @@
-"""Sky and ground likelihoods, the boundary path with the most support, and candidates from them.
+"""Sky and ground likelihoods and the boundary path with the most support.
 
-Features are arrays of planes, each a frame's array; all is computed inside the frame's row.
+Features are arrays of planes, each a frame's array; all is computed inside the frame's row. regions has the kernels for
+frames of any size, with the same values, and the candidates from them.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from levelframe.functions.arrays import indices, let, mean, median
-from levelframe.operators import fits
 from levelframe.operators import raster
 
 LEAST_SCALE, MAD = 6.0, 1.4826
@@ -91,7 +91,7 @@ def split_scores(llr: Column, height: int, width: int, edge_cost: float = 2.0, e
 
 def best_path(scores: Column) -> Column:
     """struct(score, path): a split row for each column with the greatest sum, steps of at most MAX_STEP rows at a cost
-    for each; of equal steps the most negative, of equal ends the first."""
+    for each; of equal steps that from the least row, of equal ends the first."""
 
     def forward(sc: Column) -> Column:
         n = F.size(sc[0])
@@ -101,7 +101,7 @@ def best_path(scores: Column) -> Column:
             def choose(v: Column, y: Column) -> Column:
                 # step k comes from row y - k
                 moves = F.filter(F.sequence(F.lit(-MAX_STEP), F.lit(MAX_STEP)), lambda k: (y - k >= 0) & (y - k < n))
-                gains = F.transform(moves, lambda k: F.struct(F.round(s["best"][y - k] - STEP_COST * F.abs(k), 9).alias("g"), (-k).alias("k"), (y - k).alias("from")))
+                gains = F.transform(moves, lambda k: F.struct(F.round(s["best"][y - k] - STEP_COST * F.abs(k), 9).alias("g"), k.alias("k"), (y - k).alias("from")))
                 return let(F.array_max(gains), lambda m: F.struct((m["g"] + v).alias("s"), m["from"].alias("from")))
 
             return let(F.transform(column, choose), lambda c: F.struct(F.transform(c, lambda q: q["s"]).alias("best"), F.array_append(s["back"], F.transform(c, lambda q: q["from"])).alias("back")))
@@ -116,56 +116,6 @@ def best_path(scores: Column) -> Column:
     return let(scores, lambda sc: let(forward(sc), trace))
 
 
-def path_candidate(planes: Column, height: int, width: int) -> Column:
-    """struct(line, count, score): the line through the best path, where the seeds are apart and the margin is wide."""
-
-    def of(m: Column) -> Column:
-        def found(b: Column) -> Column:
-            margin = b["score"] / (height * width)
-            ok = (separation(m) >= SEPARATION_PATH) & (margin >= PATH_MARGIN)
-            points = F.transform(b["path"], lambda y, x: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
-            count = F.greatest(F.lit(2), F.bround(F.least(F.lit(1.0), margin / 1.5) * width).cast("int"))
-            return F.when(ok, F.struct(fits.huber(points).alias("line"), count.alias("count"), margin.alias("score")))
-
-        return let(best_path(split_scores(ratio(planes, m), height, width)), found)
-
-    return let(models(planes, height, width), of)
-
-
-def sky_candidate(planes: Column, texture: Column, height: int, width: int) -> Column:
-    """struct(line, count, contrast): the line under the top-connected sky, behind its gates; texture: a column, which
-    joins the planes as one more feature.
-
-    The gates: seeds apart, sky share 0.08 to 0.72, columns with sky 0.58 or more, median boundary 0.10 to 0.86 of the
-    height, 16 places or more below, texture contrast 0.035 or more, 8 boundary places or as many as half the columns.
-    """
-
-    def of(m: Column) -> Column:
-        mask = raster.smoothed_by_ellipse(F.transform(ratio(stack, m), lambda v: F.when(v > 0, 255).otherwise(0)), height, width)
-
-        def sky(s: Column) -> Column:
-            edge = raster.lower_envelope(s, height, width)
-
-            def gated(e: Column) -> Column:
-                share = F.size(F.filter(s, lambda v: v > 0)) / (height * width)
-                coverage = F.size(e) / width
-                middle = median(F.transform(e, lambda p: p["y"])) / max(height - 1, 1)
-                side = lambda lit: mean(F.filter(F.zip_with(texture, s, lambda u, v: F.when((v > 0) == lit, u)), lambda u: u.isNotNull()))
-                below = height * width - F.size(F.filter(s, lambda v: v > 0))
-                contrast = F.coalesce(side(False) - side(True), F.lit(0.0))
-                least = min(8, max(2, width // 2))
-                ok = (separation(m) >= SEPARATION_SKY) & share.between(0.08, 0.72) & (coverage >= 0.58) & middle.between(0.10, 0.86) & (below >= 16) & (contrast >= 0.035) & (F.size(e) >= least)
-                count = F.greatest(F.lit(2), F.bround(F.least(F.lit(1.0), coverage * (1 + 4 * contrast)) * width).cast("int"))
-                return F.when(ok, F.struct(fits.huber(e).alias("line"), count.alias("count"), contrast.alias("contrast")))
-
-            return let(edge, gated)
-
-        return let(raster.top_connected(mask, height, width), sky)
-
-    stack = F.concat(F.transform(planes, lambda p: p.cast("array<double>")), F.array(F.transform(texture, lambda v: TEXTURE * v)))
-    return let(models(stack, height, width), of)
-
-
 def texture_map(gray: Column, height: int, width: int) -> Column:
     """Local means of gradient size (across and down added), over its 95th percentile and clipped to 1."""
     size = let(gray, lambda a: F.zip_with(raster.sobel_x(a, height, width), raster.sobel_y(a, height, width), lambda p, q: F.abs(p) + F.abs(q)))

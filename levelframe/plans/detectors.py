@@ -1,9 +1,10 @@
 """Ten detection pipelines, composed from the operators.
 
 Frames are rows of frame_id, img (the light plane) and raw (a second plane), arrays of height x width. Each pipeline
-returns one row a frame: frame_id, status (failed, no_horizon, line), line, confidence, inliers. All work is inside the
-frame's row: no pipeline shuffles but a8 to a10, which order the frames of a clip. Point-pair search looks at all pairs
-of at most max_points points, or at so many drawn with a seed as Shape.iterations says.
+returns one row a frame: frame_id, status (failed, no_horizon, line), line, confidence, inliers, and latency_ms, the
+time that the frame took in the kernels on Arrow batches. All work is inside the frame's row: no pipeline shuffles but
+a8 to a10, which order the frames of a clip. Point-pair search draws Shape.iterations pairs of at most max_points points
+with a seed, or looks at all pairs.
 
 Frames may bring the planes of a likelihood stack (STACK); without them img and raw are the stack.
 """
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from levelframe.functions import lines
 from levelframe.functions.arrays import let
-from levelframe.operators import batches, fits, likelihood, raster, scoring, temporal
+from levelframe.operators import batches, fits, regions, scoring, temporal
 
-LINE = "struct<vx:double,vy:double,x0:double,y0:double>"
+LINE = batches.LINE
 FALLBACK = 0.30
-SCENE_THUMB = (16, 16)
+#: A frame's milliseconds in kernels so far.
+TOOK = "__took"
+#: Fixed value: point pairs that a search draws.
+ITERATIONS = 300
 STACK = ("light", "a", "b", "saturation", "blue_excess")
 
 
@@ -30,7 +34,8 @@ class Shape:
     """Size of the frames, of the morphology window, the distance of an inlier, and the parameters of the search.
 
     iterations: pairs drawn with the seed; None looks at all. enough: the share of points that ends an early-stop search.
-    thumb: (height, width) to which likelihood candidates and scenes reduce their planes; None works on whole frames.
+    thumb: (height, width) to which likelihood candidates reduce their planes, and a sign that coherence and scenes
+    reduce theirs (regions.COHERENCE_SIZE, SCENE_SIZE); None works on whole frames.
     """
 
     height: int
@@ -39,14 +44,14 @@ class Shape:
     near: float = fits.INLIER
     max_points: int = fits.MAX_POINTS
     clip: tuple[str, ...] = ()
-    iterations: int | None = None
+    iterations: int | None = ITERATIONS
     seed: int = 0
     top: int = fits.TOP_K
     enough: float = fits.ENOUGH
     thumb: tuple[int, int] | None = None
 
     def search(self, points: Column, k: int, ratio: float | None = None) -> Column:
-        return fits.searched(points, self.near, k, ratio=ratio, iterations=self.iterations, seed=self.seed)
+        return batches.search(points, self.near, k, ratio=ratio, iterations=self.iterations, seed=self.seed)
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -54,33 +59,37 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def with_mask(frames: DataFrame, s: Shape, plane: str = "img", mask: str = "mask", opened: bool = True) -> DataFrame:
-    return once(frames, mask, batches.masks(F.col(plane), s.height, s.width, s.window, opened))
+def timed(df: DataFrame, name: str, found: Column) -> DataFrame:
+    """df with the value of a clocked kernel, its milliseconds added to those of the frame so far."""
+    so_far = F.col(TOOK) if TOOK in df.columns else F.lit(0.0)
+    return once(df, "__t", found).withColumns({name: F.col("__t.value"), TOOK: so_far + F.coalesce("__t.ms", F.lit(0.0))}).drop("__t")
 
 
 def result(df: DataFrame, line: Column, confidence: Column, inliers: Column, abstain: Column | None = None) -> DataFrame:
     status = F.when(abstain, "no_horizon") if abstain is not None else F.when(F.lit(False), "")
     out = df.withColumn("__l", line).withColumn("status", status.when(F.col("__l").isNull(), "failed").otherwise("line"))
     ok = F.col("status") == "line"
-    return out.select("frame_id", "status", F.when(ok, F.col("__l")).alias("line"), F.when(ok, confidence.cast("double")).alias("confidence"), F.when(ok, inliers.cast("int")).alias("inliers"))
+    took = F.col(TOOK) if TOOK in df.columns else F.lit(None).cast("double")
+    return out.select("frame_id", "status", F.when(ok, F.col("__l")).alias("line"), F.when(ok, confidence.cast("double")).alias("confidence"), F.when(ok, inliers.cast("int")).alias("inliers"), took.alias("latency_ms"))
 
 
 def a1(frames: DataFrame, s: Shape) -> DataFrame:
     """Columns' first ground row, least squares."""
-    df = with_mask(frames, s, opened=False).withColumn("points", raster.column_scan(F.col("mask"), s.height, s.width)).withColumn("f", fits.ols(F.col("points")))
+    df = with_points(frames, s, how="scan").withColumn("f", fits.ols(F.col("points")))
     line = F.when(F.col("f").isNotNull(), lines.angle_intercept_line(F.degrees(F.atan(F.col("f.slope"))), F.col("f.intercept")))
     return result(df, line, F.lit(1.0), F.size("points"))
 
 
-def with_points(frames: DataFrame, s: Shape, plane: str = "img", mask: str = "mask", points: str = "points", oriented: bool = False) -> DataFrame:
-    """frames with the plane's mask and boundary points."""
-    return once(with_mask(frames, s, plane, mask), points, batches.boundaries(F.col(mask), s.height, s.width, oriented))
+def with_points(frames: DataFrame, s: Shape, plane: str = "img", points: str = "points", how: str = "all") -> DataFrame:
+    """frames with the points of the plane's mask and its larger class's share (points + "_balance")."""
+    df = timed(frames, "__e", batches.edges(F.col(plane), s.height, s.width, s.window, how))
+    return df.withColumns({points: F.col("__e.points"), f"{points}_balance": F.col("__e.balance")}).drop("__e")
 
 
 def a2(frames: DataFrame, s: Shape) -> DataFrame:
     """Robust orthogonal fit of all boundary points."""
     df = with_points(frames, s)
-    return result(once(df, "fit", fits.huber_batched(F.col("points"))), F.col("fit"), F.lit(1.0), F.size("points"))
+    return result(timed(df, "fit", batches.huber(F.col("points"))), F.col("fit"), F.lit(1.0), F.size("points"))
 
 
 def sampled(df: DataFrame, points: str, s: Shape) -> DataFrame:
@@ -89,9 +98,9 @@ def sampled(df: DataFrame, points: str, s: Shape) -> DataFrame:
 
 def clustered(frames: DataFrame, s: Shape, cap: bool) -> DataFrame:
     """frame_id, clusters: array of struct(cluster, line, confidence, n), the surest first."""
-    df = with_points(frames, s).select("frame_id", "points")
+    df = with_points(frames, s).select("frame_id", "points", TOOK)
     df = sampled(df, "points", s) if cap else df
-    return df.withColumn("found", s.search(F.col("points"), s.top)).select("frame_id", fits.merged(F.col("found"), F.col("points")).alias("clusters"))
+    return timed(df, "found", s.search(F.col("points"), s.top)).select("frame_id", fits.merged(F.col("found"), F.col("points")).alias("clusters"), TOOK)
 
 
 def top_n(frames: DataFrame, s: Shape, n: int, cap: bool = True) -> DataFrame:
@@ -113,11 +122,11 @@ def a4(frames: DataFrame, s: Shape) -> DataFrame:
 def with_best(frames: DataFrame, s: Shape, plane: str, name: str) -> DataFrame:
     """frames with struct(line, confidence, n) of the plane's early-stop search, null where no pair fits."""
     points = f"__points_{name}"
-    df = sampled(with_points(frames, s, plane, "__mask", points).drop("__mask"), points, s)
-    df = df.withColumn("__found", s.search(F.col(points), 1, s.enough))
+    df = sampled(with_points(frames, s, plane, points), points, s)
+    df = timed(df, "__found", s.search(F.col(points), 1, s.enough))
     best, p = F.get("__found", F.lit(0)), F.col(points)
     found = F.struct(best["refit"].alias("line"), (best["n"] / F.size(p)).alias("confidence"), best["n"].alias("n"))
-    return once(df, name, F.when(F.size("__found") > 0, found)).drop(points, "__found")
+    return once(df, name, F.when(F.size("__found") > 0, found)).drop(points, f"{points}_balance", "__found")
 
 
 def a5(frames: DataFrame, s: Shape) -> DataFrame:
@@ -137,55 +146,46 @@ def a6(frames: DataFrame, s: Shape) -> DataFrame:
     """As a5 on both planes, the surer one; below FALLBACK the row with the most vertical change."""
     df = with_best(with_best(frames, s, "img", "best_l"), s, "raw", "best_b")
     df = once(df, "best", surer(F.col("best_l"), F.col("best_b")))
-    flat = lines.line(1.0, 0.0, 0.0, raster.row_energy_peak(F.col("img"), s.height, s.width))
-    return result(df, F.coalesce(F.col("best.line"), flat), F.coalesce("best.confidence", F.lit(0.0)), F.coalesce("best.n", F.lit(0)))
-
-
-def reduced(plane: Column, s: Shape, to: tuple[int, int] | None) -> Column:
-    return plane if to is None else raster.area_resized(plane, s.height, s.width, *to)
+    df = timed(df, "peak", batches.row_energy_peak(F.when(F.col("best").isNull(), F.col("img")), s.height, s.width))
+    return result(df, F.coalesce(F.col("best.line"), lines.line(1.0, 0.0, 0.0, F.col("peak"))), F.coalesce("best.confidence", F.lit(0.0)), F.coalesce("best.n", F.lit(0)))
 
 
 def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
     """frame_id, degenerate, thumb and candidates of each frame: the best point pairs of both planes, and by choice the
-    line of the likeliest boundary path and that under the top-connected sky. The score is region coherence.
+    line of the likeliest boundary path and that under the top-connected sky. The score is region coherence, on the
+    light and colour planes where frames bring them.
 
     Candidates carry the refit line, which is what a later frame compares with. A degenerate frame has none.
     """
-    stack = F.array(*STACK) if set(STACK) <= set(frames.columns) else F.array("img", "raw")
-    both = frames.withColumn("planes", F.array("img", "raw"))
+    five = set(STACK) <= set(frames.columns)
+    stack = F.array(*STACK) if five else F.array("img", "raw")
+    both = frames
     for name, plane in (("L", "img"), ("b", "raw")):
-        both = with_mask(both, s, plane, f"mask_{name}")
-    both = both.withColumn("degenerate", scoring.degenerate(F.col("mask_L"), F.col("mask_b")))
+        both = with_points(both, s, plane, f"points_{name}", how="oriented")
+    both = both.withColumn("degenerate", F.coalesce((F.col("points_L_balance") >= scoring.DEGENERATE) & (F.col("points_b_balance") >= scoring.DEGENERATE), F.lit(False)))
     parts = []
     of_source = lambda name: lambda c, k: one(name, k + 1, c["line"], c["refit"], c["n"])
     one = lambda source, rank, ln, refit, n: F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), ln.cast(LINE).alias("line"), refit.cast(LINE).alias("refit"), n.cast("int").alias("count"))
     for name in ("L", "b"):
-        live_mask = F.when(~F.col("degenerate"), F.col(f"mask_{name}"))
-        both = sampled(once(both, f"points_{name}", batches.boundaries(live_mask, s.height, s.width, oriented=True)), f"points_{name}", s)
-        both = once(both, f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
+        both = once(both, f"points_{name}", F.when(~F.col("degenerate"), F.col(f"points_{name}")))
+        both = timed(sampled(both, f"points_{name}", s), f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
         parts.append(F.transform(f"found_{name}", of_source(name)))
 
-    h, w = s.thumb or (s.height, s.width)
-    if path or sky:
-        both = once(both, "stack", F.when(~F.col("degenerate"), F.transform(stack, lambda p: reduced(p, s, s.thumb))))
+    compared = 3 if five else 2
+    size = (min(regions.COHERENCE_SIZE[0], s.height), min(regions.COHERENCE_SIZE[1], s.width)) if s.thumb else (s.height, s.width)
+    sizes = {"candidates": s.thumb, "planes": size, "thumb": regions.SCENE_SIZE} if s.thumb else None
+    both = timed(both, "regions", batches.regions_of(stack, s.height, s.width, sizes, path, sky, compared, ~F.col("degenerate")))
     for wanted, name in ((path, "path"), (sky, "sky")):
-        if not wanted:
-            continue
-        if name == "path":
-            found = likelihood.path_candidate(F.col("stack"), h, w)
-        else:
-            both = once(both, "texture", F.when(~F.col("degenerate"), likelihood.texture_map(F.get("stack", F.lit(0)), h, w)))
-            found = likelihood.sky_candidate(F.col("stack"), F.col("texture"), h, w)
-        both = once(both, name, F.when(~F.col("degenerate"), found))
-        ln = lines.rescaled(F.col(f"{name}.line"), s.width / w, s.height / h)
-        parts.append(F.when(F.col(name).isNotNull(), F.array(one(name, F.lit(1), ln, ln, F.col(f"{name}.count")))).otherwise(F.array()))
+        if wanted:
+            found = F.col(f"regions.{name}")
+            parts.append(F.when(found.isNotNull(), F.array(one(name, F.lit(1), found["line"], found["line"], found["count"]))).otherwise(F.array()))
     least = min(scoring.LEAST_SIDE, s.height * s.width // 4)
     both = once(both, "all", F.coalesce(F.concat(*parts), F.array()))
-    both = both.withColumn("raws", batches.coherences(F.col("planes"), F.transform("all", lambda c: c["line"]), s.width, least))
+    both = timed(both, "raws", batches.coherences(F.col("regions.planes"), F.transform("all", lambda c: c["line"]), size[1], least, (s.height, s.width), clock=True))
     both = once(both, "scored", F.zip_with("raws", "all", lambda raw, c: F.struct(raw.alias("raw"), c.alias("c"))))
     live = F.filter("scored", lambda q: scoring.gate(q["c"]["source"], q["raw"], q["c"]["line"]))
     as_candidate = F.transform(live, lambda q: F.struct(q["c"]["source"].alias("source"), scoring.place_of(q["c"]["source"], q["c"]["rank"]).alias("place"), q["raw"].alias("raw"), q["c"]["refit"].alias("line"), q["c"]["count"].alias("count")))
-    return both.select("frame_id", "degenerate", reduced(F.col("img"), s, s.thumb and SCENE_THUMB).alias("thumb"), *s.clip, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
+    return both.select("frame_id", "degenerate", F.col("regions.thumb").alias("thumb"), *s.clip, TOOK, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
 
 
 def _chosen(df: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def a7(frames: DataFrame, s: Shape) -> DataFrame:
 def smoothed(frames: DataFrame, s: Shape, path: bool, sky: bool, floor: float) -> DataFrame:
     """The pool's winners with the line before as a prior, scene by scene, frames in the order of frame_id."""
     df = temporal.scenes(pool(frames, s, path, sky), ["frame_id"], "thumb", list(s.clip))
-    return _chosen(temporal.fold(df, [*s.clip, "scene"], "frame_id", s.height, s.width, floor))
+    return _chosen(temporal.fold(df, [*s.clip, "scene"], "frame_id", s.height, s.width, floor, keep=(TOOK,)))
 
 
 def a8(frames: DataFrame, s: Shape) -> DataFrame:
@@ -217,5 +217,5 @@ def a10(frames: DataFrame, s: Shape) -> DataFrame:
     return smoothed(frames, s, True, True, scoring.FLOORS[10])
 
 
-#: name -> (pipeline, whether a seed is used): all are deterministic.
-REGISTRY = {f"a{k}": (f, False) for k, f in enumerate((a1, a2, a3, a4, a5, a6, a7, a8, a9, a10), start=1)}
+#: name -> (pipeline, whether it draws with Shape.seed).
+REGISTRY = {f"a{k}": (f, k > 2) for k, f in enumerate((a1, a2, a3, a4, a5, a6, a7, a8, a9, a10), start=1)}

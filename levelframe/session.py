@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,15 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder; any file system that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the folder that all executors share: the session's spark.checkpoint.dir;
+    only a local session without one gets its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="levelframe-"))
+    return df.checkpoint()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levelframe.operators.batches import reduced_by_area as area_resized
 from levelframe.sources import tables
 
 PLANES = ("gray", "light", "a", "b", "saturation", "blue_excess")
@@ -43,18 +44,6 @@ def planes_of(bgr: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _cover(n: int, m: int) -> np.ndarray:
-    """m x n: which share of each of n cells lies in each of m equal parts."""
-    edge = np.arange(m + 1) * (n / m)
-    lo, hi = np.maximum(edge[:-1, None], np.arange(n)), np.minimum(edge[1:, None], np.arange(1, n + 1))
-    return np.maximum(hi - lo, 0) * (m / n)
-
-
-def area_resized(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean of what each new place covers, for any ratio."""
-    return _cover(plane.shape[0], height) @ plane @ _cover(plane.shape[1], width).T
-
-
 def decoded(images: DataFrame, planes: tuple[str, ...] = PLANES, size: tuple[int, int] | None = None) -> DataFrame:
     """images (filename, height, width, nChannels, data) as filename, height, width and an array of ints for each
     plane, row by row; size: (height, width) to resize to by area."""

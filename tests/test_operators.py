@@ -102,6 +102,19 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     scened = temporal.scenes(df.withColumn("candidates", pool), ["seq"], clip=["clip"])
     batch = {r.seq: r.result and r.result.raw for r in temporal.fold(scened, ["clip", "scene"], "seq", 24, 24, 0.3).collect()}
     assert batch == stream and None in batch.values()
+    # late frames: one of each clip again, after later ones
+    assert not any(r.late for r in spark.table("carried").collect())
+
+
+def test_late_frames_of_the_stream():
+    from levelframe.streaming.temporal import Carried
+
+    c = [{"source": "L", "raw": 1.0, "vx": 1.0, "vy": 0.0, "x0": 0.0, "y0": 9.0, "count": 4}]
+    at = Carried()
+    assert at.next(3, [1.0], c, 24, 24, 0.3) == (3, False, 0, 1.0, 0.0, 0.0, 9.0, 1.0, False)
+    assert at.next(2, [90.0], c, 24, 24, 0.3)[1:] == (False, 0, None, None, None, None, None, True) and at.thumb == [1.0]
+    assert at.next(4, [2.0], None, 24, 24, 0.3)[1:3] == (True, 0) and at.line is None
+    assert at.next(5, [60.0], c, 24, 24, 0.3)[1:3] == (False, 1)
 
 
 def test_batch_kernels_give_the_values_of_the_expressions(spark):
