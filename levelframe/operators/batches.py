@@ -98,12 +98,14 @@ def boundary_of(mask: np.ndarray, oriented: bool, max_roll: float = 75.0, least:
     edge[[0, -1], :] = 0
     edge[:, [0, -1]] = 0
     if oriented:
+        y, x = np.nonzero(edge)
         limit = math.sin(math.radians(90 - max_roll)) ** 2
-        m = mask.astype(np.float64)
-        gx, gy = _reflected(_reflected(m, (-1, 0, 1), 1), (1, 2, 1), 0), _reflected(_reflected(m, (1, 2, 1), 1), (-1, 0, 1), 0)
-        kept = np.where(gy * gy > limit * (gx * gx + gy * gy + 1e-6), edge, 0)
-        if np.count_nonzero(edge) > least and np.count_nonzero(kept) >= least:
-            edge = kept
+        # no edge lies on the border, so that every neighbour is there
+        near = {(dy, dx): mask[y + dy, x + dx].astype(np.float64) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+        gx, gy = (sum(t * (near[(k, 1)[:: 1 - 2 * turn]] - near[(k, -1)[:: 1 - 2 * turn]]) for k, t in ((-1, 1), (0, 2), (1, 1))) for turn in (0, 1))
+        kept = gy * gy > limit * (gx * gx + gy * gy + 1e-6)
+        if len(y) > least and np.count_nonzero(kept) >= least:
+            edge[y[~kept], x[~kept]] = 0
     return edge
 
 
@@ -182,33 +184,42 @@ def huber(points: Column) -> Column:
     return clocked(LINE, _LINE, of, F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 
 
-REGIONS = f"struct<path:{CANDIDATE},sky:{CANDIDATE},planes:array<array<double>>,thumb:array<double>>"
+EDGE = "struct<x:array<double>,y:array<double>,balance:double>"
+VIEWS = f"struct<edges:array<{EDGE}>,degenerate:boolean,path:{CANDIDATE},sky:{CANDIDATE},planes:array<array<double>>,thumb:array<double>>"
+_EDGE = pa.struct([("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64())), ("balance", pa.float64())])
+_VIEWS = pa.struct([("edges", pa.list_(_EDGE)), ("degenerate", pa.bool_()), ("path", _CANDIDATE), ("sky", _CANDIDATE), ("planes", pa.list_(pa.list_(pa.float64()))), ("thumb", pa.list_(pa.float64()))])
 
 
-def regions_of(stack: Column, height: int, width: int, sizes: dict[str, tuple[int, int]] | None, path: bool, sky: bool, compared: int, live: Column) -> Column:
-    """struct(value, ms): the line of the likeliest boundary path and that under the top-connected sky, in the frame's
-    own places, each struct(line, count, score) or null; the first so many planes for coherence, the first plane for
-    scenes. One crossing of the stack gives all that a later step needs of it.
+def views_of(planes: list[Column], height: int, width: int, window: int, edged: tuple[int, ...], compared: int, sizes: dict[str, tuple[int, int]] | None, path: bool, sky: bool, degenerate: float = scoring.DEGENERATE) -> Column:
+    """struct(value, ms): all that later steps need of a frame's planes, which cross to the task once.
 
-    stack: array of planes; sizes: to what candidates, planes and thumb are reduced by area, with whole values as an
-    image library keeps bytes; None keeps the frame's size. live: false for frames without candidates.
+    edges: the oriented boundary places of the planes edged, with the larger class's share; degenerate: none has two
+    classes of weight, and there are no candidates; path, sky: the line of the likeliest boundary path and that under
+    the top-connected sky, in the frame's own places, each struct(line, count, score) or null; planes: the first
+    compared ones, for coherence; thumb: the first, for scenes. sizes: to what candidates, planes and thumb are reduced
+    by area, with whole values as an image library keeps bytes; None keeps the frame's size. Null if a plane is.
     """
 
-    def small(planes: list[np.ndarray], what: str) -> np.ndarray:
-        return np.stack(planes if sizes is None else [np.rint(reduced_by_area(p, *sizes[what])) for p in planes])
-
-    def of(planes: list | None, some: bool | None) -> dict | None:
-        if planes is None:
+    def of(*given: np.ndarray | None) -> dict | None:
+        if any(p is None for p in given):
             return None
-        planes = [p.reshape(height, width).astype(np.float64) for p in planes]
-        seen = small(planes, "candidates") if some and (path or sky) else None
+        whole = [p.reshape(height, width) for p in given]
+        found = []
+        for k in edged:
+            mask = mask_of(whole[k], window, True)
+            share = np.count_nonzero(mask) / mask.size
+            y, x = np.nonzero(boundary_of(mask, True))
+            found.append({"x": x.astype(np.float64), "y": y.astype(np.float64), "balance": max(share, 1 - share)})
+        flat = all(e["balance"] >= degenerate for e in found)
+        exact = [p.astype(np.float64 if sizes is None else np.float32) for p in whole]
+        small = lambda n, what: np.stack(exact[:n] if sizes is None else [np.rint(reduced_by_area(p, *sizes[what])) for p in exact[:n]]).astype(np.float64)
+        seen = small(len(exact), "candidates") if (path or sky) and not flat else None
         return {
-            "path": regions.path_candidate(seen, (height, width)) if path and some else None, "sky": regions.sky_candidate(seen, (height, width)) if sky and some else None,
-            "planes": list(small(planes[:compared], "planes").reshape(compared, -1)), "thumb": small(planes[:1], "thumb").ravel(),
+            "edges": found, "degenerate": flat, "path": regions.path_candidate(seen, (height, width)) if path and not flat else None,
+            "sky": regions.sky_candidate(seen, (height, width)) if sky and not flat else None, "planes": list(small(compared, "planes").reshape(compared, -1)), "thumb": small(1, "thumb").ravel(),
         }
 
-    kind = pa.struct([("path", _CANDIDATE), ("sky", _CANDIDATE), ("planes", pa.list_(pa.list_(pa.float64()))), ("thumb", pa.list_(pa.float64()))])
-    return clocked(REGIONS, kind, of, stack, live)
+    return clocked(VIEWS, _VIEWS, of, *planes)
 
 
 def line_iou(line: Column, mask: Column, height: int, width: int) -> Column:
@@ -233,15 +244,17 @@ def _shares(n: int, m: int) -> np.ndarray:
     return np.maximum(hi - lo, 0) * (m / n)
 
 
-_kept_shares: dict[tuple[int, int], np.ndarray] = {}
+_kept_shares: dict[tuple, np.ndarray] = {}
 
 
 def reduced_by_area(plane: np.ndarray, height: int, width: int) -> np.ndarray:
     """The mean of what each new place covers, for any ratio."""
-    for key in ((plane.shape[0], height), (plane.shape[1], width)):
+    kind = plane.dtype if plane.dtype.kind == "f" else np.dtype(np.float64)
+    down, across = (plane.shape[0], height, kind), (plane.shape[1], width, kind)
+    for key in (down, across):
         if key not in _kept_shares:
-            _kept_shares[key] = _shares(*key)
-    return _kept_shares[plane.shape[0], height] @ plane @ _kept_shares[plane.shape[1], width].T
+            _kept_shares[key] = _shares(*key[:2]).astype(kind)
+    return _kept_shares[down] @ plane @ _kept_shares[across].T
 
 
 def coherences(planes: Column, found: Column, width: int, least: int = scoring.LEAST_SIDE, full: tuple[int, int] | None = None, clock: bool = False) -> Column:

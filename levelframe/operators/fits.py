@@ -7,6 +7,7 @@ inliers, without a shuffle; hypotheses() gives a row for each pair, for queries
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,16 +118,20 @@ def _pairs(n: int, iterations: int | None, seed: int) -> tuple[int, object]:
 
 
 def huber_of(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> dict:
-    """huber() of two points or more, as values."""
-    w = np.ones(len(x))
+    """huber() of two points or more, as values; it ends when a round changes nothing."""
+    w, at = np.ones(len(x)), None
     for turn in range(rounds + 1):
         if turn:
-            r = np.abs((x - x0) * vy - (y - y0) * vx) / np.hypot(vx, vy)
-            w = np.where(r <= HUBER, 1.0, HUBER / np.maximum(r, HUBER))
-        x0, y0 = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+            r = np.abs((x - x0) * vy - (y - y0) * vx)
+            w = HUBER / np.maximum(r, HUBER)
+        n, before = w.sum(), at
+        x0, y0 = w @ x / n, w @ y / n
         dx, dy = x - x0, y - y0
-        at = 0.5 * np.arctan2(2 * (w * dx * dy).sum(), (w * dx * dx).sum() - (w * dy * dy).sum())
-        vx, vy = np.cos(at), np.sin(at)
+        wx = w * dx
+        at = 0.5 * math.atan2(2 * (wx @ dy), wx @ dx - (w * dy) @ dy)
+        vx, vy = math.cos(at), math.sin(at)
+        if before is not None and abs(at - before) < 1e-13:
+            break
     return {"vx": float(vx), "vy": float(vy), "x0": float(x0), "y0": float(y0)}
 
 
@@ -145,8 +150,8 @@ def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ra
         size = np.hypot(dx, dy)
         some = size > 1e-6
         i, j, vx, vy = i[some], j[some], dx[some] / size[some], dy[some] / size[some]
-        off = np.abs((x[None, :] - x[i][:, None]) * vy[:, None] - (y[None, :] - y[i][:, None]) * vx[:, None]) / np.hypot(vx, vy)[:, None]
-        hit = np.round(off, 9) < near
+        off = np.abs(vy[:, None] * x - vx[:, None] * y - (vy * x[i] - vx * y[i])[:, None])
+        hit = off < near - 5e-10  # as if rounded to nine places
         count = hit.sum(axis=1)
         first = np.argsort(-count, kind="stable")[:k]
         best += [(-int(count[t]), lo, int(t), int(i[t]), int(j[t]), float(vx[t]), float(vy[t]), np.flatnonzero(hit[t])) for t in first if count[t] >= least]

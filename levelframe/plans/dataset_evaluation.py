@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelframe.functions import lines
-from levelframe.operators import evaluation, raster
+from levelframe.operators import batches, evaluation
 from levelframe.plans import detectors
 from levelframe.sources import frames as sources
 
@@ -62,30 +63,25 @@ def per_frame(detect: Callable) -> Callable:
     return pipeline
 
 
-def predicted_mask(line: Column, height: int, width: int) -> Column:
-    """255 above a line, 0 below, row by row; the line's y at the middle of each column."""
-    ends = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: lines.y_at(line, x.cast("double")))
-    return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.when(F.floor(i / width) < ends[(i % width).cast("int")], 255).otherwise(0))
-
-
 def evaluated(rows: DataFrame, detector: str | Callable, s: detectors.Shape) -> DataFrame:
-    """labelled frames (filename, img, raw, has_horizon, slope, offset, gt_mask) with the detection and its scores.
+    """labelled frames (filename, img, raw, has_horizon, slope, offset, gt_mask, and the likelihood stack's planes by
+    choice) with the detection and its scores.
 
     Every labelled frame gets a row; one that the detector returns nothing for has failed.
     """
     pipeline = known()[detector][0] if isinstance(detector, str) else per_frame(detector)
-    found = pipeline(rows.select(F.col("filename").alias("frame_id"), "img", "raw"), s)
-    if "latency_ms" not in found.columns:  # native pipelines are fused over all frames: no time of one frame
+    stack = [c for c in detectors.STACK if c in rows.columns]
+    found = pipeline(rows.select(F.col("filename").alias("frame_id"), "img", "raw", *stack), s)
+    if "latency_ms" not in found.columns:
         found = found.withColumn("latency_ms", F.lit(None).cast("double"))
     found = found.withColumnRenamed("frame_id", "filename")
     height = F.lit(float(s.height))
-    both = rows.drop("img", "raw").join(found, "filename", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+    both = rows.drop("img", "raw", *stack).join(found, "filename", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
     both = both.withColumns({
         "failed": F.col("status") == "failed", "gt_horizon": F.col("has_horizon"), "pred_horizon": F.col("status") == "line", "pred": F.col("line"), "height": height,
         "gt": F.when(F.col("has_horizon"), lines.label_line(F.col("slope"), F.col("offset"), height)),
     })
-    iou = F.when(F.col("gt_mask").isNotNull() & F.col("pred").isNotNull(), raster.iou(predicted_mask(F.col("pred"), s.height, s.width), F.col("gt_mask")))
-    return evaluation.scored(both).withColumn("iou", iou).drop("gt_mask")
+    return evaluation.scored(both.withColumn("iou", batches.line_iou(F.col("pred"), F.col("gt_mask"), s.height, s.width)).drop("gt_mask"))
 
 
 def document(rows: DataFrame, attempt: str, dataset: str, limit: int | None = None, seed: int | None = None) -> DataFrame:
@@ -104,10 +100,12 @@ def document(rows: DataFrame, attempt: str, dataset: str, limit: int | None = No
 def evaluate(spark: SparkSession, folder: str, detector: str | Callable, shape: detectors.Shape, limit: int | None = None, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a row for each labelled image, the result document) of a detector on a dataset folder.
 
-    Images are resized by area to the shape; img is the light plane, raw the b plane of Lab.
+    Images are resized by area to the shape; img is the light plane, raw the b plane of Lab, and all planes of the
+    likelihood stack are there. seed takes the place of the shape's; without clips the files are one order by name.
     """
-    rows = sources.labelled_frames(spark, folder, ("light", "b"), (shape.height, shape.width), limit).withColumnRenamed("light", "img").withColumnRenamed("b", "raw")
-    scores = evaluated(rows, detector, shape)
+    shape = shape if seed is None else replace(shape, seed=seed)
+    rows = sources.labelled_frames(spark, folder, detectors.STACK, (shape.height, shape.width), limit)
+    scores = evaluated(rows.withColumns({"img": F.col("light"), "raw": F.col("b")}), detector, shape)
     name = detector if isinstance(detector, str) else detector.__name__
     return scores, document(scores, name, folder, limit, seed)
 

@@ -158,34 +158,34 @@ def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
     Candidates carry the refit line, which is what a later frame compares with. A degenerate frame has none.
     """
     five = set(STACK) <= set(frames.columns)
-    stack = F.array(*STACK) if five else F.array("img", "raw")
-    both = frames
-    for name, plane in (("L", "img"), ("b", "raw")):
-        both = with_points(both, s, plane, f"points_{name}", how="oriented")
-    both = both.withColumn("degenerate", F.coalesce((F.col("points_L_balance") >= scoring.DEGENERATE) & (F.col("points_b_balance") >= scoring.DEGENERATE), F.lit(False)))
+    planes, edged, compared = (STACK, (0, 2), 3) if five else (("img", "raw"), (0, 1), 2)
+    size = (min(regions.COHERENCE_SIZE[0], s.height), min(regions.COHERENCE_SIZE[1], s.width)) if s.thumb else (s.height, s.width)
+    sizes = {"candidates": s.thumb, "planes": size, "thumb": regions.SCENE_SIZE} if s.thumb else None
+    views = batches.views_of([F.col(c) for c in planes], s.height, s.width, s.window, edged, compared, sizes, path, sky)
+    both = timed(frames.select("frame_id", *s.clip, *planes), "v", views)
+    fields = {k: F.col(f"v.{k}") for k in ("edges", "path", "sky", "planes", "thumb")} | {"degenerate": F.coalesce("v.degenerate", F.lit(False))}
+    both = both.select("frame_id", *s.clip, TOOK, *(c.alias(f"v_{k}") for k, c in fields.items()))
     parts = []
     of_source = lambda name: lambda c, k: one(name, k + 1, c["line"], c["refit"], c["n"])
     one = lambda source, rank, ln, refit, n: F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), ln.cast(LINE).alias("line"), refit.cast(LINE).alias("refit"), n.cast("int").alias("count"))
+    for k, name in enumerate(("L", "b")):
+        edge = F.col("v_edges")[k]
+        points = F.when(~F.col("v_degenerate"), F.zip_with(edge["x"], edge["y"], lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+        both = sampled(both.withColumn(f"points_{name}", points), f"points_{name}", s)
     for name in ("L", "b"):
-        both = once(both, f"points_{name}", F.when(~F.col("degenerate"), F.col(f"points_{name}")))
-        both = timed(sampled(both, f"points_{name}", s), f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
+        both = timed(both, f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
         parts.append(F.transform(f"found_{name}", of_source(name)))
-
-    compared = 3 if five else 2
-    size = (min(regions.COHERENCE_SIZE[0], s.height), min(regions.COHERENCE_SIZE[1], s.width)) if s.thumb else (s.height, s.width)
-    sizes = {"candidates": s.thumb, "planes": size, "thumb": regions.SCENE_SIZE} if s.thumb else None
-    both = timed(both, "regions", batches.regions_of(stack, s.height, s.width, sizes, path, sky, compared, ~F.col("degenerate")))
     for wanted, name in ((path, "path"), (sky, "sky")):
         if wanted:
-            found = F.col(f"regions.{name}")
+            found = F.col(f"v_{name}")
             parts.append(F.when(found.isNotNull(), F.array(one(name, F.lit(1), found["line"], found["line"], found["count"]))).otherwise(F.array()))
     least = min(scoring.LEAST_SIDE, s.height * s.width // 4)
     both = once(both, "all", F.coalesce(F.concat(*parts), F.array()))
-    both = timed(both, "raws", batches.coherences(F.col("regions.planes"), F.transform("all", lambda c: c["line"]), size[1], least, (s.height, s.width), clock=True))
+    both = timed(both, "raws", batches.coherences(F.col("v_planes"), F.transform("all", lambda c: c["line"]), size[1], least, (s.height, s.width), clock=True))
     both = once(both, "scored", F.zip_with("raws", "all", lambda raw, c: F.struct(raw.alias("raw"), c.alias("c"))))
     live = F.filter("scored", lambda q: scoring.gate(q["c"]["source"], q["raw"], q["c"]["line"]))
     as_candidate = F.transform(live, lambda q: F.struct(q["c"]["source"].alias("source"), scoring.place_of(q["c"]["source"], q["c"]["rank"]).alias("place"), q["raw"].alias("raw"), q["c"]["refit"].alias("line"), q["c"]["count"].alias("count")))
-    return both.select("frame_id", "degenerate", F.col("regions.thumb").alias("thumb"), *s.clip, TOOK, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
+    return both.select("frame_id", F.col("v_degenerate").alias("degenerate"), F.col("v_thumb").alias("thumb"), *s.clip, TOOK, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
 
 
 def _chosen(df: DataFrame) -> DataFrame:

@@ -75,17 +75,19 @@ def labelled_frames(spark: SparkSession, folder: str, planes: tuple[str, ...] =
     """The labelled images of a dataset folder (label.csv, images/, masks/sky/) with their planes, label and mask.
 
     Columns: filename, height, width, the planes, has_horizon, slope, offset, gt_mask (null without a mask file).
-    limit: the first labels by filename, chosen before any image is read.
+    limit: the first labels by filename; only their files are read, as their names, at most limit, choose the files.
     """
     root = folder.rstrip("/")
     labels = tables.labels(spark, f"{root}/label.csv")
+    names = None
     if limit is not None:
         labels = labels.orderBy("filename").limit(limit)
-    pictures = tables.images(spark, f"{root}/images")
-    rows = decoded(pictures.join(F.broadcast(labels.select("filename")) if limit is not None else labels.select("filename"), "filename", "left_semi"), planes, size)
+        names = [r.filename for r in labels.select("filename").collect()]  # limit names
+    pictures = tables.images(spark, f"{root}/images", names)
+    rows = decoded(pictures.join(labels.select("filename"), "filename", "left_semi"), planes, size)
     rows = rows.join(labels, "filename")
     try:
-        sky = mask_planes(tables.images(spark, f"{root}/masks/sky"), size)
+        sky = mask_planes(tables.images(spark, f"{root}/masks/sky", None if names is None else [f"{n.rpartition('.')[0] or n}." for n in names]), size)
     except Exception as e:  # a dataset without masks
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -62,10 +62,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path).select("filename", "source_clip", F.col("t_in_clip_s").cast("double").alias("t_in_clip_s"), F.col("t_in_source_s").cast("double").alias("t_in_source_s"), "source_video_url")
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """filename, height, width, data (rows of blue, green, red bytes) of the readable images of a folder."""
-    df = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    return df.filter("height > 0").select(F.element_at(F.split("origin", "/"), -1).alias("filename"), "height", "width", "nChannels", "data")
+def _glob(names: list[str]) -> str:
+    """A pattern of exactly these file names; one that ends with a dot stands for any suffix."""
+    plain = lambda n: "".join(f"\\{c}" if c in "*?[]{},\\" else c for c in n)
+    return "{" + ",".join(plain(n) + "*" * n.endswith(".") for n in names) + "}"
+
+
+def images(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """filename, height, width, data (rows of blue, green, red bytes) of the readable images of a folder.
+
+    names: the only files to be listed and read; one that ends with a dot stands for any suffix.
+    """
+    source = spark.read.format("image").option("dropInvalid", True)
+    if names is not None:
+        source = source.option("pathGlobFilter", _glob(names))
+    df = source.load(folder).select("image.*")
+    name = F.url_decode(F.replace(F.element_at(F.split("origin", "/"), -1), F.lit("+"), F.lit("%2B")))  # origin is an address
+    return df.filter("height > 0").select(name.alias("filename"), "height", "width", "nChannels", "data")
 
 
 def masks(spark: SparkSession, folder: str) -> DataFrame:
