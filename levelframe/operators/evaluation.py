@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelframe.functions import grading, lines
+from levelframe.operators import ordering
+
+#: Test rows that are broadcast: a few MB.
+BROADCAST_ROWS = 100_000
 
 
 def scored(frames: DataFrame) -> DataFrame:
@@ -20,10 +24,15 @@ def scored(frames: DataFrame) -> DataFrame:
     return out.withColumn("passed", grading.passes(F.col("gt_horizon"), F.col("pred_horizon"), F.col("failed"), F.col("angle"), F.col("rho_norm")))
 
 
-def stats(column: str, high_is_worst: bool = True) -> list[Column]:
-    """mean, median, p90 and worst of a column without its nulls; null for none."""
+def stats(column: str, high_is_worst: bool = True, accuracy: int | None = None) -> list[Column]:
+    """mean, median, p90 and worst of a column without its nulls; null for none.
+
+    Exact quantiles hold every distinct value of a key in one task. With an accuracy they are values of the column from
+    mergeable sketches, whose rank is off by a share of 1 / accuracy at most, in memory that follows the accuracy.
+    """
     c = F.col(column)
-    return [F.avg(c).alias(f"{column}_mean"), F.percentile(c, 0.5).alias(f"{column}_median"), F.percentile(c, 0.9).alias(f"{column}_p90"), (F.max(c) if high_is_worst else F.min(c)).alias(f"{column}_worst")]
+    at = lambda p: F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)
+    return [F.avg(c).alias(f"{column}_mean"), at(0.5).alias(f"{column}_median"), at(0.9).alias(f"{column}_p90"), (F.max(c) if high_is_worst else F.min(c)).alias(f"{column}_worst")]
 
 
 def confusion() -> list[Column]:
@@ -32,17 +41,17 @@ def confusion() -> list[Column]:
     return [n(ok & gt & pred)("tp"), n(ok & gt & ~pred)("fn"), n(ok & ~gt & pred)("fp"), n(ok & ~gt & ~pred)("tn"), n(~ok & gt)("failed_gt_horizon"), n(~ok & ~gt)("failed_gt_no_horizon")]
 
 
-def summary(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def summary(frames: DataFrame, keys: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """One row for each key: counts, confusion, accuracy, errors, speed; frames as from scored(), with latency_ms.
 
     All frames are in the pass rate, failed ones not in the confusion nor the latencies; the confusion is null without
-    frames that have no horizon.
+    frames that have no horizon. accuracy: quantiles from sketches, as stats() has them.
     """
     rows = frames.withColumn("latency_ok", F.when(~F.col("failed"), F.col("latency_ms")))
     parts = confusion()
     out = rows.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed_count"), F.count("angle").alias("line_scored"), F.count_if("passed").alias("passed_count"), F.bool_or(~F.col("gt_horizon")).alias("has_no_horizon"),
-        *parts, *stats("angle"), *stats("rho_norm"), *stats("rho_px"), *stats("latency_ok"), F.avg(F.when(F.col("latency_ok").isNotNull(), F.when(F.col("latency_ok") > grading.BUDGET_MS, 100.0).otherwise(0.0))).alias("pct_over_budget"),
+        *parts, *(c for m in ("angle", "rho_norm", "rho_px", "latency_ok") for c in stats(m, accuracy=accuracy)), F.avg(F.when(F.col("latency_ok").isNotNull(), F.when(F.col("latency_ok") > grading.BUDGET_MS, 100.0).otherwise(0.0))).alias("pct_over_budget"),
     )
     names = ["tp", "fn", "fp", "tn", "failed_gt_horizon", "failed_gt_no_horizon"]
     out = out.withColumns({c: F.when(F.col("has_no_horizon"), F.col(c)) for c in names})
@@ -52,20 +61,23 @@ def summary(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def worst(frames: DataFrame, metric: str, n: int = 5, ties: list[str] | None = None) -> DataFrame:
-    """The n rows with the greatest metric."""
-    return frames.filter(F.col(metric).isNotNull()).orderBy(F.desc(metric), *(ties or [])).limit(n)
+    """The n rows with the greatest metric, fewer where fewer have one.
+
+    Nulls are left out after the limit: before it, the filter would compute the metric twice a row.
+    """
+    return frames.orderBy(F.desc_nulls_last(metric), *(ties or [])).limit(n).filter(F.col(metric).isNotNull())
 
 
 def precision_sweep(frames: DataFrame, keys: list[str]) -> DataFrame:
     """keys, threshold pair, precision: the share of scored frames within both limits, inclusive.
 
-    One average for each of the eight pairs in one aggregate; only its rows are spread over the pairs.
+    One average for each of the eight pairs in one aggregate; only its rows are spread over the pairs. Averages skip
+    what has no errors, so that keys without any are left out afterwards.
     """
     hit = lambda a, r: ((F.col("angle") <= a) & (F.col("rho_norm") <= r)).cast("double")
-    wide = frames.filter(F.col("angle").isNotNull()).groupBy(*keys).agg(*(F.avg(hit(a, r)).alias(f"__p{k}") for k, (a, r) in enumerate(grading.SWEEP)))
+    wide = frames.groupBy(*keys).agg(F.count("angle").alias("__scored"), *(F.avg(hit(a, r)).alias(f"__p{k}") for k, (a, r) in enumerate(grading.SWEEP)))
     pairs = F.array(*(F.struct(F.lit(a).alias("deg"), F.lit(r).alias("norm"), F.col(f"__p{k}").alias("precision")) for k, (a, r) in enumerate(grading.SWEEP)))
-    out = wide.select(*keys, F.explode(pairs).alias("t")).select(*keys, "t.*")
-    return out if keys else out.filter("precision IS NOT NULL")  # no row of an empty table
+    return wide.filter("__scored > 0").select(*keys, F.explode(pairs).alias("t")).select(*keys, "t.*")
 
 
 def mean_precision(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,17 +94,16 @@ def throughput(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def stratified_split(frames: DataFrame, stratum: Column, key: Column, share: float = 0.2) -> DataFrame:
     """frames with stratum and split: of each stratum with two rows or more, ceil(share) of the rows, one at least, the
-    first by key, are test."""
-    by = W.partitionBy("stratum")
-    rows = frames.withColumn("stratum", stratum).withColumn("__k", key)
-    n, place = F.count(F.lit(1)).over(by), F.row_number().over(by.orderBy("__k"))
-    tests = F.when(n >= 2, F.greatest(F.lit(1), F.ceil(share * n - 1e-9))).otherwise(0)
-    return rows.withColumn("split", F.when(place <= tests, "test").otherwise("train")).drop("__k")
+    first by key, are test. A stratum of any size is placed in ranges, not in one task."""
+    rows = ordering.placed(frames.withColumn("stratum", stratum).withColumn("__k", key), ["stratum"], ["__k"], "__place")
+    tests = F.when(F.col("__n") >= 2, F.greatest(F.lit(1), F.ceil(share * F.col("__n") - 1e-9))).otherwise(0)
+    return rows.withColumn("split", F.when(F.col("__place") <= tests, "test").otherwise("train")).drop("__k", "__place", "__n")
 
 
 def permutation_split(labels: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
-    """The split by one seeded generator over the strata in name order, for small label tables: the generator's state
-    runs through all strata, so the permutation is drawn on the driver from the strata's sizes alone."""
+    """The split by one seeded generator over the strata in name order, for label tables: the generator's state runs
+    through all strata, so the permutation is drawn on the driver from the strata's sizes alone. Rows are in the order
+    of filename."""
     import numpy as np
 
     sizes = labels.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy("stratum").collect()  # a row a stratum
@@ -100,9 +111,10 @@ def permutation_split(labels: DataFrame, seed: int, share: float = 0.2) -> DataF
     for r in sizes:
         tests = max(1, math.ceil(share * r["n"])) if r["n"] >= 2 else 0
         rows += [(r["stratum"], int(k)) for k in rng.permutation(r["n"])[:tests]]
-    tests = labels.sparkSession.createDataFrame(rows, "stratum string, __place int").withColumn("__test", F.lit(True))
-    placed = labels.withColumn("__place", F.row_number().over(W.partitionBy("stratum").orderBy("filename")) - 1)
-    return placed.join(F.broadcast(tests), ["stratum", "__place"], "left").withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__place", "__test")
+    tests = labels.sparkSession.createDataFrame(rows, "stratum string, __place long").withColumn("__test", F.lit(True))
+    tests = F.broadcast(tests) if len(rows) <= BROADCAST_ROWS else tests
+    rows = ordering.placed(labels, ["stratum"], ["filename"], "__place").withColumn("__place", F.col("__place") - 1)
+    return rows.join(tests, ["stratum", "__place"], "left").withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*labels.columns, "split")
 
 
 def divergence(a: DataFrame, b: DataFrame, key: str, gt: DataFrame | None = None, least_deg: float = 2.0) -> DataFrame:

@@ -203,6 +203,17 @@ def metric_stats(spark, sf_dir):
     return out.select("event_type", "n", *(r(f"value_{s}").alias(f"value_{s}") for s in ("mean", "median", "p90", "worst")), r(1000 / F.col("value_mean")).alias("fps_mean"), r(1000 / F.col("value_p90")).alias("fps_p90"), r("pct_over").alias("pct_over"))
 
 
+@query("sketched_stats", """SELECT event_type, count(*) AS n, true AS median_in_rank, true AS p90_in_rank, round(avg(value), 6) AS value_mean, round(max(value), 6) AS value_worst FROM events GROUP BY event_type""")
+def sketched_stats(spark, sf_dir):
+    """Quantiles of a run from mergeable sketches, with whether their exact ranks lie within the stated error."""
+    ev, accuracy = table(spark, sf_dir, "events"), 1000
+    found = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *evaluation.stats("value", accuracy=accuracy))
+    at = lambda q, p: (F.count_if(F.col("value") < F.col(q)) <= (p + 1 / accuracy) * F.first("n")) & (F.count_if(F.col("value") <= F.col(q)) >= (p - 1 / accuracy) * F.first("n"))
+    checked = ev.select("event_type", "value").join(F.broadcast(found), "event_type")  # a row an event type
+    out = checked.groupBy("event_type").agg(F.first("n").alias("n"), at("value_median", 0.5).alias("median_in_rank"), at("value_p90", 0.9).alias("p90_in_rank"), F.first("value_mean").alias("value_mean"), F.first("value_worst").alias("value_worst"))
+    return out.select("event_type", "n", "median_in_rank", "p90_in_rank", r("value_mean").alias("value_mean"), r("value_worst").alias("value_worst"))
+
+
 @query("stratified_split", """WITH s AS (SELECT o_orderkey, o_orderpriority AS stratum, o_orderkey * 7919 % 104729 AS k FROM orders),
 n AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY k, o_orderkey) AS place FROM s)
 SELECT o_orderkey, stratum, CASE WHEN n >= 2 AND place <= greatest(1, ceil(0.2::DOUBLE * n - 1e-9::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM n""")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelframe.functions import grading
+from levelframe.operators import evaluation
 
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|bmp|tif|tiff)$"
 LABEL_SUFFIX = r"(?i)\.(jpg|jpeg|png)$"
@@ -129,9 +133,9 @@ def with_horizon(embeddings: DataFrame, height: int = 8, width: int = 8) -> Data
 
 def split_csv(rows: DataFrame, path: str) -> None:
     """The fixed columns of a split run: train rows before test rows, rounded, nulls blank, failed as 0 or 1."""
-    fixed = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", c), F.lit("")).alias(c)
+    fixed = lambda c, n: F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", c)).otherwise("").alias(c)
     out = rows.withColumn("__o", F.when(F.col("split") == "train", 0).otherwise(1)).repartitionByRange(1, "__o", "filename").sortWithinPartitions("__o", "filename")
-    out.select("filename", "split", "angle_bin", "offset_bin", "stratum", fixed("delta_theta_deg", 4), fixed("delta_rho_px", 4), fixed("delta_rho_norm", 6), fixed("iou", 4), fixed("latency_ms", 3), F.col("failed").cast("int").alias("failed")).write.mode("overwrite").option("header", True).csv(path)
+    out.select("filename", "split", "angle_bin", "offset_bin", "stratum", fixed("delta_theta_deg", 4), fixed("delta_rho_px", 4), fixed("delta_rho_norm", 6), fixed("iou", 4), fixed("latency_ms", 3), F.col("failed").cast("int").alias("failed")).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def upserted_labels(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -139,6 +143,45 @@ def upserted_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("filename"), "filename", "left_anti").unionByName(new).orderBy("filename")
 
 
+def _label_text(rows: DataFrame) -> DataFrame:
+    """Labels as a file has them: true or false, and blanks for no number."""
+    number = lambda c: F.coalesce(F.when(F.col("has_horizon"), F.col(c)).cast("string"), F.lit("")).alias(c)
+    return rows.select("filename", F.col("has_horizon").cast("string").alias("has_horizon"), number("slope"), number("offset"))
+
+
+def upsert_label_file(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """The label file with new rows (filename, has_horizon, slope, offset) in place of old ones, by filename.
+
+    The rows go to a file of another name beside it, which takes the old one's place by one renaming: a write that is
+    cut off leaves the old file as it was. The last of new rows with one filename is any of them.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    new = new.select("filename", "has_horizon", "slope", "offset").dropDuplicates(["filename"])
+    rows = upserted_labels(labels(spark, path), new) if files.util().exists(target) else new.orderBy("filename")
+    beside = f"{path}.{uuid.uuid4().hex}"
+    folder = jvm.org.apache.hadoop.fs.Path(beside)
+    try:
+        # one file by its form, in order
+        _label_text(rows).repartitionByRange(1, "filename").sortWithinPartitions("filename").write.option("header", True).option("emptyValue", "").csv(beside)
+        part = next(f for f in (s.getPath() for s in files.util().listStatus(folder)) if f.getName().startswith("part-"))
+        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = overwrite
+        files.rename(part, target, kinds)
+        # a local file system's checksum beside the file would not outlive another program's edit
+        files.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
+    finally:
+        files.delete(folder, True)
+
+
+def attempts(found: DataFrame, numbers: list[int]) -> DataFrame:
+    """found (number, ..), one row for each of the numbers: nulls where an attempt has no result."""
+    wanted = found.sparkSession.createDataFrame([(int(n),) for n in numbers], "number int")
+    return wanted.join(found, "number", "left")
+
+
 def summary_json(summary: DataFrame, path: str) -> None:
     """One document a row."""
     summary.write.mode("overwrite").json(path)
@@ -150,6 +193,15 @@ def summary_text(summary: DataFrame) -> DataFrame:
     return summary.select(F.concat_ws("  ", F.concat(F.lit("accuracy "), "accuracy_verdict"), pct("pass_rate"), F.concat(F.lit("speed "), "speed_verdict"), F.format_string("%.2f ms", "latency_ok_mean")).alias("report"))
 
 
+def worst_text(rows: DataFrame, n: int = 5) -> DataFrame:
+    """place, report: a line of text for each of the n frames with the greatest angle, as a report prints them."""
+    value = lambda form, c: F.when(c.isNotNull(), F.format_string(form, c)).otherwise("-")
+    few = evaluation.worst(rows, "angle", n, ["filename"])
+    by = W.orderBy(F.desc("angle"), "filename")  # n rows
+    line = F.concat_ws("  ", "filename", value("%.2f deg", F.col("angle")), value("%.4f H", F.col("rho_norm")), F.concat(F.lit("iou "), value("%.3f", F.col("iou").cast("double"))))
+    return few.select(F.row_number().over(by).alias("place"), line.alias("report"))
+
+
 def markdown_section(text: str, marker: str, section: str) -> str:
     """A report file's text with everything from the marker on replaced by a new section."""
     head = text.split(marker, 1)[0].rstrip()
