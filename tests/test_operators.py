@@ -201,3 +201,30 @@ def test_label_readers(spark, tmp_path):
 def test_markdown_section_replaces_the_old_one():
     text = tables.markdown_section("# Run\n\n## Split\n\nold\n", "## Split", "new")
     assert text == "# Run\n\n## Split\n\nnew\n"
+
+
+def test_stream_in_event_time(spark, tmp_path):
+    from levelframe.streaming.temporal import carried_in_time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = np.random.default_rng(8)
+    rows = [(f"c{k % 2}", 1_700_000_000 + k, k, [float(rng.integers(0, 40))], [(source, float(3 * rng.random()), 1.0, float(rng.normal() / 4), 0.0, float(rng.integers(0, 24)), int(rng.integers(1, 9))) for source in ("L", "sky")[: rng.integers(0, 3)]]) for k in range(60)]
+    kind = "clip string, t long, seq long, thumb array<double>, candidates array<struct<source:string,raw:double,vx:double,vy:double,x0:double,y0:double,count:int>>"
+    shuffled = [rows[i] for i in sorted(range(60), key=lambda i: i + rng.uniform(0, 8))]  # up to eight seconds out of order
+    batches_ = [shuffled[k : k + 15] for k in range(0, 60, 15)] + [[("c0", 1_700_000_005, 5, [1.0], [])], [("z", 1_700_001_000, 0, [1.0], [])], [("z", 1_700_002_000, 1, [1.0], [])]]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("time", F.timestamp_seconds("t"))
+    q = carried_in_time(source, "time", "10 seconds", 24.0, 24.0, 0.3).writeStream.format("memory").queryName("in_time").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for k, b in enumerate(batches_):
+            spark.createDataFrame(b, kind).coalesce(1).write.mode("append").parquet(str(folder))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    stream = {(r.clip, r.seq): (r.scene, r.score) for r in spark.table("in_time").collect() if r.clip != "z"}
+    flat = spark.createDataFrame(rows, kind)
+    pool = F.transform("candidates", lambda c, k: F.struct(c["source"].alias("source"), (k + 1).cast("int").alias("place"), c["raw"].alias("raw"), F.struct(c["vx"].alias("vx"), c["vy"].alias("vy"), c["x0"].alias("x0"), c["y0"].alias("y0")).alias("line"), c["count"].alias("count")))
+    scened = temporal.scenes(flat.withColumn("candidates", pool), ["seq"], clip=["clip"])
+    batch = {(r.clip, r.seq): (r.scene, r.result and r.result.raw) for r in temporal.fold(scened, ["clip", "scene"], "seq", 24, 24, 0.3).collect()}
+    assert stream == batch and len(batch) == 60  # the repeated late row of seq 5 changed nothing
