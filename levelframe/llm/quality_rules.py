@@ -1,33 +1,45 @@
 """Quality rules whose limits come from the corpus, by language and source.
 
 Each document gets counts (words, symbols, repeated lines, repeated word triples). For every language and source a
-mergeable quantile sketch is built of each ratio; the fences of a ratio follow from its median and lower quartile in
-that group, which junk does not raise while it is less than half of the group, and a join brings them back to the documents. A sketch has a fixed size and merges on the map side, so
-that a source with a third of all rows costs its tasks no more than any other.
+mergeable quantile sketch of each ratio counts the documents in bins whose edges grow by GROWTH, so that a quantile is
+known to that relative error; counts add up exactly, so that a rerun has the same limits. The limit of a ratio is its
+quantile at 1 - TAIL in the group, weighed with the corpus's by PRIOR documents, so that small groups lean on the corpus
+smoothly. Values over GROSS are junk whatever the group: they are left out of the quantile, which junk so can't raise,
+and no limit lies above. No limit lies below LEAST either, a few odd places that any text may have; for the length of
+words LEAST is in medians of the group. Limits come back to the documents by a join.
+
+A sketch has at most some thousand bins and merges on the map side, so that a source with a third of all rows costs its
+tasks no more than any other.
 
 Nulls and edge cases: a null text has no words and fails the base rules; an empty text likewise; a null language or
-source is a group of its own; groups with fewer than MIN_GROUP documents use the sketches of the whole corpus.
-Rows are judged one by one, so that repeated rows each get a result; other columns are ignored.
+source is a group of its own; a document at the limit is kept, as are all documents of a ratio that all share; a text of
+any length is read whole; an empty table gives no rows. Rows are judged one by one, so that repeated rows each get a
+result and each count; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelframe.llm.common import let, saved, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A ratio is too high above median + SPREAD * (median - lower quartile) + MARGIN of its group, at most above CEILING.
-SPREAD = 8.0
-MARGINS = {"symbol_ratio": 0.20, "dup_line_ratio": 0.25, "repeat_ratio": 0.25, "long_word": 4.0}
-#: No fence of a ratio that cannot exceed 1 lies above.
-CEILING = {"symbol_ratio": 0.9, "dup_line_ratio": 0.9, "repeat_ratio": 0.9}
-#: Smaller groups are judged by the whole corpus.
-MIN_GROUP = 100
-#: Size parameter of the sketches: rank errors below one percent.
-SKETCH_K = 400
+#: The share of a group's documents that may lie above a limit, and how many documents the corpus counts as beside a group.
+TAIL, PRIOR = 0.01, 100
+#: Edges of the sketches' bins grow by this factor.
+GROWTH = 1.02
+#: Junk whatever the group; the length of words has no such bound, as languages differ.
+GROSS = {"symbol_ratio": 0.20, "dup_line_ratio": 0.25, "repeat_ratio": 0.25, "long_word": None}
+#: No limit lies below; of the length of words in medians.
+LEAST = {"symbol_ratio": 0.02, "dup_line_ratio": 0.10, "repeat_ratio": 0.10, "long_word": 1.3}
+RATIOS = list(GROSS)
+#: The bin of zero, below all others.
+ZERO = -1_000_000
 
 
 def repeated_triples(words: Column) -> Column:
@@ -83,25 +95,39 @@ def with_ratios(counts: DataFrame) -> DataFrame:
     )
 
 
+def sketches(measures: DataFrame) -> DataFrame:
+    """__lang, __source, ratio, bin, n: the documents with words by bins of each ratio."""
+    bin_of = lambda r: F.when(F.col(r) <= 0, ZERO).otherwise(F.ceil(F.round(F.log(r) / math.log(GROWTH), 6)).cast("int"))
+    small = lambda r: F.lit(True) if GROSS[r] is None else F.col(r) <= GROSS[r]
+    entries = F.array(*(F.when(small(r), F.struct(F.lit(r).alias("ratio"), bin_of(r).alias("bin"))) for r in RATIOS))
+    rows = measures.filter("n_words > 0").select("__lang", "__source", F.explode(entries).alias("e")).filter("e IS NOT NULL")
+    return rows.groupBy("__lang", "__source", "e.ratio", "e.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total, high, middle: the quantiles at 1 - TAIL and a half from the bins of each key, at most some thousand."""
+    by = W.partitionBy(*keys)
+    upto, total = F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)), F.sum("n").over(by)
+    rows = bins.withColumns({"__upto": upto, "__total": total})
+    value = F.when(F.col("bin") == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bin")))
+    at = lambda p: F.min(F.when(F.col("__upto") >= p * F.col("__total"), value))
+    return rows.groupBy(*keys).agg(F.first("__total").alias("total"), at(1 - TAIL).alias("high"), at(0.5).alias("middle"))
+
+
 def fences(measures: DataFrame) -> DataFrame:
-    """The limits of each ratio by language and source, from quantile sketches of the documents with words.
+    """The limits of each ratio by language and source: __lang, __source, max_<ratio>.
 
-    One sketch for each group and ratio; the sketches of the whole corpus are merged from them, for small groups.
+    The corpus's bins are merged from the groups'.
     """
-    sketches = measures.filter("n_words > 0").groupBy("__lang", "__source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in MARGINS)
-    )
-    sketches = saved(sketches)
-    merged = sketches.groupBy().agg(*(F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in MARGINS)).first()
-    out = {}
-    for r, margin in MARGINS.items():
-        # one row of fixed size comes to the driver: the merged sketches
-        whole = F.lit(bytes(merged[r])) if merged[r] is not None else F.col(r)
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(r)).otherwise(whole)
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5)))
-        fence = q[1] + SPREAD * (q[1] - q[0]) + margin
-        out[f"max_{r}"] = F.least(fence, F.lit(CEILING[r])) if r in CEILING else fence
-    return sketches.select("__lang", "__source", *(c.alias(k) for k, c in out.items()))
+    bins = saved(sketches(measures))
+    whole = quantiles(bins.groupBy("ratio", "bin").agg(F.sum("n").alias("n")), ["ratio"]).select("ratio", F.col("high").alias("all_high"), F.col("middle").alias("all_middle"))
+    own = quantiles(bins, ["__lang", "__source", "ratio"]).join(F.broadcast(whole), "ratio")  # a row a ratio
+    lean = lambda mine, corpus: (F.col("total") * F.col(mine) + PRIOR * F.col(corpus)) / (F.col("total") + PRIOR)
+    least = F.coalesce(*(F.when(F.col("ratio") == r, LEAST[r] * lean("middle", "all_middle") if GROSS[r] is None else F.lit(LEAST[r])) for r in RATIOS))
+    gross = F.coalesce(*(F.when(F.col("ratio") == r, F.lit(GROSS[r])) for r in RATIOS if GROSS[r] is not None), F.lit(float("inf")))
+    limit = F.least(F.greatest(lean("high", "all_high"), least), gross)
+    limits = own.select("__lang", "__source", "ratio", limit.alias("limit"))
+    return limits.groupBy("__lang", "__source").agg(*(F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"max_{r}") for r in RATIOS))
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -111,8 +137,9 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     counts = with_ratios(saved(measured(docs.select(*keep, "text", *own), [*keep, "__lang", "__source"])))
     limits = fences(counts)
     bad = F.lit(False)
-    for r in MARGINS:
-        bad = bad | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
+    for r in RATIOS:
+        # without a limit all of the group is gross
+        bad = bad | (F.col(r) > F.coalesce(f"max_{r}", F.lit(GROSS[r] if GROSS[r] is not None else float("inf"))))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counts.join(limits, ["__lang", "__source"], "left").withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
 

@@ -216,3 +216,65 @@ def test_patterns_pack_like_piece_by_piece(seed):
 
 def test_packing_of_nothing(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+
+
+# quality limits
+
+
+def quality_docs(spark, shares):
+    """Documents of ten lines; shares: source -> how many of 400 have two lines repeated."""
+    rng = np.random.default_rng(9)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 8))
+    rows, k = [], 0
+    for source, many in shares.items():
+        for i in range(400):
+            lines = [line() for _ in range(8)] + [f"end{k}", f"stop{k}"]
+            if i < many:
+                lines[0], lines[4] = lines[8:]
+            rows.append((k, "\n".join(lines), "en", source, 1))
+            k += 1
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows
+
+
+def test_limits_follow_the_group(spark):
+    from levelframe.llm import quality_rules
+
+    df, rows = quality_docs(spark, {"plain": 2, "verse": 200, "other": 0})
+    got = {r.doc_id: r for r in quality_rules.judged(df, ["doc_id"]).collect()}
+    odd = {r[0] for r in rows if len(set(r[1].split("\n"))) == 8}  # of ten lines
+    dropped = {i for i, r in got.items() if not r.kept}
+    # the same document is odd where few repeat lines and usual where many do; any one limit would drop both or none
+    assert dropped == {i for i in odd if rows[i][3] == "plain"} and len(dropped) == 2
+    again = {r.doc_id: (r.max_dup_line_ratio, r.max_long_word) for r in quality_rules.judged(df.repartition(7), ["doc_id"]).collect()}
+    assert again == {i: (r.max_dup_line_ratio, r.max_long_word) for i, r in got.items()}
+
+
+def test_limits_against_sorted_values(spark):
+    from levelframe.llm import quality_rules
+
+    df, _ = quality_docs(spark, {"a": 100, "b": 9})
+    counts = quality_rules.with_ratios(quality_rules.measured(df.withColumns({"__lang": F.col("lang"), "__source": F.col("source")}), ["__lang", "__source"]))
+    limits = {r["__source"]: r for r in quality_rules.fences(counts).collect()}
+    rows = counts.collect()
+    for r in quality_rules.RATIOS:
+        gross, least = quality_rules.GROSS[r], quality_rules.LEAST[r]
+        high, middle = {}, {}
+        for s in ("a", "b", None):
+            v = sorted(x[r] for x in rows if s in (None, x["__source"]) and (gross is None or x[r] <= gross))
+            high[s], middle[s] = v[math.ceil(0.99 * len(v)) - 1], v[math.ceil(0.5 * len(v)) - 1]
+            high[s, "n"] = len(v)
+        for s in ("a", "b"):
+            lean = lambda q: (high[s, "n"] * q[s] + 100 * q[None]) / (high[s, "n"] + 100)  # noqa: B023, E731
+            want = min(max(lean(high), least * lean(middle) if gross is None else least), gross or 1e9)
+            assert want / 1.03 <= limits[s][f"max_{r}"] <= want * 1.03
+
+
+def test_a_group_of_gross_documents_alone(spark):
+    from levelframe.llm import quality_rules
+
+    junk = [(k, " ".join(f"w{k}x{i}$$$$" for i in range(80)), "en", "junk", 1) for k in range(50)]
+    fine = [(100 + k, " ".join(f"v{k}y{i}" for i in range(80)), "en", None, 1) for k in range(50)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(junk + fine, kind), ["doc_id"]).collect()}
+    assert not any(got[k] for k in range(50)) and all(got[100 + k] for k in range(50))
+    assert quality_rules.judged(spark.createDataFrame([], kind), ["doc_id"]).collect() == []
