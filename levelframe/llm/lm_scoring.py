@@ -5,17 +5,24 @@ documents. The model reads each word as subword ids of a given vocabulary (a wor
 words of a batch need be cut only once each) and one end. It gives a subword the probability of its class, from one
 layer of causal self-attention over the ids before it, times the subword's share of its class after the class of the
 subword before it in the word, from the counts of all training words. The classes group ids with like neighbours in
-all training words. The layer is trained here in numpy by back-propagation with Adam: every task takes one pass over
-the whole texts of its training documents, in windows of SPAN ids, from the same start, and the tasks' weights are
-averaged by how many ids they saw; so every training document is learned from, whatever its length. In scoring,
+all training words. Ids beyond the INPUTS most frequent share input rows by rank, ids beyond the NEIGHBOURS most
+frequent are classed by rank, and attention predicts CLASSES classes; all ids have their own shares and counts.
+
+The layer is trained here in numpy by back-propagation with Adam, in ROUNDS rounds that take each training document
+once, whole, in windows of SPAN ids. A hash deals the documents to rounds and shards; the number of shards follows from
+the number of ids alone. In a round every shard is one task's, in the order of the hash, from the weights that the round
+starts with, and the shards' weights are averaged by how many ids they saw. So the scores do not depend on how the table
+is partitioned, and a shard learns from about as many ids whatever the size of the table. In scoring,
 windows of SPAN ids advance by STEP, so that every id is scored once, in the last STEP places of one window, with at
 least SPAN - STEP ids before it if the text has them; a batch of windows is one masked attention.
 
 The base needs the count of every word of every document. The most frequent words (at most FREQUENT) go to all tasks;
-the occurrences of the others, none of them frequent, are joined with their counts by hash.
+others, none of them frequent, are counted within each text and joined with their counts by a 64-bit hash.
 
 Nulls and edge cases: a null text is empty and has the end alone; a null doc_id is not held out; without training
-documents N, V and all counts are 0; repeated rows each count and each get their row; other columns are ignored.
+documents N, V and all counts are 0; repeated rows each count and each get their row; a text of any length is scored
+whole; classes of equal score are ordered by id; doc_id may have any type; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -45,6 +52,8 @@ NEIGHBOURS = 1024
 #: Weight of a subword's share of its class whatever stands before.
 SMOOTH = 10.0
 RATE, BATCH = 0.01, 128
+#: Rounds of training, and the ids that a shard is meant for; more shards than MOST_SHARDS grow instead.
+ROUNDS, IDS_A_SHARD, MOST_SHARDS = 4, 4_000_000, 1024
 TEXT_AT_ONCE = 4 << 20
 CACHE = 150_000
 SEED = 5
@@ -314,16 +323,17 @@ class Attention:
         """One pass in random order over the windows of some texts; state: what Adam carries on."""
         at, there, scored = self.windows(first, SPAN)
         losses = []
-        if not state:
-            state.update(n=0, rng=np.random.default_rng(SEED), m={k: np.zeros_like(v) for k, v in self.p.items()}, s={k: np.zeros_like(v) for k, v in self.p.items()})
+        if "m" not in state:
+            state.setdefault("n", 0)
+            state.update(t=0, rng=np.random.default_rng(SEED + int(state["n"])), m={k: np.zeros_like(v) for k, v in self.p.items()}, s={k: np.zeros_like(v) for k, v in self.p.items()})
         order = state["rng"].permutation(len(at))
         for lo in range(0, len(at), BATCH):
             own = order[lo : lo + BATCH]
             loss, g = self.step(ids, at[own], there[own], scored[own])
             losses.append(float(loss))
             state["n"] += 1
-            n = state["n"]
-            rate = RATE / (1 + n / 2000) ** 0.5
+            state["t"] += 1
+            n, rate = state["t"], RATE / (1 + state["n"] / 2000) ** 0.5
             rows = g.pop("rows")
             for k, d in g.items():
                 own = rows if k == "E" else slice(None)
@@ -378,7 +388,7 @@ def sequences(ids: np.ndarray, ends: np.ndarray, index: np.ndarray, first: np.nd
     return out, places, np.concatenate((start, places[:-1], places[1:] - 1))
 
 
-SCORED = "__rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+RARE = pa.struct([("h", pa.int64()), ("n", pa.int64())])
 
 
 def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.ndarray], end_count: int):
@@ -387,7 +397,7 @@ def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.
     def of(batches):
         for batch in batches:
             rows = {k: [] for k in ("n_tokens", "known", "base", "score")}
-            rare, rare_n = [], []
+            rare = []
             for lo, hi, kinds, first, index, words in worded(batch.column("text")):
                 at = np.minimum(np.searchsorted(hashes, kinds), max(len(hashes) - 1, 0))
                 c = np.where(hashes[at] == kinds, counts[at], 0) if len(hashes) else np.zeros(len(kinds), np.int64)
@@ -397,47 +407,64 @@ def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.
                 rows["n_tokens"].append(np.diff(first) + 1)
                 rows["known"].append(np.diff(seen[first]) + (end_count > 0))
                 rows["base"].append(np.diff(sums[first]) + np.log10(end_count + 1.0))
-                rare.append(kinds[index[c == 0]])
-                rare_n.append(np.diff(first) - np.diff(seen[first]))
+                rest = np.where(c == 0)[0]
+                text = np.searchsorted(first, rest, "right") - 1
+                # a word once for each text
+                own, n = np.unique(text * len(kinds) + index[rest], return_counts=True)
+                ends = np.searchsorted(own, np.arange(hi - lo + 1) * len(kinds))
+                rare.append((np.diff(ends), kinds[own % max(len(kinds), 1)], n))
                 # texts are scored in turns, as ids take more room than bytes
                 ids, ends = subwords.of(words)
                 for k in range(0, hi - lo, 256):
                     own = first[k : k + 257]
                     rows["score"].append(model.score(*sequences(ids, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)))
-            flat = np.concatenate(rare).astype(np.int64) if rare else np.zeros(0, np.int64)
-            n = np.concatenate(([0], np.cumsum(np.concatenate(rare_n)))) if rare_n else np.zeros(1, np.int64)
+            many, h, n = (np.concatenate([r[k] for r in rare]) if rare else np.zeros(0, np.int64) for k in range(3))
+            entries = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], fields=list(RARE))
+            rare_of = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), entries)
             get = lambda k, t: pa.array(np.concatenate(rows[k]) if rows[k] else [], t)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("__rid", "doc_id", "held_out")), get("n_tokens", pa.int64()), get("known", pa.int64()), get("base", pa.float64()), get("score", pa.float64()), pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(flat))],
+                [*(batch.column(k) for k in ("__rid", "doc_id", "held_out")), get("n_tokens", pa.int64()), get("known", pa.int64()), get("base", pa.float64()), get("score", pa.float64()), rare_of],
                 ["__rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
 
     return of
 
 
-def trained(texts: DataFrame, subwords: Subwords, model: Attention) -> None:
-    """Trains model on the column text of all rows: a pass in each task, and the mean of their weights."""
-
-    def of(batches):
-        state, seen = {}, 0
-        for batch in batches:
-            for lo, hi, _, first, index, words in worded(batch.column("text")):
-                ids, ends = subwords.of(words)
-                for k in range(0, hi - lo, 256):
-                    own = first[k : k + 257]
-                    part, places, _ = sequences(ids, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
-                    model.train(part, places, state)
-                    seen += len(part)
-        if seen:
-            w = model.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), seen))], ["i", "w", "seen"])
-
-    # a row a weight, whatever the number of tasks
-    found = texts.select("text").mapInArrow(of, "i long, w double, seen long").groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toArrow()
-    if found.num_rows:
-        weights = np.zeros(found.num_rows)
-        weights[found.column("i").to_numpy()] = found.column("w").to_numpy()
-        model.set_flat(weights)
+def trained(rows: DataFrame, subwords: Subwords, model: Attention, ids: int) -> None:
+    """Trains model on the texts of all rows (doc_id, text), of about so many ids: in each round a task a shard, and the
+    mean of their weights."""
+    shards = min(MOST_SHARDS, max(1, ids // IDS_A_SHARD))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    dealt = rows.select(key.alias("key"), "text").withColumns({"round": F.pmod("key", F.lit(ROUNDS)), "shard": F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")})
+    steps = 0.0
+
+    def of_round(start: np.ndarray, steps: float):
+        def of(batches):
+            model.set_flat(start)
+            state, seen = {"n": steps}, 0
+            for batch in batches:
+                for lo, hi, _, first, index, words in worded(batch.column("text")):
+                    found, ends = subwords.of(words)
+                    for k in range(0, hi - lo, 256):
+                        own = first[k : k + 257]
+                        part, places, _ = sequences(found, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
+                        model.train(part, places, state)
+                        seen += len(part)
+            if seen:
+                w = np.append(model.flat().astype(np.float64), state["n"]) * seen
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), seen))], ["i", "w", "seen"])
+
+        return of
+
+    for k in range(ROUNDS):
+        part = dealt.filter(F.col("round") == k).select("shard", "key", "text").repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "text")
+        # a row a weight, whatever the number of shards; the last is the number of steps
+        found = part.select("text").mapInArrow(of_round(model.flat(), steps), "i long, w double, seen long").groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toArrow()
+        if found.num_rows:
+            weights = np.zeros(found.num_rows)
+            weights[found.column("i").to_numpy()] = found.column("w").to_numpy()
+            model.set_flat(weights[:-1])
+            steps = float(weights[-1])
 
 
 def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
@@ -474,12 +501,12 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     after = subword_counts(counts, subwords, kind)
     after[CLASSES * subwords.size + subwords.size - 1] = n_docs
     model = Attention(ids, kind, after)
-    trained(own, subwords, model)
+    trained(own, subwords, model, int(ids.sum()))
     least, frequent = frequent_words(counts)
-    found = rows.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(scorer(subwords, model, frequent, n_docs), SCORED)
+    found = rows.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "held_out", "text").mapInArrow(scorer(subwords, model, frequent, n_docs), f"__rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,n:long>>")
     found = saved(found)
     rest = counts.filter(F.floor(F.log2(F.col("c").cast("double")) * 8) < least).select("h", "c")
-    rare = found.select("__rid", F.explode("rare").alias("h")).join(rest, "h").groupBy("__rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count(F.lit(1)).alias("hits"))
+    rare = found.select("__rid", F.inline("rare")).withColumnRenamed("n", "times").join(rest, "h").groupBy("__rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("hits"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return found.drop("rare").join(rare, "__rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"

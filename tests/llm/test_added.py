@@ -278,3 +278,28 @@ def test_a_group_of_gross_documents_alone(spark):
     got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(junk + fine, kind), ["doc_id"]).collect()}
     assert not any(got[k] for k in range(50)) and all(got[100 + k] for k in range(50))
     assert quality_rules.judged(spark.createDataFrame([], kind), ["doc_id"]).collect() == []
+
+
+# scores
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 700])
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch, shard):
+    from levelframe.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "IDS_A_SHARD", shard)
+    rng = np.random.default_rng(11)
+    rows = [(f"d{k}", " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(1, 80))) % 400)) for k in range(80)] + [("null", None), (None, "w1 w2"), ("held", "only here only here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = [{r.doc_id: r for r in lm_scoring.scored(docs.repartition(n)).collect()} for n in (1, 4)]
+    assert set(got[0]) == {r[0] for r in rows}
+    for i, r in got[0].items():
+        s = got[1][i]
+        assert np.isclose(r.score, s.score, rtol=1e-6) and np.isclose(r.base_score, s.base_score, rtol=1e-12) and (r.n_tokens, r.n_known) == (s.n_tokens, s.n_known)
+    # base and known by hand, a word that recurs in one text included
+    held = lambda i: i is not None and zlib.crc32(i.encode()) % 7 == 2
+    train = Counter(w for i, t in rows if not held(i) for w in [*WORD.findall(t or ""), None])
+    n, v = sum(train.values()), len(train)
+    for i, t in rows[:80] + rows[82:]:
+        tokens = [*WORD.findall(t), None]
+        assert np.isclose(got[0][i].base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens)) and got[0][i].n_known == sum(train[w] > 0 for w in tokens)
