@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from levelframe.functions import lines
-from levelframe.operators import evaluation
+from levelframe.operators import evaluation, regions
 from levelframe.plans.detectors import REGISTRY, Shape
 from levelframe.plans.registry import query
 from levelframe.session import table
+from levelframe.sources.frames import made_frames
 from levelframe.sources.tables import with_horizon
 
 #: Frames of eight rows: a small morphology window; clips of 50 frames.
@@ -36,11 +37,41 @@ for _name in REGISTRY:
     _register(_name)
 
 
+def _summary(df, name, shape):
+    """One run of a pipeline, scored against the known lines and summarised."""
+    height = F.lit(float(shape.height))
+    known = df.select("frame_id", lines.label_line(F.col("slope"), F.col("offset"), height).alias("gt"))
+    found = REGISTRY[name][0](df, shape).join(known, "frame_id")
+    rows = found.select("frame_id", (F.col("status") == "failed").alias("failed"), F.lit(True).alias("gt_horizon"), (F.col("status") != "no_horizon").alias("pred_horizon"), height.alias("height"), "latency_ms", "gt", F.col("line").alias("pred"))
+    return evaluation.summary(evaluation.scored(rows))
+
+
 @query("evaluate_a5")
 def evaluate_a5(spark, sf_dir):
-    """One run of a pipeline, scored against the known lines and summarised."""
-    df = frames(spark, sf_dir)
-    found = REGISTRY["a5"][0](df, SMALL).join(df.select("frame_id", "slope", "offset"), "frame_id")
-    rows = found.select("frame_id", (F.col("status") == "failed").alias("failed"), F.lit(True).alias("gt_horizon"), (F.col("status") != "no_horizon").alias("pred_horizon"), F.lit(float(SMALL.height)).alias("height"), F.lit(1.0).alias("latency_ms"), lines.label_line(F.col("slope"), F.col("offset"), F.lit(float(SMALL.height))).alias("gt"), F.col("line").alias("pred"))
-    out = evaluation.summary(evaluation.scored(rows))
-    return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 3).alias("angle_mean"), "accuracy_verdict", "speed_verdict")
+    out = _summary(frames(spark, sf_dir), "a5", SMALL)
+    return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 3).alias("angle_mean"), "accuracy_verdict")
+
+
+#: Frames of real size; clips of 50.
+FULL = Shape(480, 480, clip=("clip",), thumb=regions.CANDIDATE_SIZE)
+
+
+def full_frames(spark, sf_dir):
+    vectors, cores = table(spark, sf_dir, "embeddings"), spark.sparkContext.defaultParallelism
+    if len(vectors.inputFiles()) < cores:
+        vectors = vectors.repartition(cores)
+    return made_frames(vectors, FULL.height, FULL.width).withColumn("clip", F.floor(F.col("frame_id") / 50))
+
+
+def _register_full(name: str):
+    @query(f"evaluate_full_{name}")
+    def run(spark, sf_dir):
+        """A run over frames of 480 x 480."""
+        out = _summary(full_frames(spark, sf_dir), name, FULL)
+        return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 2).alias("angle_mean"), F.round("rho_norm_mean", 3).alias("rho_norm_mean"), "accuracy_verdict")
+
+    return run
+
+
+for _name in ("a1", "a2", "a4", "a7", "a10"):
+    _register_full(_name)

@@ -25,20 +25,24 @@ XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334
 WHITE = (0.950456, 1.0, 1.088754)
 
 
+#: Linear light of each byte.
+LINEAR = np.where(np.arange(256) <= 0.04045 * 255, np.arange(256) / 255 / 12.92, ((np.arange(256) / 255 + 0.055) / 1.055) ** 2.4)
+
+
 def planes_of(bgr: np.ndarray) -> dict[str, np.ndarray]:
     """The planes of a height x width x 3 frame of bytes."""
-    b, g, r = (bgr[:, :, k].astype(np.float64) for k in range(3))
-    high, low = bgr.max(axis=2).astype(np.float64), bgr.min(axis=2).astype(np.float64)
-    unit = np.stack((r, g, b)) / 255
-    linear = np.where(unit <= 0.04045, unit / 12.92, ((unit + 0.055) / 1.055) ** 2.4)
-    x, y, z = (np.tensordot(np.array(row) / w, linear, 1) for row, w in zip(XYZ, WHITE, strict=True))
-    root = lambda t: np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+    blue, green, red = (np.ascontiguousarray(bgr[:, :, k]) for k in range(3))
+    b, g, r = (p.astype(np.float64) for p in (blue, green, red))
+    high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+    light = LINEAR[red], LINEAR[green], LINEAR[blue]
+    x, y, z = (sum(p * (c / w) for p, c in zip(light, row, strict=True)) for row, w in zip(XYZ, WHITE, strict=True))
+    fx, fy, fz = (np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116) for t in (x, y, z))
     byte = lambda v: np.clip(np.rint(v), 0, 255)
     return {
         "gray": np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5),
-        "light": byte(np.where(y > 0.008856, 116 * np.cbrt(y) - 16, 903.3 * y) * 255 / 100),
-        "a": byte(500 * (root(x) - root(y)) + 128),
-        "b": byte(200 * (root(y) - root(z)) + 128),
+        "light": byte(np.where(y > 0.008856, 116 * fy - 16, 903.3 * y) * 255 / 100),
+        "a": byte(500 * (fx - fy) + 128),
+        "b": byte(200 * (fy - fz) + 128),
         "saturation": np.where(high == 0, 0, np.floor((high - low) * 255 / np.maximum(high, 1) + 0.5)),
         "blue_excess": np.clip(np.rint(128 + 128 * (b - r) / (b + r + 1)), 0, 255),
     }
@@ -95,6 +99,32 @@ def labelled_frames(spark: SparkSession, folder: str, planes: tuple[str, ...] =
     return rows.withColumn("stem", F.regexp_replace("filename", r"\.[^.]*$", "")).join(sky, "stem", "left").drop("stem")
 
 
+def made_frames(embeddings: DataFrame, height: int = 480, width: int = 480) -> DataFrame:
+    """frame_id, slope, offset, the planes of the likelihood stack, img and raw: a frame of real size for each vector of
+    64 values, blue above a line that follows from the id and green below it, the vector as its noise, coarse in the
+    sky and strong on the ground."""
+    kept = ("light", "a", "b", "saturation", "blue_excess")
+    sky, ground = np.array([225.0, 180.0, 140.0]), np.array([50.0, 95.0, 80.0])
+    y, x = np.mgrid[:height, :width]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
+                slope, offset = (k * 37 % 101 - 50) / 100, 0.3 + k * 17 % 41 / 100
+                tile = np.nan_to_num(vector.values.to_numpy(zero_copy_only=False).astype(np.float64)).reshape(8, 8)
+                coarse = np.kron(tile, np.ones((-(-height // 8), -(-width // 8))))[:height, :width]
+                fine = np.tile(tile, (-(-height // 8), -(-width // 8)))[:height, :width]
+                up = (y < slope * x + offset * height)[:, :, None]
+                pixels = np.where(up, sky + (40 * coarse + 60 * fine)[:, :, None], ground + (40 * coarse + 260 * fine)[:, :, None])
+                planes = planes_of(np.clip(pixels, 0, 255).astype(np.uint8))
+                arrays = [pa.array([planes[c].astype(np.int32).ravel()], pa.list_(pa.int32())) for c in kept]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([slope]), pa.array([offset]), *arrays], ["frame_id", "slope", "offset", *kept])
+
+    whole = embeddings.filter("vec_id IS NOT NULL AND size(embedding) = 64").select("vec_id", "embedding")
+    made = whole.mapInArrow(of, "frame_id long, slope double, offset double, " + ", ".join(f"{c} array<int>" for c in kept))
+    return made.withColumns({"img": F.col("light"), "raw": F.col("b")})
+
+
 def missing_images(labels: DataFrame, names: DataFrame) -> DataFrame:
     """Labels whose image file is not there."""
     return labels.join(names.select("filename"), "filename", "left_anti")

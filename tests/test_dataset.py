@@ -99,3 +99,27 @@ def test_missing_images_and_added_detectors(spark, folder):
     assert de.known()["rows"][1] and de.known()["a10"][1] and not de.known()["a1"][1]
     with pytest.raises(ValueError):
         de.add("a1", de.sky_by_rows)
+
+
+def test_annotated_frames(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    from levelframe.sources import annotations
+
+    images = tables.images(spark, f"{folder}/images").withColumn("ln", F.when(F.col("filename") != "flat.png", F.expr("named_struct('vx', 1D, 'vy', 0.5D, 'x0', 10D, 'y0', 12D)")))
+    level = F.expr("named_struct('vx', -2D, 'vy', 0D, 'x0', 4D, 'y0', 30D)")
+    both = F.array(annotations.drawn(F.col("ln"), (255, 0, 9), 3.0), annotations.drawn(level, (1, 2, 3), 1.0, 6.0, 4.0))
+    before = {r.filename: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for r in images.collect()}
+    for r in annotations.annotated(images, both).collect():
+        (tmp_path / r.filename).write_bytes(r.png)
+    after = {r.filename: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for r in tables.images(spark, str(tmp_path)).collect()}
+    assert set(after) == set(before)
+    for name, old in before.items():
+        want = old.copy()
+        for y in range(40):
+            for x in range(60):
+                if name != "flat.png" and abs((x - 10) - 2 * (y - 12)) / 5**0.5 <= 1.5:
+                    want[y, x] = 9, 0, 255
+                if y == 30 and (4 - x) % 10 < 6:
+                    want[y, x] = 3, 2, 1
+        assert (after[name] == want).all() and (want != old).any()
