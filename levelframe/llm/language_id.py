@@ -8,7 +8,9 @@ hash; LEAST_PER_LANG of each where that makes more): that sample is the only bou
 on the part of the sample that was kept out of training. Predictions run over whole texts inside tasks.
 
 Nulls and edge cases: a null text, or one without a letter, is und with score 0; without training rows every text is;
-rows without doc_id are never training rows; repeated rows each get their row; other columns are kept by accepted() and ignored by predicted().
+rows without doc_id are never training rows; repeated rows each get their row; a text of any length is read whole; of
+languages with equal probability the first by name is taken; an empty table gives no rows; other columns are kept by
+accepted() and ignored by predicted().
 """
 
 from __future__ import annotations

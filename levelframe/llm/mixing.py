@@ -11,7 +11,8 @@ give exact quotas of each source for each shard. Each source then deals its perm
 quotas, and every shard orders its documents by hash.
 
 Nulls and edge cases: a null or empty text has size 0 and is taken with its block; a null source is a source of its
-own, last in order; repeated rows share their hash and their fate; an empty table gives an empty mix; other columns
+own, last in order; repeated rows share their hash and their fate; so do documents of
+equal hash; a text of any length is counted whole; an empty table gives an empty mix; other columns
 are kept by mixed() and ignored by taken().
 """
 

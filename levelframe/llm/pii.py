@@ -15,7 +15,8 @@ A term is a run of letters and digits of any length; what stands between two mat
 
 Nulls and edge cases: a null or empty text has no spans; a text of any length is read whole; of terms that start at
 the same place each is a span; a term's strength is its highest for any entity; repeated rows each get their row; equal texts get equal
-spans; overlapping matches of different kinds all count; terms inside a base span are left out.
+spans; overlapping matches of different kinds all count; terms inside a base span are left out; an empty
+table gives no rows and no terms; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ offsets and the bytes that the run covers (a segment).
    task's work: its windows are counted by two 64-bit hashes over all tasks instead, which is exact as well.
 
 The findings are joined back to the texts, which are cut. Nulls and edge cases: a null text is empty; texts shorter
-than LENGTH lose nothing; equal texts, repeated rows among them, lose everything from LENGTH bytes on; an empty table
+than LENGTH lose nothing; equal texts, repeated rows among them, lose everything from LENGTH bytes on; a
+text of any length is read whole, its runs counted where they are; an empty table
 gives an empty result; other columns are ignored by report() and kept by deduplicated(), where a character that is
 cut in two goes as a whole.
 """

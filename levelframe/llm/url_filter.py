@@ -7,7 +7,8 @@ rule asks for its canonical form. Every question goes through the Bloom filter,
 the possible hits through a join on the key itself, which removes the false positives.
 
 Nulls and edge cases: a null url, or one without ://, has an empty host and path and is allowed; repeated rows each
-get their row; empty tables give empty results; of two rules the longer one wins, then the one that blocks.
+get their row; a url of any length is read whole; empty tables give empty results; columns that
+are not to be kept are ignored, whatever their names; of two rules the longer one wins, then the one that blocks.
 """
 
 from __future__ import annotations

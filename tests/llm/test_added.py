@@ -303,3 +303,75 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch, shard):
     for i, t in rows[:80] + rows[82:]:
         tokens = [*WORD.findall(t), None]
         assert np.isclose(got[0][i].base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens)) and got[0][i].n_known == sum(train[w] > 0 for w in tokens)
+
+
+# language
+
+
+def slow_places(text):
+    """The places of all n-grams of a text, one character at a time."""
+    mask, chars = (1 << 32) - 1, []
+    for c in map(ord, text):
+        letter = 97 <= (c | 32) <= 122 or c >= 0xC0
+        chars.append((c + 32 * (65 <= c <= 90 or 0xC0 <= c <= 0xDE)) if letter else 32)
+    out = []
+    for k in range(3):
+        for i in range(len(chars) - k):
+            s = sum(chars[i + j] * ((2654435761 * (2 * j + 1)) & mask) for j in range(k + 1)) & mask
+            m = (((s ^ (s >> 15)) * 2246822519) + (k * 374761393 & mask)) & mask
+            out.append(((m * 3266489917) & mask) >> 17)
+    return out
+
+
+def test_language_against_plain_training_and_prediction(spark):
+    from levelframe.llm import language_id as li
+
+    rng = np.random.default_rng(13)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts, 3)) for _ in range(n))
+    rows = [(k, make(["tha", "ing", "oh"] if k % 2 else ["ich", "ün", "sch"], 12 + k % 9), "en" if k % 2 else "de") for k in range(60)]
+    rows += [(900, "12 ... 34", "en"), (901, None, "de"), (902, "Zß É " * 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = [(i, t, y) for i, t, y in rows if t is not None and y is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    df = Counter(p for _, t, _ in own for p in set(slow_places(t)))
+    idf = lambda p: math.log((1 + len(own)) / (1 + df[p])) + 1
+    # the order of training is by Spark's hash of the sample
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit("language sample"), "doc_id", F.crc32("text")).alias("h")).collect()}
+    z, n, langs = defaultdict(float), defaultdict(float), ["de", "en"]
+
+    def weight(p, j):
+        v = z[p, j]
+        return 0.0 if abs(v) <= li.L1 else -(v - math.copysign(li.L1, v)) / ((li.BETA + math.sqrt(n[p, j])) / li.ALPHA + li.L2)
+
+    def values(t):
+        c = Counter(slow_places(t))
+        return {p: li.SCALE * k / max(sum(c.values()), 1) * idf(p) for p, k in c.items()} | {"bias": 1.0}
+
+    def logits(x):
+        return [sum(v * weight(p, j) for p, v in x.items()) for j in range(2)]
+
+    def shares(u):
+        e = [math.exp(v - max(u)) for v in u]
+        return [v / sum(e) for v in e]
+
+    ordered = sorted(((h[i], values(t), langs.index(y)) for i, t, y in own), key=lambda r: r[0])
+    for _ in range(li.PASSES):
+        for key, x, y in ordered:
+            if key % 5 == 0:
+                continue
+            p = shares(logits(x))
+            w = {(k, j): weight(k, j) for k in x for j in range(2)}
+            for k, v in x.items():
+                for j in range(2):
+                    g = v * (p[j] - (j == y))
+                    z[k, j] += g - (math.sqrt(n[k, j] + g * g) - math.sqrt(n[k, j])) / li.ALPHA * w[k, j]
+                    n[k, j] += g * g
+    tests = [(logits(x), y) for key, x, y in ordered if key % 5 == 0]
+    loss = lambda t: -sum(math.log(max(shares([v / t for v in u])[y], 1e-12)) for u, y in tests)
+    best = min(np.geomspace(0.1, 10, 61), key=lambda t: (round(loss(t), 9), t)) if tests else 1.0
+    got = {r.doc_id: r for r in li.predicted(docs).collect()}
+    for i, t, _ in rows:
+        if i in (900, 901):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            p = shares([v / best for v in logits(values(t))])
+            assert got[i].lang_pred == langs[p.index(max(p))] and abs(got[i].score - max(p)) < 1e-4
