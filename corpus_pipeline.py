@@ -2,6 +2,12 @@
 
 Every stage is a function of (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's rows as Parquet
 in the folder that all executors share and reads them back as the next stage's documents.
+
+Nulls and edge cases: a null or empty text has no language and goes in the first stage, so that later ones hold texts
+only, though each takes such rows by its own; a null source is a source of its own; texts of any length are read whole;
+repeated rows and copies are near duplicates of each other, of which one stays, the smallest doc_id; ties between shards
+go by hash; an empty table, or one of which a stage keeps nothing, gives an empty result; extra columns pass through all
+stages, and those named as one that the last stage adds give way to it. Stage tables stay until the folder is cleared.
 """
 
 from __future__ import annotations
