@@ -63,5 +63,6 @@ def source_name(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Orders digit runs by value and all else as lower-case text."""
-    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p))
+    """Orders digit runs by value, of any length, and all else as lower-case text."""
+    by_value = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), by_value(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p))

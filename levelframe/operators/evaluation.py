@@ -60,6 +60,15 @@ def summary(frames: DataFrame, keys: list[str] | None = None, accuracy: int | No
     return out.withColumns({f"fps_{s}": 1000.0 / F.col(f"latency_ok_{s}") for s in ("mean", "median", "p90", "worst")})
 
 
+def side_by_side(frames: DataFrame, split: str, first: str, second: str, metrics: list[str]) -> DataFrame:
+    """metric, and mean, median, p90 and worst of two splits beside each other, named by the split."""
+    wide = frames.groupBy(split).agg(*(c for m in metrics for c in stats(m)))
+    kinds = ("mean", "median", "p90", "worst")
+    rows = wide.select(split, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{k}").cast("double").alias(k) for k in kinds)) for m in metrics))))
+    of = lambda name: rows.filter(F.col(split) == name).select("metric", *(F.col(k).alias(f"{name}_{k}") for k in kinds))
+    return of(first).join(of(second), "metric", "full")
+
+
 def worst(frames: DataFrame, metric: str, n: int = 5, ties: list[str] | None = None) -> DataFrame:
     """The n rows with the greatest metric, fewer where fewer have one.
 

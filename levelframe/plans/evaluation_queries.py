@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelframe.functions import grading, lines
-from levelframe.operators import evaluation, temporal
+from levelframe.operators import evaluation, ordering, temporal
 from levelframe.plans.registry import query
 from levelframe.session import table
 
@@ -189,6 +189,17 @@ def split_aggregate(spark, sf_dir):
     return out.select("split", "n", *(r(c).alias(c) for c in out.columns[2:]))
 
 
+@query("split_side_by_side", f"""WITH {FRAMES_SQL}, w AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, angle, rho_norm FROM s),
+m AS (SELECT split, 'angle' AS metric, avg(angle) AS mean, max(angle) AS worst FROM w GROUP BY split UNION ALL SELECT split, 'rho_norm', avg(rho_norm), max(rho_norm) FROM w GROUP BY split)
+SELECT a.metric, round(a.mean, 6) AS train_mean, round(b.mean, 6) AS test_mean, round(a.worst, 6) AS train_worst, round(b.worst, 6) AS test_worst, round(b.mean - a.mean, 6) AS mean_gap
+FROM m a JOIN m b ON a.metric = b.metric AND a.split = 'train' AND b.split = 'test'""")
+def split_side_by_side(spark, sf_dir):
+    """Each metric of the train rows beside that of the test rows."""
+    rows = scored(spark, sf_dir).withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+    out = evaluation.side_by_side(rows, "split", "train", "test", ["angle", "rho_norm"])
+    return out.select("metric", *(r(c).alias(c) for c in ("train_mean", "test_mean", "train_worst", "test_worst")), r(F.col("test_mean") - F.col("train_mean")).alias("mean_gap"))
+
+
 @query("warm_up_throughput", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
 SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean_ms, round(count(*) * 1000 / sum(value), 6) AS fps FROM n WHERE k > 10 GROUP BY user_id""")
 def warm_up_throughput(spark, sf_dir):
@@ -277,10 +288,11 @@ def divergence_buckets(spark, sf_dir):
 
 @query("natural_sort", r"""WITH p AS (SELECT page_id, url, regexp_extract_all(lower(url), '(\d+|\D+)', 1) AS parts FROM pages),
 k AS (SELECT page_id, url, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(regexp_replace(x, '^0+(.)', '\1'), 20, '0') ELSE x END) AS key FROM p)
-SELECT page_id, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k ORDER BY place LIMIT 100""")
+SELECT page_id, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k""")
 def natural_sort(spark, sf_dir):
-    first = table(spark, sf_dir, "pages").orderBy(grading.natural_key(F.col("url")), "page_id").limit(100)
-    return first.withColumn("place", F.row_number().over(W.orderBy(grading.natural_key(F.col("url")), "page_id")).cast("long")).select("page_id", "place")
+    """Every name's place in natural order; ranges of the order are placed on their own."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("all"), grading.natural_key(F.col("url")).alias("key"))
+    return ordering.placed(rows, ["all"], ["key", "page_id"]).select("page_id", "place")
 
 
 @query("safe_names", r"""SELECT page_id, CASE WHEN length(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g')) > 0 THEN regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') ELSE 'dataset' END AS safe,

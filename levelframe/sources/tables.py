@@ -92,18 +92,32 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_names(spark: SparkSession, folder: str, natural: bool = True) -> DataFrame:
-    """The image files of a folder in natural or lexical order; only the listing is read."""
+    """The image files of a folder in natural or lexical order; only the listing is read. A folder without any is an
+    error, as a missing one is."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder).select("path", "modificationTime", "length")
     df = df.withColumn("filename", F.element_at(F.split("path", "/"), -1)).filter(F.col("filename").rlike(IMAGE_SUFFIX if natural else LABEL_SUFFIX))
+    if df.isEmpty():
+        raise ValueError(f"no images in {folder}")
     return df.orderBy(grading.natural_key(F.col("filename")) if natural else F.col("filename"))
 
 
-def results(spark: SparkSession, glob: str) -> DataFrame:
-    """The newest result document of each attempt number in a folder tree, with its file."""
+def results(spark: SparkSession, glob: str, by_dataset: bool = False) -> DataFrame:
+    """The newest result document of each attempt number in a folder tree, with its file; by_dataset: of each number and
+    dataset, the last folder of dataset_dir."""
     df = spark.read.option("multiLine", True).json(glob).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.col("_metadata.file_modification_time"))
     df = df.withColumn("number", F.regexp_extract("file", r"attempt-(\d+)", 1).try_cast("int"))
-    names = [c for c in df.columns if c != "number"]
-    return df.groupBy("number").agg(F.max_by(F.struct(*names), "at").alias("r")).select("number", "r.*")
+    keys = ["number", "dataset"] if by_dataset else ["number"]
+    df = df.withColumn("dataset", grading.safe_name(grading.source_name(F.col("dataset_dir")))) if by_dataset else df
+    names = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*names), "at").alias("r")).select(*keys, "r.*")
+
+
+def pass_rates(found: DataFrame, datasets: list[str], numbers: list[int] | None = None) -> DataFrame:
+    """number and a column of pass rates for each dataset, from results(by_dataset=True); null where one is missing,
+    as are all of a number that has no result."""
+    rate = found.select("number", "dataset", F.col("summary.accuracy.pass_rate").cast("double").alias("rate"))
+    out = rate.groupBy("number").pivot("dataset", datasets).agg(F.first("rate"))
+    return out if numbers is None else attempts(out, numbers)
 
 
 def _byte(v: Column) -> Column:
@@ -149,31 +163,47 @@ def _label_text(rows: DataFrame) -> DataFrame:
     return rows.select("filename", F.col("has_horizon").cast("string").alias("has_horizon"), number("slope"), number("offset"))
 
 
-def upsert_label_file(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """The label file with new rows (filename, has_horizon, slope, offset) in place of old ones, by filename.
+def _in_place(rows: DataFrame, path: str, kind: str, **options) -> None:
+    """rows, sorted as they shall stand and in one partition, as the one file path.
 
-    The rows go to a file of another name beside it, which takes the old one's place by one renaming: a write that is
-    cut off leaves the old file as it was. The last of new rows with one filename is any of them.
+    They go to a file of another name beside it, which takes the old one's place by one renaming: a write that is cut
+    off leaves the old file as it was.
     """
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
-    new = new.select("filename", "has_horizon", "slope", "offset").dropDuplicates(["filename"])
-    rows = upserted_labels(labels(spark, path), new) if files.util().exists(target) else new.orderBy("filename")
-    beside = f"{path}.{uuid.uuid4().hex}"
-    folder = jvm.org.apache.hadoop.fs.Path(beside)
+    spark = rows.sparkSession
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target, beside = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = fs.FileContext.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else fs.FileContext.getFileContext(conf)
     try:
-        # one file by its form, in order
-        _label_text(rows).repartitionByRange(1, "filename").sortWithinPartitions("filename").write.option("header", True).option("emptyValue", "").csv(beside)
-        part = next(f for f in (s.getPath() for s in files.util().listStatus(folder)) if f.getName().startswith("part-"))
-        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        kinds[0] = overwrite
-        files.rename(part, target, kinds)
+        rows.write.format(kind).options(**options).save(str(beside.toString()))
+        part = next(f for f in (s.getPath() for s in files.util().listStatus(beside)) if f.getName().startswith("part-"))
+        overwrite = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        overwrite[0] = fs.Options.Rename.OVERWRITE
+        files.rename(part, target, overwrite)
         # a local file system's checksum beside the file would not outlive another program's edit
-        files.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
+        files.delete(fs.Path(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
-        files.delete(folder, True)
+        files.delete(beside, True)
+
+
+def upsert_label_file(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """The label file with new rows (filename, has_horizon, slope, offset) in place of old ones, by filename; a file
+    that is not there is begun. Of new rows with one filename any counts."""
+    new = new.select("filename", "has_horizon", "slope", "offset").dropDuplicates(["filename"])
+    try:
+        rows = upserted_labels(labels(spark, path), new)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = new
+    _in_place(_label_text(rows).repartitionByRange(1, "filename").sortWithinPartitions("filename"), path, "csv", header=True, emptyValue="")
+
+
+def document_file(doc: DataFrame, folder: str, dataset: str) -> str:
+    """The document of a run (one row) as an indented JSON file, named for the dataset: its path."""
+    safe = doc.sparkSession.range(1).select(grading.safe_name(F.lit(dataset)).alias("n")).first().n
+    path = f"{folder.rstrip('/')}/full-eval-results-{safe}.json"
+    _in_place(doc.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1), path, "text")
+    return path
 
 
 def attempts(found: DataFrame, numbers: list[int]) -> DataFrame:

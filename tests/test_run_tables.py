@@ -126,3 +126,64 @@ def test_reports(spark, tmp_path):
     assert tables.summary_text(one).first().report == "accuracy PASS  97.50%  speed FAIL  70.25 ms"
     tables.summary_json(one, str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc")).first().pass_rate == 0.975
+
+
+def test_results_by_dataset_and_pass_rates(spark, tmp_path):
+    for k, (n, data, rate) in enumerate([(1, "/d/uav/images", 0.5), (1, "/d/fpv", 0.25), (3, "/d/uav", 0.75)]):
+        (tmp_path / f"attempt-{n}-x").mkdir(exist_ok=True)
+        (tmp_path / f"attempt-{n}-x" / f"r{k}.json").write_text('{"dataset_dir": "%s", "summary": {"accuracy": {"pass_rate": %s}}}' % (data, rate))
+    rates = tables.pass_rates(tables.results(spark, f"{tmp_path}/*/*.json", by_dataset=True), ["uav", "fpv"], [1, 2, 3])
+    assert {(r.number, r.uav, r.fpv) for r in rates.collect()} == {(1, 0.5, 0.25), (2, None, None), (3, 0.75, None)}
+
+
+def test_document_file_and_empty_folder(spark, tmp_path):
+    doc = spark.createDataFrame([("a1", None, (3, 0.5))], "attempt string, seed long, summary struct<total:int,pass_rate:double>")
+    path = tables.document_file(doc, str(tmp_path), "my set!")
+    assert path.endswith("/full-eval-results-my_set_.json")
+    import json
+
+    text = Path(path).read_text()
+    assert json.loads(text) == {"attempt": "a1", "seed": None, "summary": {"total": 3, "pass_rate": 0.5}} and '\n  "summary"' in text
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.txt").write_text("x")
+    with pytest.raises(ValueError, match="no images"):
+        tables.image_names(spark, str(tmp_path / "empty"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from levelframe.__main__ import main
+
+    (tmp_path / "images").mkdir()
+    lines = ["filename,has_horizon,slope,offset"]
+    for k in range(6):
+        y = np.mgrid[:48, :64][0]
+        (tmp_path / "images" / f"f{k}.png").write_bytes(png(np.where((y < 20 + k)[:, :, None], np.array([150, 190, 240]), np.array([60, 80, 40])).astype(np.uint8)))
+        lines.append(f"f{k}.png,true,0,{(20 + k) / 48}")
+    (tmp_path / "label.csv").write_text("\n".join(lines) + "\n")
+    main(["evaluate", "a2", str(tmp_path), "--height", "48", "--width", "64", "--limit", "4"])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("accuracy PASS  100.00%  speed PASS") and len(out) == 6 and Path(out[-1]).exists()
+    main(["split", str(tmp_path)])
+    assert sum(int(line.split()[-1]) for line in capsys.readouterr().out.splitlines()) == 6
+
+
+def test_natural_order_of_long_digits(spark):
+    from levelframe.functions import grading
+
+    names = ["f2", "f10", "f" + "9" * 30, "f1" + "0" * 30, "F3", "f010a", "g"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.n for r in df.orderBy(grading.natural_key(F.col("n")), "n").collect()] == ["f2", "F3", "f10", "f010a", "f" + "9" * 30, "f1" + "0" * 30, "g"]
+
+
+def test_row_energy_peak_of_fifteen_rows(spark):
+    from levelframe.operators import batches, raster
+
+    rng = np.random.default_rng(7)
+    rows = [(k, np.clip(rng.normal(100, 20, (40, 6)) + 90 * (np.arange(40)[:, None] > 6 * k + 4), 0, 255).astype(int).ravel().tolist()) for k in range(5)]
+    df = spark.createDataFrame(rows, "k int, img array<int>")
+    for r in df.select("k", "img", raster.row_energy_peak(F.col("img"), 40, 6).alias("a"), batches.row_energy_peak(F.col("img"), 40, 6)["value"].alias("b")).collect():
+        a = np.pad(np.array(r.img).reshape(40, 6), 1, mode="reflect")
+        across = a[:, :-2] + 2 * a[:, 1:-1] + a[:, 2:]
+        energy = np.abs(across[2:] - across[:-2]).mean(axis=1)
+        want = np.round([energy[max(y - 7, 0) : y + 8].sum() for y in range(40)], 6).argmax()
+        assert r.a == r.b == want
