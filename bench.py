@@ -12,7 +12,7 @@ from levelframe.session import local_session
 HEADLINE = (
     "label_to_hesse", "angular_error", "evaluation_summary", "precision_sweep", "split_aggregate", "metric_stats", "stratified_split", "temporal_fold", "scene_segments", "otsu_threshold", "gaussian_blur",
     "morph_close", "column_scan", "ols_fit", "ransac_top_k", "boundary_path", "region_coherence", "detect_a1", "detect_a2", "detect_a4", "detect_a5", "detect_a10",
-    "evaluate_full_a1", "evaluate_full_a4", "evaluate_full_a10",  # frames of 480 x 480
+    "evaluate_full_a10",  # frames of 480 x 480
 )
 
 

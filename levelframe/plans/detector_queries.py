@@ -37,10 +37,11 @@ for _name in REGISTRY:
     _register(_name)
 
 
-def _summary(df, name, shape):
-    """One run of a pipeline, scored against the known lines and summarised."""
+def _summary(spark, sf_dir, df, name, shape):
+    """One run of a pipeline, scored against the known lines and summarised. The lines follow from the ids alone, so that
+    no frame is made twice."""
     height = F.lit(float(shape.height))
-    known = df.select("frame_id", lines.label_line(F.col("slope"), F.col("offset"), height).alias("gt"))
+    known = with_horizon(table(spark, sf_dir, "embeddings")).select("frame_id", lines.label_line(F.col("slope"), F.col("offset"), height).alias("gt"))
     found = REGISTRY[name][0](df, shape).join(known, "frame_id")
     rows = found.select("frame_id", (F.col("status") == "failed").alias("failed"), F.lit(True).alias("gt_horizon"), (F.col("status") != "no_horizon").alias("pred_horizon"), height.alias("height"), "latency_ms", "gt", F.col("line").alias("pred"))
     return evaluation.summary(evaluation.scored(rows))
@@ -48,7 +49,7 @@ def _summary(df, name, shape):
 
 @query("evaluate_a5")
 def evaluate_a5(spark, sf_dir):
-    out = _summary(frames(spark, sf_dir), "a5", SMALL)
+    out = _summary(spark, sf_dir, frames(spark, sf_dir), "a5", SMALL)
     return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 3).alias("angle_mean"), "accuracy_verdict")
 
 
@@ -67,7 +68,7 @@ def _register_full(name: str):
     @query(f"evaluate_full_{name}")
     def run(spark, sf_dir):
         """A run over frames of 480 x 480."""
-        out = _summary(full_frames(spark, sf_dir), name, FULL)
+        out = _summary(spark, sf_dir, full_frames(spark, sf_dir), name, FULL)
         return out.select("total", "failed_count", "passed_count", F.round("pass_rate", 4).alias("pass_rate"), F.round("angle_mean", 2).alias("angle_mean"), F.round("rho_norm_mean", 3).alias("rho_norm_mean"), "accuracy_verdict")
 
     return run
