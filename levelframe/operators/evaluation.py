@@ -29,9 +29,10 @@ def stats(column: str, high_is_worst: bool = True, accuracy: int | None = None)
 
     Exact quantiles hold every distinct value of a key in one task. With an accuracy they are values of the column from
     mergeable sketches, whose rank is off by a share of 1 / accuracy at most, in memory that follows the accuracy.
+    A sketch may be off by half a row more than it is asked for, so it is asked for twice the accuracy.
     """
     c = F.col(column)
-    at = lambda p: F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy)
+    at = lambda p: F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, 2 * accuracy)
     return [F.avg(c).alias(f"{column}_mean"), at(0.5).alias(f"{column}_median"), at(0.9).alias(f"{column}_p90"), (F.max(c) if high_is_worst else F.min(c)).alias(f"{column}_worst")]
 
 

@@ -216,11 +216,13 @@ def metric_stats(spark, sf_dir):
 
 @query("sketched_stats", """SELECT event_type, count(*) AS n, true AS median_in_rank, true AS p90_in_rank, round(avg(value), 6) AS value_mean, round(max(value), 6) AS value_worst FROM events GROUP BY event_type""")
 def sketched_stats(spark, sf_dir):
-    """Quantiles of a run from mergeable sketches, with whether their exact ranks lie within the stated error."""
+    """Quantiles of a run from mergeable sketches, with whether their exact ranks among the values that are there lie
+    within the stated error; without values no rank is off."""
     ev, accuracy = table(spark, sf_dir, "events"), 1000
-    found = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *evaluation.stats("value", accuracy=accuracy))
-    at = lambda q, p: (F.count_if(F.col("value") < F.col(q)) <= (p + 1 / accuracy) * F.first("n")) & (F.count_if(F.col("value") <= F.col(q)) >= (p - 1 / accuracy) * F.first("n"))
-    checked = ev.select("event_type", "value").join(F.broadcast(found), "event_type")  # a row an event type
+    found = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("values"), *evaluation.stats("value", accuracy=accuracy))
+    at = lambda q, p: (F.count_if(F.col("value") < F.col(q)) <= (p + 1 / accuracy) * F.first("values")) & (F.count_if(F.col("value") <= F.col(q)) >= (p - 1 / accuracy) * F.first("values"))
+    found = F.broadcast(found.withColumnRenamed("event_type", "__type"))  # a row an event type
+    checked = ev.select("event_type", "value").join(found, F.col("event_type").eqNullSafe(F.col("__type")))
     out = checked.groupBy("event_type").agg(F.first("n").alias("n"), at("value_median", 0.5).alias("median_in_rank"), at("value_p90", 0.9).alias("p90_in_rank"), F.first("value_mean").alias("value_mean"), F.first("value_worst").alias("value_worst"))
     return out.select("event_type", "n", "median_in_rank", "p90_in_rank", r("value_mean").alias("value_mean"), r("value_worst").alias("value_worst"))
 

@@ -3,12 +3,14 @@
 import math
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 
 from levelframe.operators import evaluation, ordering
+from levelframe.plans import registry
 from levelframe.sources import tables
 from tests.test_dataset import png
 
@@ -63,6 +65,23 @@ def test_sketches_state_their_rank_error(spark):
     assert none.v_median is None and none.v_worst is None
 
 
+def test_sketched_ranks_of_many_sizes_and_nulls(spark, tmp_path):
+    sizes = [1, 2, 9, 499, 500, 999, 1000, 1001, 1499, 1982, *range(1501, 3000, 83), 5003]
+    rows = spark.createDataFrame([(f"t{n}", n) for n in sizes], "event_type string, n int").select("event_type", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    rows = rows.withColumn("value", (F.pmod(F.xxhash64("event_type", "k"), F.lit(100_003)) / 100).cast("double")).drop("k")
+    part = rows.filter("event_type IN ('t1982', 't999')")
+    nulls = part.select("event_type", F.lit(None).cast("double").alias("value")).unionByName(part.select(F.lit(None).cast("string").alias("event_type"), "value"))
+    nulls = nulls.unionByName(part.select(F.lit("empty").alias("event_type"), F.lit(None).cast("double").alias("value")))
+    for name, df in (("one", rows.coalesce(1)), ("three", rows.unionByName(nulls).repartition(3))):
+        (tmp_path / name).mkdir()
+        df.write.parquet(str(tmp_path / name / "events.parquet"))
+        own = {tuple(r) for r in registry.queries()["sketched_stats"](spark, str(tmp_path / name)).collect()}
+        sql = registry.oracle_sql()["sketched_stats"].replace("FROM events", f"FROM '{tmp_path / name}/events.parquet/*.parquet'")
+        want = duckdb.sql(sql).fetchall()
+        assert {(*t[:4], *(v if v is None else round(v, 4) for v in t[4:])) for t in own} == {(*t[:4], *(v if v is None else round(v, 4) for v in t[4:])) for t in want}
+        assert len(own) == len(want) == len(sizes) + (2 if name == "three" else 0)
+
+
 LABELS = "filename,has_horizon,slope,offset\nb.jpg,true,0.25,0.5\nc.jpg,false,,\n"
 NEW = "filename string, has_horizon boolean, slope double, offset double"
 
