@@ -29,13 +29,17 @@ from __future__ import annotations
 
 import base64
 import itertools
+from collections.abc import Callable
+from copy import copy
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelframe.llm.arena import Prefix, ascii_lowered, chunks, mix, word_bounds
+from levelframe.llm.arena import chunks, mix
 from levelframe.llm.common import saved
 
 #: Where the subword vocabulary is, by default: ranks of byte strings, one a line. Any path that Spark's readers open.
@@ -54,18 +58,45 @@ SMOOTH = 10.0
 RATE, BATCH = 0.01, 128
 #: Rounds of training, and the ids that a shard is meant for; more shards than MOST_SHARDS grow instead.
 ROUNDS, IDS_A_SHARD, MOST_SHARDS = 4, 4_000_000, 1024
+#: Weights of one row, where the shards' are averaged.
+BLOCK = 1024
 TEXT_AT_ONCE = 4 << 20
-CACHE = 150_000
+WORDS_AT_ONCE = 1_000_000
+#: Bytes of a word beyond which it is hashed on its own.
+LONG = 64
+#: Ids of words that a worker keeps, about 36 bytes for a word of five.
+KNOWN_IDS = 4_000_000
 SEED = 5
 
-_encoders: dict[int, object] = {}
+_parts: dict[int, tuple] = {}
+
+
+class Known:
+    """Ids of the words that a worker met before, by the words' hashes."""
+
+    def __init__(self):
+        self.hashes, self.starts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word, whether it is there)."""
+        if not len(self.hashes):
+            return np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
+        at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+        return at, self.hashes[at] == kinds
+
+    def add(self, kinds: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """kinds: sorted, none of them known."""
+        at = np.searchsorted(self.hashes, kinds)
+        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths, self.hashes = np.insert(self.lengths, at, lengths), np.insert(self.hashes, at, kinds)
+        self.ids = np.concatenate((self.ids, ids))
 
 
 class Subwords:
-    """Cuts words into ids; pickles as the vocabulary's bytes."""
+    """Cuts words into ids; pickles as the vocabulary's bytes. A worker keeps the ids of words from task to task."""
 
     def __init__(self, ranks: bytes):
-        self.ranks, self.cache = ranks, {}
+        self.ranks = ranks
 
     def __getstate__(self):
         return self.ranks
@@ -74,48 +105,102 @@ class Subwords:
         self.__init__(ranks)
 
     @property
-    def encoder(self):
+    def parts(self) -> tuple:
+        """(encoder, bytes of each id, known words)."""
         key = hash(self.ranks)
-        if key not in _encoders:
+        if key not in _parts:
             import tiktoken
 
             lines = (line.split() for line in self.ranks.splitlines() if line)
-            _encoders[key] = tiktoken.Encoding("levelframe", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
-        return _encoders[key]
+            ranks = {base64.b64decode(a): int(b) for a, b in lines}
+            sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            sizes[list(ranks.values())] = [len(t) for t in ranks]
+            _parts[key] = tiktoken.Encoding("levelframe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, Known()
+        return _parts[key]
 
     @property
     def size(self) -> int:
         """Ids, and one more for the end of a text."""
-        return self.encoder.n_vocab + 1
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of ids before each word and, last, of all)."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, encode, out = self.cache, self.encoder.encode_ordinary, []
-        for w in words:
-            ids = cache.get(w)
-            if ids is None:
-                ids = encode(" " + w.decode("utf-8", "replace"))
-                if len(w) < 64:
-                    cache[w] = ids
-            out.append(ids)
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))))
-        return np.fromiter(itertools.chain.from_iterable(out), np.int32, int(ends[-1])), ends
+        return self.parts[0].n_vocab + 1
+
+    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each).
+
+        The pattern lets no id span the blank before a word, so that words without blanks of their own are cut as one
+        text and parted by the ids' bytes.
+        """
+        encoder, sizes, _ = self.parts
+        joined = b" " + b" ".join(words)
+        text = joined.decode("utf-8", "replace")
+        if " " + " ".join(text.split()) == text and text.encode() == joined:
+            ids = np.array(encoder.encode_ordinary(text), np.int32)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            at = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+            return ids, np.diff(at, prepend=0)
+        out = [encoder.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        return np.fromiter(itertools.chain.from_iterable(out), np.int32), np.fromiter(map(len, out), np.int64, len(out))
+
+    def of(self, kinds: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first place in them of each word, number of ids of each word); kinds: the distinct words' hashes."""
+        known = self.parts[2]
+        at, there = known.find(kinds)
+        if not there.all():
+            new = np.flatnonzero(~there)
+            new = new[np.argsort(kinds[new])]
+            if len(known.ids) + 8 * len(new) > KNOWN_IDS:
+                known.__init__()
+                new = np.argsort(kinds)
+            found = [self.cut(words(new[lo : lo + 20_000])) for lo in range(0, len(new), 20_000)]
+            known.add(kinds[new], np.concatenate([n for _, n in found]), np.concatenate([i for i, _ in found]))
+            at, _ = known.find(kinds)
+        return known.ids, known.starts[at], known.lengths[at]
+
+
+Words = Callable[[np.ndarray], list[bytes]]
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+_INSIDE = bytes(x != 32 and not 9 <= x <= 13 for x in range(256))
+
+
+def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, number of the first word of each text and, last, of all words); inside: bytes of words."""
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    at = np.unique(offsets[(offsets > 0) & (offsets < len(inside))])
+    at = at[inside[at] & inside[at - 1]]  # one text's word ends where the next one's starts
+    starts, ends = np.insert(starts, np.searchsorted(starts, at), at), np.insert(ends, np.searchsorted(ends, at), at)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def hashes_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each substring, from eight bytes at once."""
+    loads = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64))
+    some = np.arange(len(starts))
+    for lo in range(0, LONG, 8):
+        some = some[sizes[some] > lo] if lo else some
+        if not len(some):
+            break
+        bits = 8 * np.minimum(sizes[some] - lo, 8).astype(np.uint64)
+        load = loads[starts[some] + lo] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - bits))
+        out[some] = mix(out[some] ^ load)
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def worded(column: pa.Array):
-    """(first row, end row, word hashes, first word of each text, index of the word in the distinct ones, those)."""
+    """(first row, end row, hashes of the distinct words, first word of each text, index of each word in the distinct
+    ones, what gives some of those)."""
     for lo, hi, b, offsets in chunks(column, TEXT_AT_ONCE):
-        b = ascii_lowered(b)
-        starts, ends, first = word_bounds(b, offsets)
-        hashes = np.empty(len(starts), np.uint64)
-        prefix = Prefix(b)
-        hashes[:] = mix(prefix.of(starts, ends))
-        del prefix
-        kinds, where, index = np.unique(hashes, return_index=True, return_inverse=True)
-        data = b.tobytes()
-        yield lo, hi, kinds, first, index, [data[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        data = b.tobytes().translate(_LOWER)
+        starts, ends, first = bounds(np.frombuffer(data.translate(_INSIDE), bool), offsets)
+        coded = pa.array(hashes_of(data, starts, ends)).dictionary_encode()
+        kinds, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        where = np.empty(len(kinds), np.int64)
+        where[index[::-1]] = np.arange(len(index) - 1, -1, -1)
+        starts, ends = starts[where], ends[where]
+        yield lo, hi, kinds, first, index, lambda some, s=starts, e=ends, d=data: [d[i:j] for i, j in zip(s[some].tolist(), e[some].tolist(), strict=True)]
 
 
 def held_out() -> Column:
@@ -123,12 +208,40 @@ def held_out() -> Column:
 
 
 def _word_counts(batches):
+    """Hash, word and count; a word once for about WORDS_AT_ONCE distinct ones of a task."""
+
+    def rows(parts):
+        coded = pa.array(np.concatenate([k for k, _, _ in parts])).dictionary_encode()
+        kinds, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        where = np.empty(len(kinds), np.int64)
+        where[index[::-1]] = np.arange(len(index) - 1, -1, -1)
+        n = np.bincount(index, np.concatenate([c for _, c, _ in parts]), len(kinds)).astype(np.int64)
+        words = pa.concat_arrays([w for _, _, w in parts]).take(pa.array(where))
+        for at in range(0, len(kinds), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[part].view(np.int64)), words[part], pa.array(n[part])], ["h", "word", "n"])
+
+    parts, held = [], 0
     for batch in batches:
         for _, _, kinds, _, index, words in worded(batch.column("text")):
-            n = np.bincount(index, minlength=len(kinds))
-            for at in range(0, len(kinds), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds[part].astype(np.int64)), pa.array(words[part], pa.binary()), pa.array(n[part])], ["h", "word", "n"])
+            parts.append((kinds, np.bincount(index, minlength=len(kinds)), pa.array(words(np.arange(len(kinds))), pa.binary())))
+            held += len(kinds)
+            if held > WORDS_AT_ONCE:
+                yield from rows(parts)
+                parts, held = [], 0
+    if held:
+        yield from rows(parts)
+
+
+def cut_counts(batches, subwords: Subwords):
+    """(ids of the words of a batch of counts, first place of each word and, last, of all, counts of the words)."""
+    for batch in batches:
+        column, hashes, c = batch.column("word"), batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+        for lo in range(0, len(column), 50_000):
+            part = slice(lo, lo + 50_000)
+            ids, starts, lengths = subwords.of(hashes[part], lambda some, lo=lo: column.take(pa.array(some + lo)).to_pylist())
+            ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+            yield ids[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends, c[part]
 
 
 def subword_counts(counts: DataFrame, subwords: Subwords, kind: np.ndarray | None = None) -> np.ndarray:
@@ -140,19 +253,16 @@ def subword_counts(counts: DataFrame, subwords: Subwords, kind: np.ndarray | Non
     def of(batches):
         size = subwords.size
         total = np.zeros(size if kind is None else (CLASSES + 1) * size, np.int64)
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            for lo in range(0, len(words), 20_000):
-                ids, ends = subwords.of(words[lo : lo + 20_000])
-                n, key = np.repeat(c[lo : lo + 20_000], np.diff(ends)), ids.astype(np.int64)
-                if kind is not None:
-                    key += size * before_kinds(ids, ends[:-1], kind)
-                np.add.at(total, key, n)
+        for ids, ends, c in cut_counts(batches, subwords):
+            n, key = np.repeat(c, np.diff(ends)), ids.astype(np.int64)
+            if kind is not None:
+                key += size * before_kinds(ids, ends[:-1], kind)
+            np.add.at(total, key, n)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["id", "n"])
 
     out = np.zeros(subwords.size * (1 if kind is None else CLASSES + 1), np.int64)
-    found = counts.select("word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row an id and class
+    found = counts.select("h", "word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row an id and class
     out[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -177,21 +287,18 @@ def neighbours(counts: DataFrame, subwords: Subwords, rank: np.ndarray) -> np.nd
 
     def of(batches):
         near = np.zeros(top * top, np.int64)
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            for lo in range(0, len(words), 20_000):
-                ids, ends = subwords.of(words[lo : lo + 20_000])
-                r, n = np.minimum(rank[ids], top - 1), np.repeat(c[lo : lo + 20_000], np.diff(ends))
-                inside = np.ones(len(r), bool)
-                inside[ends[:-1]] = False
-                at = np.flatnonzero(inside)
-                np.add.at(near, r[at - 1] * top + r[at], n[at])
+        for ids, ends, c in cut_counts(batches, subwords):
+            r, n = np.minimum(rank[ids], top - 1), np.repeat(c, np.diff(ends))
+            inside = np.ones(len(r), bool)
+            inside[ends[:-1]] = False
+            at = np.flatnonzero(inside)
+            np.add.at(near, r[at - 1] * top + r[at], n[at])
         hit = np.flatnonzero(near)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(near[hit])], ["id", "n"])
 
     out = np.zeros(top * top, np.int64)
     # a row for each pair of NEIGHBOURS ids at most
-    found = counts.select("word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = counts.select("h", "word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(top, top)
 
@@ -263,60 +370,75 @@ class Attention:
         there = (inside >= 0) & (inside < lengths[text][:, None])
         return np.where(there, first[text][:, None] + inside, 0), there, there[:, SPAN - step :]
 
-    def forward(self, ids: np.ndarray, at: np.ndarray, there: np.ndarray, lead: int):
-        """All that the backward pass needs, with the logits of the places from lead on last."""
-        p, n = self.p, len(at)
+    def forward(self, x: np.ndarray, there: np.ndarray, lead: int):
+        """From inputs: all that the backward pass needs, with the logits but for b of the places from lead on last.
+
+        Weights of attention are not divided by their sums; what follows from them is.
+        """
+        p, causal = self.p, np.arange(SPAN)[None, :] <= np.arange(lead, SPAN)[:, None]
         flat = lambda m: m.reshape(-1, m.shape[-1])  # noqa: E731  one product for all windows
-        x = p["E"][self.row[ids[at]]]
-        x += p["P"]
         own = np.ascontiguousarray(x[:, lead:])
         q = (flat(own) @ (p["Q"] * np.float32(WIDTH**-0.5))).reshape(own.shape)
         k, v = (flat(x) @ p["K"]).reshape(x.shape), (flat(x) @ p["V"]).reshape(x.shape)
         s = q @ k.transpose(0, 2, 1)
-        s += np.where(np.arange(SPAN)[None, :] > np.arange(lead, SPAN)[:, None], np.float32(-1e9), np.float32(0))
-        short = np.flatnonzero(~there.all(axis=1))
-        s[short] += np.where(there[short], np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        # without lead, what is not there comes after all that is, so that the causal mask hides it
+        short = np.flatnonzero(~there[:, :lead].all(axis=1))
+        if not bounded(s):
+            s += np.where(causal, 0, -1e9).astype(s.dtype)
+            s[short] += np.where(there[short], 0, -1e9).astype(s.dtype)[:, None, :]
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
-        h = own + (flat(o) @ p["O"]).reshape(own.shape)
-        return x, q, k, v, s, o, h, (flat(h) @ p["U"] + p["b"]).reshape(n, SPAN - lead, CLASSES)
+        s *= causal.astype(s.dtype)
+        s[short] *= there[short][:, None, :]
+        scale = 1 / (flat(s) @ np.ones(SPAN, s.dtype))[:, None]
+        o = flat(s @ v)
+        o *= scale
+        h = o @ p["O"]
+        h += flat(own)
+        return q, k, v, s, scale, o, h, h @ p["U"]
 
     def step(self, ids, at, there, scored) -> tuple[float, dict]:
         """Mean loss of a batch of windows, and its gradients."""
         p, lead = self.p, SPAN - scored.shape[1]
-        x, q, k, v, a, o, h, logits = self.forward(ids, at, there, lead)
-        goal = self.kind[ids[np.where(scored, at[:, lead:] + 1, 0)]]
-        logits -= logits.max(axis=2, keepdims=True)
-        d = np.exp(logits, out=logits)
-        d /= d.sum(axis=2, keepdims=True)
-        right = np.take_along_axis(d, goal[:, :, None], 2)
-        n = max(int(scored.sum()), 1)
-        loss = -np.log(np.maximum(right[:, :, 0][scored], 1e-12)).sum() / n
-        np.put_along_axis(d, goal[:, :, None], right - 1, 2)
-        d *= (scored * np.float32(1 / n))[:, :, None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
-        dh = (flat(d) @ p["U"].T).reshape(h.shape)
-        g["O"] = flat(o).T @ flat(dh)
-        do = (flat(dh) @ p["O"].T).reshape(h.shape)
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        da -= (da * a).sum(axis=2, keepdims=True)
+        rows = self.row[ids[at]]
+        x = p["E"].take(rows, axis=0)
+        x += p["P"]
+        q, k, v, a, scale, o, h, d = self.forward(x, there, lead)
+        d += p["b"]
+        if not bounded(d):
+            d -= d.max(axis=1, keepdims=True)
+        goal = np.arange(len(d)) * CLASSES + self.kind[ids[np.where(scored, at[:, lead:] + 1, 0)]].ravel()
+        np.exp(d, out=d)
+        sums, mine = d @ np.ones(CLASSES, d.dtype), scored.ravel()
+        n = max(int(mine.sum()), 1)
+        loss = -np.log(np.maximum(d.ravel()[goal] / sums, 1e-12))[mine].sum() / n
+        share = mine.astype(d.dtype) / n
+        d *= (share / sums)[:, None]
+        d.ravel()[goal] -= share
+        g = {"U": h.T @ d, "b": np.ones(len(d), d.dtype) @ d}
+        dh = d @ p["U"].T
+        g["O"] = o.T @ dh
+        do = dh @ p["O"].T
+        do *= scale
+        pull = np.einsum("ij,ij->i", do, o).reshape(*a.shape[:2], 1)
+        do = do.reshape(len(at), -1, WIDTH)
+        dv = a.transpose(0, 2, 1) @ do
+        da = do @ v.transpose(0, 2, 1)
+        da -= pull
         da *= a
         # q holds the scale already
         dq, dk = da @ k * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ q
         own = np.ascontiguousarray(x[:, lead:])
         g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = (flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(x.shape)
-        dx[:, lead:] += dh + (flat(dq) @ p["Q"].T).reshape(h.shape)
-        dx *= there[:, :, None]
-        g["P"] = dx.sum(axis=0)
-        rows = self.row[ids[at]].ravel()
-        order = np.argsort(rows, kind="stable")
-        heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        dh += flat(dq) @ p["Q"].T
+        dx[:, lead:] += dh.reshape(own.shape)
+        if lead:
+            dx *= there[:, :, None]
+        g["P"] = (np.ones(len(dx), dx.dtype) @ dx.reshape(len(dx), -1)).reshape(p["P"].shape)
         # of the inputs' rows only those that occur
-        g["rows"], g["E"] = rows[order[heads]], np.add.reduceat(flat(dx)[order], heads, axis=0)
+        g["rows"], g["E"] = summed(rows.ravel(), flat(dx))
         return loss, g
 
     def train(self, ids: np.ndarray, first: np.ndarray, state: dict) -> list[float]:
@@ -356,35 +478,53 @@ class Attention:
 
     def score(self, ids: np.ndarray, first: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """log10 probability of each text; heads: the places where words and ends start."""
-        before = before_kinds(ids, heads, self.kind)
         at, there, scored = self.windows(first, STEP)
-        total = np.zeros(len(ids))
-        for lo in range(0, len(at), 1024):
-            part = slice(lo, lo + 1024)
-            logits = self.forward(ids, at[part], there[part], SPAN - STEP)[-1]
-            place = np.where(scored[part], at[part][:, SPAN - STEP :] + 1, 0)
-            goal = ids[place]
-            right = np.take_along_axis(logits, self.kind[goal][:, :, None], 2)[:, :, 0]
-            top = logits.max(axis=2)
-            logits -= top[:, :, None]
-            norm = np.log(np.exp(logits, out=logits).sum(axis=2)) + top
-            found = right - norm + self.within[before[place], goal]
-            total[place[scored[part]]] = found[scored[part]]
+        total = self.within[before_kinds(ids, heads, self.kind), ids].astype(np.float64)
+        total[first[:-1]] = 0
+        rows, goals, more, factor = self.row[ids], self.kind[ids], self.p["b"], np.exp(self.p["b"])
+        for lo in range(0, len(at), 256):
+            part = slice(lo, lo + 256)
+            x = self.p["E"].take(rows[at[part]], axis=0)
+            x += self.p["P"]
+            logits = self.forward(x, there[part], SPAN - STEP)[-1]
+            mine = scored[part].ravel()
+            place = np.where(scored[part], at[part][:, SPAN - STEP :] + 1, 0).ravel()
+            goal = goals[place]
+            found = logits.ravel()[np.arange(len(goal)) * CLASSES + goal] + more[goal]
+            top = 0 if bounded(logits) else logits.max(axis=1)
+            if np.ndim(top):
+                logits -= top[:, None]
+            found -= np.log(np.exp(logits, out=logits) @ factor) + top
+            total[place[mine]] += found[mine]
         sums = np.concatenate(([0.0], np.cumsum(total)))
         return (sums[first[1:]] - sums[first[:-1]]) / np.log(10)
 
 
-def sequences(ids: np.ndarray, ends: np.ndarray, index: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounded(m: np.ndarray) -> bool:
+    """Whether exponentials of all values, and sums of them, are safe as they are."""
+    return m.size == 0 or (m.max() < 60 and m.min() > -60)
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the sums of their values)."""
+    rows = rows.astype(np.uint16)  # INPUTS at most; of 16 bits, so that sorting is by digits
+    order = np.argsort(rows, kind="stable")
+    heads = np.flatnonzero(np.diff(rows[order], prepend=np.int64(-1)))
+    return rows[order[heads]], np.add.reduceat(values.take(order, axis=0), heads, axis=0)
+
+
+def sequences(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, index: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text as end, its words' ids, end: (ids, first place of each text and, last, the end of all, places where
-    words and ends start)."""
-    lengths = (ends[1:] - ends[:-1])[index]
-    before = np.concatenate(([0], np.cumsum(lengths)))
+    words and ends start). starts and lengths: of the distinct words in ids; index: the texts' words among them."""
+    n = lengths[index]
+    before = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
     places = before[first] + 2 * np.arange(len(first))
     out = np.full(int(places[-1]), end_id, np.int32)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = before[:-1] + 2 * text + 1
-    inside = np.arange(int(before[-1])) - np.repeat(before[:-1], lengths)
-    out[np.repeat(start, lengths) + inside] = ids[np.repeat(ends[:-1][index], lengths) + inside]
+    inside = np.ones(len(out), bool)
+    inside[places[:-1]] = inside[places[1:] - 1] = False
+    out[inside] = ids[np.repeat(starts[index] - before[:-1], n) + np.arange(int(before[-1]))]
     return out, places, np.concatenate((start, places[:-1], places[1:] - 1))
 
 
@@ -414,10 +554,10 @@ def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.
                 ends = np.searchsorted(own, np.arange(hi - lo + 1) * len(kinds))
                 rare.append((np.diff(ends), kinds[own % max(len(kinds), 1)], n))
                 # texts are scored in turns, as ids take more room than bytes
-                ids, ends = subwords.of(words)
+                ids, starts, lengths = subwords.of(kinds, words)
                 for k in range(0, hi - lo, 256):
                     own = first[k : k + 257]
-                    rows["score"].append(model.score(*sequences(ids, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)))
+                    rows["score"].append(model.score(*sequences(ids, starts, lengths, index[own[0] : own[-1]], own - own[0], subwords.size - 1)))
             many, h, n = (np.concatenate([r[k] for r in rare]) if rare else np.zeros(0, np.int64) for k in range(3))
             entries = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], fields=list(RARE))
             rare_of = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), entries)
@@ -437,32 +577,39 @@ def trained(rows: DataFrame, subwords: Subwords, model: Attention, ids: int) ->
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
     dealt = rows.select(key.alias("key"), "text").withColumns({"round": F.pmod("key", F.lit(ROUNDS)), "shard": F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")})
     steps = 0.0
+    learner = copy(model)
+    learner.within = None  # of no use in training
 
     def of_round(start: np.ndarray, steps: float):
         def of(batches):
-            model.set_flat(start)
+            learner.set_flat(start)
             state, seen = {"n": steps}, 0
             for batch in batches:
-                for lo, hi, _, first, index, words in worded(batch.column("text")):
-                    found, ends = subwords.of(words)
+                for lo, hi, kinds, first, index, words in worded(batch.column("text")):
+                    found, starts, lengths = subwords.of(kinds, words)
                     for k in range(0, hi - lo, 256):
                         own = first[k : k + 257]
-                        part, places, _ = sequences(found, ends, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
-                        model.train(part, places, state)
+                        part, places, _ = sequences(found, starts, lengths, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
+                        learner.train(part, places, state)
                         seen += len(part)
             if seen:
-                w = np.append(model.flat().astype(np.float64), state["n"]) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w), pa.array(np.full(len(w), seen))], ["i", "w", "seen"])
+                w = np.append(learner.flat().astype(np.float64), state["n"]) * seen
+                parts = [w[at : at + BLOCK] for at in range(0, len(w), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.list_(pa.float64())), pa.array(np.full(len(parts), seen))], ["i", "w", "seen"])
 
         return of
 
+    def mean(part: pa.Table) -> pa.Table:
+        w = part.column("w").combine_chunks()
+        w = w.values.to_numpy(zero_copy_only=False).reshape(len(part), -1).sum(axis=0) / pc.sum(part.column("seen")).as_py()
+        return pa.table({"i": part.column("i")[:1], "w": pa.array([w], pa.list_(pa.float64()))})
+
     for k in range(ROUNDS):
         part = dealt.filter(F.col("round") == k).select("shard", "key", "text").repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "text")
-        # a row a weight, whatever the number of shards; the last is the number of steps
-        found = part.select("text").mapInArrow(of_round(model.flat(), steps), "i long, w double, seen long").groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toArrow()
+        # a row a block of weights, whatever the number of shards; the last weight is the number of steps
+        found = part.select("text").mapInArrow(of_round(model.flat(), steps), "i long, w array<double>, seen long").groupBy("i").applyInArrow(mean, "i long, w array<double>").orderBy("i").toArrow()
         if found.num_rows:
-            weights = np.zeros(found.num_rows)
-            weights[found.column("i").to_numpy()] = found.column("w").to_numpy()
+            weights = found.column("w").combine_chunks().flatten().to_numpy()
             model.set_flat(weights[:-1])
             steps = float(weights[-1])
 

@@ -305,6 +305,55 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch, shard):
         assert np.isclose(got[0][i].base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens)) and got[0][i].n_known == sum(train[w] > 0 for w in tokens)
 
 
+def test_words_are_cut_as_alone_and_once_a_worker():
+    import pickle
+    from pathlib import Path
+
+    import pyarrow as pa
+    from levelframe.llm import lm_scoring
+
+    subwords = lm_scoring.Subwords(Path(lm_scoring.VOCABULARY).read_bytes())
+    encoder = subwords.parts[0]
+    for words in (["it's", "a", "'ll", "..", "12ab", "\u65e5\u672c"], ["a\u00a0", "b"], ["\u00a0", "a"], ["x\u2003y", "\u3000"], ["x\u00a0", "\u00a0y"], ["\x1cq", "\x85"]):
+        ids, n = subwords.cut([w.encode() for w in words])
+        alone = [encoder.encode_ordinary(" " + w) for w in words]
+        assert n.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+    ids, n = subwords.cut([b"\xff\xe6", b"a"])
+    assert ids.tolist() == [*encoder.encode_ordinary(" \ufffd\ufffd"), *encoder.encode_ordinary(" a")]
+    # words of texts without blanks between them, long ones, nulls; hashes tell words apart
+    texts = ["Ab c", "d", None, "", "e " + "x" * 70 + "Y", "x" * 70 + "y", "x" * 70 + "z\x00", "c\x00", "\n"]
+    want = [["ab", "c"], ["d"], [], [], ["e", "x" * 70 + "y"], ["x" * 70 + "y"], ["x" * 70 + "z\x00"], ["c\x00"], []]
+    (_, _, kinds, first, index, words), = lm_scoring.worded(pa.array(texts))
+    own = [w.decode() for w in words(np.arange(len(kinds)))]
+    assert [[own[i] for i in index[a:b]] for a, b in zip(first, first[1:], strict=False)] == want and len(set(own)) == len(own) == 7
+    subwords.of(kinds, words)
+    copy = pickle.loads(pickle.dumps(subwords))  # as the next task has it
+
+    def never(some):
+        raise AssertionError("cut again")
+
+    found, starts, lengths = copy.of(kinds, never)
+    assert [found[s : s + n].tolist() for s, n in zip(starts, lengths, strict=True)] == [encoder.encode_ordinary(" " + w) for w in own]
+
+
+def test_scores_of_great_weights(monkeypatch):
+    from levelframe.llm import lm_scoring
+
+    rng = np.random.default_rng(8)
+    ids, first, heads, kind = rng.integers(0, 9, 150).astype(np.int32), np.array([0, 97, 150]), np.arange(0, 150, 3), np.arange(9) % 5
+    model = lm_scoring.Attention(np.bincount(ids, minlength=9), kind, rng.integers(0, 5, (lm_scoring.CLASSES + 1) * 9).astype(float))
+    near = model.score(ids, first, heads)
+    monkeypatch.setattr(lm_scoring, "bounded", lambda m: False)
+    assert np.allclose(model.score(ids, first, heads), near, rtol=1e-5)
+    monkeypatch.undo()
+    model.p["U"] *= np.float32(500)
+    model.p["Q"] *= np.float32(500)
+    assert np.isfinite(model.score(ids, first, heads)).all()
+    at, there, scored = model.windows(first, lm_scoring.SPAN)
+    loss, g = model.step(ids, at, there, scored)
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
 # language
 
 
