@@ -61,7 +61,8 @@ ROUNDS, IDS_A_SHARD, MOST_SHARDS = 4, 4_000_000, 1024
 #: Weights of one row, where the shards' are averaged.
 BLOCK = 1024
 TEXT_AT_ONCE = 4 << 20
-WORDS_AT_ONCE = 1_000_000
+#: Distinct words, and their bytes, that a task counts before it hands them on.
+WORDS_AT_ONCE, WORD_BYTES = 1_000_000, 32 << 20
 #: Bytes of a word beyond which it is hashed on its own.
 LONG = 64
 #: Ids of words that a worker keeps, about 36 bytes for a word of five.
@@ -208,7 +209,7 @@ def held_out() -> Column:
 
 
 def _word_counts(batches):
-    """Hash, word and count; a word once for about WORDS_AT_ONCE distinct ones of a task."""
+    """Hash, word and count; a word once for about WORDS_AT_ONCE distinct ones of a task, or WORD_BYTES of them."""
 
     def rows(parts):
         coded = pa.array(np.concatenate([k for k, _, _ in parts])).dictionary_encode()
@@ -221,14 +222,14 @@ def _word_counts(batches):
             part = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(kinds[part].view(np.int64)), words[part], pa.array(n[part])], ["h", "word", "n"])
 
-    parts, held = [], 0
+    parts, held, size = [], 0, 0
     for batch in batches:
         for _, _, kinds, _, index, words in worded(batch.column("text")):
             parts.append((kinds, np.bincount(index, minlength=len(kinds)), pa.array(words(np.arange(len(kinds))), pa.binary())))
-            held += len(kinds)
-            if held > WORDS_AT_ONCE:
+            held, size = held + len(kinds), size + parts[-1][2].nbytes
+            if held > WORDS_AT_ONCE or size > WORD_BYTES:
                 yield from rows(parts)
-                parts, held = [], 0
+                parts, held, size = [], 0, 0
     if held:
         yield from rows(parts)
 

@@ -336,6 +336,25 @@ def test_words_are_cut_as_alone_and_once_a_worker():
     assert [found[s : s + n].tolist() for s, n in zip(starts, lengths, strict=True)] == [encoder.encode_ordinary(" " + w) for w in own]
 
 
+@pytest.mark.parametrize("limit", ["WORDS_AT_ONCE", "WORD_BYTES"])
+def test_word_counts_are_handed_on(monkeypatch, limit):
+    import pyarrow as pa
+    from levelframe.llm import lm_scoring
+
+    texts = [f"a B{k % 5} {'x' * 90}{k % 7} a" for k in range(60)] + [None, " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    monkeypatch.setattr(lm_scoring, "TEXT_AT_ONCE", 500)
+    want = Counter(w for t in texts for w in (t or "").lower().split())
+    for most in (getattr(lm_scoring, limit), 20):
+        monkeypatch.setattr(lm_scoring, limit, most)
+        out, got = list(lm_scoring._word_counts([batch, batch])), Counter()
+        for b in out:
+            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                got[w.decode()] += n
+        assert got == {w: 2 * n for w, n in want.items()} and (len(out) > 5) == (most == 20)
+    assert len({h for b in out for h in b.column("h").to_pylist()}) == len(want)
+
+
 def test_scores_of_great_weights(monkeypatch):
     from levelframe.llm import lm_scoring
 
