@@ -19,6 +19,9 @@ least SPAN - STEP ids before it if the text has them; a batch of windows is one
 The base needs the count of every word of every document. The most frequent words (at most FREQUENT) go to all tasks;
 others, none of them frequent, are counted within each text and joined with their counts by a 64-bit hash.
 
+Words are counted first. Then each text is cut once, and a table keeps its ids and what the base needs; the counts of
+ids, every round of training and scoring read the ids alone.
+
 Nulls and edge cases: a null text is empty and has the end alone; a null doc_id is not held out; without training
 documents N, V and all counts are 0; repeated rows each count and each get their row; a text of any length is scored
 whole; classes of equal score are ordered by id; doc_id may have any type; other columns are ignored, whatever their
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 from collections.abc import Callable
 from copy import copy
 from hashlib import blake2b
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelframe.llm.arena import chunks, mix
-from levelframe.llm.common import saved
+from levelframe.llm.common import saved, written
 
 #: Where the subword vocabulary is, by default: ranks of byte strings, one a line. Any path that Spark's readers open.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,32 +69,36 @@ TEXT_AT_ONCE = 4 << 20
 WORDS_AT_ONCE, WORD_BYTES = 1_000_000, 32 << 20
 #: Bytes of a word beyond which it is hashed on its own.
 LONG = 64
-#: Ids of words that a worker keeps, about 36 bytes for a word of five.
-KNOWN_IDS = 4_000_000
+#: Ids of words that a worker keeps, before it begins anew, and places for words: 36 MB.
+KNOWN_IDS, PLACES = 4_000_000, 1 << 20
 SEED = 5
+#: Rows of one product, where many are multiplied with a small matrix.
+ROWS = 64
 
 _parts: dict[int, tuple] = {}
 
 
 class Known:
-    """Ids of the words that a worker met before, by the words' hashes."""
+    """Ids of the words that a worker met before, each in the place that its hash gives; the latest word takes it."""
 
     def __init__(self):
-        self.hashes, self.starts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.hashes, self.starts, self.lengths = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
+        self.ids, self.held = np.zeros(KNOWN_IDS, np.int32), 0
 
     def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each word, whether it is there)."""
-        if not len(self.hashes):
-            return np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
-        at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
-        return at, self.hashes[at] == kinds
+        at = (kinds & np.uint64(PLACES - 1)).astype(np.int64)
+        return at, (self.hashes[at] == kinds) & (self.lengths[at] > 0)
 
-    def add(self, kinds: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        """kinds: sorted, none of them known."""
-        at = np.searchsorted(self.hashes, kinds)
-        self.starts = np.insert(self.starts, at, len(self.ids) + np.cumsum(lengths) - lengths)
-        self.lengths, self.hashes = np.insert(self.lengths, at, lengths), np.insert(self.hashes, at, kinds)
-        self.ids = np.concatenate((self.ids, ids))
+    def add(self, kinds: np.ndarray, at: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """First place in ids of each word."""
+        if self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.held], ids))
+        self.ids[self.held : self.held + len(ids)] = ids
+        starts = self.held + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.hashes[at], self.starts[at], self.lengths[at] = kinds, starts, lengths
+        self.held += len(ids)
+        return starts
 
 
 class Subwords:
@@ -107,7 +115,7 @@ class Subwords:
 
     @property
     def parts(self) -> tuple:
-        """(encoder, bytes of each id, known words)."""
+        """(encoder, bytes of each id, known words, whether an id starts a word)."""
         key = hash(self.ranks)
         if key not in _parts:
             import tiktoken
@@ -116,7 +124,9 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in lines}
             sizes = np.zeros(max(ranks.values()) + 1, np.int64)
             sizes[list(ranks.values())] = [len(t) for t in ranks]
-            _parts[key] = tiktoken.Encoding("levelframe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, Known()
+            heads = np.ones(len(sizes) + 1, bool)
+            heads[list(ranks.values())] = [t.startswith(b" ") for t in ranks]
+            _parts[key] = tiktoken.Encoding("levelframe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes, Known(), heads
         return _parts[key]
 
     @property
@@ -124,13 +134,23 @@ class Subwords:
         """Ids, and one more for the end of a text."""
         return self.parts[0].n_vocab + 1
 
+    @property
+    def heads(self) -> np.ndarray:
+        """Whether an id starts a word, or is the end of a text: a word's first id has the blank, no other has one."""
+        return self.parts[3]
+
+    @property
+    def kind(self) -> type:
+        """The narrowest numbers that hold all ids, for tables of ids."""
+        return np.uint16 if self.size <= 1 << 16 else np.int32
+
     def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each).
 
         The pattern lets no id span the blank before a word, so that words without blanks of their own are cut as one
         text and parted by the ids' bytes.
         """
-        encoder, sizes, _ = self.parts
+        encoder, sizes = self.parts[:2]
         joined = b" " + b" ".join(words)
         text = joined.decode("utf-8", "replace")
         if " " + " ".join(text.split()) == text and text.encode() == joined:
@@ -145,16 +165,16 @@ class Subwords:
         """(ids, first place in them of each word, number of ids of each word); kinds: the distinct words' hashes."""
         known = self.parts[2]
         at, there = known.find(kinds)
-        if not there.all():
-            new = np.flatnonzero(~there)
-            new = new[np.argsort(kinds[new])]
-            if len(known.ids) + 8 * len(new) > KNOWN_IDS:
-                known.__init__()
-                new = np.argsort(kinds)
+        new = np.flatnonzero(~there)
+        if len(new) and known.held + 8 * len(new) > KNOWN_IDS:
+            known.__init__()
+            new = np.arange(len(kinds))
+        starts, lengths = known.starts[at], known.lengths[at]
+        if len(new):
             found = [self.cut(words(new[lo : lo + 20_000])) for lo in range(0, len(new), 20_000)]
-            known.add(kinds[new], np.concatenate([n for _, n in found]), np.concatenate([i for i, _ in found]))
-            at, _ = known.find(kinds)
-        return known.ids, known.starts[at], known.lengths[at]
+            lengths[new] = np.concatenate([n for _, n in found])
+            starts[new] = known.add(kinds[new], at[new], lengths[new], np.concatenate([i for i, _ in found]))
+        return known.ids, starts, lengths
 
 
 Words = Callable[[np.ndarray], list[bytes]]
@@ -234,40 +254,40 @@ def _word_counts(batches):
         yield from rows(parts)
 
 
-def cut_counts(batches, subwords: Subwords):
-    """(ids of the words of a batch of counts, first place of each word and, last, of all, counts of the words)."""
+def cut_texts(batches, subwords: Subwords):
+    """(ids of some texts, first place of each text and, last, of all) from a column of ids."""
     for batch in batches:
-        column, hashes, c = batch.column("word"), batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
-        for lo in range(0, len(column), 50_000):
-            part = slice(lo, lo + 50_000)
-            ids, starts, lengths = subwords.of(hashes[part], lambda some, lo=lo: column.take(pa.array(some + lo)).to_pylist())
-            ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-            yield ids[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends, c[part]
+        for _, _, b, offsets in chunks(batch.column("ids"), TEXT_AT_ONCE):
+            yield np.frombuffer(b.tobytes(), subwords.kind), offsets // subwords.kind().itemsize
 
 
-def subword_counts(counts: DataFrame, subwords: Subwords, kind: np.ndarray | None = None) -> np.ndarray:
-    """How often each id occurs in the training words: the ids of each distinct word times its count.
-
-    kind: count by the class of the id before it in the word, too; CLASSES stands for a word's start.
-    """
+def counted(rows: DataFrame, size: int, keys: Callable, subwords: Subwords) -> np.ndarray:
+    """How often each key below size occurs; keys: those of some ids. A row a key comes to the driver."""
 
     def of(batches):
-        size = subwords.size
-        total = np.zeros(size if kind is None else (CLASSES + 1) * size, np.int64)
-        for ids, ends, c in cut_counts(batches, subwords):
-            n, key = np.repeat(c, np.diff(ends)), ids.astype(np.int64)
-            if kind is not None:
-                key += size * before_kinds(ids, ends[:-1], kind)
-            np.add.at(total, key, n)
+        total = np.zeros(size, np.int64)
+        for ids, _ in cut_texts(batches, subwords):
+            total += np.bincount(keys(ids), minlength=size)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["id", "n"])
 
-    out = np.zeros(subwords.size * (1 if kind is None else CLASSES + 1), np.int64)
-    found = counts.select("h", "word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row an id and class
+    out = np.zeros(size, np.int64)
+    found = rows.select("ids").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
+def subword_counts(rows: DataFrame, subwords: Subwords, kind: np.ndarray | None = None) -> np.ndarray:
+    """How often each id occurs in the training words.
+
+    kind: count by the class of the id before it in the word, too; CLASSES stands for a word's start.
+    """
+    size = subwords.size
+    if kind is None:
+        return counted(rows, size, lambda ids: ids, subwords)
+    return counted(rows, (CLASSES + 1) * size, lambda ids: size * before_kinds(ids, np.flatnonzero(subwords.heads[ids]), kind) + ids, subwords)
+
+
 def before_kinds(ids: np.ndarray, heads: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """The class of the id before each one; CLASSES at the heads, where a word starts."""
     out = np.empty(len(ids), np.int64)
@@ -282,26 +302,16 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def neighbours(counts: DataFrame, subwords: Subwords, rank: np.ndarray) -> np.ndarray:
+def neighbours(rows: DataFrame, subwords: Subwords, rank: np.ndarray) -> np.ndarray:
     """How often the most frequent ids, by rank, follow each other in all training words: a square of NEIGHBOURS."""
     top = NEIGHBOURS
+    capped = np.minimum(rank, top - 1)
 
-    def of(batches):
-        near = np.zeros(top * top, np.int64)
-        for ids, ends, c in cut_counts(batches, subwords):
-            r, n = np.minimum(rank[ids], top - 1), np.repeat(c, np.diff(ends))
-            inside = np.ones(len(r), bool)
-            inside[ends[:-1]] = False
-            at = np.flatnonzero(inside)
-            np.add.at(near, r[at - 1] * top + r[at], n[at])
-        hit = np.flatnonzero(near)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(near[hit])], ["id", "n"])
-
-    out = np.zeros(top * top, np.int64)
-    # a row for each pair of NEIGHBOURS ids at most
-    found = counts.select("h", "word", "c").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("id").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(top, top)
+    def pairs(ids):
+        at, r = np.flatnonzero(~subwords.heads[ids]), capped[ids]
+        return r[at - 1] * top + r[at]
+
+    return counted(rows, top * top, pairs, subwords).reshape(top, top)
 
 
 def classes(follow: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -371,17 +381,21 @@ class Attention:
         there = (inside >= 0) & (inside < lengths[text][:, None])
         return np.where(there, first[text][:, None] + inside, 0), there, there[:, SPAN - step :]
 
-    def forward(self, x: np.ndarray, there: np.ndarray, lead: int):
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Q with K and V with O: with them the inputs are looked up and summed as they are."""
+        p = self.p
+        return (p["Q"] @ p["K"].T) * np.float32(WIDTH**-0.5), p["V"] @ p["O"]
+
+    def forward(self, x: np.ndarray, there: np.ndarray, lead: int, look: np.ndarray, give: np.ndarray):
         """From inputs: all that the backward pass needs, with the logits but for b of the places from lead on last.
 
-        Weights of attention are not divided by their sums; what follows from them is.
+        Weights of attention are not divided by their sums; what follows from them is. look, give: folded().
         """
-        p, causal = self.p, np.arange(SPAN)[None, :] <= np.arange(lead, SPAN)[:, None]
-        flat = lambda m: m.reshape(-1, m.shape[-1])  # noqa: E731  one product for all windows
+        causal = np.arange(SPAN)[None, :] <= np.arange(lead, SPAN)[:, None]
         own = np.ascontiguousarray(x[:, lead:])
-        q = (flat(own) @ (p["Q"] * np.float32(WIDTH**-0.5))).reshape(own.shape)
-        k, v = (flat(x) @ p["K"]).reshape(x.shape), (flat(x) @ p["V"]).reshape(x.shape)
-        s = q @ k.transpose(0, 2, 1)
+        q = times(flat(own), look).reshape(own.shape)
+        turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+        s = q @ turned
         # without lead, what is not there comes after all that is, so that the causal mask hides it
         short = np.flatnonzero(~there[:, :lead].all(axis=1))
         if not bounded(s):
@@ -392,48 +406,54 @@ class Attention:
         s *= causal.astype(s.dtype)
         s[short] *= there[short][:, None, :]
         scale = 1 / (flat(s) @ np.ones(SPAN, s.dtype))[:, None]
-        o = flat(s @ v)
+        o = flat(s @ x)
         o *= scale
-        h = o @ p["O"]
+        h = times(o, give)
         h += flat(own)
-        return q, k, v, s, scale, o, h, h @ p["U"]
+        return own, turned, q, s, scale, o, h, times(h, self.p["U"])
 
     def step(self, ids, at, there, scored) -> tuple[float, dict]:
         """Mean loss of a batch of windows, and its gradients."""
         p, lead = self.p, SPAN - scored.shape[1]
-        flat = lambda m: m.reshape(-1, m.shape[-1])
+        look, give = self.folded()
         rows = self.row[ids[at]]
         x = p["E"].take(rows, axis=0)
         x += p["P"]
-        q, k, v, a, scale, o, h, d = self.forward(x, there, lead)
-        d += p["b"]
-        if not bounded(d):
+        own, turned, q, a, scale, o, h, d = self.forward(x, there, lead, look, give)
+        if bounded(d, 30) and bounded(p["b"], 25):
+            factor = np.exp(p["b"])
+        else:
+            d += p["b"]
             d -= d.max(axis=1, keepdims=True)
-        goal = np.arange(len(d)) * CLASSES + self.kind[ids[np.where(scored, at[:, lead:] + 1, 0)]].ravel()
+            factor = np.ones_like(p["b"])
+        kinds, mine = self.kind[ids[at[:, lead:] + 1]].ravel(), scored.ravel()
+        goal = np.arange(len(d)) * CLASSES + kinds
         np.exp(d, out=d)
-        sums, mine = d @ np.ones(CLASSES, d.dtype), scored.ravel()
+        sums, found, hit = d @ factor, d.ravel()[goal], factor[kinds]
         n = max(int(mine.sum()), 1)
-        loss = -np.log(np.maximum(d.ravel()[goal] / sums, 1e-12))[mine].sum() / n
-        share = mine.astype(d.dtype) / n
-        d *= (share / sums)[:, None]
-        d.ravel()[goal] -= share
-        g = {"U": h.T @ d, "b": np.ones(len(d), d.dtype) @ d}
-        dh = d @ p["U"].T
-        g["O"] = o.T @ dh
-        do = dh @ p["O"].T
+        loss = -np.log(np.maximum(found * hit / sums, 1e-12))[mine].sum() / n
+        # gradients of the logits are d times factor, by class, times share, by place
+        share = mine / (n * sums)
+        share = share.astype(d.dtype)
+        d.ravel()[goal] = found - sums / hit
+        dh = times(d, np.ascontiguousarray((p["U"] * factor).T))
+        dh *= share[:, None]
+        g = {"U": across(h * share[:, None], d) * factor, "b": share @ d * factor}
+        into = across(o, dh)
+        g["V"], g["O"] = into @ p["O"].T, p["V"].T @ into
+        do = times(dh, np.ascontiguousarray(give.T))
         do *= scale
-        pull = np.einsum("ij,ij->i", do, o).reshape(*a.shape[:2], 1)
-        do = do.reshape(len(at), -1, WIDTH)
-        dv = a.transpose(0, 2, 1) @ do
-        da = do @ v.transpose(0, 2, 1)
-        da -= pull
+        pull = np.einsum("ij,ij->i", do, o)
+        do = do.reshape(own.shape)
+        da = do @ turned
+        flat(da)[...] -= pull[:, None]
         da *= a
-        # q holds the scale already
-        dq, dk = da @ k * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ q
-        own = np.ascontiguousarray(x[:, lead:])
-        g["Q"], g["K"], g["V"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = (flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(x.shape)
-        dh += flat(dq) @ p["Q"].T
+        dx = a.transpose(0, 2, 1) @ do
+        dx += da.transpose(0, 2, 1) @ q
+        dq = flat(da @ x)
+        into = across(flat(own), dq) * np.float32(WIDTH**-0.5)
+        g["Q"], g["K"] = into @ p["K"], into.T @ p["Q"]
+        dh += times(dq, np.ascontiguousarray(look.T))
         dx[:, lead:] += dh.reshape(own.shape)
         if lead:
             dx *= there[:, :, None]
@@ -445,10 +465,11 @@ class Attention:
     def train(self, ids: np.ndarray, first: np.ndarray, state: dict) -> list[float]:
         """One pass in random order over the windows of some texts; state: what Adam carries on."""
         at, there, scored = self.windows(first, SPAN)
-        losses = []
+        losses, dense = [], [k for k in self.p if k != "E"]
         if "m" not in state:
+            size = sum(self.p[k].size for k in dense)
             state.setdefault("n", 0)
-            state.update(t=0, rng=np.random.default_rng(SEED + int(state["n"])), m={k: np.zeros_like(v) for k, v in self.p.items()}, s={k: np.zeros_like(v) for k, v in self.p.items()})
+            state.update(t=0, rng=np.random.default_rng(SEED + int(state["n"])), m=[np.zeros(size, np.float32), np.zeros_like(self.p["E"])], s=[np.zeros(size, np.float32), np.zeros_like(self.p["E"])])
         order = state["rng"].permutation(len(at))
         for lo in range(0, len(at), BATCH):
             own = order[lo : lo + BATCH]
@@ -457,14 +478,21 @@ class Attention:
             state["n"] += 1
             state["t"] += 1
             n, rate = state["t"], RATE / (1 + state["n"] / 2000) ** 0.5
-            rows = g.pop("rows")
-            for k, d in g.items():
-                own = rows if k == "E" else slice(None)
+            # all but the inputs' rows are one array
+            for k, (own, d) in enumerate(((slice(None), np.concatenate([g[k].ravel() for k in dense])), (g["rows"], g["E"]))):
                 m, s = state["m"][k][own], state["s"][k][own]
                 m += np.float32(0.1) * (d - m)
                 s += np.float32(0.01) * (d * d - s)
                 state["m"][k][own], state["s"][k][own] = m, s
-                self.p[k][own] -= np.float32(rate / (1 - 0.9**n)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-6))
+                move = np.float32(rate / (1 - 0.9**n)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-6))
+                if k:
+                    self.p["E"][own] -= move
+                    continue
+                place = 0
+                for name in dense:
+                    w = self.p[name]
+                    w -= move[place : place + w.size].reshape(w.shape)
+                    place += w.size
         return losses
 
     def flat(self) -> np.ndarray:
@@ -483,13 +511,14 @@ class Attention:
         total = self.within[before_kinds(ids, heads, self.kind), ids].astype(np.float64)
         total[first[:-1]] = 0
         rows, goals, more, factor = self.row[ids], self.kind[ids], self.p["b"], np.exp(self.p["b"])
+        look, give = self.folded()
         for lo in range(0, len(at), 256):
             part = slice(lo, lo + 256)
             x = self.p["E"].take(rows[at[part]], axis=0)
             x += self.p["P"]
-            logits = self.forward(x, there[part], SPAN - STEP)[-1]
+            logits = self.forward(x, there[part], SPAN - STEP, look, give)[-1]
             mine = scored[part].ravel()
-            place = np.where(scored[part], at[part][:, SPAN - STEP :] + 1, 0).ravel()
+            place = at[part][:, SPAN - STEP :].ravel() + 1
             goal = goals[place]
             found = logits.ravel()[np.arange(len(goal)) * CLASSES + goal] + more[goal]
             top = 0 if bounded(logits) else logits.max(axis=1)
@@ -501,9 +530,29 @@ class Attention:
         return (sums[first[1:]] - sums[first[:-1]]) / np.log(10)
 
 
-def bounded(m: np.ndarray) -> bool:
+def bounded(m: np.ndarray, most: float = 60) -> bool:
     """Whether exponentials of all values, and sums of them, are safe as they are."""
-    return m.size == 0 or (m.max() < 60 and m.min() > -60)
+    return m.size == 0 or (m.max() < most and m.min() > -most)
+
+
+def flat(m: np.ndarray) -> np.ndarray:
+    """The last axis of all windows and places, in rows."""
+    return m.reshape(-1, m.shape[-1])
+
+
+def parted(m: np.ndarray) -> np.ndarray:
+    """Rows in parts of up to ROWS, as products of small matrices are the faster ones."""
+    return m.reshape(-1, math.gcd(len(m), ROWS) or 1, m.shape[-1])
+
+
+def times(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """m @ w, for many rows and few columns."""
+    return flat(parted(m) @ w)
+
+
+def across(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """m.T @ d, for many rows and few columns."""
+    return (parted(m).transpose(0, 2, 1) @ parted(d)).sum(axis=0)
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -514,69 +563,90 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[order[heads]], np.add.reduceat(values.take(order, axis=0), heads, axis=0)
 
 
-def sequences(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, index: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text as end, its words' ids, end: (ids, first place of each text and, last, the end of all, places where
-    words and ends start). starts and lengths: of the distinct words in ids; index: the texts' words among them."""
-    n = lengths[index]
-    before = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-    places = before[first] + 2 * np.arange(len(first))
+def ended(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text as end, its ids, end: (ids, first place of each text and, last, the end of all)."""
+    places = first - first[0] + 2 * np.arange(len(first))
     out = np.full(int(places[-1]), end_id, np.int32)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    start = before[:-1] + 2 * text + 1
     inside = np.ones(len(out), bool)
     inside[places[:-1]] = inside[places[1:] - 1] = False
-    out[inside] = ids[np.repeat(starts[index] - before[:-1], n) + np.arange(int(before[-1]))]
-    return out, places, np.concatenate((start, places[:-1], places[1:] - 1))
+    out[inside] = ids[first[0] : first[-1]]
+    return out, places
+
+
+def in_turns(batches, subwords: Subwords):
+    """Some texts of a column of ids at once, ended, as inputs take more room than ids."""
+    for ids, first in cut_texts(batches, subwords):
+        for k in range(0, len(first) - 1, 256):
+            yield ended(ids, first[k : k + 257], subwords.size - 1)
 
 
 RARE = pa.struct([("h", pa.int64()), ("n", pa.int64())])
 
 
-def scorer(subwords: Subwords, model: Attention, frequent: tuple[np.ndarray, np.ndarray], end_count: int):
+def cutter(subwords: Subwords, frequent: tuple[np.ndarray, np.ndarray], end_count: int):
+    """Of each text: its tokens, how many are known and the base of the frequent words, the other words, and its ids."""
     hashes, counts = frequent
 
     def of(batches):
         for batch in batches:
-            rows = {k: [] for k in ("n_tokens", "known", "base", "score")}
-            rare = []
             for lo, hi, kinds, first, index, words in worded(batch.column("text")):
                 at = np.minimum(np.searchsorted(hashes, kinds), max(len(hashes) - 1, 0))
                 c = np.where(hashes[at] == kinds, counts[at], 0) if len(hashes) else np.zeros(len(kinds), np.int64)
-                c = c[index]
-                sums = np.concatenate(([0.0], np.cumsum(np.where(c > 0, np.log10(c + 1.0), 0.0))))
-                seen = np.concatenate(([0], np.cumsum(c > 0)))
-                rows["n_tokens"].append(np.diff(first) + 1)
-                rows["known"].append(np.diff(seen[first]) + (end_count > 0))
-                rows["base"].append(np.diff(sums[first]) + np.log10(end_count + 1.0))
-                rest = np.where(c == 0)[0]
+                logs = np.where(c > 0, np.log10(c + 1.0), 0.0)
+                there = (c > 0)[index]
+                sums = np.concatenate(([0.0], np.cumsum(logs[index])))
+                seen = np.concatenate(([0], np.cumsum(there)))
+                known, base = np.diff(seen[first]) + (end_count > 0), np.diff(sums[first]) + np.log10(end_count + 1.0)
+                rest = np.flatnonzero(~there)
                 text = np.searchsorted(first, rest, "right") - 1
                 # a word once for each text
                 own, n = np.unique(text * len(kinds) + index[rest], return_counts=True)
                 ends = np.searchsorted(own, np.arange(hi - lo + 1) * len(kinds))
-                rare.append((np.diff(ends), kinds[own % max(len(kinds), 1)], n))
-                # texts are scored in turns, as ids take more room than bytes
+                h = kinds[own % max(len(kinds), 1)]
+                entries = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], fields=list(RARE))
+                # texts are cut in turns, as places take more room than bytes
                 ids, starts, lengths = subwords.of(kinds, words)
+                parts, sizes = [], []
                 for k in range(0, hi - lo, 256):
-                    own = first[k : k + 257]
-                    rows["score"].append(model.score(*sequences(ids, starts, lengths, index[own[0] : own[-1]], own - own[0], subwords.size - 1)))
-            many, h, n = (np.concatenate([r[k] for r in rare]) if rare else np.zeros(0, np.int64) for k in range(3))
-            entries = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], fields=list(RARE))
-            rare_of = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), entries)
-            get = lambda k, t: pa.array(np.concatenate(rows[k]) if rows[k] else [], t)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("__rid", "doc_id", "held_out")), get("n_tokens", pa.int64()), get("known", pa.int64()), get("base", pa.float64()), get("score", pa.float64()), rare_of],
-                ["__rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
+                    bounds_of = first[k : k + 257]
+                    part = index[bounds_of[0] : bounds_of[-1]]
+                    many = lengths[part]
+                    before = np.concatenate(([0], np.cumsum(many, dtype=np.int64)))
+                    parts.append(ids[np.repeat(starts[part] - before[:-1], many) + np.arange(before[-1])].astype(subwords.kind))
+                    sizes.append(np.diff(before[bounds_of - bounds_of[0]]))
+                ids = np.concatenate(parts)
+                places = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) * ids.itemsize
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(k).slice(lo, hi - lo) for k in ("__rid", "doc_id", "held_out", "key")),
+                        pa.array(np.diff(first) + 1),
+                        pa.array(known),
+                        pa.array(base),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries),
+                        pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(ids)]),
+                    ],
+                    ["__rid", "doc_id", "held_out", "key", "n_tokens", "known", "base", "rare", "ids"],
+                )
+
+    return of
+
+
+def scorer(subwords: Subwords, model: Attention):
+    heads = subwords.heads
+
+    def of(batches):
+        for batch in batches:
+            found = [model.score(ids, first, np.flatnonzero(heads[ids])) for ids, first in in_turns([batch], subwords)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return of
 
 
 def trained(rows: DataFrame, subwords: Subwords, model: Attention, ids: int) -> None:
-    """Trains model on the texts of all rows (doc_id, text), of about so many ids: in each round a task a shard, and the
-    mean of their weights."""
+    """Trains model on the texts of all rows (key, a hash of the row, and ids), of about so many ids: in each round a task
+    a shard, and the mean of their weights."""
     shards = min(MOST_SHARDS, max(1, ids // IDS_A_SHARD))
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    dealt = rows.select(key.alias("key"), "text").withColumns({"round": F.pmod("key", F.lit(ROUNDS)), "shard": F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")})
+    dealt = rows.select("key", "ids").withColumns({"round": F.pmod("key", F.lit(ROUNDS)), "shard": F.pmod(F.shiftright("key", 8), F.lit(shards)).cast("int")})
     steps = 0.0
     learner = copy(model)
     learner.within = None  # of no use in training
@@ -585,14 +655,9 @@ def trained(rows: DataFrame, subwords: Subwords, model: Attention, ids: int) ->
         def of(batches):
             learner.set_flat(start)
             state, seen = {"n": steps}, 0
-            for batch in batches:
-                for lo, hi, kinds, first, index, words in worded(batch.column("text")):
-                    found, starts, lengths = subwords.of(kinds, words)
-                    for k in range(0, hi - lo, 256):
-                        own = first[k : k + 257]
-                        part, places, _ = sequences(found, starts, lengths, index[own[0] : own[-1]], own - own[0], subwords.size - 1)
-                        learner.train(part, places, state)
-                        seen += len(part)
+            for part, places in in_turns(batches, subwords):
+                learner.train(part, places, state)
+                seen += len(part)
             if seen:
                 w = np.append(learner.flat().astype(np.float64), state["n"]) * seen
                 parts = [w[at : at + BLOCK] for at in range(0, len(w), BLOCK)]
@@ -606,9 +671,9 @@ def trained(rows: DataFrame, subwords: Subwords, model: Attention, ids: int) ->
         return pa.table({"i": part.column("i")[:1], "w": pa.array([w], pa.list_(pa.float64()))})
 
     for k in range(ROUNDS):
-        part = dealt.filter(F.col("round") == k).select("shard", "key", "text").repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "text")
+        part = dealt.filter(F.col("round") == k).select("shard", "key", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "ids")
         # a row a block of weights, whatever the number of shards; the last weight is the number of steps
-        found = part.select("text").mapInArrow(of_round(model.flat(), steps), "i long, w array<double>, seen long").groupBy("i").applyInArrow(mean, "i long, w array<double>").orderBy("i").toArrow()
+        found = part.select("ids").mapInArrow(of_round(model.flat(), steps), "i long, w array<double>, seen long").groupBy("i").applyInArrow(mean, "i long, w array<double>").orderBy("i").toArrow()
         if found.num_rows:
             weights = found.column("w").combine_chunks().flatten().to_numpy()
             model.set_flat(weights[:-1])
@@ -638,25 +703,31 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     subwords = Subwords(bytes(file["content"]))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     own = rows.filter("NOT held_out")
-    counts = saved(own.select("text").mapInArrow(_word_counts, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("c")))
+    counts = saved(own.select("text").mapInArrow(_word_counts, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("c")).select("h", "c"))
     n_docs = own.count()
     words = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = words["n"] + n_docs, words["v"] + (n_docs > 0)
-    ids = subword_counts(counts, subwords)
+    least, frequent = frequent_words(counts)
+    # each text is cut once; training and scoring read its ids
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = rows.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "held_out", key, "text").mapInArrow(cutter(subwords, frequent, n_docs), f"__rid long, doc_id {kind}, held_out boolean, key long, n_tokens long, known long, base double, rare array<struct<h:long,n:long>>, ids binary")
+    cut = written(cut)
+    training = cut.filter("NOT held_out").select("key", "ids")
+    ids = subword_counts(training, subwords)
     ids[-1] = n_docs
     rank = ranks_of(ids)
-    kind = classes(neighbours(counts, subwords, rank), ids, rank)
-    after = subword_counts(counts, subwords, kind)
+    kinds = classes(neighbours(training, subwords, rank), ids, rank)
+    after = subword_counts(training, subwords, kinds)
     after[CLASSES * subwords.size + subwords.size - 1] = n_docs
-    model = Attention(ids, kind, after)
-    trained(own, subwords, model, int(ids.sum()))
-    least, frequent = frequent_words(counts)
-    found = rows.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "held_out", "text").mapInArrow(scorer(subwords, model, frequent, n_docs), f"__rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<h:long,n:long>>")
+    model = Attention(ids, kinds, after)
+    trained(training, subwords, model, int(ids.sum()))
+    found = cut.select("__rid", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(scorer(subwords, model), f"__rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
     found = saved(found)
     rest = counts.filter(F.floor(F.log2(F.col("c").cast("double")) * 8) < least).select("h", "c")
-    rare = found.select("__rid", F.inline("rare")).withColumnRenamed("n", "times").join(rest, "h").groupBy("__rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("hits"))
+    rare = cut.select("__rid", F.inline("rare")).withColumnRenamed("n", "times").join(rest, "h").groupBy("__rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("hits"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return found.drop("rare").join(rare, "__rid", "left").select(
+    return found.join(rare, "__rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )
 

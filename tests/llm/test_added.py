@@ -373,6 +373,66 @@ def test_scores_of_great_weights(monkeypatch):
     assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
 
 
+def test_texts_are_cut_once_for_training_and_scoring(monkeypatch):
+    from pathlib import Path
+
+    import pyarrow as pa
+    from levelframe.llm import lm_scoring
+
+    subwords = lm_scoring.Subwords(Path(lm_scoring.VOCABULARY).read_bytes())
+    encoder, size = subwords.parts[0], subwords.size
+    texts = ["Ab c it's", None, "", "unhyphenated \u65e5\u672c a\u00a0b", " \n", *[f"w{k} of{k} " * (k % 9) for k in range(700)]]
+    want = [[i for w in WORD.findall((t or "").lower()) for i in encoder.encode_ordinary(" " + w)] for t in texts]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(range(n)), pa.array(texts)], ["__rid", "doc_id", "held_out", "key", "text"])
+    cut = list(lm_scoring.cutter(subwords, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0)([batch]))
+    assert [np.frombuffer(x, subwords.kind).tolist() for b in cut for x in b.column("ids").to_pylist()] == want
+    assert all(subwords.heads[x[0]] for x in want if x) and sum(subwords.heads[i] for x in want for i in x) == sum(len(WORD.findall(t or "")) for t in texts)
+
+    def never(*_):
+        raise AssertionError("cut again")
+
+    monkeypatch.setattr(lm_scoring.Subwords, "of", never)
+    monkeypatch.setattr(lm_scoring, "worded", never)
+    turns = list(lm_scoring.in_turns(cut, subwords))
+    assert [ids[a:b].tolist() for ids, first in turns for a, b in zip(first, first[1:], strict=False)] == [[size - 1, *x, size - 1] for x in want]
+    counts = np.bincount(np.concatenate(turns[0][:1]), minlength=size)
+    model = lm_scoring.Attention(counts, np.arange(size) % lm_scoring.CLASSES, np.zeros((lm_scoring.CLASSES + 1) * size))
+    got = np.concatenate([b.column("score").to_numpy() for b in lm_scoring.scorer(subwords, model)([b.select(["__rid", "ids"]) for b in cut])])
+    for k in (0, 1, 3, n - 1):
+        ids = np.array([size - 1, *want[k], size - 1], np.int32)
+        assert np.isclose(got[k], model.score(ids, np.array([0, len(ids)]), np.flatnonzero(subwords.heads[ids]))[0], rtol=1e-5)
+
+
+def test_words_that_share_a_place_keep_their_ids(monkeypatch):
+    from pathlib import Path
+
+    import pyarrow as pa
+    from levelframe.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "PLACES", 8)
+    monkeypatch.setattr(lm_scoring, "KNOWN_IDS", 500)
+    subwords = lm_scoring.Subwords(Path(lm_scoring.VOCABULARY).read_bytes() + b"\n")  # a worker's own
+    for lo in (0, 10, 0, 30):
+        (_, _, kinds, _, _, words), = lm_scoring.worded(pa.array([" ".join(f"v{k}x" for k in range(lo, lo + 40))]))
+        ids, starts, lengths = subwords.of(kinds, words)
+        assert [ids[a : a + m].tolist() for a, m in zip(starts, lengths, strict=True)] == [subwords.parts[0].encode_ordinary(f" v{k}x") for k in range(lo, lo + 40)]
+
+
+@pytest.mark.parametrize("places", [32, 16])
+def test_gradients_do_not_depend_on_the_way(monkeypatch, places):
+    from levelframe.llm import lm_scoring
+
+    rng = np.random.default_rng(8)
+    ids, first, kind = rng.integers(0, 9, 150).astype(np.int32), np.array([0, 97, 150]), np.arange(9) % 5
+    model = lm_scoring.Attention(np.bincount(ids, minlength=9), kind, np.zeros((lm_scoring.CLASSES + 1) * 9))
+    at, there, scored = model.windows(first, places)
+    loss, g = model.step(ids, at, there, scored)
+    monkeypatch.setattr(lm_scoring, "bounded", lambda m, most=60: False)
+    other, h = model.step(ids, at, there, scored)
+    assert np.isclose(loss, other, rtol=1e-5) and all(np.allclose(g[k], h[k], rtol=1e-3, atol=1e-6) for k in g)
+
+
 # language
 
 
