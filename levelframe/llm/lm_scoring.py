@@ -210,6 +210,22 @@ def hashes_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pieces:
+    """Some substrings, as a list or as an array."""
+
+    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    def __call__(self, some: np.ndarray) -> list[bytes]:
+        return [self.data[i:j] for i, j in zip(self.starts[some].tolist(), self.ends[some].tolist(), strict=True)]
+
+    def array(self) -> pa.Array:
+        sizes = self.ends - self.starts
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.repeat(self.starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.frombuffer(self.data, np.uint8)[places])])
+
+
 def worded(column: pa.Array):
     """(first row, end row, hashes of the distinct words, first word of each text, index of each word in the distinct
     ones, what gives some of those)."""
@@ -221,7 +237,7 @@ def worded(column: pa.Array):
         where = np.empty(len(kinds), np.int64)
         where[index[::-1]] = np.arange(len(index) - 1, -1, -1)
         starts, ends = starts[where], ends[where]
-        yield lo, hi, kinds, first, index, lambda some, s=starts, e=ends, d=data: [d[i:j] for i, j in zip(s[some].tolist(), e[some].tolist(), strict=True)]
+        yield lo, hi, kinds, first, index, Pieces(data, starts, ends)
 
 
 def held_out() -> Column:
@@ -245,7 +261,7 @@ def _word_counts(batches):
     parts, held, size = [], 0, 0
     for batch in batches:
         for _, _, kinds, _, index, words in worded(batch.column("text")):
-            parts.append((kinds, np.bincount(index, minlength=len(kinds)), pa.array(words(np.arange(len(kinds))), pa.binary())))
+            parts.append((kinds, np.bincount(index, minlength=len(kinds)), words.array()))
             held, size = held + len(kinds), size + parts[-1][2].nbytes
             if held > WORDS_AT_ONCE or size > WORD_BYTES:
                 yield from rows(parts)
@@ -267,7 +283,7 @@ def counted(rows: DataFrame, size: int, keys: Callable, subwords: Subwords) -> n
     def of(batches):
         total = np.zeros(size, np.int64)
         for ids, _ in cut_texts(batches, subwords):
-            total += np.bincount(keys(ids), minlength=size)
+            np.add.at(total, keys(ids), 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["id", "n"])
 
@@ -349,6 +365,10 @@ def classes(follow: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndar
     return kind
 
 
+#: 1 where a place may look: at itself and the places before it.
+CAUSAL = np.tri(SPAN, dtype=np.float32)
+
+
 class Attention:
     """One layer of causal self-attention, from ids to classes of the next id."""
 
@@ -391,21 +411,26 @@ class Attention:
 
         Weights of attention are not divided by their sums; what follows from them is. look, give: folded().
         """
-        causal = np.arange(SPAN)[None, :] <= np.arange(lead, SPAN)[:, None]
         own = np.ascontiguousarray(x[:, lead:])
         q = times(flat(own), look).reshape(own.shape)
         turned = np.ascontiguousarray(x.transpose(0, 2, 1))
-        s = q @ turned
+        s, ones, causal = q @ turned, np.ones(SPAN, x.dtype), CAUSAL[lead:]
         # without lead, what is not there comes after all that is, so that the causal mask hides it
-        short = np.flatnonzero(~there[:, :lead].all(axis=1))
-        if not bounded(s):
-            s += np.where(causal, 0, -1e9).astype(s.dtype)
-            s[short] += np.where(there[short], 0, -1e9).astype(s.dtype)[:, None, :]
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= causal.astype(s.dtype)
-        s[short] *= there[short][:, None, :]
-        scale = 1 / (flat(s) @ np.ones(SPAN, s.dtype))[:, None]
+        short = np.flatnonzero(~there[:, :lead].all(axis=1)) if lead else np.zeros(0, np.int64)
+        with np.errstate(all="ignore"):
+            np.exp(s, out=s)
+            s *= causal
+            if len(short):
+                s[short] *= there[short][:, None, :]
+            sums = flat(s) @ ones
+            if not bounded(np.log(sums)):
+                s = q @ turned
+                s += np.where(causal > 0, 0, -1e9).astype(s.dtype)
+                s[short] += np.where(there[short], 0, -1e9).astype(s.dtype)[:, None, :]
+                s -= s.max(axis=2, keepdims=True)
+                np.exp(s, out=s)
+                sums = flat(s) @ ones
+        scale = (1 / sums)[:, None]
         o = flat(s @ x)
         o *= scale
         h = times(o, give)
@@ -416,20 +441,23 @@ class Attention:
         """Mean loss of a batch of windows, and its gradients."""
         p, lead = self.p, SPAN - scored.shape[1]
         look, give = self.folded()
-        rows = self.row[ids[at]]
+        rows = self.row.take(ids.take(at))
         x = p["E"].take(rows, axis=0)
         x += p["P"]
         own, turned, q, a, scale, o, h, d = self.forward(x, there, lead, look, give)
-        if bounded(d, 30) and bounded(p["b"], 25):
+        with np.errstate(all="ignore"):
             factor = np.exp(p["b"])
-        else:
-            d += p["b"]
-            d -= d.max(axis=1, keepdims=True)
-            factor = np.ones_like(p["b"])
-        kinds, mine = self.kind[ids[at[:, lead:] + 1]].ravel(), scored.ravel()
+            np.exp(d, out=d)
+            sums = d @ factor
+            if not (bounded(p["b"], 25) and bounded(np.log(sums), 30)):
+                d = times(h, p["U"]) + p["b"]
+                d -= d.max(axis=1, keepdims=True)
+                np.exp(d, out=d)
+                factor = np.ones_like(p["b"])
+                sums = d @ factor
+        kinds, mine = self.kind.take(ids.take(at[:, lead:].ravel() + 1)), scored.ravel()
         goal = np.arange(len(d)) * CLASSES + kinds
-        np.exp(d, out=d)
-        sums, found, hit = d @ factor, d.ravel()[goal], factor[kinds]
+        found, hit = d.ravel().take(goal), factor.take(kinds)
         n = max(int(mine.sum()), 1)
         loss = -np.log(np.maximum(found * hit / sums, 1e-12))[mine].sum() / n
         # gradients of the logits are d times factor, by class, times share, by place
@@ -508,30 +536,34 @@ class Attention:
     def score(self, ids: np.ndarray, first: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """log10 probability of each text; heads: the places where words and ends start."""
         at, there, scored = self.windows(first, STEP)
-        total = self.within[before_kinds(ids, heads, self.kind), ids].astype(np.float64)
+        total = self.within.ravel().take(before_kinds(ids, heads, self.kind) * self.within.shape[1] + ids).astype(np.float64)
         total[first[:-1]] = 0
         rows, goals, more, factor = self.row[ids], self.kind[ids], self.p["b"], np.exp(self.p["b"])
         look, give = self.folded()
         for lo in range(0, len(at), 256):
             part = slice(lo, lo + 256)
-            x = self.p["E"].take(rows[at[part]], axis=0)
+            x = self.p["E"].take(rows.take(at[part]), axis=0)
             x += self.p["P"]
-            logits = self.forward(x, there[part], SPAN - STEP, look, give)[-1]
+            *_, h, logits = self.forward(x, there[part], SPAN - STEP, look, give)
             mine = scored[part].ravel()
             place = at[part][:, SPAN - STEP :].ravel() + 1
-            goal = goals[place]
-            found = logits.ravel()[np.arange(len(goal)) * CLASSES + goal] + more[goal]
-            top = 0 if bounded(logits) else logits.max(axis=1)
-            if np.ndim(top):
+            goal = goals.take(place)
+            found = logits.ravel().take(np.arange(len(goal)) * CLASSES + goal) + more.take(goal)
+            with np.errstate(all="ignore"):
+                logs = np.log(np.exp(logits, out=logits) @ factor)
+            if not bounded(logs):
+                logits = times(h, self.p["U"]) + more
+                top = logits.max(axis=1)
                 logits -= top[:, None]
-            found -= np.log(np.exp(logits, out=logits) @ factor) + top
+                logs = np.log(np.exp(logits, out=logits).sum(axis=1)) + top
+            found -= logs
             total[place[mine]] += found[mine]
         sums = np.concatenate(([0.0], np.cumsum(total)))
         return (sums[first[1:]] - sums[first[:-1]]) / np.log(10)
 
 
 def bounded(m: np.ndarray, most: float = 60) -> bool:
-    """Whether exponentials of all values, and sums of them, are safe as they are."""
+    """Whether sums of exponentials, given as logarithms, lost nothing to the range of the numbers."""
     return m.size == 0 or (m.max() < most and m.min() > -most)
 
 
@@ -560,7 +592,9 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = rows.astype(np.uint16)  # INPUTS at most; of 16 bits, so that sorting is by digits
     order = np.argsort(rows, kind="stable")
     heads = np.flatnonzero(np.diff(rows[order], prepend=np.int64(-1)))
-    return rows[order[heads]], np.add.reduceat(values.take(order, axis=0), heads, axis=0)
+    # as pairs, so that one sum takes two columns
+    pairs = values.take(order, axis=0).view(np.result_type(values.dtype, np.complex64))
+    return rows[order[heads]], np.add.reduceat(pairs, heads, axis=0).view(values.dtype)
 
 
 def ended(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
