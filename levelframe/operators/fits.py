@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +93,22 @@ def subsample(points: Column, key: Column, limit: int = MAX_POINTS) -> Column:
     """At most limit points, the least by a hash of the frame and the point, in their old order: the same in any run."""
 
     def of(p: Column) -> Column:
-        ranked = F.array_sort(F.transform(p, lambda q, i: F.struct(F.xxhash64(key, q["x"], q["y"]).alias("h"), i.alias("i"))))
-        return F.transform(F.array_sort(F.transform(F.slice(ranked, 1, limit), lambda r: r["i"])), lambda i: p[i])
+        ranked = F.sort_array(F.transform(p, lambda q, i: F.struct(F.xxhash64(key, q["x"], q["y"]).alias("h"), i.alias("i"))))
+        return F.transform(F.sort_array(F.transform(F.slice(ranked, 1, limit), lambda r: r["i"])), lambda i: p[i])
 
     return let(points, lambda p: F.when(F.size(p) <= limit, p).otherwise(of(p)))
 
 
+@lru_cache(maxsize=64)
+def _drawn(n: int, iterations: int, seed: int) -> np.ndarray:
+    """The places i < j of pairs drawn with the seed: the same for all frames with n points."""
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, n, iterations), rng.integers(0, n - 1, iterations)
+    j = j + (j >= i)
+    pairs = np.stack((np.minimum(i, j), np.maximum(i, j)))
+    return pairs[:, np.sort(np.unique(pairs, axis=1, return_index=True)[1])]  # a pair counts where it is drawn first
+
+
 def _pairs(n: int, iterations: int | None, seed: int) -> tuple[int, object]:
     """The number of point pairs to look at, and a function from a range of them to their places i < j."""
     if iterations is None or n * (n - 1) // 2 <= iterations:
@@ -109,11 +120,7 @@ def _pairs(n: int, iterations: int | None, seed: int) -> tuple[int, object]:
             return i, t - starts[i] + i + 1
 
         return int(starts[-1]), dealt
-    rng = np.random.default_rng(seed)
-    i, j = rng.integers(0, n, iterations), rng.integers(0, n - 1, iterations)
-    j = j + (j >= i)
-    pairs = np.stack((np.minimum(i, j), np.maximum(i, j)))
-    pairs = pairs[:, np.sort(np.unique(pairs, axis=1, return_index=True)[1])]  # a pair counts where it is drawn first
+    pairs = _drawn(n, iterations, seed)
     return pairs.shape[1], lambda lo, hi: (pairs[0, lo:hi], pairs[1, lo:hi])
 
 
@@ -135,9 +142,40 @@ def huber_of(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> dict:
     return {"vx": float(vx), "vy": float(vy), "x0": float(x0), "y0": float(y0)}
 
 
-def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ratio: float | None, iterations: int | None, seed: int) -> list[dict]:
-    """The k lines through two of the points with the most inliers, ties by the order of the pairs; with a ratio the
-    search ends with the first batch after which the best line has that share of the points."""
+def hubers_of(x: np.ndarray, y: np.ndarray, lit: np.ndarray, rounds: int = 12) -> list[dict]:
+    """huber_of() of each row's points, side by side; lit: rows x points, 1 where a point is the row's, else 0."""
+    found, rows, w, at = [{} for _ in lit], np.arange(len(lit)), lit, None
+    for turn in range(rounds + 1):
+        if turn:
+            r = np.abs(dx * vy[:, None] - dy * vx[:, None])
+            w = lit * (HUBER / np.maximum(r, HUBER))
+        n, before = w.sum(axis=1), at
+        x0, y0 = w @ x / n, w @ y / n
+        dx, dy = x - x0[:, None], y - y0[:, None]
+        wx, wy = w * dx, w * dy
+        along = np.einsum("ij,ij->i", wx, dx) - np.einsum("ij,ij->i", wy, dy)
+        at = 0.5 * np.arctan2(2 * np.einsum("ij,ij->i", wx, dy), along)
+        vx, vy = np.cos(at), np.sin(at)
+        over = np.full(len(at), turn == rounds) if before is None or turn == rounds else np.abs(at - before) < 1e-13
+        if over.any():
+            for k in np.flatnonzero(over):
+                found[rows[k]] = {"vx": float(vx[k]), "vy": float(vy[k]), "x0": float(x0[k]), "y0": float(y0[k])}
+            rest = ~over
+            if not rest.any():
+                break
+            rows, lit, at, vx, vy, dx, dy = rows[rest], lit[rest], at[rest], vx[rest], vy[rest], dx[rest], dy[rest]
+    return found
+
+
+def _lit(found: list[np.ndarray], n: int) -> np.ndarray:
+    lit = np.zeros((len(found), n))
+    for row, at in zip(lit, found, strict=True):
+        row[at] = 1
+    return lit
+
+
+def _best(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ratio: float | None, iterations: int | None, seed: int) -> list[tuple]:
+    """(n, i, j, vx, vy, places of the inliers) of the k lines that best_pairs() finds."""
     n = len(x)
     if n < 2:
         return []
@@ -150,15 +188,35 @@ def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ra
         size = np.hypot(dx, dy)
         some = size > 1e-6
         i, j, vx, vy = i[some], j[some], dx[some] / size[some], dy[some] / size[some]
-        off = np.abs(vy[:, None] * x - vx[:, None] * y - (vy * x[i] - vx * y[i])[:, None])
-        hit = off < near - 5e-10  # as if rounded to nine places
-        count = hit.sum(axis=1)
+        off = vy[:, None] * x
+        off -= vx[:, None] * y
+        off -= (vy * x[i] - vx * y[i])[:, None]
+        hit = np.abs(off, out=off) < near - 5e-10  # as if rounded to nine places
+        count = np.count_nonzero(hit, axis=1)
         first = np.argsort(-count, kind="stable")[:k]
         best += [(-int(count[t]), lo, int(t), int(i[t]), int(j[t]), float(vx[t]), float(vy[t]), np.flatnonzero(hit[t])) for t in first if count[t] >= least]
         best = sorted(best, key=lambda b: b[:3])[:k]
         if ratio is not None and best and -best[0][0] >= int(ratio * n):
             break
-    return [{"n": -b[0], "i": b[3], "j": b[4], "line": {"vx": b[5], "vy": b[6], "x0": float(x[b[3]]), "y0": float(y[b[3]])}, "refit": huber_of(x[b[7]], y[b[7]]), "inliers": b[7]} for b in best]
+    return [(-b[0], *b[3:]) for b in best]
+
+
+def _through(x: np.ndarray, y: np.ndarray, i: int, vx: float, vy: float) -> dict:
+    return {"vx": vx, "vy": vy, "x0": float(x[i]), "y0": float(y[i])}
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, near: float, k: int, least: int, ratio: float | None, iterations: int | None, seed: int) -> list[dict]:
+    """The k lines through two of the points with the most inliers, ties by the order of the pairs; with a ratio the
+    search ends with the first batch after which the best line has that share of the points."""
+    found = _best(x, y, near, k, least, ratio, iterations, seed)
+    return [{"n": n, "i": i, "j": j, "line": _through(x, y, i, vx, vy), "refit": huber_of(x[at], y[at]), "inliers": at} for n, i, j, vx, vy, at in found]
+
+
+def best_lines(x: np.ndarray, y: np.ndarray, near: float, k: int, iterations: int | None, seed: int) -> list[tuple[dict, dict, int]]:
+    """(line, refit, n) of best_pairs()."""
+    found = _best(x, y, near, k, 2, None, iterations, seed)
+    refits = hubers_of(x, y, _lit([at for *_, at in found], len(x)))
+    return [(_through(x, y, i, vx, vy), refit, n) for (n, i, _, vx, vy, _), refit in zip(found, refits, strict=True)]
 
 
 def _rows(xs: pa.Array, ys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

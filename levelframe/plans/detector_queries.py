@@ -9,7 +9,7 @@ from levelframe.operators import evaluation, regions
 from levelframe.plans.detectors import REGISTRY, Shape
 from levelframe.plans.registry import query
 from levelframe.session import table
-from levelframe.sources.frames import made_frames
+from levelframe.sources.frames import made_planes, made_vectors
 from levelframe.sources.tables import with_horizon
 
 #: Frames of eight rows: a small morphology window; clips of 50 frames.
@@ -54,14 +54,17 @@ def evaluate_a5(spark, sf_dir):
 
 
 #: Frames of real size; clips of 50.
-FULL = Shape(480, 480, clip=("clip",), thumb=regions.CANDIDATE_SIZE)
+FULL = Shape(480, 480, clip=("clip",), thumb=regions.CANDIDATE_SIZE, source=(("frame_id", "embedding"), made_planes))
+
+
+#: Tasks for each core: frames cost unlike, so that few large ones would leave cores idle at the end.
+DEALT = 8
 
 
 def full_frames(spark, sf_dir):
-    vectors, cores = table(spark, sf_dir, "embeddings"), spark.sparkContext.defaultParallelism
-    if len(vectors.inputFiles()) < cores:
-        vectors = vectors.repartition(cores)
-    return made_frames(vectors, FULL.height, FULL.width).withColumn("clip", F.floor(F.col("frame_id") / 50))
+    """What frames of real size are made of; the kernels make the planes that they read."""
+    vectors = made_vectors(table(spark, sf_dir, "embeddings")).repartition(DEALT * spark.sparkContext.defaultParallelism)
+    return vectors.withColumn("clip", F.floor(F.col("frame_id") / 50))
 
 
 def _register_full(name: str):

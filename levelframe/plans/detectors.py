@@ -6,11 +6,12 @@ time that the frame took in the kernels on Arrow batches. All work is inside the
 a8 to a10, which order the frames of a clip. Point-pair search draws Shape.iterations pairs of at most max_points points
 with a seed, or looks at all pairs.
 
-Frames may bring the planes of a likelihood stack (STACK); without them img and raw are the stack.
+Frames may bring the planes of a likelihood stack (STACK); without them img and raw are the stack. Planes that follow from less are made in the kernels (Shape.source) and never are columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,8 @@ class Shape:
     iterations: pairs drawn with the seed; None looks at all. enough: the share of points that ends an early-stop search.
     thumb: (height, width) to which likelihood candidates reduce their planes, and a sign that coherence and scenes
     reduce theirs (regions.COHERENCE_SIZE, SCENE_SIZE); None works on whole frames.
+    source: for frames that bring no planes, the columns of which they are made, and a function of (height, width, names)
+    that gives the function of the columns' values that makes the named planes (sources.frames.made_planes).
     """
 
     height: int
@@ -49,6 +52,12 @@ class Shape:
     top: int = fits.TOP_K
     enough: float = fits.ENOUGH
     thumb: tuple[int, int] | None = None
+    source: tuple[tuple[str, ...], Callable[[int, int, tuple[str, ...]], Callable]] | None = None
+
+    def planes(self, *names: str, when: Column | None = None) -> list[Column | batches.Planes]:
+        """The named planes as a kernel's first inputs; null where when is not true."""
+        columns = [F.col(c) if when is None else F.when(when, F.col(c)) for c in (self.source[0] if self.source else names)]
+        return [batches.Planes(tuple(columns), self.source[1](self.height, self.width, names))] if self.source else columns
 
     def search(self, points: Column, k: int, ratio: float | None = None) -> Column:
         return batches.search(points, self.near, k, ratio=ratio, iterations=self.iterations, seed=self.seed)
@@ -82,7 +91,7 @@ def a1(frames: DataFrame, s: Shape) -> DataFrame:
 
 def with_points(frames: DataFrame, s: Shape, plane: str = "img", points: str = "points", how: str = "all") -> DataFrame:
     """frames with the points of the plane's mask and its larger class's share (points + "_balance")."""
-    df = timed(frames, "__e", batches.edges(F.col(plane), s.height, s.width, s.window, how))
+    df = timed(frames, "__e", batches.edges(*s.planes(plane), s.height, s.width, s.window, how))
     return df.withColumns({points: F.col("__e.points"), f"{points}_balance": F.col("__e.balance")}).drop("__e")
 
 
@@ -146,7 +155,7 @@ def a6(frames: DataFrame, s: Shape) -> DataFrame:
     """As a5 on both planes, the surer one; below FALLBACK the row with the most vertical change."""
     df = with_best(with_best(frames, s, "img", "best_l"), s, "raw", "best_b")
     df = once(df, "best", surer(F.col("best_l"), F.col("best_b")))
-    df = timed(df, "peak", batches.row_energy_peak(F.when(F.col("best").isNull(), F.col("img")), s.height, s.width))
+    df = timed(df, "peak", batches.row_energy_peak(*s.planes("img", when=F.col("best").isNull()), s.height, s.width))
     return result(df, F.coalesce(F.col("best.line"), lines.line(1.0, 0.0, 0.0, F.col("peak"))), F.coalesce("best.confidence", F.lit(0.0)), F.coalesce("best.n", F.lit(0)))
 
 
@@ -157,34 +166,23 @@ def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
 
     Candidates carry the refit line, which is what a later frame compares with. A degenerate frame has none.
     """
-    five = set(STACK) <= set(frames.columns)
-    planes, edged, compared = (STACK, (0, 2), 3) if five else (("img", "raw"), (0, 1), 2)
+    planes, edged, compared = (STACK, (0, 2), 3) if s.source or set(STACK) <= set(frames.columns) else (("img", "raw"), (0, 1), 2)
     size = (min(regions.COHERENCE_SIZE[0], s.height), min(regions.COHERENCE_SIZE[1], s.width)) if s.thumb else (s.height, s.width)
     sizes = {"candidates": s.thumb, "planes": size, "thumb": regions.SCENE_SIZE} if s.thumb else None
-    views = batches.views_of([F.col(c) for c in planes], s.height, s.width, s.window, edged, compared, sizes, path, sky)
-    both = timed(frames.select("frame_id", *s.clip, *planes), "v", views)
+    views = batches.views_of(s.planes(*planes), s.height, s.width, s.window, edged, compared, sizes, path, sky)
+    both = timed(frames.select("frame_id", *s.clip, *(c for c in (s.source[0] if s.source else planes) if c != "frame_id")), "v", views)
     fields = {k: F.col(f"v.{k}") for k in ("edges", "path", "sky", "planes", "thumb")} | {"degenerate": F.coalesce("v.degenerate", F.lit(False))}
     both = both.select("frame_id", *s.clip, TOOK, *(c.alias(f"v_{k}") for k, c in fields.items()))
-    parts = []
-    of_source = lambda name: lambda c, k: one(name, k + 1, c["line"], c["refit"], c["n"])
-    one = lambda source, rank, ln, refit, n: F.struct(F.lit(source).alias("source"), rank.cast("int").alias("rank"), ln.cast(LINE).alias("line"), refit.cast(LINE).alias("refit"), n.cast("int").alias("count"))
     for k, name in enumerate(("L", "b")):
         edge = F.col("v_edges")[k]
         points = F.when(~F.col("v_degenerate"), F.zip_with(edge["x"], edge["y"], lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
         both = sampled(both.withColumn(f"points_{name}", points), f"points_{name}", s)
-    for name in ("L", "b"):
-        both = timed(both, f"found_{name}", s.search(F.col(f"points_{name}"), s.top))
-        parts.append(F.transform(f"found_{name}", of_source(name)))
-    for wanted, name in ((path, "path"), (sky, "sky")):
-        if wanted:
-            found = F.col(f"v_{name}")
-            parts.append(F.when(found.isNotNull(), F.array(one(name, F.lit(1), found["line"], found["line"], found["count"]))).otherwise(F.array()))
     least = min(scoring.LEAST_SIDE, s.height * s.width // 4)
-    both = once(both, "all", F.coalesce(F.concat(*parts), F.array()))
-    both = timed(both, "raws", batches.coherences(F.col("v_planes"), F.transform("all", lambda c: c["line"]), size[1], least, (s.height, s.width), clock=True))
-    both = once(both, "scored", F.zip_with("raws", "all", lambda raw, c: F.struct(raw.alias("raw"), c.alias("c"))))
-    live = F.filter("scored", lambda q: scoring.gate(q["c"]["source"], q["raw"], q["c"]["line"]))
-    as_candidate = F.transform(live, lambda q: F.struct(q["c"]["source"].alias("source"), scoring.place_of(q["c"]["source"], q["c"]["rank"]).alias("place"), q["raw"].alias("raw"), q["c"]["refit"].alias("line"), q["c"]["count"].alias("count")))
+    edges = {name: F.col(f"points_{name}") for name in ("L", "b")}
+    found = {name: F.col(f"v_{name}") for wanted, name in ((path, "path"), (sky, "sky")) if wanted}
+    both = timed(both, "scored", batches.judged(F.col("v_planes"), edges, found, size, (s.height, s.width), s.near, s.top, least, s.iterations, s.seed))
+    live = F.filter("scored", lambda c: scoring.gate(c["source"], c["raw"], c["line"]))
+    as_candidate = F.transform(live, lambda c: F.struct(c["source"].alias("source"), scoring.place_of(c["source"], c["rank"]).alias("place"), c["raw"].alias("raw"), c["refit"].alias("line"), c["count"].alias("count")))
     return both.select("frame_id", F.col("v_degenerate").alias("degenerate"), F.col("v_thumb").alias("thumb"), *s.clip, TOOK, as_candidate.cast(f"array<{temporal.CANDIDATE}>").alias("candidates"))
 
 

@@ -9,7 +9,8 @@ image without a label is a frame without one, a label without an image gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +30,32 @@ WHITE = (0.950456, 1.0, 1.088754)
 LINEAR = np.where(np.arange(256) <= 0.04045 * 255, np.arange(256) / 255 / 12.92, ((np.arange(256) / 255 + 0.055) / 1.055) ** 2.4)
 
 
-def planes_of(bgr: np.ndarray) -> dict[str, np.ndarray]:
-    """The planes of a height x width x 3 frame of bytes."""
+def planes_of(bgr: np.ndarray, kept: tuple[str, ...] = PLANES) -> dict[str, np.ndarray]:
+    """The planes kept of a height x width x 3 frame of bytes."""
     blue, green, red = (np.ascontiguousarray(bgr[:, :, k]) for k in range(3))
     b, g, r = (p.astype(np.float64) for p in (blue, green, red))
-    high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
-    light = LINEAR[red], LINEAR[green], LINEAR[blue]
-    x, y, z = (sum(p * (c / w) for p, c in zip(light, row, strict=True)) for row, w in zip(XYZ, WHITE, strict=True))
-    fx, fy, fz = (np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116) for t in (x, y, z))
     byte = lambda v: np.clip(np.rint(v), 0, 255)
-    return {
-        "gray": np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5),
-        "light": byte(np.where(y > 0.008856, 116 * fy - 16, 903.3 * y) * 255 / 100),
-        "a": byte(500 * (fx - fy) + 128),
-        "b": byte(200 * (fy - fz) + 128),
-        "saturation": np.where(high == 0, 0, np.floor((high - low) * 255 / np.maximum(high, 1) + 0.5)),
-        "blue_excess": np.clip(np.rint(128 + 128 * (b - r) / (b + r + 1)), 0, 255),
-    }
+    out = {}
+    if "gray" in kept:
+        out["gray"] = np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5)
+    if {"light", "a", "b"} & set(kept):
+        linear = LINEAR[red], LINEAR[green], LINEAR[blue]
+        part = lambda k: sum(p * (c / WHITE[k]) for p, c in zip(linear, XYZ[k], strict=True))
+        root = lambda t: np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+        y = part(1)
+        fy = root(y)
+        if "light" in kept:
+            out["light"] = byte(np.where(y > 0.008856, 116 * fy - 16, 903.3 * y) * 255 / 100)
+        if "a" in kept:
+            out["a"] = byte(500 * (root(part(0)) - fy) + 128)
+        if "b" in kept:
+            out["b"] = byte(200 * (fy - root(part(2))) + 128)
+    if "saturation" in kept:
+        high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+        out["saturation"] = np.where(high == 0, 0, np.floor((high - low) * 255 / np.maximum(high, 1) + 0.5))
+    if "blue_excess" in kept:
+        out["blue_excess"] = np.clip(np.rint(128 + 128 * (b - r) / (b + r + 1)), 0, 255)
+    return out
 
 
 def decoded(images: DataFrame, planes: tuple[str, ...] = PLANES, size: tuple[int, int] | None = None) -> DataFrame:
@@ -58,7 +68,7 @@ def decoded(images: DataFrame, planes: tuple[str, ...] = PLANES, size: tuple[int
                 name, h, w, n, data = (batch.column(k)[i] for k in ("filename", "height", "width", "nChannels", "data"))
                 h, w, n = h.as_py(), w.as_py(), n.as_py()
                 raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
-                found = planes_of(np.repeat(raw, 3, axis=2) if n == 1 else raw[:, :, :3])
+                found = planes_of(np.repeat(raw, 3, axis=2) if n == 1 else raw[:, :, :3], planes)
                 if size is not None:
                     h, w = size
                     found = {k: np.floor(area_resized(p, h, w) + 0.5) for k, p in found.items()}
@@ -99,29 +109,61 @@ def labelled_frames(spark: SparkSession, folder: str, planes: tuple[str, ...] =
     return rows.withColumn("stem", F.regexp_replace("filename", r"\.[^.]*$", "")).join(sky, "stem", "left").drop("stem")
 
 
+@lru_cache(maxsize=4)
+def _mixed(height: int, width: int) -> np.ndarray:
+    """The pair of places of an 8 x 8 vector that each place of a made frame mixes: coarse and fine, as one number."""
+    y, x = np.arange(height)[:, None], np.arange(width)
+    return (y // -(-height // 8) * 8 + x // -(-width // 8)) * 64 + y % 8 * 8 + x % 8
+
+
+def made_line(k: int) -> tuple[float, float]:
+    """slope and offset of the line of a made frame."""
+    return (k * 37 % 101 - 50) / 100, 0.3 + k * 17 % 41 / 100
+
+
+def made_planes(height: int, width: int, names: tuple[str, ...]) -> Callable:
+    """A function of an id and a vector of 64 values that makes the named planes of a frame, bytes row by row: blue above
+    a line that follows from the id and green below it, the vector as its noise, coarse in the sky and strong on the
+    ground. img is light, raw is b. None for null.
+
+    A place's colour follows from its side of the line and two values of the vector: each of these 2 x 64 x 64 colours
+    is taken apart once, and places only look theirs up.
+    """
+    kept = tuple({"img": "light", "raw": "b"}.get(c, c) for c in names)
+
+    def of(k: int | None, vector: np.ndarray | None) -> list[np.ndarray | None]:
+        if k is None or vector is None:
+            return [None] * len(kept)
+        slope, offset = made_line(k)
+        values = np.nan_to_num(vector.astype(np.float64))
+        mixed = lambda share: (40 * values[:, None] + share * values)[:, :, None]
+        sky, ground = np.array([225.0, 180.0, 140.0]), np.array([50.0, 95.0, 80.0])
+        colours = planes_of(np.clip(np.concatenate((ground + mixed(260), sky + mixed(60))), 0, 255).astype(np.uint8), kept)
+        y, x = np.arange(height)[:, None], np.arange(width)
+        place = (_mixed(height, width) + 4096 * (y < slope * x + offset * height)).ravel()
+        return [colours[c].astype(np.uint8).ravel()[place] for c in kept]
+
+    return of
+
+
+def made_vectors(embeddings: DataFrame) -> DataFrame:
+    """frame_id and embedding of what a frame can be made of."""
+    return embeddings.filter("vec_id IS NOT NULL AND size(embedding) = 64").select(F.col("vec_id").alias("frame_id"), "embedding")
+
+
 def made_frames(embeddings: DataFrame, height: int = 480, width: int = 480) -> DataFrame:
-    """frame_id, slope, offset, the planes of the likelihood stack, img and raw: a frame of real size for each vector of
-    64 values, blue above a line that follows from the id and green below it, the vector as its noise, coarse in the
-    sky and strong on the ground."""
-    kept = ("light", "a", "b", "saturation", "blue_excess")
-    sky, ground = np.array([225.0, 180.0, 140.0]), np.array([50.0, 95.0, 80.0])
-    y, x = np.mgrid[:height, :width]
+    """frame_id, slope, offset, the planes of the likelihood stack as arrays, img and raw: a frame of made_planes() for
+    each vector. Pipelines that need no rows of planes make them in their kernels (detectors.Shape.source)."""
+    kept = PLANES[1:]
+    make = made_planes(height, width, kept)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-                slope, offset = (k * 37 % 101 - 50) / 100, 0.3 + k * 17 % 41 / 100
-                tile = np.nan_to_num(vector.values.to_numpy(zero_copy_only=False).astype(np.float64)).reshape(8, 8)
-                coarse = np.kron(tile, np.ones((-(-height // 8), -(-width // 8))))[:height, :width]
-                fine = np.tile(tile, (-(-height // 8), -(-width // 8)))[:height, :width]
-                up = (y < slope * x + offset * height)[:, :, None]
-                pixels = np.where(up, sky + (40 * coarse + 60 * fine)[:, :, None], ground + (40 * coarse + 260 * fine)[:, :, None])
-                planes = planes_of(np.clip(pixels, 0, 255).astype(np.uint8))
-                arrays = [pa.array([planes[c].astype(np.int32).ravel()], pa.list_(pa.int32())) for c in kept]
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([slope]), pa.array([offset]), *arrays], ["frame_id", "slope", "offset", *kept])
-
-    whole = embeddings.filter("vec_id IS NOT NULL AND size(embedding) = 64").select("vec_id", "embedding")
-    made = whole.mapInArrow(of, "frame_id long, slope double, offset double, " + ", ".join(f"{c} array<int>" for c in kept))
+            for k, vector in zip(batch.column("frame_id").to_pylist(), batch.column("embedding"), strict=True):
+                arrays = [pa.array([p.astype(np.int32)], pa.list_(pa.int32())) for p in make(k, vector.values.to_numpy(zero_copy_only=False))]
+                yield pa.RecordBatch.from_arrays([*(pa.array([v]) for v in (k, *made_line(k))), *arrays], ["frame_id", "slope", "offset", *kept])
+
+    made = made_vectors(embeddings).mapInArrow(of, "frame_id long, slope double, offset double, " + ", ".join(f"{c} array<int>" for c in kept))
     return made.withColumns({"img": F.col("light"), "raw": F.col("b")})
 
 
