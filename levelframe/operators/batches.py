@@ -228,6 +228,16 @@ def search(points: Column, near: float, k: int, least: int = 2, ratio: float | N
     return clocked(fits.FOUND, fits.FOUND_ARROW, of, F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 
 
+CLUSTERS = f"array<struct<cluster:int,line:{LINE},confidence:double,n:int>>"
+_CLUSTERS = pa.list_(pa.struct([("cluster", pa.int32()), ("line", _LINE), ("confidence", pa.float64()), ("n", pa.int32())]))
+
+
+def clusters(points: Column, near: float, k: int, most: int | None = None, iterations: int | None = None, seed: int = 0) -> Column:
+    """struct(value, ms) of fits.merged of fits.searched, the first most clusters."""
+    of = lambda x, y: [] if x is None else fits.best_clusters(x, y, near, k, iterations, seed, most)
+    return clocked(CLUSTERS, _CLUSTERS, of, F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
 def huber(points: Column) -> Column:
     """struct(value, ms) of fits.huber."""
     of = lambda x, y: fits.huber_of(x, y) if x is not None and len(x) >= 2 else None

@@ -219,6 +219,20 @@ def best_lines(x: np.ndarray, y: np.ndarray, near: float, k: int, iterations: in
     return [(_through(x, y, i, vx, vy), refit, n) for (n, i, _, vx, vy, _), refit in zip(found, refits, strict=True)]
 
 
+def best_clusters(x: np.ndarray, y: np.ndarray, near: float, k: int, iterations: int | None, seed: int, most: int | None = None, overlap: float = OVERLAP) -> list[dict]:
+    """merged() of the k lines that best_pairs() finds, as values; the first most of them, as only these are refitted."""
+    found = [at for *_, at in _best(x, y, near, k, 2, None, iterations, seed)]
+    lit = _lit(found, len(x))
+    shared, used, unions = lit @ lit.T, set(), []
+    for seed_ in range(len(found)):
+        if seed_ not in used:
+            members = [m for m in range(seed_ + 1, len(found)) if m not in used and shared[seed_, m] / max(len(found[seed_]), len(found[m])) > overlap]
+            used |= {seed_, *members}
+            unions.append(np.flatnonzero(lit[[seed_, *members]].any(axis=0)))
+    unions.sort(key=len, reverse=True)  # the earlier of equals stays first
+    return [{"cluster": c, "line": huber_of(x[at], y[at]), "confidence": len(at) / len(x), "n": len(at)} for c, at in enumerate(unions[:most], start=1)]
+
+
 def _rows(xs: pa.Array, ys: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The coordinates of each row; none for null."""
     for a, b in zip(xs, ys, strict=True):

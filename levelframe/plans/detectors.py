@@ -105,21 +105,21 @@ def sampled(df: DataFrame, points: str, s: Shape) -> DataFrame:
     return once(df, points, fits.subsample(F.col(points), F.col("frame_id"), s.max_points))
 
 
-def clustered(frames: DataFrame, s: Shape, cap: bool) -> DataFrame:
-    """frame_id, clusters: array of struct(cluster, line, confidence, n), the surest first."""
+def clustered(frames: DataFrame, s: Shape, cap: bool, n: int) -> DataFrame:
+    """frame_id, clusters: array of struct(cluster, line, confidence, n), the n surest first."""
     df = with_points(frames, s).select("frame_id", "points", TOOK)
     df = sampled(df, "points", s) if cap else df
-    return timed(df, "found", s.search(F.col("points"), s.top)).select("frame_id", fits.merged(F.col("found"), F.col("points")).alias("clusters"), TOOK)
+    return timed(df, "clusters", batches.clusters(F.col("points"), s.near, s.top, n, s.iterations, s.seed)).select("frame_id", "clusters", TOOK)
 
 
 def top_n(frames: DataFrame, s: Shape, n: int, cap: bool = True) -> DataFrame:
     """frame_id, results: the n surest clusters of each frame; empty where none is."""
-    return clustered(frames, s, cap).select("frame_id", F.slice("clusters", 1, n).alias("results"))
+    return clustered(frames, s, cap, n).select("frame_id", F.col("clusters").alias("results"))
 
 
 def a3(frames: DataFrame, s: Shape, cap: bool = False) -> DataFrame:
     """Point pairs, clustered by shared inliers, the largest cluster."""
-    best = once(clustered(frames, s, cap), "c", F.get("clusters", F.lit(0)))
+    best = once(clustered(frames, s, cap, 1), "c", F.get("clusters", F.lit(0)))
     return result(best, F.col("c.line"), F.col("c.confidence"), F.col("c.n"))
 
 
