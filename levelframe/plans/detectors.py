@@ -6,7 +6,8 @@ time that the frame took in the kernels on Arrow batches. All work is inside the
 a8 to a10, which order the frames of a clip. Point-pair search draws Shape.iterations pairs of at most max_points points
 with a seed, or looks at all pairs.
 
-Frames may bring the planes of a likelihood stack (STACK); without them img and raw are the stack. Planes that follow from less are made in the kernels (Shape.source) and never are columns.
+Frames may bring the planes of a likelihood stack (STACK; a7 and a8 read the first three); without them img and raw are
+the stack. Planes that follow from less are made in the kernels (Shape.source) and never are columns.
 """
 
 from __future__ import annotations
@@ -166,7 +167,8 @@ def pool(frames: DataFrame, s: Shape, path: bool, sky: bool) -> DataFrame:
 
     Candidates carry the refit line, which is what a later frame compares with. A degenerate frame has none.
     """
-    planes, edged, compared = (STACK, (0, 2), 3) if s.source or set(STACK) <= set(frames.columns) else (("img", "raw"), (0, 1), 2)
+    stack = STACK if path or sky else STACK[:3]  # the rest is for path and sky alone
+    planes, edged, compared = (stack, (0, 2), 3) if s.source or set(stack) <= set(frames.columns) else (("img", "raw"), (0, 1), 2)
     size = (min(regions.COHERENCE_SIZE[0], s.height), min(regions.COHERENCE_SIZE[1], s.width)) if s.thumb else (s.height, s.width)
     sizes = {"candidates": s.thumb, "planes": size, "thumb": regions.SCENE_SIZE} if s.thumb else None
     views = batches.views_of(s.planes(*planes), s.height, s.width, s.window, edged, compared, sizes, path, sky)
